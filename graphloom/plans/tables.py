@@ -4,17 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
+_VIEWS: dict[tuple[str, str], str] = {}
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write and read again: later steps start from files that survive a lost executor."""
-    spark = df.sparkSession
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; a local folder serves only where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/graphloom/{label}-{uuid.uuid4().hex}"
+    return f"{root}/graphloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write and read again: later steps start from files that survive a lost executor."""
+    path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def view(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that an application writes once and then reads: the library's triples and what follows from them."""
+    name = (spark.sparkContext.applicationId, key)
+    if name in _VIEWS:
+        try:
+            return spark.read.parquet(_VIEWS[name])
+        except AnalysisException:  # the files are gone: write them anew
+            pass
+    path = shared_path(spark, "view")
+    build().write.option("compression", "zstd").parquet(path)
+    _VIEWS[name] = path
+    return spark.read.parquet(path)

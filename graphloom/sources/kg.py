@@ -2,7 +2,7 @@
 
 One SQL text maps the tables; it runs on Spark over Parquet and, unchanged, on any engine that knows the tables by
 name.  Three graphs live side by side: ``trade`` (business entities), ``places`` (a SKOS scheme) and
-``model`` (declarations: classes, properties, restrictions).
+``model`` (declarations: classes, properties, restrictions; ``trade`` holds them too).
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _model() -> list[tuple]:
     text(V + "Order", RDFS + "comment", "What a customer asks for.")
     iri("http://kg/places", TYPE, SKOS + "ConceptScheme", "places")
     text("http://kg/places", SKOS + "prefLabel", "Places", "en", g="places")
-    return rows
+    return rows + [("trade", *r[1:]) for r in rows if r[0] == "model"]  # the data's graph carries its model too
 
 
 def _values(rows: list[tuple]) -> str:
