@@ -8,27 +8,31 @@ special string, goes to the tokenizer as it is; so does every pre-token seen for
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 #: Characters for which the file's normaliser is plain lower-casing and white space only separates.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-įĲ-ɏ‐-‧]*+")
-#: Fixed by the tokenizer file: its pre-tokens.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
-#: Pre-tokens remembered by a worker; beyond it the memory starts anew.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F\u2010-\u2027]*+")
+#: Fixed by the tokenizer file: its pre-tokens, for lower-cased text of these characters.
+_PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\u00DF-\u00F6\u00F8-\u024F]+|[0-9]|[^\sa-z\u00DF-\u00F6\u00F8-\u024F0-9]+")
+_SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+#: Pre-tokens remembered by a worker: as many new ones as old ones; then the old are forgotten.
 MEMO = 300_000
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
         probe = "It's plain: 42 déjà-vu tests!"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         parts = [i for w in _PRETOKEN.findall(probe.lower()) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
@@ -48,13 +52,26 @@ class Encoder:
             words = _PRETOKEN.findall(texts[i].lower())
             new = [w for w in set(words) if w not in self.memo]
             if new:
-                if len(self.memo) + len(new) > MEMO:
-                    self.memo, new = {}, list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.memo[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+                self._learn(new, words)
             out[i] = b"".join(map(self.memo.__getitem__, words))
         return out
 
+    def _learn(self, new: list[str], words: list[str]) -> None:
+        """Remember ``new`` pre-tokens; with a full memory the older half goes."""
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, self.old = {}, self.memo
+            new = list(set(words))
+        unseen = []
+        for w in new:
+            ids = self.old.get(w)
+            if ids is None:
+                unseen.append(w)
+            else:
+                self.memo[w] = ids
+        if unseen:
+            for w, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+                self.memo[w] = array("I", e.ids).tobytes()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
