@@ -9,6 +9,7 @@ from graphloom.functions.terms import label_or_name, pick_label
 from graphloom.functions.vocab import META_CLASSES, OWL, RDFS, SKOS, THING, TYPE
 from graphloom.operators.closure import path_closure
 from graphloom.operators.entity_graph import iri_links, subclass_parents
+from graphloom.plans.tables import written
 
 
 def class_forest(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +47,10 @@ def plain_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
 
 def promoted_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """graph, id of nodes locked in cycles that become roots: no smaller locked node reaches them."""
-    down = parents.select("graph", F.col("parent").alias("a"), F.col("child").alias("b"))
-    roots = plain_roots(nodes, parents)
+    nodes, down = written(nodes.select("graph", "id"), "nodes"), written(parents.select("graph", F.col("parent").alias("a"), F.col("child").alias("b")), "down")
+    roots = written(nodes.join(down.select("graph", F.col("b").alias("id")), ["graph", "id"], "left_anti"), "roots")
     reached = path_closure(down, roots.withColumnRenamed("id", "start"), reflexive=True).select("graph", F.col("node").alias("id")).distinct()
-    locked = nodes.select("graph", "id").join(reached, ["graph", "id"], "left_anti")
+    locked = written(nodes.join(reached, ["graph", "id"], "left_anti"), "locked")
     inside = down.join(locked.withColumnRenamed("id", "a"), ["graph", "a"], "left_semi").join(locked.withColumnRenamed("id", "b"), ["graph", "b"], "left_semi")
     led = path_closure(inside).where("start < node").select("graph", F.col("node").alias("id")).distinct()
     return locked.join(led, ["graph", "id"], "left_anti")

@@ -77,7 +77,8 @@ class Kg:
         """Both forests in one, told apart by the graph key's suffix."""
         (cn, cp), (kn, kp) = hierarchy.class_forest(self.t), hierarchy.concept_forest(self.t)
         mark = lambda df, name: df.withColumn("graph", F.concat("graph", F.lit("|" + name)))
-        return mark(cn, "class").unionByName(mark(kn, "concept")), mark(cp, "class").unionByName(mark(kp, "concept"))
+        nodes, parents = mark(cn, "class").unionByName(mark(kn, "concept")), mark(cp, "class").unionByName(mark(kp, "concept"))
+        return self.view("forest-nodes", lambda: nodes), self.view("forest-parents", lambda: parents)
 
     def ids(self, *pairs: tuple[str, str], name: str = "id") -> DataFrame:
         return self.spark.createDataFrame(list(pairs), f"graph string, {name} string")
@@ -798,7 +799,7 @@ def _(g: Kg) -> DataFrame:
     return hierarchy.tree_rows(*g.forest)
 
 
-@kg("tree_filter", Q(f"SELECT graph, node AS id, bool_or(start = node) AS matches FROM pc GROUP BY graph, node", *FOREST, ("upf", "SELECT graph, child AS a, parent AS b FROM fp"), ("sds", f"SELECT n.graph, n.id AS start FROM fn n LEFT JOIN labels l ON l.graph = split_part(n.graph, '|', 1) AND l.s = n.id WHERE contains(lower(coalesce(l.label, {sql.local('n.id')})), 'nation') OR contains(lower({sql.local('n.id')}), 'nation') OR contains(lower(coalesce(l.label, '')), 'er')"), *sql.closure("pc", "upf", "sds", reflexive=True)))
+@kg("tree_filter", Q(f"SELECT graph, node AS id, bool_or(start = node) AS matches FROM pc GROUP BY graph, node", *FOREST, ("upf", "SELECT graph, child AS a, parent AS b FROM fp"), ("sds", f"SELECT n.graph, n.id AS start FROM fn n LEFT JOIN labels l ON l.graph = split_part(n.graph, '|', 1) AND l.s = n.id WHERE contains(lower(coalesce(l.label, {sql.local('n.id')})), 'nation') OR contains(lower({sql.local('n.id')}), 'nation') OR contains(lower(coalesce(l.label, {sql.local('n.id')})), 'er') OR contains(lower({sql.local('n.id')}), 'er')"), *sql.closure("pc", "upf", "sds", reflexive=True)))
 def _(g: Kg) -> DataFrame:
     nodes, parents = g.forest
     labelled = terms.label_or_name(nodes.withColumn("key", F.col("graph")).withColumn("graph", F.substring_index("graph", "|", 1)), g.labels, "id").withColumn("graph", F.col("key"))

@@ -20,7 +20,7 @@ def unescape(text: Column) -> Column:
     for letter, char in ESCAPES.items():
         out = F.replace(out, F.lit("\\" + letter), F.lit(char))
     pieces = F.split(out, r"\\(?=u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})")
-    code = lambda x, n: F.decode(F.unhex(F.lpad(F.substring(x, 2, n), 8, "0")), F.lit("UTF-32BE"))
+    code = lambda x, n: F.decode(F.unhex(F.lpad(F.substring(x, 2, n), 8, "0")), "UTF-32")
     decoded = F.transform(
         pieces, lambda x, i: F.when((i > 0) & x.rlike("^u[0-9A-Fa-f]{4}"), F.concat(code(x, 4), x.substr(F.lit(6), F.length(x)))).when((i > 0) & x.rlike("^U[0-9A-Fa-f]{8}"), F.concat(code(x, 8), x.substr(F.lit(10), F.length(x)))).otherwise(x)
     )
