@@ -133,12 +133,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url") ->
 
 
 def best_threshold(bins: Sequence[tuple[float, int, int]]) -> float:
-    """The score from which to allow: best balanced accuracy over (score, allowed, blocked) bins, nearest to 0 among ties."""
-    good, bad = sum(b[1] for b in bins) or 1, sum(b[2] for b in bins) or 1
-    best, passed, stopped = (-1.0, 0.0, 0.0), good, 0
-    passed = sum(b[1] for b in bins)
-    for score, g, b in [*sorted(bins), (0.0, 0, 0)] if not bins else sorted(bins):
-        edge = score - 1 / 400
-        best = max(best, (round(passed / good + stopped / bad, 9), -abs(edge), edge))
-        passed, stopped = passed - g, stopped + b
-    return best[2] if bins else 0.0
+    """The score from which to allow: best balanced accuracy over (score, allowed, blocked) bins.
+
+    Candidates lie midway between neighbouring bins; among ties the one nearest to 0 wins.  Without bins it is 0.
+    """
+    if not bins:
+        return 0.0
+    ranked = sorted(bins)
+    good, bad = sum(b[1] for b in ranked), sum(b[2] for b in ranked)
+    best, passed, stopped, before = (-1.0, 0.0, 0.0), good, 0, ranked[0][0] - 0.01
+    for score, g, b in [*ranked, (ranked[-1][0] + 0.01, 0, 0)]:
+        edge = (before + score) / 2
+        best = max(best, (round(passed / (good or 1) + stopped / (bad or 1), 9), -abs(edge), edge))
+        passed, stopped, before = passed - g, stopped + b, score
+    return best[2]
