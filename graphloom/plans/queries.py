@@ -143,11 +143,11 @@ def _(g: Kg) -> DataFrame:
     return library.library_summary(g.t, g.nodes, g.edges, g.prefixes)
 
 
-_LOG = "SELECT 'q' || (event_id % 97) AS id, CASE event_id % 3 WHEN 0 THEN 'trade' WHEN 1 THEN 'places' ELSE 'model' END AS graph, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'name ' || (event_id % 11) END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE props END AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS at FROM events"
+_LOG = "SELECT 'q' || (event_id % 97) AS id, CASE event_id % 3 WHEN 0 THEN 'trade' WHEN 1 THEN 'places' ELSE 'model' END AS graph, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'name ' || (event_id % 11) END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE props END AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS moment FROM events"
 _SAVED = [
     ("log", _LOG),
-    ("ranklog", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY at DESC) AS k, min(at) OVER (PARTITION BY id) AS created FROM log WHERE state IS NOT NULL"),
-    ("saved", "SELECT id, graph, CASE WHEN trim(name) = '' THEN 'Untitled query' ELSE trim(name) END AS name, state, created AS createdAt, at AS updatedAt FROM ranklog WHERE k = 1"),
+    ("ranklog", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment DESC) AS k, min(moment) OVER (PARTITION BY id) AS created FROM log WHERE state IS NOT NULL"),
+    ("saved", "SELECT id, graph, CASE WHEN trim(name) = '' THEN 'Untitled query' ELSE trim(name) END AS name, state, created AS createdAt, moment AS updatedAt FROM ranklog WHERE k = 1"),
 ]
 _WITH_SAVED = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in _SAVED) + " "
 
