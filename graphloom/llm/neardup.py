@@ -80,6 +80,7 @@ def sign_documents(documents: DataFrame, *, doc_id: str, text: str, width: int)
                 ids = batch.column(0).slice(done, n)
                 done += n
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(f1), pa.array(f2), lists], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
+            pa.default_memory_pool().release_unused()
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
         sign, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signature array<bigint>"
@@ -98,6 +99,7 @@ def fetch_sets(documents: DataFrame, ids: DataFrame, *, doc_id: str, text: str,
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), lists], names=["rep", "shingles"])
                 done += n
+            pa.default_memory_pool().release_unused()
 
     texts = documents.select(F.col(doc_id).cast("long").alias("rep"), F.col(text)).join(wanted, "rep", "left_semi")
     return stash(texts.mapInArrow(shingle, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "sets")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the working arrays of one task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 600_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
