@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.html_blocks import Block, blocks_of
+from graphloom.llm.scratch import numbered, other_columns
 
 SAMPLE = 240
 PATH, WORDS, MEASURES, HIDDEN = 96, 32, 7, 24
@@ -264,8 +265,8 @@ def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", html: str =
     """``pages`` without the html, with ``text`` (the article, blocks joined by a space)."""
     chosen = pages.where(F.col(html).isNotNull()).select(page_id, html).orderBy(F.xxhash64(page_id), page_id).limit(SAMPLE)
     model = pages.sparkSession.sparkContext.broadcast(train([r[1] for r in sorted(chosen.collect(), key=lambda r: (str(r[0]), r[1]))]))
-    own = [c for c in pages.columns if c not in (html, "text")]
-    schema = T.StructType([*pages.select(*own).schema.fields, T.StructField("text", T.StringType())])
+    own = other_columns(pages, html, "text")
+    schema = T.StructType([*[pages.schema[c] for c in own], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,4 +275,4 @@ def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", html: str =
                 texts = main_texts(model.value, [h or "" for h in part.column(len(own)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(texts, pa.string())], names=[*own, "text"])
 
-    return pages.select(*own, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return numbered(pages, [*own, html]).mapInArrow(run, schema)

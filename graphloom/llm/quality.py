@@ -10,7 +10,7 @@ The fit uses at most ``sample`` labelled documents, those whose id hashes lowest
 
 Defined results: null text counts as empty; repeated rows get equal scores; without labels of both kinds
 every document scores ``cutoff``; labels without a document, and null labels, are unused; all input columns
-are kept unless one is named ``score``.
+are kept unless one bears the result's name (in any letter case).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.scratch import numbered, other_columns
 from graphloom.llm.textkit import slices, word_hashes
 
 GROUPS = ("lower", "upper", "digit", "blank", "line", "stop", "loud", "bar", "sign", "mark", "far")
@@ -123,16 +124,15 @@ def train(
     return fit(x, rows["_good"].to_numpy()[order] == 1, cutoff=cutoff)
 
 
-def score_documents(documents: DataFrame, model: Model | None, *, text: str = "text", cutoff: float = 0.3) -> DataFrame:
-    """``documents`` with ``score`` from 0 to 1."""
-    own = [c for c in documents.columns if c != "score"]
-    kept = documents.select(*own)
+def score_documents(documents: DataFrame, model: Model | None, *, text: str = "text", cutoff: float = 0.3, into: str = "score") -> DataFrame:
+    """``documents`` with a score from 0 to 1 in the column ``into``."""
+    own = other_columns(documents, into)
     at = own.index(text)
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[documents.schema[c] for c in own], T.StructField(into, T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(features(batch.column(at))) if model is not None and batch.num_rows else np.full(batch.num_rows, cutoff)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*own, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*own, into])
 
-    return kept.mapInArrow(judge, schema)
+    return numbered(documents, own).mapInArrow(judge, schema)

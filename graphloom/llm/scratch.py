@@ -1,11 +1,13 @@
-"""Shared scratch space: tables written where every executor can read them."""
+"""Shared scratch space, written where every executor can read it, and columns by their exact names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +31,19 @@ def stash(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exact(name: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def other_columns(df: DataFrame, *results: str) -> Sequence[str]:
+    """The names of ``df``'s columns but those that, in any letter case, are names of results."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns, called c0, c1, ...; Arrow functions take no names that need quoting."""
+    return df.select(*[exact(c).alias(f"c{i}") for i, c in enumerate(names)])

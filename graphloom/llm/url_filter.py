@@ -11,7 +11,7 @@ so it is broadcast.  Training uses distinct URLs, so copies of one URL do not we
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule fits it, and the models
 judge its text (null: empty); repeated rows each get a row; with no rule-decided URL all scores are 0 and
-everything is allowed; all input columns are kept unless they bear a result's name.
+everything is allowed; all input columns are kept unless they bear a result's name (in any letter case).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.scratch import stash
+from graphloom.llm.scratch import exact, other_columns, stash
 
 
 class Rule(NamedTuple):
@@ -121,15 +121,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url") ->
     )
     threshold = best_threshold([(r["bin"] / 200, r["good"], r["bad"]) for r in bins.collect()])
 
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*own).alias("_page"))
+    own = other_columns(pages, "host", "path", "rule", "score", "verdict")
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*map(exact, own)).alias("_page"))
     rows = rows.select("_row", "_page", F.explode(grams_of(symbols_of(F.col(f"_page.{url}")))).alias("gram"))
     scored = rows.join(table, "gram").groupBy("_row").agg(F.first("_page").alias("_page"), F.avg("ratio").alias("score"))
     host, path = url_parts(F.col(f"_page.{url}"))
     scored = scored.select("_page.*", host.alias("host"), path.alias("path"), "score")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return scored.select(*own, "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, by_model).alias("verdict"))
+    return scored.select(*map(exact, own), "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, by_model).alias("verdict"))
 
 
 def best_threshold(bins: Sequence[tuple[float, int, int]]) -> float:
