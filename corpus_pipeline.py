@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, neardup, packing, quality
 from graphloom.llm.queries import tokenizer_file
-from graphloom.llm.scratch import stash
+from graphloom.llm.scratch import exact, stash
 
 CUTOFF = 0.3
 
@@ -27,12 +27,15 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is not in ``gone``; rows with a null id stay."""
     gone = stash(gone.select("doc_id").distinct(), "gone")
     few = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*map(exact, docs.columns))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cutoff=CUTOFF)
-    return quality.score_documents(docs, model, cutoff=CUTOFF).where(F.col("score") >= CUTOFF).select(*docs.columns)
+    score = "score"
+    while score in {c.lower() for c in docs.columns}:
+        score = "_" + score
+    return quality.score_documents(docs, model, cutoff=CUTOFF, into=score).where(F.col(score) >= CUTOFF).select(*map(exact, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
