@@ -316,6 +316,12 @@ def _(g: Kg) -> DataFrame:
     return g.table("documents").select("doc_id", terms.slug_filename(F.concat(F.substring("text", 1, 30), F.lit(".ttl"))).alias("stem"))
 
 
+@kg("neutralize_formula", "SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN '''' ELSE '' END || CASE doc_id % 7 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) WHEN 5 THEN chr(13) ELSE '.' END || text AS field FROM documents")
+def _(g: Kg) -> DataFrame:
+    mark = F.get(F.array(*map(F.lit, "=+-@\t\r.")), (F.col("doc_id") % 7).cast("int"))
+    return g.table("documents").select("doc_id", terms.neutralize_formula(F.concat(mark, "text")).alias("field"))
+
+
 @kg("csv_quote", "SELECT doc_id, CASE WHEN regexp_matches(n, '[\",\r\n]') THEN '\"' || replace(n, '\"', '\"\"') || '\"' ELSE n END AS field FROM (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN '''' ELSE '' END || x AS n FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@\"' ELSE '.' END || left(text, 60) AS x FROM documents))")
 def _(g: Kg) -> DataFrame:
     i = F.col("doc_id") % 5
