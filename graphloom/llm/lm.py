@@ -1,8 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Model.  Every context word that makes up at least 1 in ``CONTEXTS`` training tokens, and the start of a
-text, has a restaurant of the words seen after it.  All of them share one parent, the restaurant of all words, whose
-base is uniform over the V known words and the unknown one; other contexts use the parent itself.
+Model.  Every word seen in training, and the start of a text, has a restaurant of the words seen after it.  All of
+them share one parent, the restaurant of all words, whose base is uniform over the V known words and the unknown one.
 In a restaurant with discount d and strength s, a dish w with c customers at t tables has probability
 (c - d*t + (s + d*T) * P_parent(w)) / (s + C).  Each table of a context restaurant is a customer of the parent.
 
@@ -15,7 +14,9 @@ kept, and a token's probability is the mean of their predictive probabilities.
 
 Movement.  Texts become chunks of token indices with one vocabulary each.  A chunk asks each bucket
 about its distinct words and pairs, once, and gets the answers in the same order; so a word or pair as frequent
-as one likes costs a chunk one entry.  Only tables of at most ``CONTEXTS`` + 1 entries reach the driver.
+as one likes costs a chunk one entry.  Before that it asks for the counts of its words over all chunks, which are also
+the customers of their restaurants; after the sweeps the same question is answered with the summed tables of these
+restaurants.  Only tables of at most ``FREQUENT`` entries reach the driver.
 
 Defined results: null text has no words, only its end token; repeated rows are counted again and scored alike; a null
 id is never held out; with no training text every token is unknown (V = N = 0, probability 1); an empty table gives
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.scratch import stash
 from graphloom.llm.textkit import U64, mix, slices, word_hashes
 
-CONTEXTS = 20_000
+#: Words that make up at least 1 in this many training tokens have their pairs dealt by the pair.
+FREQUENT = 20_000
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
 BURN_IN, SAMPLES = 3, 3
@@ -97,34 +99,60 @@ def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFr
 
 @dataclass(frozen=True)
 class Frequent:
-    """The context words: sorted hashes and their training counts (of the chunks in which they are frequent)."""
+    """The words whose pairs are dealt by the pair: sorted hashes and their counts in all training texts."""
 
     words: np.ndarray
     counts: np.ndarray
     train_tokens: int
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word among the context words, or -1."""
+        """The place of each word among the frequent words, or -1."""
         if not len(self.words):
             return np.full(len(words), -1, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
 
-def frequent_words(chunks: DataFrame, train_tokens: int) -> Frequent:
-    """At most ``CONTEXTS`` words: a word this frequent overall is so in some chunk, so chunks report only those."""
+def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (((mix(hashes) >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int32)
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def ask_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    """bucket, chunk_id, blob: the distinct words of a chunk and their training counts in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
+            for chunk_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, _, lengths, out, vocabulary, index = _load(blob)
                 counts = np.bincount(index[np.repeat(~out, lengths)], minlength=len(vocabulary))
-                often = np.flatnonzero((counts * CONTEXTS >= counts.sum()) & (counts > 0) & (vocabulary != END))
-                yield pa.RecordBatch.from_arrays([pa.array(vocabulary[often].view(np.int64)), pa.array(counts[often])], names=["word", "n"])
+                order, at = _by_bucket(_bucket(vocabulary, n_buckets), n_buckets)
+                buckets = np.flatnonzero(np.diff(at))
+                blobs = [_dump(vocabulary[w], _small(counts[w])) for w in (order[at[b] : at[b + 1]] for b in buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk_id] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk_id", "blob"])
 
-    counted = chunks.select("blob").mapInArrow(report, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") * CONTEXTS >= train_tokens).toArrow()
-    words, counts = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    return stash(chunks.select("chunk_id", "blob").mapInArrow(run, "bucket int, chunk_id bigint, blob binary"), "words")
+
+
+def count_words(asked: DataFrame, train_tokens: int) -> DataFrame:
+    """kind, chunk_id, bucket, blob: the counts of a chunk's words over all chunks, and the frequent words of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, chunk_ids, blobs = table["bucket"][0].as_py(), table["chunk_id"].to_pylist(), [_load(b) for b in table["blob"].to_pylist()]
+        words, word_of = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        total = np.bincount(word_of, np.concatenate([b[1] for b in blobs]), minlength=len(words)).astype(np.int64)
+        often = np.flatnonzero((total * FREQUENT >= train_tokens) & (total > 0))
+        places = np.split(word_of, np.cumsum([len(b[0]) for b in blobs])[:-1])
+        rows = [("count", c, _dump(_small(total[w]))) for c, w in zip(chunk_ids, places, strict=True)] + [("frequent", -1, _dump(words[often], total[often]))]
+        kinds, chunks, out = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kinds), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return stash(asked.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary"), "counts")
+
+
+def frequent_words(counted: DataFrame, train_tokens: int) -> Frequent:
+    """At most ``FREQUENT`` words."""
+    blobs = [_load(b) for b in counted.where("kind = 'frequent'").select("blob").toArrow()["blob"].to_pylist()]
+    words, counts = (np.concatenate([b[i] for b in blobs] or [np.zeros(0, t)]) for i, t in ((0, U64), (1, np.int64)))
     order = np.argsort(words)
     return Frequent(words[order], counts[order], train_tokens)
 
@@ -135,38 +163,31 @@ class Questions:
 
     word_bucket: np.ndarray
     word_place: np.ndarray  # among the frequent words, or -1
-    direct: np.ndarray  # training tokens of a word that are the parent's own customers
     total: np.ndarray
     pair_word: np.ndarray
-    pair_context: np.ndarray
+    pair_context: np.ndarray  # the word before; that of a text's first word is END
     pair_count: np.ndarray
     pair_bucket: np.ndarray
-    token_pair: np.ndarray  # pair of each token, or -1
+    token_pair: np.ndarray  # pair of each token
 
 
 def questions(frequent: Frequent, n_buckets: int, lengths: np.ndarray, out: np.ndarray, vocabulary: np.ndarray, index: np.ndarray) -> Questions:
-    bucket = lambda h: (((h >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int32)
     index, train = index.astype(np.int64), np.repeat(~out, lengths)
     place = frequent.find(vocabulary)
     context = np.empty(len(index), dtype=np.int64)
-    context[1:] = place[index[:-1]]
-    context[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1]] = len(frequent.words)  # a text's start
-    inside = context >= 0
-    radix = len(frequent.words) + 1
-    keys, which = np.unique(index[inside] * radix + context[inside], return_inverse=True)
-    token_pair = np.full(len(index), -1, dtype=np.int64)
-    token_pair[inside] = which
-    pair_word, pair_context = keys // radix, keys % radix
-    word_bucket = bucket(mix(vocabulary))
-    spread = bucket(mix(vocabulary[pair_word] + mix(pair_context.astype(np.uint64) + U64(1))))
+    context[1:] = index[:-1]
+    context[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1]] = np.searchsorted(vocabulary, END)
+    keys, token_pair = np.unique(index * len(vocabulary) + context, return_inverse=True)
+    pair_word, pair_context = keys // len(vocabulary), keys % len(vocabulary)
+    word_bucket = _bucket(vocabulary, n_buckets)
+    spread = _bucket(vocabulary[pair_word] + mix(vocabulary[pair_context] + U64(1)), n_buckets)
     return Questions(
         word_bucket=word_bucket,
         word_place=place,
-        direct=np.bincount(index[train & ~inside], minlength=len(vocabulary)),
         total=np.bincount(index[train], minlength=len(vocabulary)),
         pair_word=pair_word,
         pair_context=pair_context,
-        pair_count=np.bincount(which[train[inside]], minlength=len(keys)),
+        pair_count=np.bincount(token_pair[train], minlength=len(keys)),
         pair_bucket=np.where(place[pair_word] >= 0, spread, word_bucket[pair_word]),
         token_pair=token_pair,
     )
@@ -178,29 +199,33 @@ def _by_bucket(buckets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndar
     return order, np.searchsorted(buckets[order], np.arange(n_buckets + 1))
 
 
-def ask(chunks: DataFrame, frequent, n_buckets: int) -> DataFrame:
-    """bucket, chunk_id, blob: words (hash, direct, total), own pairs and pairs of frequent words."""
+def ask(chunks: DataFrame, counted: DataFrame, frequent, n_buckets: int) -> DataFrame:
+    """bucket, chunk_id, blob: words (hash, total), contexts (hash, customers), own pairs and pairs of frequent words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, _, lengths, out, vocabulary, index = _load(blob)
-                q = questions(frequent.value, n_buckets, lengths, out, vocabulary, index)
-                words, word_at = _by_bucket(q.word_bucket, n_buckets)
-                pairs, pair_at = _by_bucket(q.pair_bucket, n_buckets)
-                hot = q.word_place[q.pair_word] >= 0
-                buckets, blobs = [], []
-                for b in range(n_buckets):
-                    w, p = words[word_at[b] : word_at[b + 1]], pairs[pair_at[b] : pair_at[b + 1]]
-                    if not len(w) and not len(p):
-                        continue
-                    own, shared = p[~hot[p]], p[hot[p]]
-                    position = np.searchsorted(w, q.pair_word[own])  # rows of a bucket keep vocabulary order
-                    buckets.append(b)
-                    blobs.append(_dump(vocabulary[w], _small(q.direct[w]), _small(q.total[w]), _small(position), _small(q.pair_context[own]), _small(q.pair_count[own]), _small(q.word_place[q.pair_word[shared]]), _small(q.pair_context[shared]), _small(q.pair_count[shared])))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk_id] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk_id", "blob"])
-
-    return chunks.select("chunk_id", "blob").mapInArrow(run, "bucket int, chunk_id bigint, blob binary")
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk_id = chunk["chunk_id"][0].as_py()
+        _, _, lengths, out, vocabulary, index = _load(chunk["blob"][0].as_py())
+        q = questions(frequent.value, n_buckets, lengths, out, vocabulary, index)
+        words, word_at = _by_bucket(q.word_bucket, n_buckets)
+        pairs, pair_at = _by_bucket(q.pair_bucket, n_buckets)
+        hot = q.word_place[q.pair_word] >= 0
+        customers = np.zeros(len(vocabulary), dtype=np.int64)
+        for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
+            customers[words[word_at[b] : word_at[b + 1]]] = _load(blob)[0]
+        buckets, blobs = [], []
+        for b in range(n_buckets):
+            w, p = words[word_at[b] : word_at[b + 1]], pairs[pair_at[b] : pair_at[b + 1]]
+            if not len(w) and not len(p):
+                continue
+            own, shared = p[~hot[p]], p[hot[p]]
+            position = np.searchsorted(w, q.pair_word[own])  # rows of a bucket keep vocabulary order
+            contexts, place = np.unique(q.pair_context[np.concatenate([own, shared])], return_inverse=True)
+            buckets.append(b)
+            blobs.append(_dump(vocabulary[w], _small(q.total[w]), vocabulary[contexts], _small(customers[contexts]), _small(position), _small(place[: len(own)]), _small(q.pair_count[own]), _small(q.word_place[q.pair_word[shared]]), _small(place[len(own) :]), _small(q.pair_count[shared])))
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk_id": pa.array([chunk_id] * len(buckets), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    answers = counted.where("kind = 'count'").select("chunk_id", "bucket", "blob")
+    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, "bucket int, chunk_id bigint, blob binary")
 
 
 def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
@@ -227,26 +252,28 @@ def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount:
     return result
 
 
-def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: list[int], asked: list[tuple]) -> Iterator[tuple[str, int, bytes]]:
-    """Seat one bucket: (kind, chunk, blob) rows with the answers and the bucket's shares of all totals."""
-    rng, n_contexts = np.random.default_rng([11, bucket]), len(frequent.words) + 1
-    column = lambda i: np.concatenate([a[i] for a in asked]).astype(np.int64) if i else np.concatenate([a[0] for a in asked])
-    words, word_of = np.unique(column(0), return_inverse=True)
-    n_words, place = len(words), frequent.find(words)
-    direct = np.bincount(word_of, column(1), minlength=n_words)
-    total = np.bincount(word_of, column(2), minlength=n_words)
-    first_word = np.concatenate([[0], np.cumsum([len(a[0]) for a in asked])])[:-1]
-    own_word = word_of[column(3) + np.repeat(first_word, [len(a[3]) for a in asked])]
+def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: list[int], asked: list[tuple]) -> Iterator[tuple[str, int, int, bytes]]:
+    """Seat one bucket: (kind, chunk, bucket, blob) rows with the answers and the bucket's shares of all totals."""
+    rng = np.random.default_rng([11, bucket])
+    column = lambda i: np.concatenate([a[i] for a in asked]).astype(np.int64)
+    first = lambda i: np.concatenate([[0], np.cumsum([len(a[i]) for a in asked])])[:-1]
+    after = lambda i, n: np.repeat(first(i), [len(a[n]) for a in asked])
+    words, word_of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    contexts, context_of = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+    n_words, n_contexts, place = len(words), max(len(contexts), 1), frequent.find(words)
+    total = np.bincount(word_of, column(1), minlength=n_words)
+    own_word = word_of[column(4) + after(0, 4)]
+    own_context, shared_context = context_of[column(5) + after(2, 5)], context_of[column(8) + after(2, 8)]
     # Dishes are numbered: the bucket's words, then the frequent words.
-    dish_keys = np.concatenate([own_word * n_contexts + column(4), (column(6) + n_words) * n_contexts + column(7)])
+    dish_keys = np.concatenate([own_word * n_contexts + own_context, (column(7) + n_words) * n_contexts + shared_context])
     keys, pair_of = np.unique(dish_keys, return_inverse=True)
-    counts = np.bincount(pair_of, np.concatenate([column(5), column(8)]), minlength=len(keys))
+    counts = np.bincount(pair_of, np.concatenate([column(6), column(9)]), minlength=len(keys))
     dish, context = keys // n_contexts, keys % n_contexts
 
     rare = place < 0
     customers_u = np.bincount(context, counts, minlength=n_contexts)
-    whole_u = np.maximum(np.append(frequent.counts, 0), customers_u)
-    whole_u[-1] = max(whole_u[-1], customers_u[-1] * n_buckets)
+    whole_u = np.zeros(n_contexts)
+    whole_u[context_of] = column(3)
     carry = whole_u / np.maximum(customers_u, 1)
     n_train = max(frequent.train_tokens, 1)
     share = n_train / max(total[rare].sum() + 1, 1)  # how much larger the whole corpus is than this bucket's rare words
@@ -262,7 +289,7 @@ def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: li
         tables_u = np.bincount(context, tables, minlength=n_contexts) * carry
         tables[many] = seat(counts[many], parent[dish[many]], np.maximum(tables_u[context[many]] - tables[many], 0), DISCOUNT, STRENGTH, rng)
         sent = np.bincount(dish, tables, minlength=n_words + len(frequent.words))
-        root_customers = direct + sent[:n_words]
+        root_customers = sent[:n_words]
         all_root_tables = root_tables[rare].sum() * share
         root_tables = np.where(rare, seat(root_customers, np.full(n_words, 1 / vocabulary), np.maximum(all_root_tables - root_tables, 0), ROOT_DISCOUNT, ROOT_STRENGTH, rng), 0)
         all_customers = max(root_customers[rare].sum() * share, 1)
@@ -274,35 +301,59 @@ def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: li
             kept_hot.append(sent[n_words:])
             kept_totals.append((root_customers[rare].sum(), root_tables[rare].sum()))
     word_pos = np.split(word_of, np.cumsum([len(a[0]) for a in asked])[:-1])
-    n_own = np.cumsum([len(a[3]) for a in asked])
-    n_shared = np.cumsum([len(a[6]) for a in asked])
+    n_own = np.cumsum([len(a[4]) for a in asked])
+    n_shared = np.cumsum([len(a[7]) for a in asked])
     own_pos = np.split(pair_of[: n_own[-1]], n_own[:-1])
     shared_pos = np.split(pair_of[n_own[-1] :], n_shared[:-1])
     for chunk_id, w, o, s in zip(chunk_ids, word_pos, own_pos, shared_pos, strict=True):
         p = np.concatenate([o, s])
-        yield "reply", chunk_id, _dump(_small(total[w].astype(np.int64)), *[r[w] for r in kept_roots], _small(counts[p].astype(np.int64)), *[_small(t[p].astype(np.int64)) for t in kept_tables])
-    yield "context", -1, _dump(customers_u, *kept_contexts)
-    hot_direct = np.zeros(len(frequent.words))
-    hot_direct[place[~rare]] = direct[~rare]
-    yield "frequent", -1, _dump(hot_direct, *kept_hot)
-    yield "totals", -1, _dump(np.asarray([total.sum(), (total > 0).sum()], dtype=np.float64), *[np.asarray(t, dtype=np.float64) for t in kept_totals])
+        yield "reply", chunk_id, bucket, _dump(_small(total[w].astype(np.int64)), *[r[w] for r in kept_roots], _small(counts[p].astype(np.int64)), *[_small(t[p].astype(np.int64)) for t in kept_tables])
+    order, at = _by_bucket(_bucket(contexts, n_buckets), n_buckets)
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        u = order[at[b] : at[b + 1]]
+        yield "context", -1, b, _dump(contexts[u], *[_small(t[u].astype(np.int64)) for t in kept_contexts])
+    yield "frequent", -1, bucket, _dump(*kept_hot)
+    yield "totals", -1, bucket, _dump(np.asarray([total.sum(), (total > 0).sum()], dtype=np.float64), *[np.asarray(t, dtype=np.float64) for t in kept_totals])
 
 
 def reply(asked: DataFrame, frequent, n_buckets: int) -> DataFrame:
-    """kind, chunk_id, bucket, blob."""
+    """kind, chunk_id, bucket, blob; the bucket of a context's tables is that of the context."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_id")
         bucket = table["bucket"][0].as_py()
         rows = list(_reply_bucket(frequent.value, n_buckets, bucket, table["chunk_id"].to_pylist(), [_load(b) for b in table["blob"].to_pylist()]))
-        kinds, chunks, blobs = zip(*rows, strict=True)
-        return pa.table({"kind": pa.array(kinds), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        kinds, chunks, buckets, blobs = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kinds), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return stash(asked.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary"), "replies")
 
 
+def context_tables(replies: DataFrame, asked: DataFrame) -> DataFrame:
+    """kind, chunk_id, bucket, blob: the tables, summed over all buckets, of the restaurants of a chunk's words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shares = [_load(b) for b, c in zip(table["blob"].to_pylist(), table["chunk_id"].to_pylist(), strict=True) if c is None]
+        contexts, at = np.unique(np.concatenate([x[0] for x in shares] or [np.zeros(0, U64)]), return_inverse=True)
+        tables = [np.append(np.bincount(at, np.concatenate([x[s] for x in shares]), minlength=len(contexts)) if shares else [], 0).astype(np.int64) for s in range(1, SAMPLES + 1)]
+        chunks, blobs = [], []
+        for blob, chunk_id in zip(table["blob"].to_pylist(), table["chunk_id"].to_pylist(), strict=True):
+            if chunk_id is not None:
+                words = _load(blob)[0]
+                place = np.searchsorted(contexts, words)
+                place[np.append(contexts, U64(0))[place] != words] = len(contexts)
+                chunks.append(chunk_id)
+                blobs.append(_dump(*[_small(t[place]) for t in tables]))
+        n = len(chunks)
+        return pa.table({"kind": pa.array(["tables"] * n, pa.string()), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    shares = replies.where("kind = 'context'").select("bucket", F.lit(None).cast("long").alias("chunk_id"), "blob")
+    both = shares.unionByName(asked.select("bucket", "chunk_id", "blob"))
+    return both.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary")
+
+
 def sum_shares(replies: DataFrame, kind: str) -> np.ndarray:
-    """The element-wise sum of the buckets' arrays of one kind, stacked; at most CONTEXTS + 1 columns."""
+    """The element-wise sum of the buckets' arrays of one kind, stacked; at most FREQUENT columns."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,29 +371,27 @@ def sum_shares(replies: DataFrame, kind: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Totals:
-    """What spans buckets: corpus size, the context restaurants, and the parent with its frequent dishes."""
+    """What spans buckets: corpus size, and the parent with its frequent dishes."""
 
     n: float
     v: float
-    customers: np.ndarray
-    tables: np.ndarray
     frequent: np.ndarray
     root: np.ndarray  # per sample: customers, tables
 
 
 def gather(replies: DataFrame, frequent: Frequent) -> Totals:
     size = lambda x, n: np.pad(x, ((0, 0), (0, n - x.shape[1])))
-    contexts, hot = size(sum_shares(replies, "context"), len(frequent.words) + 1), size(sum_shares(replies, "frequent"), len(frequent.words))
+    hot = size(sum_shares(replies, "frequent"), len(frequent.words))
     totals = size(sum_shares(replies, "totals"), 2)
     rng, dishes, root = np.random.default_rng(13), [], []
     for s in range(1, SAMPLES + 1):
-        customers = hot[0] + hot[s]
+        customers = hot[s - 1]
         tables = (customers > 0).astype(np.float64)
         for _ in range(2):
             tables = seat(customers, np.full(len(customers), 1 / (totals[0, 1] + 1)), np.maximum(totals[s, 1] + tables.sum() - tables, 0), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
         dishes.append(customers - ROOT_DISCOUNT * tables)
         root.append((totals[s, 0] + customers.sum(), totals[s, 1] + tables.sum()))
-    return Totals(totals[0, 0], totals[0, 1], contexts[0], contexts[1:], np.stack(dishes), np.asarray(root))
+    return Totals(totals[0, 0], totals[0, 1], np.stack(dishes), np.asarray(root))
 
 
 def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -351,9 +400,11 @@ def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     chunks = tokenise(documents, doc_id, text, folds)
     train_tokens, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n_buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    words = frequent_words(chunks, train_tokens)
+    asked = ask_words(chunks, n_buckets)
+    counted = count_words(asked, train_tokens)
+    words = frequent_words(counted, train_tokens)
     frequent = context.broadcast(words)
-    replies = reply(ask(chunks, frequent, n_buckets), frequent, n_buckets)
+    replies = reply(ask(chunks, counted, frequent, n_buckets), frequent, n_buckets)
     totals = context.broadcast(gather(replies, words))
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -365,8 +416,12 @@ def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         hot = q.word_place[q.pair_word] >= 0
         c_word, dishes = np.zeros(len(vocabulary)), np.zeros((SAMPLES, len(vocabulary)))
         c_pair, t_pair = np.zeros(len(q.pair_word)), np.zeros((SAMPLES, len(q.pair_word)))
-        for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
+        t_context = np.zeros((SAMPLES, len(vocabulary)))
+        for kind, b, blob in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
             got = _load(blob)
+            if kind == "tables":
+                t_context[:, word_order[word_at[b] : word_at[b + 1]]] = got
+                continue
             w, p = word_order[word_at[b] : word_at[b + 1]], pair_order[pair_at[b] : pair_at[b + 1]]
             p = np.concatenate([p[~hot[p]], p[hot[p]]])
             c_word[w], c_pair[p] = got[0], got[1 + SAMPLES]
@@ -374,15 +429,13 @@ def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 dishes[s, w], t_pair[s, p] = got[1 + s], got[2 + SAMPLES + s]
         often = q.word_place >= 0
         dishes[:, often] = t.frequent[:, q.word_place[often]]
-        by_word, by_pair = np.zeros(len(vocabulary)), np.zeros(len(q.pair_word))
+        by_pair, u = np.zeros(len(q.pair_word)), q.pair_context
         for s in range(SAMPLES):
             customers, tables = t.root[s]
             parent = (dishes[s] + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (t.v + 1)) / (ROOT_STRENGTH + customers)
-            u = q.pair_context
-            by_pair += (c_pair - DISCOUNT * t_pair[s] + (STRENGTH + DISCOUNT * t.tables[s, u]) * parent[q.pair_word]) / (STRENGTH + t.customers[u])
-            by_word += parent
+            by_pair += (c_pair - DISCOUNT * t_pair[s] + (STRENGTH + DISCOUNT * t_context[s, u]) * parent[q.pair_word]) / (STRENGTH + c_word[u])
         index = index.astype(np.int64)
-        chance = np.where(q.token_pair >= 0, by_pair[q.token_pair] if len(by_pair) else 0, by_word[index]) / SAMPLES
+        chance = by_pair[q.token_pair] / SAMPLES
         base = np.log10((c_word + 0.1) / (t.n + 0.1 * (t.v + 1)))[index]
         starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1]
         total = lambda x: np.add.reduceat(x, starts)
@@ -399,5 +452,5 @@ def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         )
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    answers = replies.where("kind = 'reply'").select("chunk_id", "bucket", "blob")
+    answers = replies.where("kind = 'reply'").unionByName(context_tables(replies, asked))
     return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(score, schema)

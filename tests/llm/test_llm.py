@@ -182,6 +182,17 @@ def test_model_probabilities_sum_to_one(spark):
     assert sum(10 ** got[i] for i in probe_ids) < 1.0
 
 
+def test_every_context_counts(spark):
+    """The words after a word seen 5 times in 120,000 tokens are told apart: P(next | context) is near (5 - d) / (5 + s)."""
+    ids = iter(i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 10)
+    rows = [(next(ids), text(i, 2000)) for i in range(60)]
+    rows += [(next(ids), f"{text(i, 20)} {pair} {text(i + 50, 20)}") for i in range(5) for pair in ("seldom follower", "scarce stranger")]
+    seen, unseen = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(seen, "alpha seldom follower"), (unseen, "alpha seldom stranger")]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()}
+    assert got[seen] > got[unseen] + 2
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Menu</a></nav><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four &lt;5&gt;</article><script>var x="</p>"</script><footer>&copy; x</footer>'
     assert [b.text for b in blocks_of(page)] == ["Menu", "A & B", "One two", "three", "Four <5>", "© x"]
