@@ -276,10 +276,12 @@ def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: li
     whole_u[context_of] = column(3)
     carry = whole_u / np.maximum(customers_u, 1)
     n_train = max(frequent.train_tokens, 1)
-    share = n_train / max(total[rare].sum() + 1, 1)  # how much larger the whole corpus is than this bucket's rare words
+    hot_u = np.bincount(dish, counts, minlength=n_words + len(frequent.words))[n_words:]
+    # How much larger the corpus is than this bucket's share of rare words, of each frequent word, and of all frequent words.
+    share = (n_train - frequent.counts.sum()) / max(total[rare].sum(), 1)
+    hot_carry, hot_share = frequent.counts / np.maximum(hot_u, 1), frequent.counts.sum() / max(hot_u.sum(), 1)
     vocabulary = max((total > 0).sum() * n_buckets, 1)
-    hot_base = frequent.counts / n_train
-    parent = np.concatenate([np.maximum(total, 0.1) / n_train, hot_base])
+    parent = np.concatenate([np.maximum(total, 0.1), frequent.counts]) / n_train
 
     tables = (counts > 0).astype(np.float64)
     many = np.flatnonzero(counts > 1)
@@ -290,10 +292,12 @@ def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: li
         tables[many] = seat(counts[many], parent[dish[many]], np.maximum(tables_u[context[many]] - tables[many], 0), DISCOUNT, STRENGTH, rng)
         sent = np.bincount(dish, tables, minlength=n_words + len(frequent.words))
         root_customers = sent[:n_words]
-        all_root_tables = root_tables[rare].sum() * share
+        all_root_tables = root_tables[rare].sum() * share + len(frequent.words)
         root_tables = np.where(rare, seat(root_customers, np.full(n_words, 1 / vocabulary), np.maximum(all_root_tables - root_tables, 0), ROOT_DISCOUNT, ROOT_STRENGTH, rng), 0)
-        all_customers = max(root_customers[rare].sum() * share, 1)
-        parent[:n_words] = np.maximum(root_customers - ROOT_DISCOUNT * root_tables + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables[rare].sum() * share) / vocabulary, 1e-12) / (ROOT_STRENGTH + all_customers)
+        all_root_tables = root_tables[rare].sum() * share + len(frequent.words)
+        all_customers = max(root_customers[rare].sum() * share + sent[n_words:].sum() * hot_share, 1)
+        seated = np.concatenate([root_customers - ROOT_DISCOUNT * root_tables, sent[n_words:] * hot_carry - ROOT_DISCOUNT])
+        parent = np.maximum(seated + (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / vocabulary, 1e-12) / (ROOT_STRENGTH + all_customers)
         if sweep >= BURN_IN:
             kept_tables.append(tables.copy())
             kept_roots.append((root_customers - ROOT_DISCOUNT * root_tables).astype(np.float32))

@@ -193,6 +193,17 @@ def test_every_context_counts(spark):
     assert got[seen] > got[unseen] + 2
 
 
+def test_frequent_words_are_counted_in_all_chunks(spark):
+    """A word at 8 in 120,000 tokens is frequent, though it is so in one chunk only and there not often enough."""
+    rows = [(i, " ".join([text(i, 29_990)] + ["uneven"] * n)) for i, n in ((1, 5), (2, 1), (3, 1), (4, 1))]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    chunks = lm.tokenise(frame, "doc_id", "text", 1 << 40)
+    n = chunks.agg(F.sum("train_tokens")).first()[0]
+    found = lm.frequent_words(lm.count_words(lm.ask_words(chunks, 8), n), n)
+    word = lm.word_hashes(np.frombuffer(b"uneven", np.uint8), np.asarray([0, 6]))[0]
+    assert chunks.count() == 4 and found.counts[found.find(word)].tolist() == [8] and found.counts.sum() == n - 4
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Menu</a></nav><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four &lt;5&gt;</article><script>var x="</p>"</script><footer>&copy; x</footer>'
     assert [b.text for b in blocks_of(page)] == ["Menu", "A & B", "One two", "three", "Four <5>", "© x"]
