@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last ret
 ``documents``, whole and unchanged for the rows they keep.  The stages' decisions:
 
 * quality: documents whose score is below 0.3 go;
-* near_duplicates: of every group of near copies the document with the smallest id stays;
+* near_duplicates: of every group of near copies (five-word shingles, similarity of 0.80 or more) the document with
+  the smallest id stays;
 * decontaminate: documents in which a benchmark window occurs go;
 * pack: what is left becomes token sequences, returned as one row per piece.
 
@@ -21,6 +22,7 @@ from graphloom.llm.queries import tokenizer_file
 from graphloom.llm.scratch import exact, stash
 
 CUTOFF = 0.3
+NEAR_PERCENT = 80
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, neardup.near_duplicates(docs).where("doc_id != component_id"))
+    return without(docs, neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id != component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

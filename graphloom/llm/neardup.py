@@ -2,19 +2,19 @@
 
 1. Each text becomes its set of ``width``-word shingles (64-bit hashes) and a signature of ``COORDINATES``
    minima.  Texts with the same set are one class, represented by its smallest id.
-2. Documents are posted under their coordinate values.  A linked pair agrees in at least ``MATCHES``
-   coordinates, so by the prefix rule it agrees in one of the first ``COORDINATES - MATCHES + 1``; only those
-   are posted.  Lists of one document are dropped.
+2. Documents are posted under their coordinate values.  A linked pair agrees in at least ``matches``
+   coordinates (``agreements``), so by the prefix rule it agrees in one of the first ``COORDINATES - matches + 1``;
+   only those are posted.  Lists of one document are dropped.
 3. In every list each member meets the list's most central member.  Agreements are counted on the
-   whole signatures, pairs below ``MATCHES`` dropped, the rest confirmed on the full sets.
+   whole signatures, pairs below ``matches`` dropped, the rest confirmed on the full sets.
    Components of these links settle most lists: their members are connected already.
 4. Lists that still span components are finished exactly: members are dealt into blocks, and every pair of
    blocks compares the pairs that span components.  A pair counts only in the list of its first
    agreement, so later lists skip it.  Blocks with candidates then fetch the full sets, confirm,
    and return no more links than join their members.
 
-A pair at exactly the threshold of 0.85 has about 3 chances in 100,000 to agree in fewer than ``MATCHES``
-coordinates and so to be missed; every kept link is exact.
+A pair at exactly the threshold has at most 5 chances in 100,000 (``MISSED``) to agree in fewer than ``matches``
+coordinates and so to be missed (about 3 at 0.85, 4 at 0.80); every kept link is exact.
 
 Defined results: null or wordless text has no shingles and links with nothing; a text of fewer words than
 ``width`` is one shingle; rows that share an id are one node; a null id links with nothing, its component is null and
@@ -24,6 +24,7 @@ it is not kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,7 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.scratch import stash
 from graphloom.llm.textkit import U64, mix, shingle_hashes, slices, word_hashes
 
-COORDINATES, MATCHES = 64, 42
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES, MISSED = 64, 5e-5
 BLOCK = 1024
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -105,6 +105,19 @@ def fetch_sets(documents: DataFrame, ids: DataFrame, *, doc_id: str, text: str,
     return stash(texts.mapInArrow(shingle, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "sets")
 
 
+def agreements(percent: int) -> int:
+    """The most coordinates in which all but ``MISSED`` of the pairs at the threshold agree."""
+    p, matches, below = percent / 100, 0, 0.0
+    while matches < COORDINATES:
+        below += comb(COORDINATES, matches) * p**matches * (1 - p) ** (COORDINATES - matches)
+        if below > MISSED:
+            break
+        matches += 1
+    if not matches:
+        raise ValueError(f"{COORDINATES} coordinates are too few to find pairs at {percent} percent")
+    return matches
+
+
 def enough(shared: str, a: str, b: str, percent: int) -> str:
     return f"100 * {shared} >= {percent} * ({a} + {b} - {shared})"
 
@@ -117,7 +130,7 @@ def link_to_hubs(lists: DataFrame, classes: DataFrame, sets_of, percent: int) ->
     side = lambda n: classes.select(F.col("rep").alias(n), F.col("signature").alias(f"s_{n}"), F.col("n_shingles").alias(f"n_{n}"))
     agreed = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda same: same))
     near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    candidates = stash(pairs.join(side("a"), "a").join(side("b"), "b").where(near & (agreed >= MATCHES)).select("a", "b"), "candidates")
+    candidates = stash(pairs.join(side("a"), "a").join(side("b"), "b").where(near & (agreed >= agreements(percent))).select("a", "b"), "candidates")
     sets = sets_of(candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))))
     full = lambda n: sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s_{n}"))
     met = candidates.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
@@ -129,6 +142,7 @@ def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarr
     reps, comps, sizes, blocks = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
     signatures = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(reps), COORDINATES)
     key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
+    matches = agreements(percent)
     coordinate = int(np.flatnonzero(signatures[0] == key)[0])
     left = np.flatnonzero(blocks == low)
     right = np.flatnonzero(blocks == high)
@@ -140,7 +154,7 @@ def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarr
             others = others[(comps[others] != comps[i]) & (100 * small >= percent * large)]
             if len(others):
                 same = signatures[others] == signatures[i]
-                hit = (same.sum(axis=1) >= MATCHES) & ~same[:, :coordinate].any(axis=1)
+                hit = (same.sum(axis=1) >= matches) & ~same[:, :coordinate].any(axis=1)
                 yield from ((i, j) for j in others[hit])
 
     return reps, comps, sizes, pairs()
@@ -197,7 +211,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     same_set = ["n_shingles", "f1", "f2"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    postings = classes.select("rep", F.explode(F.slice("signature", 1, PREFIX)).alias("key"))
+    postings = classes.select("rep", F.explode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
     lists = stash(postings.join(shared, "key").distinct(), "lists")
     sets_of = lambda ids: fetch_sets(documents, ids, doc_id=doc_id, text=text, width=width)

@@ -83,6 +83,26 @@ def test_near_duplicates(docs):
     assert [r.kept for r in got if r.doc_id is None] == [False]
 
 
+@pytest.mark.parametrize("percent", [80, 70])
+def test_agreements_follow_the_threshold(spark, percent):
+    """400 pairs just at the threshold; a fixed number of agreements fitted to 0.85 misses some at 0.70."""
+    more = 100 - percent
+    rows = [r for i in range(400) for r in ((2 * i, " ".join(f"{i}x{k}" for k in range(percent + 4))), (2 * i + 1, " ".join(f"{i}x{k}" for k in range(percent + 4 + more))))]
+    kept = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).where("kept").count()
+    assert kept == 400
+    assert neardup.agreements(85) == 42
+
+
+def test_near_stage_drops_from_080(spark):
+    """Planted pairs with similarity 100 / 124, between 0.80 and 0.85; one of 100 / 126 stays whole."""
+    import corpus_pipeline
+
+    pair = lambda i, n: [(2 * i, " ".join(f"{i}x{k}" for k in range(104))), (2 * i + 1, " ".join(f"{i}x{k}" for k in range(104 + n)))]
+    docs = spark.createDataFrame([r for i in range(50) for r in pair(i, 24)] + pair(50, 26), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {2 * i for i in range(51)} | {101}
+
+
 def test_near_duplicates_without_a_hub(spark):
     """A chain in which only neighbours are linked."""
     words = [f"w{i}" for i in range(400)]
