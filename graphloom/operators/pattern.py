@@ -51,7 +51,7 @@ class Step:
 @dataclass(frozen=True)
 class QueryState:
     steps: tuple[Step, ...]
-    limit: int = 100
+    limit: int | None = 100  # None: all rows, in no order
     paths_mode: bool = False
     distinct: bool = False
     aggregate: str = "none"
@@ -184,18 +184,21 @@ def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
             frame = frame.join(branch, ["graph", names[i]], "left" if link.optional else "inner")
         return frame
 
+    def first(out: DataFrame, *order: str | Column) -> DataFrame:
+        return out if state.limit is None else out.orderBy(*order).limit(state.limit)
+
     frame = grow(0, own(0, None))
     shown = [names[i] for i in emitted]
     if state.aggregate == "count":
         last = names[emitted[-1]]
         if len(emitted) > 1:
             out = frame.where(F.col(last).isNotNull() | F.lit(True)).groupBy("graph", names[emitted[0]]).agg(F.countDistinct(last).alias("count"))
-            return out.orderBy(F.desc("count"), "graph", names[emitted[0]]).limit(state.limit)
-        return frame.groupBy("graph").agg(F.countDistinct(last).alias("count")).orderBy("graph").limit(state.limit)
+            return first(out, F.desc("count"), "graph", names[emitted[0]])
+        return first(frame.groupBy("graph").agg(F.countDistinct(last).alias("count")), "graph")
     columns = [c for i in emitted for c in (names[i], *(prop_names[i, p] for p in range(len(steps[i].props))))]
     out = frame.select("graph", *columns)
     out = out.distinct() if state.distinct else out
-    return out.orderBy("graph", *columns).limit(state.limit)  # any rows would do; ordered ones are the same each time
+    return first(out, "graph", *columns)  # any rows would do; ordered ones are the same each time
 
 
 @dataclass(frozen=True)

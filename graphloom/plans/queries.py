@@ -416,58 +416,57 @@ def _pattern(name: str, state: QueryState, definition: str) -> None:
         return run_pattern(g.t, state)
 
 
-MANY = 10_000_000
 _of = lambda c: f"(SELECT DISTINCT graph, s FROM t WHERE p = '{TYPE}' AND o = '{V}{c}')"
 _pattern(
     "hop_inner",
-    QueryState((Step(V + "Order", "order"), Step(V + "Customer", "customer", link=Link(0, ((V + "placedBy", False),)))), limit=MANY),
+    QueryState((Step(V + "Order", "order"), Step(V + "Customer", "customer", link=Link(0, ((V + "placedBy", False),)))), limit=None),
     f"SELECT a.graph, a.s AS \"order\", h.o AS customer FROM {_of('Order')} a JOIN t h ON h.graph = a.graph AND h.s = a.s AND h.p = '{V}placedBy' JOIN {_of('Customer')} b ON b.graph = a.graph AND b.s = h.o",
 )
 _pattern(
     "hop_inverse",
-    QueryState((Step(V + "Nation", "nation"), Step(V + "Supplier", "supplier", link=Link(0, ((V + "inNation", True),)))), limit=MANY),
+    QueryState((Step(V + "Nation", "nation"), Step(V + "Supplier", "supplier", link=Link(0, ((V + "inNation", True),)))), limit=None),
     f"SELECT a.graph, a.s AS nation, h.s AS supplier FROM {_of('Nation')} a JOIN t h ON h.graph = a.graph AND h.o = a.s AND h.p = '{V}inNation' JOIN {_of('Supplier')} b ON b.graph = a.graph AND b.s = h.s",
 )
 _pattern(
     "hop_alternation",
-    QueryState((Step(V + "Nation", "nation"), Step(None, "near", link=Link(0, ((V + "inRegion", False), (V + "inNation", True), (V + "inRegion", False))))), limit=MANY),
+    QueryState((Step(V + "Nation", "nation"), Step(None, "near", link=Link(0, ((V + "inRegion", False), (V + "inNation", True), (V + "inRegion", False))))), limit=None),
     f"SELECT a.graph, a.s AS nation, h.b AS near FROM {_of('Nation')} a JOIN (SELECT graph, s AS a, o AS b FROM t WHERE p = '{V}inRegion' UNION ALL SELECT graph, o, s FROM t WHERE p = '{V}inNation' AND o_kind <> 'literal' UNION ALL SELECT graph, s, o FROM t WHERE p = '{V}inRegion') h ON h.graph = a.graph AND h.a = a.s",
 )
 _pattern(
     "hop_optional",
-    QueryState((Step(V + "Customer", "customer"), Step(V + "Order", "order", (Prop(V + "totalPrice", "total", XSD + "decimal", filter=Filter(">", "200000")),), Link(0, ((V + "placedBy", True),), optional=True))), limit=MANY),
+    QueryState((Step(V + "Customer", "customer"), Step(V + "Order", "order", (Prop(V + "totalPrice", "total", XSD + "decimal", filter=Filter(">", "200000")),), Link(0, ((V + "placedBy", True),), optional=True))), limit=None),
     f"SELECT a.graph, a.s AS customer, r.s AS \"order\", r.price AS orderTotal FROM {_of('Customer')} a LEFT JOIN (SELECT h.graph, h.o, h.s, pr.o AS price FROM t h JOIN {_of('Order')} b ON b.graph = h.graph AND b.s = h.s JOIN t pr ON pr.graph = h.graph AND pr.s = h.s AND pr.p = '{V}totalPrice' AND TRY_CAST(pr.o AS DECIMAL(38, 10)) > 200000 WHERE h.p = '{V}placedBy') r ON r.graph = a.graph AND r.o = a.s",
 )
 _pattern(
     "prop_required",
-    QueryState((Step(V + "Part", "part", (Prop(V + "size", "size", XSD + "integer", optional=False), Prop(RDFS + "label", "label"))),), limit=MANY),
+    QueryState((Step(V + "Part", "part", (Prop(V + "size", "size", XSD + "integer", optional=False), Prop(RDFS + "label", "label"))),), limit=None),
     f"SELECT a.graph, a.s AS part, x.o AS partSize, l.o AS partLabel FROM {_of('Part')} a JOIN t x ON x.graph = a.graph AND x.s = a.s AND x.p = '{V}size' LEFT JOIN t l ON l.graph = a.graph AND l.s = a.s AND l.p = '{RDFS}label'",
 )
 _pattern(
     "prop_optional",
-    QueryState((Step(V + "Customer", "customer", (Prop(V + "segment", "segment"), Prop(V + "unused", "unused"))),), limit=MANY),
+    QueryState((Step(V + "Customer", "customer", (Prop(V + "segment", "segment"), Prop(V + "unused", "unused"))),), limit=None),
     f"SELECT a.graph, a.s AS customer, x.o AS customerSegment, CAST(NULL AS VARCHAR) AS customerUnused FROM {_of('Customer')} a LEFT JOIN t x ON x.graph = a.graph AND x.s = a.s AND x.p = '{V}segment'",
 )
-_pattern("pin", QueryState((Step(V + "Region", "region", pin=("http://kg/region/1", "http://kg/region/3")), Step(V + "Nation", "nation", link=Link(0, ((V + "inRegion", True),)))), limit=MANY), f"SELECT h.graph, h.o AS region, h.s AS nation FROM t h WHERE h.p = '{V}inRegion' AND h.o IN ('http://kg/region/1', 'http://kg/region/3')")
+_pattern("pin", QueryState((Step(V + "Region", "region", pin=("http://kg/region/1", "http://kg/region/3")), Step(V + "Nation", "nation", link=Link(0, ((V + "inRegion", True),)))), limit=None), f"SELECT h.graph, h.o AS region, h.s AS nation FROM t h WHERE h.p = '{V}inRegion' AND h.o IN ('http://kg/region/1', 'http://kg/region/3')")
 _pattern(
     "path_sequence",
-    QueryState((Step(V + "Order", "order"), Step(V + "Customer", "customer", link=Link(0, ((V + "placedBy", False),))), Step(V + "Nation", "nation", link=Link(1, ((V + "inNation", False),)))), limit=MANY, paths_mode=True),
+    QueryState((Step(V + "Order", "order"), Step(V + "Customer", "customer", link=Link(0, ((V + "placedBy", False),))), Step(V + "Nation", "nation", link=Link(1, ((V + "inNation", False),)))), limit=None, paths_mode=True),
     f"SELECT a.graph, a.s AS \"order\", y.o AS nation FROM {_of('Order')} a JOIN t x ON x.graph = a.graph AND x.s = a.s AND x.p = '{V}placedBy' JOIN t y ON y.graph = x.graph AND y.s = x.o AND y.p = '{V}inNation' JOIN {_of('Nation')} b ON b.graph = a.graph AND b.s = y.o",
 )
 _pattern(
     "count_by_first",
-    QueryState((Step(V + "Nation", "nation"), Step(V + "Customer", "customer", (Prop(V + "acctbal", "balance", XSD + "decimal", filter=Filter(">", "0")),), Link(0, ((V + "inNation", True),)))), limit=MANY, aggregate="count"),
+    QueryState((Step(V + "Nation", "nation"), Step(V + "Customer", "customer", (Prop(V + "acctbal", "balance", XSD + "decimal", filter=Filter(">", "0")),), Link(0, ((V + "inNation", True),)))), limit=None, aggregate="count"),
     f"SELECT h.graph, h.o AS nation, count(DISTINCT h.s) AS count FROM t h JOIN {_of('Customer')} c ON c.graph = h.graph AND c.s = h.s JOIN {_of('Nation')} n ON n.graph = h.graph AND n.s = h.o JOIN t b ON b.graph = h.graph AND b.s = h.s AND b.p = '{V}acctbal' AND TRY_CAST(b.o AS DECIMAL(38, 10)) > 0 WHERE h.p = '{V}inNation' GROUP BY ALL",
 )
 _pattern("count_single", QueryState((Step(V + "Part", "part"),), aggregate="count"), f"SELECT graph, count(DISTINCT s) AS count FROM t WHERE p = '{TYPE}' AND o = '{V}Part' GROUP BY graph")
 _pattern(
     "distinct_rows",
-    QueryState((Step(V + "Part", "part", pin=tuple(f"http://kg/part/{i}" for i in range(1, 40))), Step(V + "Order", "order", link=Link(0, ((V + "contains", True),))), Step(V + "Customer", "customer", link=Link(1, ((V + "placedBy", False),)))), limit=MANY, distinct=True, paths_mode=True),
+    QueryState((Step(V + "Part", "part", pin=tuple(f"http://kg/part/{i}" for i in range(1, 40))), Step(V + "Order", "order", link=Link(0, ((V + "contains", True),))), Step(V + "Customer", "customer", link=Link(1, ((V + "placedBy", False),)))), limit=None, distinct=True, paths_mode=True),
     f"SELECT DISTINCT c.graph, c.o AS part, p.o AS customer FROM t c JOIN t p ON p.graph = c.graph AND p.s = c.s AND p.p = '{V}placedBy' WHERE c.p = '{V}contains' AND c.o IN ({', '.join(repr(f'http://kg/part/{i}') for i in range(1, 40))})",
 )
 _pattern(
     "run_pattern",
-    QueryState((Step(V + "Region", "region", (Prop(RDFS + "label", "name", optional=False),)), Step(V + "Nation", "nation", link=Link(0, ((V + "inRegion", True),))), Step(V + "Supplier", "supplier", (Prop(V + "acctbal", "balance", XSD + "decimal", filter=Filter("<", "0")),), Link(1, ((V + "inNation", True),), optional=True)), Step(V + "Order", "lost", link=Link(7, ((V + "x", False),)))), limit=MANY),
+    QueryState((Step(V + "Region", "region", (Prop(RDFS + "label", "name", optional=False),)), Step(V + "Nation", "nation", link=Link(0, ((V + "inRegion", True),))), Step(V + "Supplier", "supplier", (Prop(V + "acctbal", "balance", XSD + "decimal", filter=Filter("<", "0")),), Link(1, ((V + "inNation", True),), optional=True)), Step(V + "Order", "lost", link=Link(7, ((V + "x", False),)))), limit=None),
     f"SELECT r.graph, r.s AS region, l.o AS regionName, n.s AS nation, b.s AS supplier, b.o AS supplierBalance FROM {_of('Region')} r JOIN t l ON l.graph = r.graph AND l.s = r.s AND l.p = '{RDFS}label' JOIN t n ON n.graph = r.graph AND n.o = r.s AND n.p = '{V}inRegion' LEFT JOIN (SELECT h.graph, h.o AS nation, h.s, a.o FROM t h JOIN {_of('Supplier')} u ON u.graph = h.graph AND u.s = h.s JOIN t a ON a.graph = h.graph AND a.s = h.s AND a.p = '{V}acctbal' AND TRY_CAST(a.o AS DECIMAL(38, 10)) < 0 WHERE h.p = '{V}inNation') b ON b.graph = n.graph AND b.nation = n.s",
 )
 
