@@ -313,7 +313,7 @@ def _(g: Kg) -> DataFrame:
 
 @kg("slug_filename", "SELECT doc_id, CASE WHEN s = '' THEN 'ontology' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(left(text, 30)), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-. ]+|[-. ]+$', '', 'g') AS s FROM documents)")
 def _(g: Kg) -> DataFrame:
-    return g.table("documents").select("doc_id", terms.slug_filename(F.concat(F.substring("text", 1, 30), F.lit(".ttl"))).alias("stem"))
+    return g.table("documents").select("doc_id", terms.slug_filename(F.concat("text", F.lit(".ttl"))).alias("stem"))
 
 
 @kg("neutralize_formula", "SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN '''' ELSE '' END || CASE doc_id % 7 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) WHEN 5 THEN chr(13) ELSE '.' END || text AS field FROM documents")
@@ -325,7 +325,7 @@ def _(g: Kg) -> DataFrame:
 @kg("csv_quote", "SELECT doc_id, CASE WHEN regexp_matches(n, '[\",\r\n]') THEN '\"' || replace(n, '\"', '\"\"') || '\"' ELSE n END AS field FROM (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN '''' ELSE '' END || x AS n FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@\"' ELSE '.' END || left(text, 60) AS x FROM documents))")
 def _(g: Kg) -> DataFrame:
     i = F.col("doc_id") % 5
-    return g.table("documents").select("doc_id", terms.csv_quote(F.concat(F.when(i == 0, "=").when(i == 1, '@"').otherwise("."), F.substring("text", 1, 60))).alias("field"))
+    return g.table("documents").select("doc_id", terms.csv_quote(F.concat(F.when(i == 0, "=").when(i == 1, '@"').otherwise("."), "text")).alias("field"))
 
 
 @kg("anchor", Q(f"SELECT graph, id, 'term-' || regexp_replace(regexp_replace({sql.local('id')}, '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g') || '-' || left(sha1(id), 8) AS anchor FROM nodes"))
