@@ -259,7 +259,7 @@ def _(g: Kg) -> DataFrame:
 
 @kg("prefixed", Q(f"SELECT graph, iri, {sql.prefix('iri', 'u.graph')} AS prefixed FROM (SELECT DISTINCT graph, p AS iri FROM t UNION SELECT DISTINCT graph, s FROM t WHERE s_kind = 'iri' AND graph <> 'trade') AS u"))
 def _(g: Kg) -> DataFrame:
-    iris = g.t.select("graph", F.col("p").alias("iri")).union(g.t.where("s_kind = 'iri' and graph <> 'trade'").select("graph", "s")).distinct()
+    iris = g.t.select("graph", F.col("p").alias("iri")).union(g.t.where("s_kind = 'iri'").select("graph", "s")).distinct()
     return terms.prefixed(iris, g.prefixes, "iri")
 
 
@@ -270,7 +270,7 @@ def _(g: Kg) -> DataFrame:
     ),
 )
 def _(g: Kg) -> DataFrame:
-    iris = g.t.select("graph", F.col("p").alias("iri")).union(g.t.where("o_kind = 'iri' and graph <> 'trade'").select("graph", "o")).distinct()
+    iris = g.t.select("graph", F.col("p").alias("iri")).union(g.t.where("o_kind = 'iri'").select("graph", "o")).distinct()
     out = terms.shorten(iris, g.prefixes, "iri")
     return out.withColumn("short", F.coalesce("short", F.concat(F.lit("<"), "iri", F.lit(">"))))
 
