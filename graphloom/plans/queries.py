@@ -461,7 +461,7 @@ _pattern(
 _pattern("count_single", QueryState((Step(V + "Part", "part"),), aggregate="count"), f"SELECT graph, count(DISTINCT s) AS count FROM t WHERE p = '{TYPE}' AND o = '{V}Part' GROUP BY graph")
 _pattern(
     "distinct_rows",
-    QueryState((Step(V + "Part", "part", pin=tuple(f"http://kg/part/{i}" for i in range(1, 40))), Step(V + "Order", "order", link=Link(0, ((V + "contains", True),))), Step(V + "Customer", "customer", link=Link(1, ((V + "placedBy", False),)))), limit=None, distinct=True, paths_mode=True),
+    QueryState((Step(V + "Part", "part"), Step(V + "Order", "order", link=Link(0, ((V + "contains", True),))), Step(V + "Customer", "customer", link=Link(1, ((V + "placedBy", False),)))), limit=None, distinct=True, paths_mode=True),
     f"SELECT DISTINCT c.graph, c.o AS part, p.o AS customer FROM t c JOIN t p ON p.graph = c.graph AND p.s = c.s AND p.p = '{V}placedBy' WHERE c.p = '{V}contains' AND c.o IN ({', '.join(repr(f'http://kg/part/{i}') for i in range(1, 40))})",
 )
 _pattern(
@@ -637,7 +637,7 @@ def _(g: Kg) -> DataFrame:
 
 @kg("node_details", Q("SELECT graph, id, direction, p, value, place, total FROM (SELECT *, row_number() OVER (PARTITION BY graph, id, direction ORDER BY p, value) AS place FROM (SELECT *, count(*) OVER (PARTITION BY graph, id, direction) AS total FROM (SELECT graph, s AS id, 'out' AS direction, p, o AS value, true AS listed FROM t UNION ALL SELECT graph, o, 'in', p, s, s_kind = 'iri' FROM t WHERE o_kind <> 'literal') WHERE id LIKE 'http://kg/nation/%' OR id LIKE 'http://kg/v#%') WHERE listed) WHERE place <= 30"))
 def _(g: Kg) -> DataFrame:
-    ids = g.t.select("graph", F.col("s").alias("id")).union(g.t.select("graph", "o")).where(F.col("id").startswith("http://kg/nation/") | F.col("id").startswith(V)).distinct()
+    ids = g.t.select("graph", F.col("s").alias("id")).union(g.t.where("o_kind <> 'literal'").select("graph", "o")).distinct()
     return ranking.node_details(g.t, ids, 30)
 
 
