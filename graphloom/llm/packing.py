@@ -7,8 +7,10 @@ the head of the incoming rest, and a new window opens.  What is open at a task's
 in groups of tasks: pieces are placed best-fit in order of falling length, and the emptiest
 windows are poured into the gaps of the others.  All state is bounded by the number of open windows.
 
-Defined results: null or empty text is one piece of one closing id; repeated rows are packed again; an
-empty table gives no sequences.  Every id lies in exactly one piece, and offsets are gapless from 0.
+Defined results: null or empty text is one piece of one closing id; a null id is kept as it is; repeated rows are packed
+again; among windows with equal room the one opened first is taken, so the packing follows the order of the rows; an empty
+table gives no sequences; columns other than the two named are ignored.  Every id lies in exactly one piece, and offsets
+are gapless from 0.
 """
 
 from __future__ import annotations
@@ -153,8 +155,8 @@ def pack_documents(
         def windows() -> Iterator[tuple]:
             made = 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                         total = len(ids) // 4 + 1

@@ -57,26 +57,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of each row, in order, and the offsets of rows in them."""
-    if not len(raw):
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+def word_places(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words of all rows, in order, their first bytes and their lengths in bytes."""
     inside = word_byte[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
-    before = np.empty(len(raw), dtype=bool)
-    before[0] = False
+    before = np.zeros(len(raw), dtype=bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    if not len(starts):
+        return np.zeros(0, U64), starts, np.zeros(0, np.int64)
     codes = _BYTE_CODE[LOWER[raw[inside]]]
-    position = np.cumsum(inside) - 1
-    first = position[starts]
-    if not len(first):
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+    first = (np.cumsum(inside) - 1)[starts]
     lengths = np.diff(np.append(first, len(codes)))
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=U64))
     within = np.arange(len(codes)) - np.repeat(first, lengths)
-    hashes = mix(np.add.reduceat(codes * powers[within], first) + lengths.astype(U64))
+    return mix(np.add.reduceat(codes * powers[within], first) + lengths.astype(U64)), starts, lengths
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words of each row, in order, and the offsets of rows in them."""
+    hashes, starts, _ = word_places(raw, bounds, word_byte)
     return hashes, np.searchsorted(starts, bounds).astype(np.int64)
 
 

@@ -55,6 +55,28 @@ def test_tokens_match_the_tokenizer():
     assert e.encode(odd) == [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_every_plain_character_matches_the_tokenizer():
+    """Each admitted code point in several places, long pieces, and capitals whose small letters lie outside the range."""
+    from graphloom.llm import tokens
+
+    e, one = encoder(tokenizer_file()), re.compile(tokens.PLAIN)
+    plain = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if one.fullmatch(c)]
+    probes = [p for c in plain for p in (f"ab{c}cd", f"{c}'s {c}a", f"1{c}2", f"a{c}", f".{c}.", c + c)]
+    probes += ["abƁcd", "Ə's Əa", "ƆƐƉƊƔƖ x", "x" * 5000 + " y", "a " + "b" * 1001 + " c", "<|ENDOFTEXT|> a"]
+    assert len(plain) > 300 and e.splits
+    assert e.encode(probes) == [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(probes, add_special_tokens=False)]
+
+
+def test_a_full_memory_forgets_and_stays_right(monkeypatch):
+    from graphloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    e = tokens.Encoder(tokenizer_file())
+    for i in range(6):
+        texts = [f"{text(i, 30)} new{i}x{k} word-{i}{k}!" for k in range(9)]
+        assert e.encode(texts) == [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def near_brute(rows):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
