@@ -4,30 +4,30 @@ Model.  Every word seen in training, and the start of a text, has a restaurant o
 them share one parent, the restaurant of all words, whose base is uniform over the V known words and the unknown one.
 In a restaurant with discount d and strength s, a dish w with c customers at t tables has probability
 (c - d*t + (s + d*T) * P_parent(w)) / (s + C).  Each table of a context restaurant is a customer of the parent.
+The discounts follow from the counts of ones and twos (n1 / (n1 + 2*n2)); the strengths are parameters.
 
-Sampling.  Words are dealt to buckets by hash, so the pairs (context, word) of a word meet in one task; the pairs of
-a frequent word, which are many, are dealt by the pair.  A task sums its counts and runs Gibbs sweeps:
-each sweep unseats all customers of every dish and seats them again given the other tables.
-Totals that span buckets (tables of a context, customers of the parent) are carried on from the task's own share during
-the sweeps, and summed exactly over all buckets for scoring.  ``SAMPLES`` seatings after ``BURN_IN`` sweeps are
-kept, and a token's probability is the mean of their predictive probabilities.
+Sampling (``seating``).  Restaurants are dealt to buckets by their context, so each is seated whole in one task, dish after
+dish, given the other dishes' tables.  The pairs of a frequent context, which may be a large share of all pairs, are
+dealt by the pair; its tables in other buckets count as they stood at the last exchange.  An exchange sums the tables
+of each word over all buckets exactly, seats the parent with them and returns the words' parent probabilities.
+``ROUNDS`` rounds of ``SWEEPS`` sweeps and an exchange burn in; the last round keeps ``SAMPLES`` seatings,
+and a token's probability is the mean of their predictive probabilities.
 
-Movement.  Texts become chunks of token indices with one vocabulary each.  A chunk asks each bucket
-about its distinct words and pairs, once, and gets the answers in the same order; so a word or pair as frequent
-as one likes costs a chunk one entry.  Before that it asks for the counts of its words over all chunks, which are also
-the customers of their restaurants; after the sweeps the same question is answered with the summed tables of these
-restaurants.  Only tables of at most ``FREQUENT`` entries reach the driver.
+Movement.  Texts become chunks of token indices with one vocabulary each.  A chunk asks for the counts and numbers of its
+distinct words over all chunks.  Then it deals its tokens to the buckets of their contexts, a distinct pair once with the
+places of its documents, so that a pair or word as frequent as one likes costs a chunk one entry.  The buckets send back
+sums for documents.  Only totals and the tables of at most ``FREQUENT`` contexts reach the driver.  Counts, numbers
+and seatings depend on the corpus alone, not on how rows are dealt to files or tasks.
 
 Defined results: null text has no words, only its end token; repeated rows are counted again and scored alike; a null
-id is never held out; with no training text every token is unknown (V = N = 0, probability 1); an empty table gives
-an empty result.
+id is never held out; with no training text every token is unknown (V = N = 0, probability 1); words with equal counts are
+numbered by hash; columns other than the two named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +35,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.scratch import stash
+from graphloom.llm.seating import sweep
 from graphloom.llm.textkit import U64, mix, slices, word_hashes
 
-#: Words that make up at least 1 in this many training tokens have their pairs dealt by the pair.
+#: Contexts that make up at least 1 in this many training tokens have their pairs dealt by the pair.
 FREQUENT = 20_000
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
-BURN_IN, SAMPLES = 3, 3
-DISCOUNT, STRENGTH = 0.75, 1.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 1.0
-#: Customers of a dish seated one at a time; those beyond sit down in blocks of 1/64 of the seated.
-SINGLY = 256
+ROUNDS, SWEEPS, SAMPLES = 1, 2, 3
+STRENGTH = ROOT_STRENGTH = 1.0
 END = U64(0xE0DE0DE0DE0DE0DE)
+BUCKET_ROWS = "bucket int, chunk_id bigint, blob binary"
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, protocol=5)
+    """Arrays as compressed byte planes (the first bytes of all numbers, then the second ones, ...)."""
+    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
+    raw = pickle.dumps(planes, protocol=5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _load(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+def _load(blob: bytes) -> list[np.ndarray]:
+    planes = pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    return [np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).reshape(n) if n else np.zeros(0, kind) for kind, n, raw in planes]
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -63,6 +65,11 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences."""
+    return _small(np.diff(x, prepend=x.dtype.type(0)))
+
+
 def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
     """Chunks: chunk_id, train_tokens, tokens, and a blob of ids, known ids, lengths, flags, vocabulary, token indices."""
 
@@ -97,26 +104,16 @@ def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFr
     return stash(rows.mapInArrow(run, "chunk_id bigint, train_tokens bigint, tokens bigint, blob binary"), "chunks")
 
 
-@dataclass(frozen=True)
-class Frequent:
-    """The words whose pairs are dealt by the pair: sorted hashes and their counts in all training texts."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    train_tokens: int
-
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word among the frequent words, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-
 def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (((mix(hashes) >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int32)
 
 
+def _by_bucket(buckets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their bucket (stable) and where each bucket begins."""
+    order = np.argsort(buckets, kind="stable")
+    return order, np.searchsorted(buckets[order], np.arange(n_buckets + 1))
+
+
 def ask_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
     """bucket, chunk_id, blob: the distinct words of a chunk and their training counts in it."""
 
@@ -130,272 +127,285 @@ def ask_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
                 blobs = [_dump(vocabulary[w], _small(counts[w])) for w in (order[at[b] : at[b + 1]] for b in buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk_id] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk_id", "blob"])
 
-    return stash(chunks.select("chunk_id", "blob").mapInArrow(run, "bucket int, chunk_id bigint, blob binary"), "words")
+    return chunks.select("chunk_id", "blob").mapInArrow(run, "bucket int, chunk_id bigint, blob binary")
+
+
+def _rows(schema: str, rows: Sequence[tuple]) -> pa.Table:
+    """Rows of (int and binary) columns as a table."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(columns)})
+
 
+def count_words(asked: DataFrame, n_buckets: int, train_tokens: int) -> DataFrame:
+    """chunk_id, bucket, blob: the numbers, training counts and frequency marks of a chunk's words; ``known``: words of a bucket.
 
-def count_words(asked: DataFrame, train_tokens: int) -> DataFrame:
-    """kind, chunk_id, bucket, blob: the counts of a chunk's words over all chunks, and the frequent words of a bucket."""
+    Unknown words have number 0; others are numbered by falling count within their bucket.
+    """
+    schema = "bucket int, chunk_id bigint, blob binary, known bigint"
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, chunk_ids, blobs = table["bucket"][0].as_py(), table["chunk_id"].to_pylist(), [_load(b) for b in table["blob"].to_pylist()]
+        bucket, blobs = table["bucket"][0].as_py(), [_load(b) for b in table["blob"].to_pylist()]
         words, word_of = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
         total = np.bincount(word_of, np.concatenate([b[1] for b in blobs]), minlength=len(words)).astype(np.int64)
-        often = np.flatnonzero((total * FREQUENT >= train_tokens) & (total > 0))
+        number = np.zeros(len(words), dtype=np.int64)
+        order = np.lexsort((words, -total))[: np.count_nonzero(total)]
+        number[order] = 1 + np.arange(len(order)) * n_buckets + bucket
+        often = (total * FREQUENT >= train_tokens) & (total > 0)
         places = np.split(word_of, np.cumsum([len(b[0]) for b in blobs])[:-1])
-        rows = [("count", c, _dump(_small(total[w]))) for c, w in zip(chunk_ids, places, strict=True)] + [("frequent", -1, _dump(words[often], total[often]))]
-        kinds, chunks, out = zip(*rows, strict=True)
-        return pa.table({"kind": pa.array(kinds), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "blob": pa.array(out, pa.binary())})
-
-    return stash(asked.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary"), "counts")
-
-
-def frequent_words(counted: DataFrame, train_tokens: int) -> Frequent:
-    """At most ``FREQUENT`` words."""
-    blobs = [_load(b) for b in counted.where("kind = 'frequent'").select("blob").toArrow()["blob"].to_pylist()]
-    words, counts = (np.concatenate([b[i] for b in blobs] or [np.zeros(0, t)]) for i, t in ((0, U64), (1, np.int64)))
-    order = np.argsort(words)
-    return Frequent(words[order], counts[order], train_tokens)
-
-
-@dataclass(frozen=True)
-class Questions:
-    """A chunk's distinct words and pairs in the order in which they are asked."""
-
-    word_bucket: np.ndarray
-    word_place: np.ndarray  # among the frequent words, or -1
-    total: np.ndarray
-    pair_word: np.ndarray
-    pair_context: np.ndarray  # the word before; that of a text's first word is END
-    pair_count: np.ndarray
-    pair_bucket: np.ndarray
-    token_pair: np.ndarray  # pair of each token
-
-
-def questions(frequent: Frequent, n_buckets: int, lengths: np.ndarray, out: np.ndarray, vocabulary: np.ndarray, index: np.ndarray) -> Questions:
-    index, train = index.astype(np.int64), np.repeat(~out, lengths)
-    place = frequent.find(vocabulary)
-    context = np.empty(len(index), dtype=np.int64)
-    context[1:] = index[:-1]
-    context[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1]] = np.searchsorted(vocabulary, END)
-    keys, token_pair = np.unique(index * len(vocabulary) + context, return_inverse=True)
-    pair_word, pair_context = keys // len(vocabulary), keys % len(vocabulary)
-    word_bucket = _bucket(vocabulary, n_buckets)
-    spread = _bucket(vocabulary[pair_word] + mix(vocabulary[pair_context] + U64(1)), n_buckets)
-    return Questions(
-        word_bucket=word_bucket,
-        word_place=place,
-        total=np.bincount(index[train], minlength=len(vocabulary)),
-        pair_word=pair_word,
-        pair_context=pair_context,
-        pair_count=np.bincount(token_pair[train], minlength=len(keys)),
-        pair_bucket=np.where(place[pair_word] >= 0, spread, word_bucket[pair_word]),
-        token_pair=token_pair,
-    )
+        rows = [(bucket, c, _dump(_small(number[w]), _small(total[w]), often[w]), None) for c, w in zip(table["chunk_id"].to_pylist(), places, strict=True)]
+        return _rows(schema, [*rows, (bucket, None, None, len(order))])
 
+    return stash(asked.groupBy("bucket").applyInArrow(run, schema), "counts")
 
-def _by_bucket(buckets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of their bucket (stable) and where each bucket begins."""
-    order = np.argsort(buckets, kind="stable")
-    return order, np.searchsorted(buckets[order], np.arange(n_buckets + 1))
 
-
-def ask(chunks: DataFrame, counted: DataFrame, frequent, n_buckets: int) -> DataFrame:
-    """bucket, chunk_id, blob: words (hash, total), contexts (hash, customers), own pairs and pairs of frequent words."""
+def deal(chunks: DataFrame, counted: DataFrame, n_buckets: int, train_tokens: int, known_words: int) -> DataFrame:
+    """Per chunk and bucket its tokens by pair (``blob``), and per chunk, beyond the last bucket, what is known of its documents."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         chunk_id = chunk["chunk_id"][0].as_py()
-        _, _, lengths, out, vocabulary, index = _load(chunk["blob"][0].as_py())
-        q = questions(frequent.value, n_buckets, lengths, out, vocabulary, index)
-        words, word_at = _by_bucket(q.word_bucket, n_buckets)
-        pairs, pair_at = _by_bucket(q.pair_bucket, n_buckets)
-        hot = q.word_place[q.pair_word] >= 0
-        customers = np.zeros(len(vocabulary), dtype=np.int64)
+        ids, known, lengths, out, vocabulary, index = _load(chunk["blob"][0].as_py())
+        words, at = _by_bucket(_bucket(vocabulary, n_buckets), n_buckets)
+        number, count, often = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), bool)
         for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
-            customers[words[word_at[b] : word_at[b + 1]]] = _load(blob)[0]
-        buckets, blobs = [], []
-        for b in range(n_buckets):
-            w, p = words[word_at[b] : word_at[b + 1]], pairs[pair_at[b] : pair_at[b + 1]]
-            if not len(w) and not len(p):
-                continue
-            own, shared = p[~hot[p]], p[hot[p]]
-            position = np.searchsorted(w, q.pair_word[own])  # rows of a bucket keep vocabulary order
-            contexts, place = np.unique(q.pair_context[np.concatenate([own, shared])], return_inverse=True)
-            buckets.append(b)
-            blobs.append(_dump(vocabulary[w], _small(q.total[w]), vocabulary[contexts], _small(customers[contexts]), _small(position), _small(place[: len(own)]), _small(q.pair_count[own]), _small(q.word_place[q.pair_word[shared]]), _small(place[len(own) :]), _small(q.pair_count[shared])))
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk_id": pa.array([chunk_id] * len(buckets), pa.int64()), "blob": pa.array(blobs, pa.binary())})
-
-    answers = counted.where("kind = 'count'").select("chunk_id", "bucket", "blob")
-    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, "bucket int, chunk_id bigint, blob binary")
-
-
-def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers sat down one after another.
-
-    ``base`` is the parent's probability of the dish, ``others`` the tables of the restaurant's other dishes.
-    """
-    order = np.argsort(-customers, kind="stable")
-    c, h, rest = customers[order], base[order], others[order]
-    tables = (c > 0).astype(np.float64)
-    seated, most = 1, int(c[0]) if len(c) else 0
-    while seated < most:
-        step = 1 if seated < SINGLY else max(1, seated // 64)
-        n = int(np.searchsorted(-c, -seated, side="left"))  # dishes with customers still standing
-        fresh = (strength + discount * (rest[:n] + tables[:n])) * h[:n]
-        chance = fresh / (fresh + np.maximum(seated - discount * tables[:n], 1e-9))
-        if step == 1:
-            tables[:n] += rng.random(n) < chance
+            own = words[at[b] : at[b + 1]]
+            number[own], count[own], often[own] = _load(blob)
+        lengths = lengths.astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        base = np.log10((count + 0.1) / (train_tokens + 0.1 * (known_words + 1)))
+        total = lambda x: np.add.reduceat(x, first)
+        head = _dump(ids, known, _small(lengths), out, _small(total((count > 0)[index].astype(np.int64))), total(base[index]))
+
+        numbers, place = np.unique(number, return_inverse=True)
+        split = np.zeros(len(numbers), bool)
+        split[place[often]] = True
+        split |= numbers == 0
+        word = place[index]
+        context = np.empty(len(word), dtype=np.int64)
+        context[1:] = word[:-1]
+        context[first] = place[np.searchsorted(vocabulary, END)]
+        hashes = mix(numbers.astype(U64) + U64(1))
+        bucket = _bucket(hashes[context] + np.where(split[context], mix(hashes[word] + U64(7)), U64(0)), n_buckets)
+        bits = len(numbers).bit_length()
+        if 2 * bits + n_buckets.bit_length() < 63:
+            order = np.argsort((((bucket.astype(np.int64) << bits) | context) << bits) | word, kind="stable")
         else:
-            tables[:n] += rng.binomial(np.minimum(c[:n] - seated, step).astype(np.int64), np.clip(chance, 0, 1))
-        seated += step
-    result = np.empty_like(tables)
-    result[order] = tables
-    return result
-
-
-def _reply_bucket(frequent: Frequent, n_buckets: int, bucket: int, chunk_ids: list[int], asked: list[tuple]) -> Iterator[tuple[str, int, int, bytes]]:
-    """Seat one bucket: (kind, chunk, bucket, blob) rows with the answers and the bucket's shares of all totals."""
-    rng = np.random.default_rng([11, bucket])
-    column = lambda i: np.concatenate([a[i] for a in asked]).astype(np.int64)
-    first = lambda i: np.concatenate([[0], np.cumsum([len(a[i]) for a in asked])])[:-1]
-    after = lambda i, n: np.repeat(first(i), [len(a[n]) for a in asked])
-    words, word_of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    contexts, context_of = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
-    n_words, n_contexts, place = len(words), max(len(contexts), 1), frequent.find(words)
-    total = np.bincount(word_of, column(1), minlength=n_words)
-    own_word = word_of[column(4) + after(0, 4)]
-    own_context, shared_context = context_of[column(5) + after(2, 5)], context_of[column(8) + after(2, 8)]
-    # Dishes are numbered: the bucket's words, then the frequent words.
-    dish_keys = np.concatenate([own_word * n_contexts + own_context, (column(7) + n_words) * n_contexts + shared_context])
-    keys, pair_of = np.unique(dish_keys, return_inverse=True)
-    counts = np.bincount(pair_of, np.concatenate([column(6), column(9)]), minlength=len(keys))
-    dish, context = keys // n_contexts, keys % n_contexts
-
-    rare = place < 0
-    customers_u = np.bincount(context, counts, minlength=n_contexts)
-    whole_u = np.zeros(n_contexts)
-    whole_u[context_of] = column(3)
-    carry = whole_u / np.maximum(customers_u, 1)
-    n_train = max(frequent.train_tokens, 1)
-    hot_u = np.bincount(dish, counts, minlength=n_words + len(frequent.words))[n_words:]
-    # How much larger the corpus is than this bucket's share of rare words, of each frequent word, and of all frequent words.
-    share = (n_train - frequent.counts.sum()) / max(total[rare].sum(), 1)
-    hot_carry, hot_share = frequent.counts / np.maximum(hot_u, 1), frequent.counts.sum() / max(hot_u.sum(), 1)
-    vocabulary = max((total > 0).sum() * n_buckets, 1)
-    parent = np.concatenate([np.maximum(total, 0.1), frequent.counts]) / n_train
-
-    tables = (counts > 0).astype(np.float64)
-    many = np.flatnonzero(counts > 1)
-    root_tables = (total > 0).astype(np.float64)
-    kept_tables, kept_roots, kept_contexts, kept_hot, kept_totals = [], [], [], [], []
-    for sweep in range(BURN_IN + SAMPLES):
-        tables_u = np.bincount(context, tables, minlength=n_contexts) * carry
-        tables[many] = seat(counts[many], parent[dish[many]], np.maximum(tables_u[context[many]] - tables[many], 0), DISCOUNT, STRENGTH, rng)
-        sent = np.bincount(dish, tables, minlength=n_words + len(frequent.words))
-        root_customers = sent[:n_words]
-        all_root_tables = root_tables[rare].sum() * share + len(frequent.words)
-        root_tables = np.where(rare, seat(root_customers, np.full(n_words, 1 / vocabulary), np.maximum(all_root_tables - root_tables, 0), ROOT_DISCOUNT, ROOT_STRENGTH, rng), 0)
-        all_root_tables = root_tables[rare].sum() * share + len(frequent.words)
-        all_customers = max(root_customers[rare].sum() * share + sent[n_words:].sum() * hot_share, 1)
-        seated = np.concatenate([root_customers - ROOT_DISCOUNT * root_tables, sent[n_words:] * hot_carry - ROOT_DISCOUNT])
-        parent = np.maximum(seated + (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / vocabulary, 1e-12) / (ROOT_STRENGTH + all_customers)
-        if sweep >= BURN_IN:
-            kept_tables.append(tables.copy())
-            kept_roots.append((root_customers - ROOT_DISCOUNT * root_tables).astype(np.float32))
-            kept_contexts.append(np.bincount(context, tables, minlength=n_contexts))
-            kept_hot.append(sent[n_words:])
-            kept_totals.append((root_customers[rare].sum(), root_tables[rare].sum()))
-    word_pos = np.split(word_of, np.cumsum([len(a[0]) for a in asked])[:-1])
-    n_own = np.cumsum([len(a[4]) for a in asked])
-    n_shared = np.cumsum([len(a[7]) for a in asked])
-    own_pos = np.split(pair_of[: n_own[-1]], n_own[:-1])
-    shared_pos = np.split(pair_of[n_own[-1] :], n_shared[:-1])
-    for chunk_id, w, o, s in zip(chunk_ids, word_pos, own_pos, shared_pos, strict=True):
-        p = np.concatenate([o, s])
-        yield "reply", chunk_id, bucket, _dump(_small(total[w].astype(np.int64)), *[r[w] for r in kept_roots], _small(counts[p].astype(np.int64)), *[_small(t[p].astype(np.int64)) for t in kept_tables])
-    order, at = _by_bucket(_bucket(contexts, n_buckets), n_buckets)
-    for b in np.flatnonzero(np.diff(at)).tolist():
-        u = order[at[b] : at[b + 1]]
-        yield "context", -1, b, _dump(contexts[u], *[_small(t[u].astype(np.int64)) for t in kept_contexts])
-    yield "frequent", -1, bucket, _dump(*kept_hot)
-    yield "totals", -1, bucket, _dump(np.asarray([total.sum(), (total > 0).sum()], dtype=np.float64), *[np.asarray(t, dtype=np.float64) for t in kept_totals])
-
-
-def reply(asked: DataFrame, frequent, n_buckets: int) -> DataFrame:
-    """kind, chunk_id, bucket, blob; the bucket of a context's tables is that of the context."""
+            order = np.lexsort((word, context, bucket))
+        bucket, context, word, doc = bucket[order], context[order], word[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+        pairs = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)]))
+        tokens = np.diff(np.append(pairs, len(word)))
+        trained = np.add.reduceat((~out[doc]).astype(np.int64), pairs)
+        pair_at = np.searchsorted(bucket[pairs], np.arange(n_buckets + 1))
+        token_at = np.append(pairs, len(word))[pair_at]
+        rows = [(n_buckets + chunk_id % n_buckets, chunk_id, head)]
+        for b in np.flatnonzero(np.diff(pair_at)).tolist():
+            p = slice(pair_at[b], pair_at[b + 1])
+            u, n = np.unique(context[pairs[p]], return_counts=True)
+            rows.append((b, chunk_id, _dump(_steps(numbers[u]), split[u], _small(n), _small(numbers[word[pairs[p]]]), _small(trained[p]), _small(tokens[p]), _small(doc[token_at[b] : token_at[b + 1]]))))
+        return _rows(BUCKET_ROWS, rows)
+
+    answers = counted.where("chunk_id is not null").select("chunk_id", "bucket", "blob")
+    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, BUCKET_ROWS)
+
+
+STATE = "bucket int, target int, state binary, refs binary, tables binary, share binary, split binary, ones bigint, twos bigint, chunk_id bigint, head binary"
+
+
+def _shares(bucket: int, n_buckets: int, words: np.ndarray, sums: Sequence[np.ndarray]) -> Iterator[tuple]:
+    """A bucket's tables of its words, for the buckets of the parent's dishes (rows of ``STATE``)."""
+    order, at = _by_bucket((words - 1) % n_buckets, n_buckets)
+    begin = np.searchsorted(words, 1)  # without the unknown word
+    for t in range(n_buckets):
+        own = order[at[t] : at[t + 1]]
+        own = own[own >= begin]
+        if len(own):
+            yield bucket, t, None, None, None, _dump(_steps(words[own]), *[_small(x[own].astype(np.int64)) for x in sums]), None, None, None, None, None
+
+
+def build(dealt: DataFrame, n_buckets: int) -> DataFrame:
+    """Per bucket its pairs (``state``), where its tokens belong (``refs``), and its shares with one table a dish; ``head`` per chunk."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= n_buckets:
+            return _rows(STATE, [(None,) * 9 + row for row in zip(table["chunk_id"].to_pylist(), table["blob"].to_pylist(), strict=True)])
         table = table.sort_by("chunk_id")
-        bucket = table["bucket"][0].as_py()
-        rows = list(_reply_bucket(frequent.value, n_buckets, bucket, table["chunk_id"].to_pylist(), [_load(b) for b in table["blob"].to_pylist()]))
-        kinds, chunks, buckets, blobs = zip(*rows, strict=True)
-        return pa.table({"kind": pa.array(kinds), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        bucket, got = table["bucket"][0].as_py(), [_load(b) for b in table["blob"].to_pylist()]
+        column = lambda i: np.concatenate([g[i] for g in got])
+        u = np.concatenate([np.repeat(np.cumsum(g[0].astype(np.int64)), g[2]) for g in got])
+        marks = dict(zip(np.concatenate([np.cumsum(g[0].astype(np.int64)) for g in got]).tolist(), column(1).tolist(), strict=True))
+        contexts, u = np.unique(u, return_inverse=True)
+        words, w = np.unique(column(3).astype(np.int64), return_inverse=True)
+        keys, pair_of = np.unique(u * len(words) + w, return_inverse=True)
+        count = np.bincount(pair_of, column(4), minlength=len(keys)).astype(np.int64)
+        split = np.asarray([marks[c] for c in contexts.tolist()], dtype=bool)
+        context, word, seen = keys // len(words), keys % len(words), count > 0
+        state = _dump(_steps(contexts), split, _small(np.bincount(context, minlength=len(contexts))), _steps(words), _small(word), _small(count))
+        refs = _dump(table["chunk_id"].to_numpy(), _small(np.asarray([len(g[3]) for g in got])), _small(np.asarray([len(g[6]) for g in got])), _small(pair_of), _small(column(5)), _small(column(6)))
+        hot = _split_share(contexts, split, context, count, [seen.astype(np.int64)])
+        own = (bucket, None, state, refs, None, None, hot, int((count == 1).sum()), int((count == 2).sum()), None, None)
+        return _rows(STATE, [own, *_shares(bucket, n_buckets, words, [np.bincount(word, seen, minlength=len(words))])])
+
+    return stash(dealt.groupBy("bucket").applyInArrow(run, STATE), "state")
+
+
+def _split_share(contexts: np.ndarray, split: np.ndarray, context: np.ndarray, count: np.ndarray, tables: Sequence[np.ndarray]) -> bytes:
+    """Customers and tables of the contexts whose pairs are dealt by the pair."""
+    n, at = len(contexts), np.flatnonzero(split & (contexts > 0))
+    return _dump(contexts[at], np.bincount(context, count, minlength=n)[at].astype(np.int64), *[np.bincount(context, t, minlength=n)[at].astype(np.int64) for t in tables])
+
+
+def split_totals(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all buckets for the frequent contexts: their numbers, and rows of customers and of tables by sample."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                contexts, *sums = _load(blob)
+                for i, x in enumerate(sums):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(contexts), pa.array(x)], names=["i", "context", "x"])
+
+    rows = frame.where("split is not null").select("split").mapInArrow(unfold, "i int, context bigint, x bigint").groupBy("i", "context").agg(F.sum("x").alias("x")).toArrow()
+    i, context, x = (rows[c].to_numpy() for c in ("i", "context", "x"))
+    contexts, at = np.unique(context, return_inverse=True)
+    out = np.zeros((int(i.max()) + 1 if len(i) else 2, len(contexts)))
+    out[i, at] = x
+    return contexts, out
 
-    return stash(asked.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary"), "replies")
 
+PARENT = "bucket int, parent binary, customers binary"
 
-def context_tables(replies: DataFrame, asked: DataFrame) -> DataFrame:
-    """kind, chunk_id, bucket, blob: the tables, summed over all buckets, of the restaurants of a chunk's words."""
+
+def seat_parent(shares: DataFrame, samples: int, root_tables: Sequence[float], discount: float, vocabulary: int, turn: int) -> DataFrame:
+    """Per bucket the parts of its words' parent probabilities that the words themselves have, and totals (bucket -1).
+
+    Tables of the root's other dishes count as they stood before.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        shares = [_load(b) for b, c in zip(table["blob"].to_pylist(), table["chunk_id"].to_pylist(), strict=True) if c is None]
-        contexts, at = np.unique(np.concatenate([x[0] for x in shares] or [np.zeros(0, U64)]), return_inverse=True)
-        tables = [np.append(np.bincount(at, np.concatenate([x[s] for x in shares]), minlength=len(contexts)) if shares else [], 0).astype(np.int64) for s in range(1, SAMPLES + 1)]
-        chunks, blobs = [], []
-        for blob, chunk_id in zip(table["blob"].to_pylist(), table["chunk_id"].to_pylist(), strict=True):
-            if chunk_id is not None:
-                words = _load(blob)[0]
-                place = np.searchsorted(contexts, words)
-                place[np.append(contexts, U64(0))[place] != words] = len(contexts)
-                chunks.append(chunk_id)
-                blobs.append(_dump(*[_small(t[place]) for t in tables]))
-        n = len(chunks)
-        return pa.table({"kind": pa.array(["tables"] * n, pa.string()), "chunk_id": pa.array(chunks, pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    shares = replies.where("kind = 'context'").select("bucket", F.lit(None).cast("long").alias("chunk_id"), "blob")
-    both = shares.unionByName(asked.select("bucket", "chunk_id", "blob"))
-    return both.groupBy("bucket").applyInArrow(run, "kind string, chunk_id bigint, bucket int, blob binary")
-
-
-def sum_shares(replies: DataFrame, kind: str) -> np.ndarray:
-    """The element-wise sum of the buckets' arrays of one kind, stacked; at most FREQUENT columns."""
+        table = table.sort_by("bucket")
+        target, got = table["target"][0].as_py(), [_load(b) for b in table["share"].to_pylist()]
+        asked = [np.cumsum(g[0].astype(np.int64)) for g in got]
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        rng, own, totals = np.random.default_rng([13, turn, target]), [], []
+        base, one = np.full(len(words), 1 / (vocabulary + 1)), np.zeros(len(words), np.int64)
+        for s in range(samples):
+            customers = np.bincount(at, np.concatenate([g[1 + s] for g in got]), minlength=len(words)).astype(np.int64)
+            tables, before = (customers > 0).astype(np.int64), np.count_nonzero(customers)
+            for _ in range(2):
+                tables = sweep(customers, tables, base, one, np.asarray([max(root_tables[s] - before, 0.0)]), discount, ROOT_STRENGTH, rng, groups=4)
+            own.append((customers - discount * tables).astype(np.float32))
+            totals += [customers.sum(), tables.sum()]
+        places = np.split(at, np.cumsum([len(a) for a in asked])[:-1])
+        rows = [(b, _dump(*[x[p] for x in own]), None) for b, p in zip(table["bucket"].to_pylist(), places, strict=True)]
+        return _rows(PARENT.replace("bucket int", "bucket int, target int"), [(b, target, p, c) for b, p, c in [*rows, (-1, None, _dump(np.asarray(totals, dtype=np.int64)))]])
+
+    return stash(shares.where("share is not null").select("bucket", "target", "share").groupBy("target").applyInArrow(run, PARENT.replace("bucket int", "bucket int, target int")), "parent")
+
+
+def parent_totals(parent: DataFrame, samples: int) -> np.ndarray:
+    """Customers and tables of the root, a row for each sample; one small row a bucket is summed."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                for i, x in enumerate(_load(blob)):
-                    at = np.flatnonzero(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at].astype(np.float64))], names=["i", "at", "x"])
-
-    shares = replies.where(F.col("kind") == kind).select("blob").mapInArrow(unfold, "i int, at int, x double")
-    rows = shares.groupBy("i", "at").agg(F.sum("x").alias("x")).toArrow()
-    out = np.zeros((SAMPLES + 1, int(rows["at"].to_numpy().max()) + 1 if rows.num_rows else 0))
-    out[rows["i"].to_numpy(), rows["at"].to_numpy()] = rows["x"].to_numpy()
-    return out
-
-
-@dataclass(frozen=True)
-class Totals:
-    """What spans buckets: corpus size, and the parent with its frequent dishes."""
-
-    n: float
-    v: float
-    frequent: np.ndarray
-    root: np.ndarray  # per sample: customers, tables
-
-
-def gather(replies: DataFrame, frequent: Frequent) -> Totals:
-    size = lambda x, n: np.pad(x, ((0, 0), (0, n - x.shape[1])))
-    hot = size(sum_shares(replies, "frequent"), len(frequent.words))
-    totals = size(sum_shares(replies, "totals"), 2)
-    rng, dishes, root = np.random.default_rng(13), [], []
-    for s in range(1, SAMPLES + 1):
-        customers = hot[s - 1]
-        tables = (customers > 0).astype(np.float64)
-        for _ in range(2):
-            tables = seat(customers, np.full(len(customers), 1 / (totals[0, 1] + 1)), np.maximum(totals[s, 1] + tables.sum() - tables, 0), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
-        dishes.append(customers - ROOT_DISCOUNT * tables)
-        root.append((totals[s, 0] + customers.sum(), totals[s, 1] + tables.sum()))
-    return Totals(totals[0, 0], totals[0, 1], np.stack(dishes), np.asarray(root))
+                x = _load(blob)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["i", "x"])
+
+    out = np.zeros(2 * samples)
+    for i, x in parent.where("bucket = -1").select("customers").mapInArrow(unfold, "i int, x bigint").groupBy("i").agg(F.sum("x")).collect():
+        out[i] = x
+    return out.reshape(samples, 2)
+
+
+class Bucket:
+    """A bucket's pairs with their parents' probabilities and the totals of their contexts."""
+
+    def __init__(self, own: pa.Table, answers: pa.Table, n_buckets: int, model: dict) -> None:
+        self.bucket = own["bucket"][0].as_py()
+        contexts, self.split, n, words, word, count = _load(own["state"][0].as_py())
+        self.contexts, self.words = np.cumsum(contexts.astype(np.int64)), np.cumsum(words.astype(np.int64))
+        self.context, self.word, self.count = np.repeat(np.arange(len(contexts)), n), word.astype(np.int64), count.astype(np.int64)
+        self.tables = [(self.count > 0).astype(np.int64)]
+        order, at = _by_bucket((self.words - 1) % n_buckets, n_buckets)
+        self.seated = np.zeros((len(model["root"]), len(self.words)))
+        for target, parent, tables in zip(*(answers[c].to_pylist() for c in ("target", "parent", "tables")), strict=True):
+            if tables is not None:
+                self.tables = [t.astype(np.int64) for t in _load(tables)]
+            if parent is not None:
+                mine = order[at[target] : at[target + 1]]
+                self.seated[:, mine[self.words[mine] > 0]] = _load(parent)
+        numbers, totals = model["split"]
+        self.hot = np.flatnonzero(self.split & (self.contexts > 0))
+        self.place = np.searchsorted(numbers, self.contexts[self.hot])
+        self.totals, self.model = totals, model
+
+    def parent(self, sample: int) -> np.ndarray:
+        """The parent's probability of each word."""
+        (customers, tables), m = self.model["root"][sample], self.model
+        return (self.seated[sample] + (ROOT_STRENGTH + m["root_discount"] * tables) / (m["vocabulary"] + 1)) / (ROOT_STRENGTH + customers)
+
+    def elsewhere(self, sample: int) -> np.ndarray:
+        """Tables of each context in other buckets."""
+        own = np.bincount(self.context, self.tables[sample], minlength=len(self.contexts))
+        out = np.zeros(len(self.contexts))
+        out[self.hot] = self.totals[1 + sample, self.place] - own[self.hot]
+        return out
+
+
+STEP = "bucket int, target int, parent binary, tables binary"
+
+
+def _answers(parent: DataFrame, state: DataFrame | None) -> DataFrame:
+    """What buckets need besides their own pairs: parents and the last tables."""
+    found = parent.where("bucket >= 0").select("bucket", "target", "parent", F.lit(None).cast("binary").alias("tables"))
+    if state is None:
+        return found
+    return found.unionByName(state.where("tables is not null").select("bucket", F.lit(None).cast("int").alias("target"), F.lit(None).cast("binary").alias("parent"), "tables"))
+
+
+def gibbs(state: DataFrame, answers: DataFrame, model, n_buckets: int, keep: int, turn: int) -> DataFrame:
+    """``SWEEPS`` sweeps over each bucket and ``keep - 1`` more; the last ``keep`` seatings, and the shares of their tables."""
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        m = model.value
+        b = Bucket(own, answers, n_buckets, m)
+        rng, base, elsewhere = np.random.default_rng([11, turn, b.bucket]), b.parent(0)[b.word], b.elsewhere(0)
+        tables, kept = b.tables[0], []
+        for _ in range(SWEEPS + keep - 1):
+            tables = sweep(b.count, tables, base, b.context, elsewhere, m["discount"], STRENGTH, rng)
+            kept = [*kept, tables][-keep:]
+        row = (b.bucket, None, None, None, _dump(*[_small(t) for t in kept]), None, _split_share(b.contexts, b.split, b.context, b.count, kept), None, None, None, None)
+        return _rows(STATE, [row, *_shares(b.bucket, n_buckets, b.words, [np.bincount(b.word, t, minlength=len(b.words)) for t in kept])])
+
+    own = state.where("state is not null").select("bucket", "state")
+    return stash(own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, STATE), "seated")
+
+
+def sum_documents(state: DataFrame, answers: DataFrame, model, n_buckets: int) -> DataFrame:
+    """chunk_id, blob: for the documents with tokens in a bucket, the sum of their log10 probabilities there."""
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        m = model.value
+        b = Bucket(own, answers, n_buckets, m)
+        n, chance = len(b.contexts), np.zeros(len(b.word))
+        customers = np.bincount(b.context, b.count, minlength=n)
+        customers[b.hot] = b.totals[0, b.place]
+        customers[b.contexts == 0] = 0
+        for s, tables in enumerate(b.tables):
+            all_tables = np.bincount(b.context, tables, minlength=n) + b.elsewhere(s)
+            all_tables[b.contexts == 0] = 0
+            chance += (b.count - m["discount"] * tables + (STRENGTH + m["discount"] * all_tables[b.context]) * b.parent(s)[b.word]) / (STRENGTH + customers[b.context])
+        log_chance = np.log10(chance / len(b.tables))
+        chunk_ids, n_pairs, n_tokens, pair_of, tokens, docs = _load(own["refs"][0].as_py())
+        pair_end, token_end, rows = np.cumsum(n_pairs.astype(np.int64)), np.cumsum(n_tokens.astype(np.int64)), []
+        for i, chunk_id in enumerate(chunk_ids.tolist()):
+            p = slice(pair_end[i] - n_pairs[i], pair_end[i])
+            found, at = np.unique(docs[token_end[i] - n_tokens[i] : token_end[i]], return_inverse=True)
+            rows.append((b.bucket, chunk_id, _dump(_steps(found), np.bincount(at, np.repeat(log_chance[pair_of[p]], tokens[p])).astype(np.float32))))
+        return _rows(BUCKET_ROWS, rows)
+
+    own = state.where("state is not null").select("bucket", "state", "refs")
+    return own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, BUCKET_ROWS)
 
 
 def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -404,57 +414,42 @@ def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     chunks = tokenise(documents, doc_id, text, folds)
     train_tokens, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n_buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    asked = ask_words(chunks, n_buckets)
-    counted = count_words(asked, train_tokens)
-    words = frequent_words(counted, train_tokens)
-    frequent = context.broadcast(words)
-    replies = reply(ask(chunks, counted, frequent, n_buckets), frequent, n_buckets)
-    totals = context.broadcast(gather(replies, words))
-
-    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        t, f = totals.value, frequent.value
-        ids, known, lengths, out, vocabulary, index = _load(chunk["blob"][0].as_py())
-        q = questions(f, n_buckets, lengths, out, vocabulary, index)
-        word_order, word_at = _by_bucket(q.word_bucket, n_buckets)
-        pair_order, pair_at = _by_bucket(q.pair_bucket, n_buckets)
-        hot = q.word_place[q.pair_word] >= 0
-        c_word, dishes = np.zeros(len(vocabulary)), np.zeros((SAMPLES, len(vocabulary)))
-        c_pair, t_pair = np.zeros(len(q.pair_word)), np.zeros((SAMPLES, len(q.pair_word)))
-        t_context = np.zeros((SAMPLES, len(vocabulary)))
-        for kind, b, blob in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
-            got = _load(blob)
-            if kind == "tables":
-                t_context[:, word_order[word_at[b] : word_at[b + 1]]] = got
-                continue
-            w, p = word_order[word_at[b] : word_at[b + 1]], pair_order[pair_at[b] : pair_at[b + 1]]
-            p = np.concatenate([p[~hot[p]], p[hot[p]]])
-            c_word[w], c_pair[p] = got[0], got[1 + SAMPLES]
-            for s in range(SAMPLES):
-                dishes[s, w], t_pair[s, p] = got[1 + s], got[2 + SAMPLES + s]
-        often = q.word_place >= 0
-        dishes[:, often] = t.frequent[:, q.word_place[often]]
-        by_pair, u = np.zeros(len(q.pair_word)), q.pair_context
-        for s in range(SAMPLES):
-            customers, tables = t.root[s]
-            parent = (dishes[s] + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (t.v + 1)) / (ROOT_STRENGTH + customers)
-            by_pair += (c_pair - DISCOUNT * t_pair[s] + (STRENGTH + DISCOUNT * t_context[s, u]) * parent[q.pair_word]) / (STRENGTH + c_word[u])
-        index = index.astype(np.int64)
-        chance = by_pair[q.token_pair] / SAMPLES
-        base = np.log10((c_word + 0.1) / (t.n + 0.1 * (t.v + 1)))[index]
-        starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])[:-1]
-        total = lambda x: np.add.reduceat(x, starts)
+    counted = count_words(ask_words(chunks, n_buckets), n_buckets, train_tokens)
+    vocabulary = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    state = build(deal(chunks, counted, n_buckets, train_tokens, vocabulary), n_buckets)
+    ones, twos = state.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
+    model = {"vocabulary": vocabulary, "discount": float(np.clip(ones / max(ones + 2 * twos, 1), 0.3, 0.9)), "root_discount": 0.6}
+    seated, root_tables, samples = state, [float(vocabulary)], 1
+    for turn in range(ROUNDS + 2):
+        parent = seat_parent(seated, samples, root_tables, model["root_discount"], vocabulary, turn)
+        root = parent_totals(parent, samples)
+        shared = context.broadcast(model | {"split": split_totals(seated), "root": root})
+        answers = _answers(parent, seated if turn else None)
+        if turn > ROUNDS:
+            break
+        samples = SAMPLES if turn == ROUNDS else 1
+        seated = gibbs(state, answers, shared, n_buckets, samples, turn)
+        root_tables = [root[0, 1]] * samples
+    sums = sum_documents(state, answers, shared, n_buckets)
+
+    def score(chunk: pa.Table, sums: pa.Table) -> pa.Table:
+        ids, known, lengths, out, n_known, base = _load(chunk["blob"][0].as_py())
+        total = np.zeros(len(ids))
+        for blob in sums.sort_by("bucket")["blob"].to_pylist():
+            docs, x = _load(blob)
+            total[np.cumsum(docs.astype(np.int64))] += x
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64(), mask=~known),
                 "held_out": pa.array(out),
                 "n_tokens": pa.array(lengths.astype(np.int64)),
-                "n_known": pa.array(total((c_word > 0)[index].astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(ids), int(t.n))),
-                "base_score": pa.array(total(base)),
-                "score": pa.array(total(np.log10(chance))),
+                "n_known": pa.array(n_known.astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(ids), train_tokens)),
+                "base_score": pa.array(base),
+                "score": pa.array(total),
             }
         )
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    answers = replies.where("kind = 'reply'").unionByName(context_tables(replies, asked))
-    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(score, schema)
+    heads = state.where("head is not null").select("chunk_id", F.col("head").alias("blob"))
+    return heads.groupBy("chunk_id").cogroup(sums.groupBy("chunk_id")).applyInArrow(score, schema)

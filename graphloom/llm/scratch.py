@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting to drop a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one is made only where the setting is absent."""
@@ -22,14 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and return a reader of it.
 
-    This cuts lineage: a lost executor costs a re-read, never a recomputation.
+    This cuts lineage: a lost executor costs a re-read, never a recomputation.  The shuffle files of the write go when
+    it has ended, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
