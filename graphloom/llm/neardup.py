@@ -8,17 +8,20 @@
 3. In every list each member meets the list's most central member.  Agreements are counted on the
    whole signatures, pairs below ``matches`` dropped, the rest confirmed on the full sets.
    Components of these links settle most lists: their members are connected already.
-4. Lists that still span components are finished exactly: members are dealt into blocks, and every pair of
-   blocks compares the pairs that span components.  A pair counts only in the list of its first
-   agreement, so later lists skip it.  Blocks with candidates then fetch the full sets, confirm,
+4. Lists that still span components are finished exactly.  One of over ``BLOCK`` members is divided by the
+   next agreement of its pairs: members are posted under pairs, then triples of coordinate values, each time one coordinate
+   further (a pair's d-th agreement lies in the first ``COORDINATES - matches + d``), so unlike texts part soon.
+   What is left large after ``DEEPEST`` agreements is dealt into blocks of like set sizes.
+   A pair counts only in the list of its first agreements.  Lists with candidates fetch the full sets, confirm,
    and return no more links than join their members.
 
-A pair at exactly the threshold has at most 5 chances in 100,000 (``MISSED``) to agree in fewer than ``matches``
-coordinates and so to be missed (about 3 at 0.85, 4 at 0.80); every kept link is exact.
+A pair at exactly the threshold has at most one chance in a thousand million (``MISSED``) to agree in fewer than
+``matches`` coordinates and so to be missed; every kept link is exact.
 
 Defined results: null or wordless text has no shingles and links with nothing; a text of fewer words than
 ``width`` is one shingle; rows that share an id are one node; a null id links with nothing, its component is null and
-it is not kept; an empty table gives an empty result.
+it is not kept; among equal sets the smallest id stands for all; columns other than the two named are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.scratch import stash
 from graphloom.llm.textkit import U64, mix, shingle_hashes, slices, word_hashes
 
-COORDINATES, MISSED = 64, 5e-5
-BLOCK = 1024
+COORDINATES, MISSED = 64, 1e-9
+BLOCK, DEEPEST = 1024, 6
+#: Shingles of the members that meet one copy of a hub's set.
+HUB_SHINGLES = 4_000_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -123,27 +128,35 @@ def enough(shared: str, a: str, b: str, percent: int) -> str:
 
 
 def link_to_hubs(lists: DataFrame, classes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between list members and the most central member of their list."""
+    """Confirmed links (a, b) between list members and the most central member of their list.
+
+    A hub's signature and set are sent once for every ``HUB_SHINGLES`` shingles of the members that meet it.
+    """
     weight = lists.groupBy("rep").agg(F.sum("n_list").alias("weight"))
     hubs = lists.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    pairs = lists.join(hubs, "key").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    side = lambda n: classes.select(F.col("rep").alias(n), F.col("signature").alias(f"s_{n}"), F.col("n_shingles").alias(f"n_{n}"))
-    agreed = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda same: same))
-    near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    candidates = stash(pairs.join(side("a"), "a").join(side("b"), "b").where(near & (agreed >= agreements(percent))).select("a", "b"), "candidates")
-    sets = sets_of(candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))))
-    full = lambda n: sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s_{n}"))
-    met = candidates.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
-    return met.where(enough("shared", "n_a", "n_b", percent)).select("a", "b")
+    pairs = lists.select("rep", "key").join(hubs, "key").where("rep != hub").select("hub", "rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("n_rep")), "rep")
+    pairs = stash(pairs, "pairs")
+    slices = pairs.groupBy("hub").agg(F.ceil(F.sum("n_rep") / HUB_SHINGLES).cast("int").alias("slices"))
+    dealt = pairs.join(slices, "hub").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")).drop("slices")
+    copies = slices.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    centre = copies.join(classes.select(F.col("rep").alias("hub"), F.col("signature").alias("s_hub"), F.col("n_shingles").alias("n_hub")), "hub")
+    agreed = F.size(F.filter(F.zip_with("signature", "s_hub", lambda x, y: x == y), lambda same: same))
+    near = F.expr(f"100 * least(n_rep, n_hub) >= {percent} * greatest(n_rep, n_hub)")
+    met = dealt.join(classes.select("rep", "signature"), "rep").join(centre, ["hub", "slice"])
+    candidates = stash(met.where(near & (agreed >= agreements(percent))).select("hub", "slice", "rep"), "candidates")
+    sets = sets_of(candidates.select("rep").unionByName(candidates.select(F.col("hub").alias("rep"))))
+    members = candidates.join(sets.select("rep", F.col("shingles").alias("s_rep")), "rep")
+    centres = candidates.select("hub", "slice").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("s_hub")), "hub")
+    shared = members.join(centres, ["hub", "slice"]).select("hub", "rep", F.size("s_hub").alias("n_a"), F.size("s_rep").alias("n_b"), F.size(F.array_intersect("s_hub", "s_rep")).alias("shared"))
+    return shared.where(enough("shared", "n_a", "n_b", percent)).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
 
 
 def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[int, int]]]:
-    """Pairs of a block pair that span components, agree first in this list, and agree often enough."""
+    """Pairs of a block pair that span components, agree first in this list's coordinates, and agree often enough."""
     reps, comps, sizes, blocks = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
     signatures = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(reps), COORDINATES)
-    key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
+    last, depth, low, high = (table[c][0].as_py() for c in ("last", "depth", "low", "high"))
     matches = agreements(percent)
-    coordinate = int(np.flatnonzero(signatures[0] == key)[0])
     left = np.flatnonzero(blocks == low)
     right = np.flatnonzero(blocks == high)
 
@@ -154,28 +167,57 @@ def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarr
             others = others[(comps[others] != comps[i]) & (100 * small >= percent * large)]
             if len(others):
                 same = signatures[others] == signatures[i]
-                hit = (same.sum(axis=1) >= matches) & ~same[:, :coordinate].any(axis=1)
+                hit = (same.sum(axis=1) >= matches) & (same[:, :last].sum(axis=1) == depth - 1)
                 yield from ((i, j) for j in others[hit])
 
     return reps, comps, sizes, pairs()
 
 
+def _spanning(members: DataFrame) -> DataFrame:
+    """The lists that span components, with their number of members."""
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_list"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    return members.drop("n_list").join(keys.select("key", "n_list"), "key")
+
+
+def divide_lists(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Lists (key, last, depth, rep, comp, n_list) in which large ones are divided by further agreements of their pairs."""
+    reach, done = COORDINATES - agreements(percent), []
+    for depth in range(1, DEEPEST):
+        members = stash(members, "lists")
+        large = members.where(F.col("n_list") > BLOCK)
+        if large.isEmpty():
+            break
+        done.append(members.where(F.col("n_list") <= BLOCK))
+        values = large.join(classes.select("rep", F.slice("signature", 1, reach + depth + 1).alias("head")), "rep")
+        values = values.select("key", F.col("last").alias("before"), "rep", "comp", F.posexplode("head").alias("last", "value")).where("last > before")
+        members = _spanning(values.select(F.xxhash64("key", "last", "value").alias("key"), "last", F.lit(depth + 1).alias("depth"), "rep", "comp"))
+    for part in done:
+        members = members.unionByName(part.select(*members.columns))
+    return members
+
+
 def finish_lists(lists: DataFrame, classes: DataFrame, components: DataFrame, sets_of, percent: int) -> DataFrame:
     """Confirmed links (a, b) that the lists still hold between different components."""
-    placed = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_keys = placed.where("n_list > 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    members = placed.join(open_keys, "key", "left_semi")
-    n_blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = members.select("key", "rep", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = stash(dealt.join(classes.select("rep", "n_shingles", "signature"), "rep"), "dealt")
+    placed = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    members = _spanning(placed.where("n_list > 2").select("key", "last", F.lit(1).alias("depth"), "rep", "comp"))
+    members = divide_lists(members, classes, percent).join(classes.select("rep", "n_shingles", "signature"), "rep")
+    # Linked sets lie in the same or in neighbouring classes of size; only large lists are dealt by size.
+    step = 1.000001 * float(np.log(100 / percent)) if percent < 100 else 1e-9  # a little wider, for sets whose ratio is just the threshold
+    size = F.when(F.col("n_list") > BLOCK, F.floor(F.log("n_shingles") / F.lit(step))).otherwise(0).cast("long")
+    members = members.withColumn("size", size)
+    rooms = members.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    code = lambda size, block: F.shiftleft(size, 20) + block
+    members = members.join(rooms, ["key", "size"]).withColumn("block", code(F.col("size"), F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    near = members.withColumn("size", F.explode(F.when(F.col("n_list") > BLOCK, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array("size")))).drop("blocks")
+    near = near.join(rooms, ["key", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", code(F.col("size"), F.col("part")))
+    group = ("key", "low", "high")
+    dealt = stash(near.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "last", "depth", "rep", "comp", "block", "n_shingles", "signature"), "dealt")
 
     def any_candidate(table: pa.Table) -> pa.Table:
         found = next(_spanning_pairs(table, percent)[3], None)
-        return table.select(["key", "low", "high"]).slice(0, 1 if found else 0)
+        return table.select(list(group)).slice(0, 1 if found else 0)
 
-    group = ("key", "low", "high")
-    live = stash(dealt.groupBy(*group).applyInArrow(any_candidate, "key bigint, low int, high int"), "live")
+    live = stash(dealt.groupBy(*group).applyInArrow(any_candidate, "key bigint, low bigint, high bigint"), "live")
     chosen = dealt.join(live, list(group), "left_semi")
     with_sets = chosen.join(sets_of(chosen.select("rep")), "rep")
 
@@ -211,7 +253,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     same_set = ["n_shingles", "f1", "f2"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    postings = classes.select("rep", F.explode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("key"))
+    postings = classes.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("last", "key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
     lists = stash(postings.join(shared, "key").distinct(), "lists")
     sets_of = lambda ids: fetch_sets(documents, ids, doc_id=doc_id, text=text, width=width)
