@@ -9,6 +9,11 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last ret
 * decontaminate: documents in which a benchmark window occurs go;
 * pack: what is left becomes token sequences, returned as one row per piece.
 
+Defined results, in every stage: an empty table stays empty; rows with a null id stay, as no decision names them; rows that
+share an id are kept or dropped together by the two stages that decide by id, and one by one by the quality stage, which
+judges each text; a null or empty text is judged as empty, is nobody's copy and holds no window; repeated rows stay repeated
+rows; extra columns, whatever their names, come out as they went in.
+
 No stage has a SQL counterpart as a whole (learned scores, tokens), so ``ORACLE_SQL`` is None.
 """
 
@@ -33,6 +38,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores at least ``CUTOFF``; a score equal to it stays."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cutoff=CUTOFF)
     score = "score"
     while score in {c.lower() for c in docs.columns}:
@@ -41,15 +47,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose document is its group's smallest id; without a copy a document is its own group."""
     return without(docs, neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id != component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in whose text no benchmark window occurs."""
     found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.where("n_hit > 0"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence; ties between windows go to the one opened first."""
     return packing.piece_digests(packing.pack_documents(docs, tokenizer_file(), end_id=2))
 
 
