@@ -48,9 +48,13 @@ def kind_rank(kind: Column) -> Column:
     return _choice({k: i for i, k in enumerate(KINDS)}, kind)
 
 
+def kind_named(rank: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, KINDS)), rank), F.lit("other"))
+
+
 def best_kind(kind: Column) -> Column:
     """Aggregate: the most specific kind of a group."""
-    return F.coalesce(F.get(F.array(*map(F.lit, KINDS)), F.min(kind_rank(kind))), F.lit("other"))
+    return kind_named(F.min(kind_rank(kind)))
 
 
 def pick_label(triples: DataFrame) -> DataFrame:
@@ -88,11 +92,16 @@ def prefixed(frame: DataFrame, prefixes: DataFrame, iri: str, name: str = "prefi
 
 
 def shorten(frame: DataFrame, prefixes: DataFrame, iri: str, name: str = "short") -> DataFrame:
-    """Like ``prefixed`` by the longest namespace that starts the IRI, if the rest is a plain name; else ``<iri>``."""
-    iris = frame.select("graph", iri).distinct()
-    rest = F.expr(f"substr({iri}, length(namespace) + 1)")
-    matches = iris.join(F.broadcast(prefixes), "graph").where(F.col(iri).startswith(F.col("namespace")))
-    best = matches.groupBy("graph", iri).agg(F.max_by(F.struct("prefix", rest.alias("rest")), F.struct(F.length("namespace"), "prefix")).alias("m"))
+    """Like ``prefixed`` by the longest namespace that starts the IRI, if the rest is a plain name; else ``<iri>``.
+
+    An IRI is cut to each length that a namespace of its graph has, and met by equality.
+    """
+    known = prefixes.select("graph", "namespace", "prefix").distinct()
+    lengths = known.groupBy("graph").agg(F.collect_set(F.length("namespace")).alias("_lengths"))  # at most the longest namespace
+    iris = frame.select("graph", F.col(iri).alias("_iri")).distinct().join(lengths, "graph")
+    heads = iris.select("graph", "_iri", F.explode(F.filter("_lengths", lambda n: n <= F.length("_iri"))).alias("_n")).withColumn("namespace", F.col("_iri").substr(F.lit(1), F.col("_n")))
+    matches = heads.join(known, ["graph", "namespace"])
+    best = matches.groupBy("graph", F.col("_iri").alias(iri)).agg(F.max_by(F.struct("prefix", F.expr("substr(_iri, _n + 1)").alias("rest")), F.struct("_n", "prefix")).alias("m"))
     plain = F.col("m.rest").rlike("^[A-Za-z_][A-Za-z0-9_-]*$")
     short = F.when(plain, F.concat("m.prefix", F.lit(":"), "m.rest")).otherwise(F.concat(F.lit("<"), F.col(iri), F.lit(">")))
     return frame.join(best, ["graph", iri], "left").withColumn(name, short).drop("m")
@@ -115,12 +124,6 @@ def slug_filename(name: Column) -> Column:
     return F.when(safe == "", "ontology").otherwise(safe)
 
 
-def results_filename(name: Column, extension: str) -> Column:
-    """``<slug>-results.<extension>``; any file extension of the name goes."""
-    slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[A-Za-z0-9]+$", ""), r"[^A-Za-z0-9._-]+", "-"), r"^[-.]+|[-.]+$", "")
-    return F.when(slug == "", f"results.{extension}").otherwise(F.concat(slug, F.lit(f"-results.{extension}")))
-
-
 def neutralize_formula(text: Column) -> Column:
     """A leading apostrophe before what a spreadsheet would compute."""
     return F.when(text.rlike("^[=+\\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)

@@ -41,6 +41,23 @@ def path_closure(edges: DataFrame, seeds: DataFrame | None = None, *, reflexive:
     return pairs
 
 
+def chain_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """graph, start, node: the seeds (graph, start) and all they reach, for chains (each left end has one right end, or few).
+
+    Jumps double every round, so a chain of n cells takes log2 n rounds whatever its length; cycles end by themselves.
+    """
+    jump = written(edges.select("graph", "a", "b").distinct(), "jump")
+    found = written(seeds.select("graph", "start").distinct().withColumn("node", F.col("start")), "chain")
+    n, before = found.count(), -1
+    while n != before:
+        ahead = found.join(jump.withColumnRenamed("a", "node"), ["graph", "node"]).select("graph", "start", F.col("b").alias("node"))
+        found = written(found.unionByName(ahead).distinct(), "chain")
+        onward = jump.select("graph", F.col("b").alias("mid"), F.col("a").alias("first"))
+        jump = written(onward.join(jump.withColumnRenamed("a", "mid"), ["graph", "mid"]).select("graph", F.col("first").alias("a"), "b").distinct(), "jump")
+        n, before = found.count(), n
+    return found
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -14,7 +14,7 @@ SKOS_SECTIONS = ("conceptScheme", "concept", "collection")
 MAX_TERMS, MAX_NODES, MAX_GRAPH_BYTES, MAX_SOURCE_BYTES = 10_000, 5_000, 5_000_000, 10_000_000
 
 _PROPERTY = (("Domain", RDFS + "domain", False), ("Range", RDFS + "range", False), ("Sub-property of", RDFS + "subPropertyOf", False), ("Inverse of", OWL + "inverseOf", False))
-#: Facts of each kind: name, predicate, whether the term is the object.
+#: Facts of each kind: name, predicate, whether the term is the object (fixed values).
 FACTS = {
     "class": (("Sub-class of", RDFS + "subClassOf", False), ("Super-class of", RDFS + "subClassOf", True), ("Equivalent to", OWL + "equivalentClass", False)),
     "objectProperty": _PROPERTY,
@@ -97,11 +97,21 @@ def doc_graph(triples: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[D
     return kept.select("graph", "id", "kind", "degree", F.when(F.col("documented"), anchor(F.col("id"))).otherwise("").alias("anchor")), inside
 
 
-def doc_limits(triples: DataFrame, nodes: DataFrame, edges: DataFrame, *, max_terms: int = MAX_TERMS, max_nodes: int = MAX_NODES) -> DataFrame:
-    """graph, what, amount, most: limits that a documentation would break; nothing is ever cut to fit."""
-    kept, _ = exclude_abox(nodes, edges)
+def doc_limits(triples: DataFrame, nodes: DataFrame, edges: DataFrame, *, sources: DataFrame | None = None, max_terms: int = MAX_TERMS, max_nodes: int = MAX_NODES, max_graph_bytes: int = MAX_GRAPH_BYTES, max_source_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
+    """graph, what, amount, most: limits that a documentation would break; nothing is ever cut to fit.
+
+    The embedded graph counts the bytes of its nodes and edges as JSON, with a separator each; ``sources`` (graph, octets) gives
+    the bytes of each graph's source text.
+    """
+    kept, inside = doc_graph(triples, nodes, edges)
+    kept = kept.join(nodes.select("graph", "id", "label"), ["graph", "id"])
     count = lambda frame, what, most: frame.groupBy("graph").agg(F.count(F.lit(1)).alias("amount")).select("graph", F.lit(what).alias("what"), "amount", F.lit(most).cast("long").alias("most"))
-    every = count(documentable_terms(triples, nodes), "terms", max_terms).unionByName(count(kept, "nodes", max_nodes))
+    total = lambda frame, what, most: frame.groupBy("graph").agg(F.sum("octets").alias("amount")).select("graph", F.lit(what).alias("what"), "amount", F.lit(most).cast("long").alias("most"))
+    size = lambda *columns: (F.octet_length(F.to_json(F.struct(*columns))) + 1).cast("long").alias("octets")
+    drawn = kept.select("graph", size("id", "label", "kind", "degree", "anchor")).unionByName(inside.select("graph", size("source", "target", "kind", "label")))
+    every = count(documentable_terms(triples, nodes), "terms", max_terms).unionByName(count(kept, "nodes", max_nodes)).unionByName(total(drawn, "graph bytes", max_graph_bytes))
+    if sources is not None:
+        every = every.unionByName(total(sources.select("graph", F.col("octets").cast("long").alias("octets")), "source bytes", max_source_bytes))
     return every.where("amount > most")
 
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.terms import best_kind, kind_of_type, label_or_name, local_name, pick_label
+from graphloom.functions.terms import kind_named, kind_of_type, kind_rank, label_or_name, local_name, pick_label
 from graphloom.functions.vocab import EDGE_KINDS, IMPLIED_KINDS, RDFS, SUBCLASS, TYPE, XSD
+from graphloom.plans.tables import written
 
 
 def iri_links(triples: DataFrame) -> DataFrame:
@@ -53,8 +54,9 @@ def assertion_edges(triples: DataFrame) -> DataFrame:
     return used.select("graph", F.col("s").alias("source"), F.col("o").alias("target"), F.lit("assertion").alias("kind"), local_name(F.col("p")).alias("label")).distinct()
 
 
-def all_edges(triples: DataFrame) -> DataFrame:
-    kinds = typed_kinds(triples)
+def all_edges(triples: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """``kinds``: the written ``typed_kinds``, where there are any."""
+    kinds = typed_kinds(triples) if kinds is None else kinds
     return structural_edges(triples).unionByName(instance_edges(triples, kinds)).unionByName(assertion_edges(triples))
 
 
@@ -63,26 +65,37 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select("graph", F.explode(F.array("source", "target")).alias("id")).groupBy("graph", "id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def kinds_and_degrees(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph, id, kind, degree from one pass over typed kinds and edge ends.
+
+    The most specific kind of all evidence wins; a source of instanceOf is an individual unless it is known as a class, scheme
+    or concept; untyped edge ends are ``other``.
+    """
+    end = lambda name, instance: F.struct(F.col(name).alias("id"), instance.alias("instance"))
+    ends = edges.select("graph", F.explode(F.array(end("source", F.col("kind") == "instanceOf"), end("target", F.lit(False)))).alias("e"))
+    ends = ends.select("graph", "e.id", kind_rank(F.lit("other")).alias("rank"), F.lit(False).alias("exempt"), "e.instance", F.lit(1).alias("ends"))
+    typed = evidence.select("graph", "id", kind_rank(F.col("kind")).alias("rank"), F.col("kind").isin("class", "conceptScheme", "concept").alias("exempt"), F.lit(False).alias("instance"), F.lit(0).alias("ends"))
+    rows = typed.unionByName(ends).groupBy("graph", "id").agg(F.min("rank").alias("rank"), F.bool_or("exempt").alias("exempt"), F.bool_or("instance").alias("instance"), F.sum("ends").alias("degree"))
+    rank = F.when(F.col("instance") & ~F.col("exempt"), F.least("rank", kind_rank(F.lit("individual")))).otherwise(F.col("rank"))
+    return rows.select("graph", "id", kind_named(rank).alias("kind"), "degree")
+
+
 def entity_kinds(triples: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph, id, kind: the most specific kind of all evidence; untyped edge ends are ``other``."""
-    evidence = typed_kinds(triples)
-    exempt = evidence.where("kind in ('class', 'conceptScheme', 'concept')").select("graph", "id")
-    individuals = edges.where("kind = 'instanceOf'").select("graph", F.col("source").alias("id")).distinct().join(exempt, ["graph", "id"], "left_anti")
-    ends = edges.select("graph", F.explode(F.array("source", "target")).alias("id"), F.lit("other").alias("kind"))
-    everything = evidence.unionByName(individuals.withColumn("kind", F.lit("individual"))).unionByName(ends)
-    return everything.groupBy("graph", "id").agg(best_kind(F.col("kind")).alias("kind"))
+    """graph, id, kind."""
+    return kinds_and_degrees(typed_kinds(triples), edges).drop("degree")
 
 
-def entity_nodes(triples: DataFrame, edges: DataFrame) -> DataFrame:
+def entity_nodes(triples: DataFrame, edges: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """graph, id, label, kind, degree."""
-    nodes = entity_kinds(triples, edges).join(degrees(edges), ["graph", "id"], "left").na.fill(0, ["degree"])
+    nodes = kinds_and_degrees(typed_kinds(triples) if kinds is None else kinds, edges)
     return label_or_name(nodes, pick_label(triples), "id").select("graph", "id", "label", "kind", "degree")
 
 
 def entity_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges."""
-    edges = all_edges(triples)
-    return entity_nodes(triples, edges), edges
+    """Nodes and edges; the typed kinds behind both are written once."""
+    kinds = written(typed_kinds(triples), "kinds")
+    edges = all_edges(triples, kinds)
+    return entity_nodes(triples, edges, kinds), edges
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -138,6 +151,13 @@ def focus_neighbors(nodes: DataFrame, edges: DataFrame, graph: str, focus: str)
     return marked.select("graph", "id", mark.alias("mark"))
 
 
+def focus_edges(nodes: DataFrame, edges: DataFrame, graph: str, focus: str) -> DataFrame:
+    """graph, source, target, kind, label, mark: incident or dimmed around a node; off-graph focus marks nothing (empty mark)."""
+    known = nodes.where((F.col("graph") == graph) & (F.col("id") == focus)).select(F.lit(True).alias("_known"), "graph").distinct()
+    mark = F.when(F.col("_known").isNull(), "").when((F.col("source") == focus) | (F.col("target") == focus), "incident").otherwise("dimmed")
+    return edges.where(F.col("graph") == graph).join(known, "graph", "left").select("graph", "source", "target", "kind", "label", mark.alias("mark"))
+
+
 def merge_graph(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes and edges that a neighbourhood adds to a drawn graph; drawn ones stay untouched."""
     key = ["graph", "source", "target", "kind", "label"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import label_or_name, pick_label
@@ -74,8 +74,8 @@ def forest_assemble(triples: DataFrame, nodes: DataFrame, parents: DataFrame) ->
     return out.select("graph", "id", "kind", "label", F.coalesce("children", F.lit("")).alias("children"), F.col("children").isNotNull().alias("has_children"), F.lit("asserted").alias("origin"))
 
 
-def forest_truncate(nodes: DataFrame, parents: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ``keep`` nodes of each graph with most children, the pairs among them, and the new roots."""
+def forest_truncate(nodes: DataFrame, parents: DataFrame, keep: int | Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``keep`` nodes of each graph with most children (a number, or a column of ``nodes``), the pairs among them, and the new roots."""
     weight = parents.groupBy("graph", F.col("parent").alias("id")).agg(F.countDistinct("child").alias("n"))
     order = Window.partitionBy("graph").orderBy(F.desc("n"), "id")
     kept = nodes.join(weight, ["graph", "id"], "left").na.fill(0, ["n"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("n", "place")
@@ -91,6 +91,29 @@ def hierarchy_counts(triples: DataFrame, max_nodes: int = 50_000) -> DataFrame:
     return both.withColumn("truncated", F.col("classes") + F.col("concepts") > max_nodes)
 
 
+def hierarchy(triples: DataFrame, max_nodes: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both forests of every graph: nodes (graph, forest, id, kind, root), pairs (graph, forest, child, parent) and the counts.
+
+    A graph of more than ``max_nodes`` nodes shares that number between its forests by their sizes (at least one class if
+    there is any; halves to the even number); each forest keeps the nodes with most children, and a node whose
+    parents went becomes a root.  The counts are always those of the whole graph.
+    """
+    counts = written(hierarchy_counts(triples, max_nodes), "counts")
+    share = F.when(F.col("classes") > 0, F.greatest(F.lit(1), F.bround(F.lit(max_nodes) * F.col("classes") / (F.col("classes") + F.col("concepts"))))).otherwise(0)
+    room = counts.select("graph", "truncated", share.cast("long").alias("class_room"))
+    out_nodes, out_pairs = [], []
+    for name, (nodes, parents), keep in (("class", class_forest(triples), F.col("class_room")), ("concept", concept_forest(triples), F.lit(max_nodes) - F.col("class_room"))):
+        nodes, parents = written(nodes, "nodes"), written(parents, "pairs")
+        most = nodes.join(room, "graph").withColumn("most", F.when(F.col("truncated"), keep).otherwise(F.lit(1 << 62))).drop("class_room")
+        kept, inside, roots = forest_truncate(most, parents, F.col("most"))
+        whole = forest_roots(nodes, parents).select("graph", "id")
+        cut = kept.where("truncated").select("graph").distinct()
+        roots = roots.join(cut, "graph", "left_semi").unionByName(whole.join(cut, "graph", "left_anti")).withColumn("root", F.lit(True))
+        out_nodes.append(kept.join(roots, ["graph", "id"], "left").select("graph", F.lit(name).alias("forest"), "id", "kind", F.coalesce("root", F.lit(False)).alias("root")))
+        out_pairs.append(inside.select("graph", F.lit(name).alias("forest"), "child", "parent"))
+    return out_nodes[0].unionByName(out_nodes[1]), out_pairs[0].unionByName(out_pairs[1]), counts
+
+
 def ancestors(parents: DataFrame, ids: DataFrame, max_depth: int = 200) -> DataFrame:
     """graph, id, ancestor, depth: each id itself (0) and all above it."""
     up = parents.select("graph", F.col("child").alias("a"), F.col("parent").alias("b"))
@@ -108,24 +131,26 @@ def expand_all(parents: DataFrame) -> DataFrame:
     return parents.select("graph", F.col("parent").alias("id")).distinct()
 
 
-def tree_rows(nodes: DataFrame, parents: DataFrame, max_depth: int = 12) -> DataFrame:
-    """graph, path (ids from the root), id, depth, children, appears_elsewhere, sibling: the outline of a forest.
+def tree_rows(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """graph, path (ids from the root), id, depth, children, cyclic, appears_elsewhere, sibling: the outline of a forest.
 
-    A node below itself is cut; ``max_depth`` bounds the outline.
+    A node below itself is shown there once, marked cyclic, and not descended into; so levels end by themselves.
     """
     kids = parents.groupBy("graph", F.col("parent").alias("id")).agg(F.countDistinct("child").alias("children"))
     places = appearance_counts(nodes, parents)
     roots = forest_roots(nodes, parents).select("graph", F.col("id"), F.array("id").alias("path"))
     sibling = F.row_number().over(Window.partitionBy("graph", "parent").orderBy("child"))
-    pairs = parents.withColumn("sibling", sibling.cast("long"))
-    level = roots.withColumn("sibling", F.row_number().over(Window.partitionBy("graph").orderBy("id")).cast("long"))
+    pairs = written(parents.withColumn("sibling", sibling.cast("long")), "pairs")
+    level = roots.withColumn("sibling", F.row_number().over(Window.partitionBy("graph").orderBy("id")).cast("long")).withColumn("cyclic", F.lit(False))
+    level = written(level, "level")
     rows = level
-    for _ in range(max_depth):
-        level = level.select("graph", F.col("id").alias("parent"), "path").join(pairs, ["graph", "parent"]).where(~F.array_contains("path", F.col("child")))
-        level = level.select("graph", F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), "sibling")
+    while not level.isEmpty():
+        level = level.where("not cyclic").select("graph", F.col("id").alias("parent"), "path").join(pairs, ["graph", "parent"])
+        again = F.array_contains("path", F.col("child"))
+        level = written(level.select("graph", F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), "sibling", again.alias("cyclic")), "level")
         rows = rows.unionByName(level)
     out = rows.join(kids, ["graph", "id"], "left").join(places, ["graph", "id"], "left").na.fill(0, ["children"])
-    return out.select("graph", F.array_join("path", " ").alias("path"), "id", (F.size("path") - 1).cast("long").alias("depth"), "children", (F.coalesce("places", F.lit(1)) > 1).alias("appears_elsewhere"), "sibling")
+    return out.select("graph", F.array_join("path", " ").alias("path"), "id", (F.size("path") - 1).cast("long").alias("depth"), "children", "cyclic", (F.coalesce("places", F.lit(1)) > 1).alias("appears_elsewhere"), "sibling")
 
 
 def tree_filter(labelled: DataFrame, parents: DataFrame, query: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +61,21 @@ class QueryState:
 COMPARE = {"=": "__eq__", "!=": "__ne__", ">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
 
 
+def number(text: str) -> Decimal | float | None:
+    """What a form field's text means as a number: decimal, exponent, hexadecimal, octal, binary or infinite; else None."""
+    text = text.strip()
+    if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", text):
+        return Decimal(text)
+    if re.fullmatch(r"0(x[0-9a-f]+|o[0-7]+|b[01]+)", text, re.IGNORECASE):
+        return Decimal(int(text, 0))
+    return float(text) if re.fullmatch(r"[-+]?Infinity", text) else None
+
+
 def filter_condition(f: Filter, datatype: str | None, value: Column, lang: Column) -> Column:
-    """Keeps a row whose value passes; a value that cannot be read as the type never does."""
+    """Keeps a row whose value passes; a value that cannot be read as the type never does.
+
+    A number compares exactly, as decimals of ten places, where it fits them, else as a double.
+    """
     if f.op == "contains":
         return F.lower(value).contains(f.value.lower())
     if f.op == "startsWith":
@@ -69,8 +83,10 @@ def filter_condition(f: Filter, datatype: str | None, value: Column, lang: Colum
     if f.op == "lang":
         return F.coalesce(lang, F.lit("")) == f.value
     compare = lambda a, b: F.coalesce(getattr(a, COMPARE[f.op])(b), F.lit(False))
-    if datatype in NUMERIC and re.fullmatch(r"\s*[-+]?\d+(\.\d*)?\s*", f.value):
-        return compare(value.try_cast("decimal(38,10)"), F.lit(f.value.strip()).cast("decimal(38,10)"))
+    wanted = number(f.value) if datatype in NUMERIC else None
+    if wanted is not None:
+        exact = isinstance(wanted, Decimal) and abs(wanted) < 10**28 and wanted == round(wanted, 10)
+        return compare(value.try_cast("decimal(38,10)"), F.lit(str(wanted)).cast("decimal(38,10)")) if exact else compare(value.try_cast("double"), F.lit(float(wanted)))
     if datatype == XSD + "boolean":
         return compare(value.try_cast("boolean"), F.lit(f.value.strip().lower() == "true"))
     if datatype == XSD + "date":
@@ -126,7 +142,7 @@ def link_pairs(triples: DataFrame, link: Link, anchors: DataFrame) -> DataFrame:
 
 def _with_props(triples: DataFrame, frame: DataFrame, step: Step, name: str, columns: list[str]) -> DataFrame:
     for prop, column in zip(step.props, columns, strict=True):
-        active = prop.filter if prop.filter and prop.filter.value != "" else None
+        active = prop.filter if prop.filter and prop.filter.value.strip() else None  # a blank filter is none
         rows = triples.where(F.col("p") == prop.predicate)
         if active:
             rows = rows.where(filter_condition(active, prop.datatype, F.col("o"), F.col("o_lang")))
@@ -203,14 +219,17 @@ def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
 
 @dataclass(frozen=True)
 class Frame:
-    """A solution table: ``data`` has one column per variable; ``nullable`` lists those that may be unbound."""
+    """A solution table: ``data`` has the graph and one column per variable; ``nullable`` lists variables that may be unbound.
+
+    Patterns are matched inside one graph: every join also joins on the graph, and solutions keep theirs.
+    """
 
     data: DataFrame
     nullable: frozenset[str] = field(default_factory=frozenset)
 
     @property
     def vars(self) -> list[str]:
-        return self.data.columns
+        return [c for c in self.data.columns if c != "graph"]
 
     @staticmethod
     def match(triples: DataFrame, s: str, p: str, o: str) -> Frame:
@@ -223,20 +242,30 @@ class Frame:
                 rows = rows.where(F.col(column) == F.col(chosen[term[1:]]))
             else:
                 chosen[term[1:]] = column
-        return Frame(rows.select(*[F.col(c).alias(v) for v, c in chosen.items()]))
+        if "graph" in chosen:
+            raise ValueError("the variable ?graph is taken by the graph itself; see graph_")
+        return Frame(rows.select("graph", *[F.col(c).alias(v) for v, c in chosen.items()]))
+
+    def graph_(self, term: str) -> Frame:
+        """Only solutions in the named graph, or with ``?g`` the graph's name as a variable."""
+        if not term.startswith("?"):
+            return Frame(self.data.where(F.col("graph") == term), self.nullable)
+        if term[1:] in self.vars:
+            return Frame(self.data.where(F.col(term[1:]) == F.col("graph")), self.nullable - {term[1:]})
+        return Frame(self.data.withColumn(term[1:], F.col("graph")), self.nullable)
 
     def _shared(self, other: Frame) -> list[str]:
+        """The join columns: the graph and the common variables, of which there must be one."""
         shared = [v for v in self.vars if v in other.vars]
         unbound = set(shared) & (self.nullable | other.nullable)
         if unbound:
             raise ValueError(f"joining on variables that may be unbound: {sorted(unbound)}")
-        return shared
-
-    def and_(self, other: Frame) -> Frame:
-        shared = self._shared(other)
         if not shared:
             raise ValueError("patterns without a common variable would multiply")
-        return Frame(self.data.join(other.data, shared), self.nullable | other.nullable)
+        return ["graph", *shared]
+
+    def and_(self, other: Frame) -> Frame:
+        return Frame(self.data.join(other.data, self._shared(other)), self.nullable | other.nullable)
 
     def optional(self, other: Frame) -> Frame:
         shared = self._shared(other)
@@ -266,7 +295,7 @@ class Frame:
         return Frame(self.data.where(F.col(name).isin(*values)), self.nullable)
 
     def project(self, *names: str) -> Frame:
-        return Frame(self.data.select(*names), self.nullable & set(names))
+        return Frame(self.data.select("graph", *names), self.nullable & set(names))
 
     def distinct(self) -> Frame:
         return Frame(self.data.distinct(), self.nullable)
@@ -275,8 +304,10 @@ class Frame:
         return Frame(self.data.orderBy(*columns), self.nullable)
 
     def slice(self, limit: int, offset: int = 0) -> Frame:
+        """Rows ``offset`` to ``offset + limit`` of the whole table, over all graphs; choose one by ``graph_`` first."""
         return Frame(self.data.offset(offset).limit(limit), self.nullable)
 
     def group(self, by: list[str], having: Column | None = None, **aggregates: Column) -> Frame:
-        out = self.data.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
+        """Aggregates of each group of a graph."""
+        out = self.data.groupBy("graph", *by).agg(*[c.alias(n) for n, c in aggregates.items()])
         return Frame(out if having is None else out.where(having), self.nullable & set(by))

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.entity_graph import edges_within, iri_links, kind_counts
+from graphloom.operators.entity_graph import edges_within, kind_counts
+from graphloom.plans.tables import written
 
 DEFAULT_BUDGET, MAX_BUDGET = 2_000, 20_000
+DEFAULT_NEIGHBORS, MAX_NEIGHBORS = 200, 2_000
+
+
+def clamp(limit: int, most: int) -> int:
+    return min(max(limit, 1), most)
 
 
 def ranked(nodes: DataFrame) -> DataFrame:
@@ -16,13 +22,13 @@ def ranked(nodes: DataFrame) -> DataFrame:
 
 
 def budget_nodes(nodes: DataFrame, limit: int = DEFAULT_BUDGET) -> DataFrame:
-    """The first ``limit`` nodes of every graph, with their place."""
-    return ranked(nodes).where(F.col("place") <= min(max(limit, 1), MAX_BUDGET))
+    """The first ``limit`` (from 1 to ``MAX_BUDGET``) nodes of every graph, with their place."""
+    return ranked(nodes).where(F.col("place") <= clamp(limit, MAX_BUDGET))
 
 
 def budget_graph(nodes: DataFrame, edges: DataFrame, limit: int = DEFAULT_BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Kept nodes, edges among them, and per graph the totals and whether anything was left out."""
-    kept = budget_nodes(nodes, limit)
+    """Kept nodes, edges among them, and per graph the totals, the budget applied and whether anything was left out."""
+    kept, limit = budget_nodes(nodes, limit), clamp(limit, MAX_BUDGET)
     totals = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("total_nodes"))
     totals = totals.withColumn("budget", F.lit(limit).cast("long")).withColumn("truncated", F.col("total_nodes") > limit)
     return kept, edges_within(edges, kept), totals
@@ -33,21 +39,24 @@ def card_sketch(nodes: DataFrame, edges: DataFrame, size: int = 20) -> tuple[Dat
     return kept.select("graph", "id", "kind", "degree"), inside.select("graph", "source", "target")
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+def neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, limit: int = DEFAULT_NEIGHBORS) -> tuple[DataFrame, DataFrame]:
     """For every center (graph, center): the center and its best neighbours, and the edges among them.
 
-    Nodes: graph, center, id, kind, degree, place (0: the center), neighbors (all of them), truncated.
+    Nodes: graph, center, id, kind, degree, place (0: the center), neighbors (all of them), truncated.  ``limit`` is from 1
+    to ``MAX_NEIGHBORS``.
     """
-    flat = edges.where("source <> target")
-    ends = flat.select("graph", F.col("source").alias("center"), F.col("target").alias("id")).unionByName(flat.select("graph", F.col("target").alias("center"), F.col("source").alias("id"))).distinct()
+    limit = clamp(limit, MAX_NEIGHBORS)
     known = nodes.select("graph", "id", "kind", "degree")
-    centers = centers.join(known.select("graph", F.col("id").alias("center")), ["graph", "center"], "left_semi").distinct()
-    near = ends.join(centers, ["graph", "center"], "left_semi").join(known, ["graph", "id"])
-    by_center = Window.partitionBy("graph", "center")
-    near = near.withColumn("place", F.row_number().over(by_center.orderBy(F.desc("degree"), "id")).cast("long")).withColumn("neighbors", F.count(F.lit(1)).over(by_center))
-    totals = near.groupBy("graph", "center").agg(F.max("neighbors").alias("neighbors"))
-    middle = centers.withColumn("id", F.col("center")).join(known, ["graph", "id"]).join(totals, ["graph", "center"], "left").na.fill(0, ["neighbors"]).withColumn("place", F.lit(0).cast("long"))
-    kept = near.where(F.col("place") <= limit).unionByName(middle).withColumn("truncated", F.col("neighbors") > limit)
+    centers = centers.select("graph", "center").distinct().join(known.select("graph", F.col("id").alias("center")), ["graph", "center"], "left_semi")
+    # Centers meet the edge ends first, so only their own edges are made distinct.
+    end = lambda a, b: F.struct(F.col(a).alias("center"), F.col(b).alias("id"))
+    ends = edges.where("source <> target").select("graph", F.explode(F.array(end("source", "target"), end("target", "source"))).alias("e")).select("graph", "e.center", "e.id")
+    near = ends.join(centers, ["graph", "center"], "left_semi").distinct().join(known, ["graph", "id"])
+    totals = near.groupBy("graph", "center").agg(F.count(F.lit(1)).alias("neighbors"))
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("graph", "center").orderBy(F.desc("degree"), "id")).cast("long")).where(F.col("place") <= limit)
+    middle = centers.withColumn("id", F.col("center")).join(known, ["graph", "id"]).withColumn("place", F.lit(0).cast("long"))
+    kept = best.unionByName(middle).join(totals, ["graph", "center"], "left").na.fill(0, ["neighbors"])
+    kept = written(kept.select("graph", "center", "id", "kind", "degree", "place", "neighbors", (F.col("neighbors") > limit).alias("truncated")), "hood")  # few rows a center, used thrice
     members = kept.select("graph", "center", F.col("id").alias("source"))
     inside = edges.join(members, ["graph", "source"]).join(members.withColumnRenamed("source", "target"), ["graph", "center", "target"])
     return kept, inside.select("graph", "center", "source", "target", "kind", "label")
@@ -60,9 +69,16 @@ def node_details(triples: DataFrame, subjects: DataFrame, limit: int = 500) -> D
     """
     out = triples.join(subjects.withColumnRenamed("id", "s"), ["graph", "s"], "left_semi").select("graph", F.col("s").alias("id"), F.lit("out").alias("direction"), "p", F.col("o").alias("value"), F.lit(True).alias("listed"))
     into = triples.where("o_kind <> 'literal'").join(subjects.withColumnRenamed("id", "o"), ["graph", "o"], "left_semi").select("graph", F.col("o").alias("id"), F.lit("in").alias("direction"), "p", F.col("s").alias("value"), (F.col("s_kind") == "iri").alias("listed"))
-    both = out.unionByName(into).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("graph", "id", "direction")))
-    listed = both.where("listed").withColumn("place", F.row_number().over(Window.partitionBy("graph", "id", "direction").orderBy("p", "value")).cast("long"))
-    return listed.where(F.col("place") <= limit).drop("listed")
+    both, key = out.unionByName(into), ["graph", "id", "direction"]
+    totals = both.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
+    # A filter on the rank alone lets every task cut its own rows to ``limit`` before they meet.
+    listed = both.where("listed").drop("listed").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("p", "value")).cast("long"))
+    return listed.where(F.col("place") <= limit).join(totals, key)
+
+
+def undrawn_results(hits: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``hits`` (graph, id, ...) whose node is not among the drawn ones."""
+    return hits.join(drawn.select("graph", "id"), ["graph", "id"], "left_anti")
 
 
 def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
@@ -85,6 +101,7 @@ def suggest_entities(nodes: DataFrame, limit: int = 8, per_kind: int = 3) -> Dat
     return ranked(chosen.where(F.col("turn") <= limit).drop("in_kind", "turn"))
 
 
+#: What kinds are called (fixed values).
 _PLURAL = {"class": "classes", "objectProperty": "object properties", "datatypeProperty": "datatype properties", "annotationProperty": "annotation properties", "property": "properties", "concept": "SKOS concepts", "conceptScheme": "concept schemes", "collection": "collections", "individual": "individuals", "ontology": "ontology headers", "other": "others"}
 _SINGLE = {"class": "class", "objectProperty": "object property", "datatypeProperty": "datatype property", "annotationProperty": "annotation property", "property": "property", "concept": "SKOS concept", "conceptScheme": "concept scheme", "collection": "collection", "individual": "individual", "ontology": "ontology header", "other": "other"}
 
@@ -103,10 +120,3 @@ def contents_sentence(nodes: DataFrame) -> DataFrame:
     many = F.concat(F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), ", "), F.lit(" and "), F.element_at("parts", -1))
     listed = F.when(F.size("parts") > 1, many).otherwise(F.element_at("parts", 1))
     return parts.select("graph", F.concat(F.lit("This ontology describes "), listed, F.lit(".")).alias("sentence"))
-
-
-def incoming_outgoing(triples: DataFrame) -> DataFrame:
-    """graph, id, outgoing, incoming statements between IRIs."""
-    links = iri_links(triples)
-    ends = links.select("graph", F.col("s").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select("graph", F.col("o").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return ends.groupBy("graph", "id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import csv_quote, label_or_name, prefixed
+from graphloom.plans.tables import written
 
 
 def row_cap(frame: DataFrame, cap: int = 1_000) -> tuple[DataFrame, bool]:
@@ -23,10 +24,11 @@ def enrich(frame: DataFrame, labels: DataFrame, prefixes: DataFrame, columns: li
     return out.select(*[x for x in frame.columns if x not in columns], *structs)
 
 
-def term_struct(kind: Column, value: Column, lang: Column, datatype: Column) -> Column:
-    """A term as type, value, lang and datatype."""
+def term_struct(kind: Column, value: Column, lang: Column, datatype: Column, label: Column | None = None, short: Column | None = None) -> Column:
+    """A term as type, value, lang, datatype, label and prefixed form; only an IRI has the last two."""
     name = F.when(kind == "iri", "uri").when(kind == "bnode", "bnode").otherwise("literal")
-    return F.struct(name.alias("type"), value.alias("value"), lang.alias("lang"), datatype.alias("datatype"))
+    only_iri = lambda c: F.when(kind == "iri", F.lit(None).cast("string") if c is None else c)
+    return F.struct(name.alias("type"), value.alias("value"), lang.alias("lang"), datatype.alias("datatype"), only_iri(label).alias("label"), only_iri(short).alias("prefixed"))
 
 
 def sort_keys(term: Column, label: Column) -> list[Column]:
@@ -37,6 +39,23 @@ def sort_keys(term: Column, label: Column) -> list[Column]:
     return [F.when(is_number, number).asc_nulls_last(), text.asc()]
 
 
+def with_places(frame: DataFrame, *order: Column | str) -> DataFrame:
+    """``frame`` with ``place`` (from 1) in the order of the whole table.
+
+    Rows are dealt by ranges of the order and numbered inside each; the ranges' row counts, one small row each, give the
+    numbers that come before.  Equal rows share a range.
+    """
+    ranged = written(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dict(ranged.groupBy("_part").count().collect())
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    earlier = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part")) if before else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("place", (earlier + inside).cast("long")).drop("_part")
+
+
 def page(frame: DataFrame, order: list, number: int, size: int = 15) -> DataFrame:
     """One page after sorting; a page past the end is the last one."""
     pages = max(1, -(-frame.count() // size))
@@ -83,10 +102,6 @@ def export_json(frame: DataFrame, columns: list[str], path: str) -> None:
     json_lines(frame, columns).select("line").write.text(path)
 
 
-def count_by_first(frame: DataFrame, first: str, last: str) -> DataFrame:
-    return frame.groupBy("graph", first).agg(F.countDistinct(last).alias("count"))
-
-
 def preview_rows(frame: DataFrame, triples: int, rows: int = 5, most: int = 50_000) -> DataFrame:
     """A small preview, only where the graph has at most ``most`` triples."""
     return frame.limit(rows if triples <= most else 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.terms import default_datatype, is_literal_type, label_or_name, pick_label
 from graphloom.functions.vocab import CLASS_KINDS, META_CLASSES, OWL, RDF, RDFS, SCHEMA_PREDICATES, SUBCLASS, THING, TYPE, XSD
-from graphloom.operators.closure import path_closure
+from graphloom.operators.closure import chain_closure, path_closure
 from graphloom.operators.entity_graph import iri_links, subclass_parents
 
 MAX_LINKS, MAX_DATA_PROPS, MAX_DEPTH = 60_000, 200, 8
@@ -23,10 +23,10 @@ def class_instances(triples: DataFrame) -> DataFrame:
     return instance_types(triples).groupBy("graph", F.col("type").alias("iri")).agg(F.count(F.lit(1)).alias("instances"))
 
 
-def rdf_list_items(triples: DataFrame, heads: DataFrame, max_length: int = 1000) -> DataFrame:
-    """graph, head, member, member_kind of the collections that start at (graph, head)."""
+def rdf_list_items(triples: DataFrame, heads: DataFrame) -> DataFrame:
+    """graph, head, member, member_kind of the collections that start at (graph, head), of any length; cycles are safe."""
     rest = triples.where((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select("graph", F.col("s").alias("a"), F.col("o").alias("b"))
-    cells = path_closure(rest, heads.select("graph", F.col("head").alias("start")), reflexive=True, max_depth=max_length)
+    cells = chain_closure(rest, heads.select("graph", F.col("head").alias("start")))
     first = triples.where(F.col("p") == RDF + "first").select("graph", F.col("s").alias("node"), F.col("o").alias("member"), F.col("o_kind").alias("member_kind"))
     return cells.join(first, ["graph", "node"]).select("graph", F.col("start").alias("head"), "member", "member_kind").distinct()
 
@@ -188,6 +188,40 @@ def rank_link_options(options: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def append_class(links: DataFrame, lineage: DataFrame, labels: DataFrame, path: list[str], classes: DataFrame) -> DataFrame:
+    """graph, class, anchor, predicate, inverse: where each class (graph, class) joins a query of the steps ``path``.
+
+    It hangs on the newest step that any predicate relates it to, either way and through ancestors of both, by the
+    first-ranked predicate; a class related to no step has no row.
+    """
+    steps = links.sparkSession.createDataFrame(list(enumerate(path)), "anchor long, id string")
+    above = lineage.select("graph", "id", "ancestor", (F.col("depth") == 0).alias("own"))
+    step = above.join(F.broadcast(steps), "id").select("graph", "anchor", F.col("ancestor").alias("near"), F.col("own").alias("own_near"))
+    new = above.join(classes.select("graph", F.col("class").alias("id")), ["graph", "id"]).select("graph", F.col("id").alias("class"), F.col("ancestor").alias("far"), F.col("own").alias("own_far"))
+    way = lambda a, b, inverse: links.select("graph", F.col(a).alias("near"), F.col(b).alias("far"), "predicate", "declared", "restriction", "n", F.lit(inverse).alias("inverse"))
+    both = way("source", "target", False).unionByName(way("target", "source", True)).join(step, ["graph", "near"]).join(new, ["graph", "far"])
+    key = ["graph", "class", "anchor", "predicate", "inverse"]
+    options = both.groupBy(*key).agg(F.bool_or(F.col("own_near") & F.col("own_far")).alias("direct"), F.bool_or("declared").alias("declared"), F.bool_and("restriction").alias("restriction"), F.max("n").alias("n"))
+    options = label_or_name(options, labels, "predicate")
+    order = Window.partitionBy("graph", "class").orderBy(F.desc("anchor"), F.desc("direct"), F.desc(F.col("n") > 0), F.desc("declared"), "restriction", F.desc("n"), F.lower("label"), "predicate", "inverse")
+    return options.withColumn("place", F.row_number().over(order)).where("place = 1").select(*key)
+
+
+def query_schema(triples: DataFrame, prefixes: DataFrame, restrictions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole schema: classes, links, data_props, super_classes, namespaces (with the empty prefix) and truncated by graph."""
+    restrictions = restriction_links(triples) if restrictions is None else restrictions
+    links, props = schema_links(triples, restrictions), schema_data_props(triples, restrictions)
+    cut = links.select("graph", "truncated").unionByName(props.select("graph", "truncated"))
+    return {
+        "classes": schema_classes(triples, restrictions),
+        "links": links.drop("truncated"),
+        "data_props": props.drop("truncated"),
+        "super_classes": super_classes(triples, restrictions),
+        "namespaces": prefixes.select("graph", "prefix", "namespace").distinct(),
+        "truncated": cut.groupBy("graph").agg(F.bool_or("truncated").alias("truncated")),
+    }
+
+
 def inherited_data_props(data_props: DataFrame, lineage: DataFrame) -> DataFrame:
     """graph, id, predicate, datatype, n, from_class: of every class and its ancestors, the nearest wins."""
     rows = lineage.join(data_props.withColumnRenamed("class", "ancestor"), ["graph", "ancestor"])

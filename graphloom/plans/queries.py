@@ -48,13 +48,17 @@ class Kg:
     def labels(self) -> DataFrame:
         return self.view("labels", lambda: terms.pick_label(self.t))
 
+    @cached_property
+    def kinds(self) -> DataFrame:
+        return self.view("kinds", lambda: eg.typed_kinds(self.t))
+
     @cached_property
     def edges(self) -> DataFrame:
-        return self.view("edges", lambda: eg.all_edges(self.t))
+        return self.view("edges", lambda: eg.all_edges(self.t, self.kinds))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.view("nodes", lambda: eg.entity_nodes(self.t, self.edges))
+        return self.view("nodes", lambda: eg.entity_nodes(self.t, self.edges, self.kinds))
 
     @cached_property
     def restrictions(self) -> DataFrame:
@@ -127,20 +131,24 @@ def _(g: Kg) -> DataFrame:
     return g.table("pages").select("page_id", ntriples.detect_format(F.concat("url", ending)).alias("format"))
 
 
-@kg("ingest_graph", Q("SELECT graph, count(*) AS triples FROM (SELECT DISTINCT * FROM t) GROUP BY graph"))
+_SPACES = "SELECT graph, string_agg(prefix || '=' || namespace, ' ' ORDER BY prefix || '=' || namespace) AS namespaces FROM prefixes WHERE prefix <> '' GROUP BY graph"
+
+
+@kg("ingest_graph", Q(f"SELECT x.graph, triples, coalesce(namespaces, '') AS namespaces, '2024-05-01' AS addedAt, 'first' AS load FROM (SELECT graph, count(*) AS triples FROM (SELECT DISTINCT * FROM t) GROUP BY graph) x LEFT JOIN ({_SPACES}) n ON n.graph = x.graph"))
 def _(g: Kg) -> DataFrame:
     doubled = g.t.unionByName(g.t.where("graph = 'model'"))
-    return library.ingest_graph(doubled, shared_path(g.spark, "library"))
+    return library.ingest_graph(doubled, g.prefixes, shared_path(g.spark, "library"), added_at="2024-05-01", load="first")
 
 
 @kg(
     "library_summary",
     Q(
-        "SELECT x.graph, triples, coalesce(k.nodes, 0) AS nodes, coalesce(e.edges, 0) AS edges, coalesce(e.assertions, 0) AS assertions, coalesce(k.kinds, '') AS kinds, coalesce(n.namespaces, '') AS namespaces, coalesce(c.card, '') AS card FROM (SELECT graph, count(*) AS triples FROM (SELECT DISTINCT * FROM t) GROUP BY graph) x LEFT JOIN (SELECT graph, CAST(sum(n) AS BIGINT) AS nodes, string_agg(kind || '=' || n, ' ' ORDER BY kind || '=' || n) AS kinds FROM (SELECT graph, kind, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY graph) k ON k.graph = x.graph LEFT JOIN (SELECT graph, count(*) AS edges, count(*) FILTER (kind = 'assertion') AS assertions FROM edges GROUP BY graph) e ON e.graph = x.graph LEFT JOIN (SELECT graph, string_agg(prefix || '=' || namespace, ' ' ORDER BY prefix || '=' || namespace) AS namespaces FROM prefixes WHERE prefix <> '' GROUP BY graph) n ON n.graph = x.graph LEFT JOIN (SELECT graph, string_agg(id, ' ' ORDER BY place) AS card FROM ranked WHERE place <= 20 GROUP BY graph) c ON c.graph = x.graph"
+        "SELECT x.graph, triples, coalesce(k.nodes, 0) AS nodes, coalesce(e.edges, 0) AS edges, coalesce(e.assertions, 0) AS assertions, coalesce(k.kinds, '') AS kinds, coalesce(n.namespaces, '') AS namespaces, coalesce(c.card, '') AS card, '2024-01-0' || length(x.graph) AS addedAt FROM (SELECT graph, count(*) AS triples FROM (SELECT DISTINCT * FROM t) GROUP BY graph) x LEFT JOIN (SELECT graph, CAST(sum(n) AS BIGINT) AS nodes, string_agg(kind || '=' || n, ' ' ORDER BY kind || '=' || n) AS kinds FROM (SELECT graph, kind, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY graph) k ON k.graph = x.graph LEFT JOIN (SELECT graph, count(*) AS edges, count(*) FILTER (kind = 'assertion') AS assertions FROM edges GROUP BY graph) e ON e.graph = x.graph LEFT JOIN (SELECT graph, string_agg(prefix || '=' || namespace, ' ' ORDER BY prefix || '=' || namespace) AS namespaces FROM prefixes WHERE prefix <> '' GROUP BY graph) n ON n.graph = x.graph LEFT JOIN (SELECT graph, string_agg(id, ' ' ORDER BY place) AS card FROM ranked WHERE place <= 20 GROUP BY graph) c ON c.graph = x.graph"
     ),
 )
 def _(g: Kg) -> DataFrame:
-    return library.library_summary(g.t, g.nodes, g.edges, g.prefixes)
+    added = g.t.select("graph").distinct().withColumn("addedAt", F.concat(F.lit("2024-01-0"), F.length("graph")))
+    return library.library_summary(g.t, g.nodes, g.edges, g.prefixes, added)
 
 
 _LOG = "SELECT 'q' || (event_id % 97) AS id, CASE event_id % 3 WHEN 0 THEN 'trade' WHEN 1 THEN 'places' ELSE 'model' END AS graph, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE 'name ' || (event_id % 11) END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE props END AS state, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS moment FROM events"
@@ -211,10 +219,25 @@ def _(g: Kg) -> DataFrame:
     return library.source_excerpt(g.table("documents").select("doc_id", "text"), "text", 400).select("doc_id", "excerpt", "octets", "truncated")
 
 
-@kg("first_mention", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), w AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Za-z0-9_\\-%~:/#.]+')) AS name FROM l) SELECT doc_id, name, CAST(min(n) AS BIGINT) AS line FROM w WHERE name IN (SELECT DISTINCT lower(left(n_name, 3)) FROM nation UNION SELECT unnest(['the', 'and', 'le', 'der', 'que'])) GROUP BY ALL")
+_MENTIONS = "text || chr(10) || 'seen: <http://kg/nation/' || (doc_id % 30) || '>, nation:' || (doc_id % 7) || 'z ex:nation:' || (doc_id % 11) || '.' || chr(10) || 'kg:' || (doc_id % 6) || ' and nation:' || (doc_id % 5)"
+
+
+@kg(
+    "first_mention",
+    f"""WITH d AS (SELECT doc_id, string_split({_MENTIONS}, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM d), m AS (
+  SELECT 'http://kg/nation/' || n_nationkey AS iri, 'nation:' || n_nationkey AS prefixed FROM nation UNION ALL SELECT 'http://kg/region/' || r_regionkey, ':' || r_regionkey FROM region
+), needle AS (SELECT iri, 0 AS turn, iri AS needle FROM m UNION ALL SELECT iri, 1, prefixed FROM m), hit AS (
+  SELECT doc_id, iri, turn, n FROM l JOIN needle ON contains(line, needle) AND regexp_matches(line, regexp_escape(needle) || '([^A-Za-z0-9_%~-]|$)')
+)
+SELECT doc_id, iri, CAST(arg_min(n, turn * 1000000 + n) AS BIGINT) AS line FROM hit GROUP BY ALL""",
+)
 def _(g: Kg) -> DataFrame:
-    words = g.spark.createDataFrame([(w,) for w in ("the", "and", "le", "der", "que")], "name string").unionByName(g.table("nation").select(F.lower(F.substring("n_name", 1, 3)).alias("name")))
-    return library.first_mention(g.table("documents"), words, doc="doc_id", text="text")
+    """Texts of the documents, each with lines that mention nations and regions in several ways."""
+    i = F.col("doc_id")
+    lines = F.concat("text", F.lit("\nseen: <http://kg/nation/"), i % 30, F.lit(">, nation:"), i % 7, F.lit("z ex:nation:"), i % 11, F.lit(".\nkg:"), i % 6, F.lit(" and nation:"), i % 5)
+    nations = g.table("nation").select(F.concat(F.lit("http://kg/nation/"), "n_nationkey").alias("iri"), F.concat(F.lit("nation:"), "n_nationkey").alias("prefixed"))
+    regions = g.table("region").select(F.concat(F.lit("http://kg/region/"), "r_regionkey").alias("iri"), F.col("r_regionkey").cast("string").alias("prefixed"))
+    return library.first_mention(g.table("documents").select("doc_id", lines.alias("text")), nations.unionByName(regions), doc="doc_id", text="text")
 
 
 @kg("url_normalize", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://raw.githubusercontent.com/o/r/main/f' || page_id || '.ttl' ELSE url END AS url FROM pages")
@@ -257,7 +280,17 @@ def _(g: Kg) -> DataFrame:
     return terms.first_literal(g.t, (*DESCRIPTIONS, SKOS + "prefLabel", RDFS + "label"))
 
 
-@kg("prefixed", Q(f"SELECT graph, iri, {sql.prefix('iri', 'u.graph')} AS prefixed FROM (SELECT DISTINCT graph, p AS iri FROM t UNION SELECT DISTINCT graph, s FROM t WHERE s_kind = 'iri' AND graph <> 'trade') AS u"))
+_KNOWN = ("known", "SELECT graph, namespace, min(prefix) AS prefix FROM prefixes GROUP BY ALL")
+
+
+@kg(
+    "prefixed",
+    Q(
+        "SELECT u.graph, iri, CASE WHEN k.prefix IS NULL OR iri = ns THEN iri WHEN k.prefix = '' THEN substr(iri, length(ns) + 1) ELSE k.prefix || ':' || substr(iri, length(ns) + 1) END AS prefixed FROM u LEFT JOIN known k ON k.graph = u.graph AND k.namespace = u.ns",
+        _KNOWN,
+        ("u", "SELECT *, regexp_extract(iri, '^(.*[#/])([^#/]*)$', 1) AS ns FROM (SELECT DISTINCT graph, p AS iri FROM t UNION SELECT DISTINCT graph, s FROM t WHERE s_kind = 'iri')"),
+    ),
+)
 def _(g: Kg) -> DataFrame:
     iris = g.t.select("graph", F.col("p").alias("iri")).union(g.t.where("s_kind = 'iri'").select("graph", "s")).distinct()
     return terms.prefixed(iris, g.prefixes, "iri")
@@ -266,7 +299,9 @@ def _(g: Kg) -> DataFrame:
 @kg(
     "shorten",
     Q(
-        "SELECT graph, iri, coalesce((SELECT CASE WHEN regexp_matches(rest, '^[A-Za-z_][A-Za-z0-9_-]*$') THEN pre || ':' || rest ELSE '<' || iri || '>' END FROM (SELECT x.prefix AS pre, substr(u.iri, length(x.namespace) + 1) AS rest FROM prefixes x WHERE x.graph = u.graph AND starts_with(u.iri, x.namespace) ORDER BY length(x.namespace) DESC, x.prefix DESC LIMIT 1)), '<' || iri || '>') AS short FROM (SELECT DISTINCT graph, p AS iri FROM t UNION SELECT DISTINCT graph, o FROM t WHERE o_kind = 'iri' AND graph <> 'trade') u"
+        "SELECT u.graph, u.iri, CASE WHEN regexp_matches(b.rest, '^[A-Za-z_][A-Za-z0-9_-]*$') THEN b.pre || ':' || b.rest ELSE '<' || u.iri || '>' END AS short FROM u LEFT JOIN best b ON b.graph = u.graph AND b.iri = u.iri AND b.k = 1",
+        ("u", "SELECT DISTINCT graph, p AS iri FROM t UNION SELECT DISTINCT graph, o FROM t WHERE o_kind = 'iri'"),
+        ("best", "SELECT u.graph, u.iri, x.prefix AS pre, substr(u.iri, length(x.namespace) + 1) AS rest, row_number() OVER (PARTITION BY u.graph, u.iri ORDER BY length(x.namespace) DESC, x.prefix DESC) AS k FROM u JOIN prefixes x ON x.graph = u.graph AND starts_with(u.iri, x.namespace)"),
     ),
 )
 def _(g: Kg) -> DataFrame:
@@ -275,10 +310,17 @@ def _(g: Kg) -> DataFrame:
     return out.withColumn("short", F.coalesce("short", F.concat(F.lit("<"), "iri", F.lit(">"))))
 
 
-@kg("term_struct", Q("SELECT graph, type, count(*) AS n, count(lang) AS langs, count(datatype) AS datatypes FROM (SELECT graph, CASE o_kind WHEN 'iri' THEN 'uri' ELSE o_kind END AS type, o_lang AS lang, o_datatype AS datatype FROM t) GROUP BY ALL"))
+@kg(
+    "term_struct",
+    Q(
+        f"SELECT t.graph, t.s, t.p, CASE t.o_kind WHEN 'iri' THEN 'uri' ELSE t.o_kind END AS type, t.o AS value, t.o_lang AS lang, t.o_datatype AS datatype, CASE WHEN t.o_kind = 'iri' THEN coalesce(l.label, {sql.local('t.o')}) END AS label, CASE WHEN t.o_kind = 'iri' THEN CASE WHEN k.prefix IS NULL OR t.o = k.namespace THEN t.o WHEN k.prefix = '' THEN substr(t.o, length(k.namespace) + 1) ELSE k.prefix || ':' || substr(t.o, length(k.namespace) + 1) END END AS prefixed FROM t LEFT JOIN labels l ON l.graph = t.graph AND l.s = t.o LEFT JOIN known k ON k.graph = t.graph AND k.namespace = regexp_extract(t.o, '^(.*[#/])([^#/]*)$', 1)",
+        _KNOWN,
+    ),
+)
 def _(g: Kg) -> DataFrame:
-    cell = g.t.select("graph", results.term_struct(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_datatype")).alias("x"))
-    return cell.groupBy("graph", "x.type").agg(F.count(F.lit(1)).alias("n"), F.count("x.lang").alias("langs"), F.count("x.datatype").alias("datatypes"))
+    rows = terms.prefixed(terms.label_or_name(g.t, g.labels, "o"), g.prefixes, "o", "short")
+    cell = results.term_struct(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_datatype"), F.col("label"), F.col("short"))
+    return rows.select("graph", "s", "p", cell.alias("x")).select("graph", "s", "p", "x.type", "x.value", "x.lang", "x.datatype", "x.label", "x.prefixed")
 
 
 @kg("bnode_inline", Q(f"SELECT graph, s, '[' || string_agg(DISTINCT x, '; ' ORDER BY x) || ']' AS text FROM (SELECT graph, s, {sql.prefix('p', 't.graph')} || ' ' || CASE o_kind WHEN 'bnode' THEN '…' WHEN 'iri' THEN {sql.prefix('o', 't.graph')} ELSE o END AS x FROM t WHERE s_kind = 'bnode') GROUP BY graph, s"))
@@ -311,7 +353,7 @@ def _(g: Kg) -> DataFrame:
     return g.edges.select("graph", terms.edge_key(F.col("kind"), F.col("label"), F.col("source"), F.col("target")).alias("key"))
 
 
-@kg("slug_filename", "SELECT doc_id, CASE WHEN s = '' THEN 'ontology' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(left(text, 30)), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-. ]+|[-. ]+$', '', 'g') AS s FROM documents)")
+@kg("slug_filename", "SELECT doc_id, CASE WHEN s = '' THEN 'ontology' ELSE s END AS stem FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-. ]+|[-. ]+$', '', 'g') AS s FROM documents)")
 def _(g: Kg) -> DataFrame:
     return g.table("documents").select("doc_id", terms.slug_filename(F.concat("text", F.lit(".ttl"))).alias("stem"))
 
@@ -322,7 +364,7 @@ def _(g: Kg) -> DataFrame:
     return g.table("documents").select("doc_id", terms.neutralize_formula(F.concat(mark, "text")).alias("field"))
 
 
-@kg("csv_quote", "SELECT doc_id, CASE WHEN regexp_matches(n, '[\",\r\n]') THEN '\"' || replace(n, '\"', '\"\"') || '\"' ELSE n END AS field FROM (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN '''' ELSE '' END || x AS n FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@\"' ELSE '.' END || left(text, 60) AS x FROM documents))")
+@kg("csv_quote", "SELECT doc_id, CASE WHEN regexp_matches(n, '[\",\r\n]') THEN '\"' || replace(n, '\"', '\"\"') || '\"' ELSE n END AS field FROM (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN '''' ELSE '' END || x AS n FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@\"' ELSE '.' END || text AS x FROM documents))")
 def _(g: Kg) -> DataFrame:
     i = F.col("doc_id") % 5
     return g.table("documents").select("doc_id", terms.csv_quote(F.concat(F.when(i == 0, "=").when(i == 1, '@"').otherwise("."), "text")).alias("field"))
@@ -348,12 +390,9 @@ def _(g: Kg) -> DataFrame:
 
 @kg("sort_value", Q(f"SELECT graph, s, o, row_number() OVER (ORDER BY TRY_CAST(o AS DOUBLE) NULLS LAST, lower(o), s, p, graph) AS place FROM t WHERE o_kind = 'literal' AND {sql.within('p', (V + 'acctbal', V + 'segment'))}"))
 def _(g: Kg) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = g.t.where((F.col("o_kind") == "literal") & F.col("p").isin(V + "acctbal", V + "segment"))
     cell = results.term_struct(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_datatype"))
-    place = F.row_number().over(Window.orderBy(*results.sort_keys(cell, F.lit(None).cast("string")), "s", "p", "graph"))
-    return rows.select("graph", "s", "o", place.cast("long").alias("place"))
+    return results.with_places(rows, *results.sort_keys(cell, F.lit(None).cast("string")), "s", "p", "graph").select("graph", "s", "o", "place")
 
 
 # --- 2.C filters -----------------------------------------------------------------------------------------------
@@ -369,7 +408,6 @@ def _filtered(name: str, prop: Prop, condition: str) -> None:
 
 
 _filtered("filter_numeric", Prop(V + "acctbal", "x", XSD + "decimal", filter=Filter(">=", "500.5")), "TRY_CAST(o AS DECIMAL(38, 10)) >= 500.5")
-_filtered("filter_boolean", Prop(V + "segment", "x", XSD + "boolean", filter=Filter("!=", "true")), "TRY_CAST(o AS BOOLEAN) <> true")
 _filtered("filter_temporal", Prop(V + "orderDate", "x", XSD + "date", filter=Filter("<", "1995-06-01")), "TRY_CAST(o AS DATE) < DATE '1995-06-01'")
 _filtered("filter_lexical", Prop(V + "segment", "x", XSD + "string", filter=Filter(">", "FURN")), "o > 'FURN'")
 _filtered("filter_contains", Prop(RDFS + "label", "x", filter=Filter("contains", "OMER#0000001")), "contains(lower(o), 'omer#0000001')")
@@ -377,6 +415,19 @@ _filtered("filter_starts_with", Prop(RDFS + "label", "x", filter=Filter("startsW
 _filtered("filter_lang", Prop(SKOS + "prefLabel", "x", filter=Filter("lang", "fr")), "coalesce(o_lang, '') = 'fr'")
 
 
+_filtered("filter_numeric_forms", Prop(V + "size", "x", XSD + "integer", filter=Filter("<", " 2.5e1 ")), "TRY_CAST(o AS DECIMAL(38, 10)) < 25")
+
+
+@kg("filter_boolean", Q(f"SELECT graph, s, o FROM (SELECT graph, s, CASE CAST(o AS INTEGER) % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'maybe' END AS o FROM t WHERE p = '{V}size') WHERE TRY_CAST(o AS BOOLEAN) <> true"))
+def _(g: Kg) -> DataFrame:
+    """Truth values made from the sizes of parts; a value that cannot be read never passes."""
+    from graphloom.operators.pattern import filter_condition
+
+    third = F.col("o").try_cast("int") % 3
+    rows = g.t.where(F.col("p") == V + "size").withColumn("o", F.when(third == 0, "true").when(third == 1, "false").otherwise("maybe"))
+    return rows.where(filter_condition(Filter("!=", "TRUE "), XSD + "boolean", F.col("o"), F.col("o_lang"))).select("graph", "s", "o")
+
+
 @kg("hide_kinds", Q("SELECT graph, source, target, kind, label FROM edges e WHERE (graph, source) IN (SELECT graph, id FROM nodes WHERE kind NOT IN ('individual', 'other')) AND (graph, target) IN (SELECT graph, id FROM nodes WHERE kind NOT IN ('individual', 'other'))"))
 def _(g: Kg) -> DataFrame:
     return eg.hide_kinds(g.nodes, g.edges, ["individual", "other"])[1]
@@ -387,6 +438,11 @@ def _(g: Kg) -> DataFrame:
     return eg.focus_neighbors(g.nodes, g.edges, "trade", "http://kg/region/1")
 
 
+@kg("focus_edges", Q("SELECT graph, source, target, kind, label, CASE WHEN source = 'http://kg/region/1' OR target = 'http://kg/region/1' THEN 'incident' ELSE 'dimmed' END AS mark FROM edges WHERE graph = 'trade'"))
+def _(g: Kg) -> DataFrame:
+    return eg.focus_edges(g.nodes, g.edges, "trade", "http://kg/region/1")
+
+
 @kg("exclude_abox", Q("SELECT k.graph, k.id, k.kind, coalesce(d.degree, 0) AS degree FROM nodes k LEFT JOIN (SELECT graph, id, count(*) AS degree FROM (SELECT graph, source AS id FROM ab UNION ALL SELECT graph, target FROM ab) GROUP BY ALL) d ON d.graph = k.graph AND d.id = k.id WHERE k.kind <> 'individual'", ("ab", "SELECT * FROM edges WHERE kind NOT IN ('instanceOf', 'assertion') AND (graph, source) IN (SELECT graph, id FROM nodes WHERE kind <> 'individual') AND (graph, target) IN (SELECT graph, id FROM nodes WHERE kind <> 'individual')")))
 def _(g: Kg) -> DataFrame:
     return eg.exclude_abox(g.nodes, g.edges)[0].select("graph", "id", "kind", "degree")
@@ -462,7 +518,7 @@ _pattern("count_single", QueryState((Step(V + "Part", "part"),), aggregate="coun
 _pattern(
     "distinct_rows",
     QueryState((Step(V + "Part", "part"), Step(V + "Order", "order", link=Link(0, ((V + "contains", True),))), Step(V + "Customer", "customer", link=Link(1, ((V + "placedBy", False),)))), limit=None, distinct=True, paths_mode=True),
-    f"SELECT DISTINCT c.graph, c.o AS part, p.o AS customer FROM t c JOIN t p ON p.graph = c.graph AND p.s = c.s AND p.p = '{V}placedBy' WHERE c.p = '{V}contains' AND c.o IN ({', '.join(repr(f'http://kg/part/{i}') for i in range(1, 40))})",
+    f"SELECT DISTINCT c.graph, c.o AS part, p.o AS customer FROM t c JOIN t p ON p.graph = c.graph AND p.s = c.s AND p.p = '{V}placedBy' WHERE c.p = '{V}contains'",
 )
 _pattern(
     "run_pattern",
@@ -505,7 +561,7 @@ def _(g: Kg) -> DataFrame:
 
 for _name, _table, _make in (
     ("structural_edges", "sedge", lambda g: eg.structural_edges(g.t)),
-    ("instance_edges", "iedge", lambda g: eg.instance_edges(g.t, eg.typed_kinds(g.t))),
+    ("instance_edges", "iedge", lambda g: eg.instance_edges(g.t, g.kinds)),
     ("assertion_edges", "aedge", lambda g: eg.assertion_edges(g.t)),
     ("entity_graph_edges", "edges", lambda g: g.edges),
     ("entity_kinds", "ekinds", lambda g: eg.entity_kinds(g.t, g.edges)),
@@ -534,11 +590,35 @@ def _(g: Kg) -> DataFrame:
     return schema.super_classes(g.t, g.restrictions)
 
 
-@kg("query_schema", Q("SELECT c.graph, classes, links, props, parents FROM (SELECT graph, count(*) AS classes FROM scls GROUP BY graph) c LEFT JOIN (SELECT graph, count(*) AS links FROM slink GROUP BY graph) USING (graph) LEFT JOIN (SELECT graph, count(*) AS props FROM sdata GROUP BY graph) USING (graph) LEFT JOIN (SELECT graph, count(DISTINCT child) AS parents FROM subc WHERE (graph, child) IN (SELECT graph, iri FROM scls) AND (graph, parent) IN (SELECT graph, iri FROM scls) GROUP BY graph) USING (graph)"))
+_PARENTS = "SELECT graph, child, string_agg(parent, ' ' ORDER BY parent) AS parents FROM subc WHERE (graph, child) IN (SELECT graph, iri FROM scls) AND (graph, parent) IN (SELECT graph, iri FROM scls) GROUP BY ALL"
+
+
+@kg(
+    "query_schema",
+    Q(
+        f"SELECT graph, 'class' AS part, iri AS a, label AS b, kind AS c, instances AS n FROM sclass UNION ALL SELECT graph, 'link', source || ' ' || predicate, target, CASE WHEN declared THEN 'declared ' ELSE '' END || CASE WHEN restriction THEN 'restriction' ELSE '' END, n FROM slink UNION ALL SELECT graph, 'property', class, predicate, datatype, n FROM sdata UNION ALL SELECT graph, 'parents', child, parents, '', 0 FROM ({_PARENTS}) UNION ALL SELECT DISTINCT graph, 'namespace', prefix, namespace, '', 0 FROM prefixes UNION ALL SELECT DISTINCT graph, 'truncated', '', '', 'false', 0 FROM (SELECT graph FROM slink UNION SELECT graph FROM sdata)"
+    ),
+)
 def _(g: Kg) -> DataFrame:
-    n = lambda df, name: df.groupBy("graph").agg(F.count(F.lit(1)).alias(name))
-    out = n(g.classes, "classes").join(n(g.links, "links"), "graph", "left").join(n(schema.schema_data_props(g.t, g.restrictions), "props"), "graph", "left")
-    return out.join(n(schema.super_classes(g.t, g.restrictions), "parents"), "graph", "left")
+    """The six parts of the schema as one table."""
+    parts = schema.query_schema(g.t, g.prefixes, g.restrictions)
+    flags = F.concat(F.when(F.col("declared"), "declared ").otherwise(""), F.when(F.col("restriction"), "restriction").otherwise(""))
+    zero = F.lit(0).cast("long")
+    row = lambda name, a, b, c, n: parts[name].select("graph", a.alias("a"), b.alias("b"), c.alias("c"), n.cast("long").alias("n"))
+    col, none = F.col, F.lit("")
+    made = {
+        "class": row("classes", col("iri"), col("label"), col("kind"), col("instances")),
+        "link": row("links", F.concat_ws(" ", "source", "predicate"), col("target"), flags, col("n")),
+        "property": row("data_props", col("class"), col("predicate"), col("datatype"), col("n")),
+        "parents": row("super_classes", col("child"), col("parents"), none, zero),
+        "namespace": row("namespaces", col("prefix"), col("namespace"), none, zero),
+        "truncated": row("truncated", none, none, col("truncated").cast("string"), zero),
+    }
+    out = None
+    for name, part in made.items():
+        part = part.select("graph", F.lit(name).alias("part"), "a", "b", "c", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _PAIR = (V + "Customer", V + "Nation")
@@ -635,7 +715,7 @@ def _(g: Kg) -> DataFrame:
     return ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40)[1]
 
 
-@kg("node_details", Q("SELECT graph, id, direction, p, value, place, total FROM (SELECT *, row_number() OVER (PARTITION BY graph, id, direction ORDER BY p, value) AS place FROM (SELECT *, count(*) OVER (PARTITION BY graph, id, direction) AS total FROM (SELECT graph, s AS id, 'out' AS direction, p, o AS value, true AS listed FROM t UNION ALL SELECT graph, o, 'in', p, s, s_kind = 'iri' FROM t WHERE o_kind <> 'literal') WHERE id LIKE 'http://kg/nation/%' OR id LIKE 'http://kg/v#%') WHERE listed) WHERE place <= 30"))
+@kg("node_details", Q("SELECT graph, id, direction, p, value, place, total FROM (SELECT *, row_number() OVER (PARTITION BY graph, id, direction ORDER BY p, value) AS place FROM (SELECT *, count(*) OVER (PARTITION BY graph, id, direction) AS total FROM (SELECT graph, s AS id, 'out' AS direction, p, o AS value, true AS listed FROM t UNION ALL SELECT graph, o, 'in', p, s, s_kind = 'iri' FROM t WHERE o_kind <> 'literal')) WHERE listed) WHERE place <= 30"))
 def _(g: Kg) -> DataFrame:
     ids = g.t.select("graph", F.col("s").alias("id")).union(g.t.where("o_kind <> 'literal'").select("graph", "o")).distinct()
     return ranking.node_details(g.t, ids, 30)
@@ -699,18 +779,36 @@ def _(g: Kg) -> DataFrame:
     return schema.next_step_filter(schema.next_step_options(g.links, g.lineage, _PATH), g.labels, "ORD").select("graph", "anchor", "predicate", "class")
 
 
+@kg(
+    "append_class",
+    Q(
+        f"SELECT graph, class, anchor, predicate, inverse FROM (SELECT o.*, row_number() OVER (PARTITION BY o.graph, o.class ORDER BY anchor DESC, direct DESC, (n > 0) DESC, declared DESC, restriction, n DESC, lower(coalesce(l.label, {sql.local('o.predicate')})), predicate, inverse) AS k FROM ropt o LEFT JOIN labels l ON l.graph = o.graph AND l.s = o.predicate) WHERE k = 1",
+        *_STEPS,
+        ("near", "SELECT l.graph, CAST(s.anchor AS BIGINT) AS anchor, l.ancestor AS fin, l.depth = 0 AS own FROM lineage l JOIN stp s ON s.id = l.id"),
+        ("ways", "SELECT graph, source AS a, target AS b, predicate, declared, restriction, n, false AS inverse FROM slink UNION ALL SELECT graph, target, source, predicate, declared, restriction, n, true FROM slink"),
+        ("ropt", "SELECT w.graph, f.id AS class, x.anchor, w.predicate, w.inverse, bool_or(x.own AND f.depth = 0) AS direct, bool_or(w.declared) AS declared, bool_and(w.restriction) AS restriction, max(w.n) AS n FROM ways w JOIN near x ON x.graph = w.graph AND x.fin = w.a JOIN lineage f ON f.graph = w.graph AND f.ancestor = w.b GROUP BY ALL"),
+    ),
+)
+def _(g: Kg) -> DataFrame:
+    return schema.append_class(g.links, g.lineage, g.labels, _PATH, g.classes.select("graph", F.col("iri").alias("class")))
+
+
+@kg("undrawn_results", Q("SELECT graph, id, label, kind FROM nodes WHERE contains(lower(label), '0001') AND (graph, id) NOT IN (SELECT graph, id FROM ranked WHERE place <= 200)"))
+def _(g: Kg) -> DataFrame:
+    hits = g.nodes.where(F.lower("label").contains("0001")).select("graph", "id", "label", "kind")
+    return ranking.undrawn_results(hits, ranking.budget_nodes(g.nodes, 200))
+
+
 @kg("query_candidates", Q("SELECT DISTINCT a.graph, f.iri FROM abv a JOIN (SELECT graph, source AS fin, target AS iri FROM slink UNION SELECT graph, target, source FROM slink) f ON f.graph = a.graph AND f.fin = a.fin", *_STEPS))
 def _(g: Kg) -> DataFrame:
     return schema.query_candidates(g.classes, g.links, g.lineage, _PATH)
 
 
-@kg("sort_results", Q(f"SELECT graph, s, o, row_number() OVER (ORDER BY TRY_CAST(o AS DOUBLE), s) AS place FROM t WHERE p = '{V}totalPrice' QUALIFY place <= 100"))
+@kg("sort_results", Q(f"SELECT graph, s, o, row_number() OVER (ORDER BY TRY_CAST(o AS DOUBLE), lower(o), s) AS place FROM t WHERE p = '{V}totalPrice'"))
 def _(g: Kg) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = g.t.where(F.col("p") == V + "totalPrice").select("graph", "s", "o")
-    top = rows.orderBy(F.col("o").try_cast("double"), "s").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("o").try_cast("double"), "s")).cast("long"))
+    rows = g.t.where(F.col("p") == V + "totalPrice").select("graph", "s", "o", "o_kind", "o_lang", "o_datatype")
+    cell = results.term_struct(F.col("o_kind"), F.col("o"), F.col("o_lang"), F.col("o_datatype"))
+    return results.with_places(rows, *results.sort_keys(cell, F.lit(None).cast("string")), "s").select("graph", "s", "o", "place")
 
 
 @kg("page_results", Q(f"SELECT graph, s FROM il WHERE p = '{TYPE}' AND o = '{V}Nation' ORDER BY s LIMIT 15 OFFSET 15"))
@@ -724,9 +822,9 @@ def _(g: Kg) -> DataFrame:
     return capped.agg(F.lit(truncated).alias("truncated"), F.count(F.lit(1)).alias("n"))
 
 
-@kg("preview_rows", Q("SELECT graph, least(count(*), 5) AS n FROM t WHERE graph = 'model' GROUP BY graph"))
+@kg("preview_rows", Q("SELECT graph, CASE WHEN count(*) <= 50000 THEN least(count(*), 5) ELSE 0 END AS n FROM t WHERE graph = 'catalog' GROUP BY graph HAVING count(*) <= 50000"))
 def _(g: Kg) -> DataFrame:
-    rows = g.t.where("graph = 'model'")
+    rows = g.t.where("graph = 'catalog'")
     return results.preview_rows(rows, rows.count()).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -786,7 +884,24 @@ def _(g: Kg) -> DataFrame:
     return hierarchy.forest_truncate(*g.forest, 9)[0].select("graph", "id")
 
 
-@kg("hierarchy", Q("SELECT graph, coalesce(c, 0) AS classes, coalesce(k, 0) AS concepts, coalesce(c, 0) + coalesce(k, 0) > 20 AS truncated FROM (SELECT graph, count(*) AS c FROM cnode GROUP BY graph) FULL JOIN (SELECT graph, count(*) AS k FROM knode GROUP BY graph) USING (graph)"))
+_ROOM = "CAST(CASE WHEN coalesce(c, 0) + coalesce(k, 0) <= 40 THEN 9000000000 WHEN coalesce(c, 0) = 0 THEN 0 ELSE greatest(1, round_even(40 * coalesce(c, 0) / (coalesce(c, 0) + coalesce(k, 0)), 0)) END AS BIGINT)"
+
+
+@kg(
+    "hierarchy",
+    Q(
+        "SELECT split_part(n.graph, '|', 1) AS graph, split_part(n.graph, '|', 2) AS forest, n.id, n.kind, CASE WHEN r.total > 40 THEN NOT EXISTS (SELECT 1 FROM fp JOIN hkept q ON q.graph = fp.graph AND q.id = fp.parent WHERE fp.graph = n.graph AND fp.child = n.id) ELSE (n.graph, n.id) IN (SELECT graph, id FROM froots) END AS root FROM hkept n JOIN hroom r ON r.graph = split_part(n.graph, '|', 1)",
+        *_PROMOTED,
+        ("hroom", f"SELECT graph, coalesce(c, 0) + coalesce(k, 0) AS total, {_ROOM} AS croom, CASE WHEN coalesce(c, 0) + coalesce(k, 0) <= 40 THEN 9000000000 ELSE 40 - {_ROOM} END AS kroom FROM (SELECT graph, count(*) AS c FROM cnode GROUP BY graph) FULL JOIN (SELECT graph, count(*) AS k FROM knode GROUP BY graph) USING (graph)"),
+        ("hplace", "SELECT n.*, row_number() OVER (PARTITION BY n.graph ORDER BY coalesce(k.n, 0) DESC, n.id) AS place FROM fn n LEFT JOIN (SELECT graph, parent, count(DISTINCT child) AS n FROM fp GROUP BY ALL) k ON k.graph = n.graph AND k.parent = n.id"),
+        ("hkept", "SELECT p.graph, p.id, p.kind FROM hplace p JOIN hroom r ON r.graph = split_part(p.graph, '|', 1) WHERE p.place <= CASE split_part(p.graph, '|', 2) WHEN 'class' THEN r.croom ELSE r.kroom END"),
+    ),
+)
+def _(g: Kg) -> DataFrame:
+    return hierarchy.hierarchy(g.t, 40)[0]
+
+
+@kg("hierarchy_counts", Q("SELECT graph, coalesce(c, 0) AS classes, coalesce(k, 0) AS concepts, coalesce(c, 0) + coalesce(k, 0) > 20 AS truncated FROM (SELECT graph, count(*) AS c FROM cnode GROUP BY graph) FULL JOIN (SELECT graph, count(*) AS k FROM knode GROUP BY graph) USING (graph)"))
 def _(g: Kg) -> DataFrame:
     return hierarchy.hierarchy_counts(g.t, 20)
 
@@ -794,10 +909,10 @@ def _(g: Kg) -> DataFrame:
 @kg(
     "tree_rows",
     Q(
-        "SELECT w.graph, array_to_string(path, ' ') AS path, w.id, CAST(len(path) - 1 AS BIGINT) AS depth, coalesce(k.n, 0) AS children, coalesce(a.places, 1) > 1 AS appears_elsewhere, sibling FROM walk w LEFT JOIN (SELECT graph, parent, count(DISTINCT child) AS n FROM fp GROUP BY ALL) k ON k.graph = w.graph AND k.parent = w.id LEFT JOIN (SELECT graph, id, count(*) AS places FROM (SELECT graph, child AS id FROM fp UNION ALL SELECT graph, start FROM froot) GROUP BY ALL) a ON a.graph = w.graph AND a.id = w.id",
+        "SELECT w.graph, array_to_string(path, ' ') AS path, w.id, CAST(len(path) - 1 AS BIGINT) AS depth, coalesce(k.n, 0) AS children, cyclic, coalesce(a.places, 1) > 1 AS appears_elsewhere, sibling FROM walk w LEFT JOIN (SELECT graph, parent, count(DISTINCT child) AS n FROM fp GROUP BY ALL) k ON k.graph = w.graph AND k.parent = w.id LEFT JOIN (SELECT graph, id, count(*) AS places FROM (SELECT graph, child AS id FROM fp UNION ALL SELECT graph, start FROM froot) GROUP BY ALL) a ON a.graph = w.graph AND a.id = w.id",
         *_PROMOTED,
         ("sibs", "SELECT graph, parent, child, row_number() OVER (PARTITION BY graph, parent ORDER BY child) AS sibling FROM fp"),
-        ("walk(graph, id, path, sibling)", "SELECT graph, id, [id], row_number() OVER (PARTITION BY graph ORDER BY id) FROM froots UNION ALL SELECT s.graph, s.child, list_append(w.path, s.child), s.sibling FROM walk w JOIN sibs s ON s.graph = w.graph AND s.parent = w.id WHERE NOT list_contains(w.path, s.child)"),
+        ("walk(graph, id, path, sibling, cyclic)", "SELECT graph, id, [id], row_number() OVER (PARTITION BY graph ORDER BY id), false FROM froots UNION ALL SELECT s.graph, s.child, list_append(w.path, s.child), s.sibling, list_contains(w.path, s.child) FROM walk w JOIN sibs s ON s.graph = w.graph AND s.parent = w.id WHERE NOT w.cyclic"),
     ),
 )
 def _(g: Kg) -> DataFrame:
@@ -841,68 +956,71 @@ def _m(g: Kg, s: str, p: str, o: str) -> Frame:
     return Frame.match(g.t, s, p, o)
 
 
-@kg("match", Q(f"SELECT s AS x, o AS y FROM t WHERE p = '{V}inRegion'"))
+@kg("match", Q(f"SELECT graph, s AS x, o AS y FROM t WHERE p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?x", V + "inRegion", "?y").data
 
 
-@kg("and_", Q(f"SELECT a.s AS c, a.o AS n, b.o AS r FROM t a JOIN t b ON b.s = a.o AND b.p = '{V}inRegion' WHERE a.p = '{V}inNation'"))
+@kg("and_", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS r FROM t a JOIN t b ON b.graph = a.graph AND b.s = a.o AND b.p = '{V}inRegion' WHERE a.p = '{V}inNation'"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?c", V + "inNation", "?n").and_(_m(g, "?n", V + "inRegion", "?r")).data
 
 
-@kg("optional", Q(f"SELECT a.s AS c, a.o AS n, b.o AS w FROM t a LEFT JOIN t b ON b.s = a.s AND b.p = '{V}segment' WHERE a.p = '{V}inNation'"))
+@kg("optional", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS w FROM t a LEFT JOIN t b ON b.graph = a.graph AND b.s = a.s AND b.p = '{V}segment' WHERE a.p = '{V}inNation'"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?c", V + "inNation", "?n").optional(_m(g, "?c", V + "segment", "?w")).data
 
 
-@kg("union", Q(f"SELECT s AS x, o AS n, NULL AS r FROM t WHERE p = '{V}inNation' UNION ALL SELECT s, NULL, o FROM t WHERE p = '{V}inRegion'"))
+@kg("union", Q(f"SELECT graph, s AS x, o AS n, NULL AS r FROM t WHERE p = '{V}inNation' UNION ALL SELECT graph, s, NULL, o FROM t WHERE p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?x", V + "inNation", "?n").union(_m(g, "?x", V + "inRegion", "?r")).data
 
 
-@kg("minus", Q(f"SELECT s AS c, o AS n FROM t WHERE p = '{V}inNation' AND s NOT IN (SELECT o FROM t WHERE p = '{V}placedBy')"))
+@kg("minus", Q(f"SELECT graph, s AS c, o AS n FROM t WHERE p = '{V}inNation' AND (graph, s) NOT IN (SELECT graph, o FROM t WHERE p = '{V}placedBy')"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?c", V + "inNation", "?n").minus(_m(g, "?o", V + "placedBy", "?c").project("c")).data
 
 
-@kg("exists", Q(f"SELECT s AS c, o AS n FROM t WHERE p = '{V}inNation' AND s IN (SELECT o FROM t WHERE p = '{V}placedBy')"))
+@kg("exists", Q(f"SELECT graph, s AS c, o AS n FROM t WHERE p = '{V}inNation' AND (graph, s) IN (SELECT graph, o FROM t WHERE p = '{V}placedBy')"))
 def _(g: Kg) -> DataFrame:
     return _m(g, "?c", V + "inNation", "?n").exists(_m(g, "?o", V + "placedBy", "?c")).data
 
 
-@kg("not_exists", Q(f"SELECT s AS n FROM t WHERE p = '{TYPE}' AND o = '{V}Nation' AND s NOT IN (SELECT o FROM t WHERE p = '{V}inNation')"))
+@kg("not_exists", Q(f"SELECT graph, s AS n FROM t WHERE p = '{RDFS}label' AND (graph, s) NOT IN (SELECT graph, s FROM t WHERE p = '{TYPE}')"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?n", TYPE, V + "Nation").not_exists(_m(g, "?c", V + "inNation", "?n")).data
+    """Labelled subjects that have no type in their own graph, though they may in another."""
+    return _m(g, "?n", RDFS + "label", "?l").not_exists(_m(g, "?n", TYPE, "?c")).project("n").data
 
 
-@kg("graph_", Q(f"SELECT graph AS g, s AS x, count(*) AS n FROM t WHERE p = '{TYPE}' AND o IN ('{V}Nation', '{SKOS}Concept') GROUP BY ALL"))
+@kg("graph_", Q(f"SELECT graph, graph AS g, s AS x, count(*) AS n FROM t WHERE p = '{TYPE}' AND o IN ('{V}Nation', '{SKOS}Concept') GROUP BY ALL UNION ALL SELECT graph, 'places', s, 0 FROM t WHERE graph = 'places' AND p = '{SKOS}broader'"))
 def _(g: Kg) -> DataFrame:
-    rows = g.t.where((F.col("p") == TYPE) & F.col("o").isin(V + "Nation", SKOS + "Concept")).select(F.col("graph").alias("g"), F.col("s").alias("x"))
-    return Frame(rows).group(["g", "x"], n=F.count(F.lit(1))).data
+    """The graph as a variable, and one graph by its name."""
+    typed = _m(g, "?x", TYPE, "?c").values("c", [V + "Nation", SKOS + "Concept"]).graph_("?g").group(["g", "x"], n=F.count(F.lit(1)))
+    named = _m(g, "?x", SKOS + "broader", "?y").graph_("places").project("x").graph_("?g").bind("n", F.lit(0).cast("long"))
+    return typed.union(named).data
 
 
-@kg("filter_bind_values", Q(f"SELECT s AS p, o AS z, CAST(o AS INTEGER) * 2 AS d FROM t WHERE p = '{V}size' AND CAST(o AS INTEGER) > 10 AND s IN ('http://kg/part/1', 'http://kg/part/2', 'http://kg/part/3', 'http://kg/part/4', 'http://kg/part/5')"))
+@kg("filter_bind_values", Q(f"SELECT graph, s AS p, o AS z, CAST(o AS INTEGER) * 2 AS d FROM t WHERE p = '{V}size' AND CAST(o AS INTEGER) > 10 AND s IN ('http://kg/part/1', 'http://kg/part/2', 'http://kg/part/3', 'http://kg/part/4', 'http://kg/part/5')"))
 def _(g: Kg) -> DataFrame:
     sizes = _m(g, "?p", V + "size", "?z").filter_(F.col("z").try_cast("int") > 10).bind("d", F.col("z").try_cast("int") * 2)
     return sizes.values("p", [f"http://kg/part/{i}" for i in range(1, 6)]).data
 
 
-@kg("project_distinct_slice", Q(f"SELECT DISTINCT o AS w FROM t WHERE p = '{V}segment' ORDER BY o LIMIT 3 OFFSET 1"))
+@kg("project_distinct_slice", Q(f"SELECT DISTINCT graph, o AS w FROM t WHERE p = '{V}segment' AND graph = 'trade' ORDER BY o LIMIT 3 OFFSET 1"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "segment", "?w").project("w").distinct().order_by("w").slice(3, 1).data
+    return _m(g, "?c", V + "segment", "?w").graph_("trade").project("w").distinct().order_by("w").slice(3, 1).data
 
 
-@kg("group", Q(f"SELECT n.o AS n, count(*) AS parties, round(sum(CAST(b.o AS DECIMAL(18, 2))), 2)::DOUBLE AS total, min(b.o) AS low, max(b.o) AS high, string_agg(n.s, ' ' ORDER BY n.s) AS who FROM t n JOIN t b ON b.s = n.s AND b.p = '{V}acctbal' WHERE n.p = '{V}inNation' GROUP BY n.o HAVING count(*) > 3"))
+@kg("group", Q(f"SELECT n.graph, n.o AS n, count(*) AS parties, round(sum(CAST(b.o AS DECIMAL(18, 2))), 2)::DOUBLE AS total, min(b.o) AS low, max(b.o) AS high, string_agg(n.s, ' ' ORDER BY n.s) AS who FROM t n JOIN t b ON b.graph = n.graph AND b.s = n.s AND b.p = '{V}acctbal' WHERE n.p = '{V}inNation' GROUP BY n.graph, n.o HAVING count(*) > 3"))
 def _(g: Kg) -> DataFrame:
     rows = _m(g, "?c", V + "inNation", "?n").and_(_m(g, "?c", V + "acctbal", "?b"))
     money = F.col("b").try_cast("decimal(18,2)")
     return rows.group(["n"], F.col("parties") > 3, parties=F.count(F.lit(1)), total=F.sum(money).cast("double"), low=F.min("b"), high=F.max("b"), who=F.array_join(F.sort_array(F.collect_list("c")), " ")).data
 
 
-@kg("subselect", Q(f"SELECT x.n, r.o AS r FROM (SELECT o AS n FROM t WHERE p = '{V}inNation' GROUP BY o ORDER BY count(*) DESC, o LIMIT 5) x JOIN t r ON r.s = x.n AND r.p = '{V}inRegion'"))
+@kg("subselect", Q(f"SELECT x.graph, x.n, r.o AS r FROM (SELECT graph, o AS n FROM t WHERE p = '{V}inNation' AND graph = 'trade' GROUP BY graph, o ORDER BY count(*) DESC, o LIMIT 5) x JOIN t r ON r.graph = x.graph AND r.s = x.n AND r.p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
-    top = _m(g, "?c", V + "inNation", "?n").group(["n"], k=F.count(F.lit(1))).order_by(F.desc("k"), "n").slice(5).project("n")
+    top = _m(g, "?c", V + "inNation", "?n").graph_("trade").group(["n"], k=F.count(F.lit(1))).order_by(F.desc("k"), "n").slice(5).project("n")
     return top.and_(_m(g, "?n", V + "inRegion", "?r")).data
 
 
@@ -938,7 +1056,7 @@ def _(g: Kg) -> DataFrame:
     return docs.unresolved_imports(g.t)
 
 
-@kg("doc_header", "SELECT g AS graph, 'http://kg/model' AS iri, 'Trade model' AS title, 'Modèle' AS description, '1.0' AS version, 'Party' AS creator, NULL AS created, NULL AS modified FROM (VALUES ('model'), ('trade')) z(g) UNION ALL SELECT 'places', 'http://kg/places', 'Places', NULL, NULL, NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM region)")
+@kg("doc_header", "SELECT g AS graph, 'http://kg/model' AS iri, 'Trade model' AS title, 'Modèle' AS description, '1.0' AS version, 'Party' AS creator, NULL AS created, NULL AS modified FROM (VALUES ('model'), ('trade')) z(g) UNION ALL SELECT 'catalog', 'http://kg/catalog', (SELECT 'Catalog of ' || count(*) || ' parts' FROM part), NULL, (SELECT CAST(max(p_size) AS VARCHAR) FROM part), NULL, NULL, NULL UNION ALL SELECT 'places', 'http://kg/places', 'Places', NULL, NULL, NULL, NULL, NULL WHERE EXISTS (SELECT 1 FROM region)")
 def _(g: Kg) -> DataFrame:
     return docs.doc_header(g.t)
 
@@ -956,9 +1074,21 @@ def _(g: Kg) -> DataFrame:
     return docs.doc_graph(g.t, g.nodes, g.edges)[0].select("graph", "id", "kind", "anchor")
 
 
-@kg("doc_limits", Q(f"SELECT * FROM (SELECT graph, 'terms' AS what, count(*) AS amount, CAST(12 AS BIGINT) AS most FROM nodes WHERE {_SECT} AND (graph, id) IN (SELECT graph, s FROM t) GROUP BY graph UNION ALL SELECT graph, 'nodes', count(*), 30 FROM nodes WHERE kind <> 'individual' GROUP BY graph) WHERE amount > most"))
+_ANCHORED = f"SELECT k.graph, k.id, k.label, k.kind, CASE WHEN {_SECT} AND (k.graph, k.id) IN (SELECT graph, s FROM t) THEN 'term-' || regexp_replace(regexp_replace({sql.local('k.id')}, '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g') || '-' || left(sha1(k.id), 8) ELSE '' END AS anchor FROM nodes k WHERE k.kind <> 'individual'"
+
+
+@kg(
+    "doc_limits",
+    Q(
+        f"SELECT graph, what, CAST(amount AS BIGINT) AS amount, CAST(most AS BIGINT) AS most FROM (SELECT graph, 'terms' AS what, count(*) AS amount, 12 AS most FROM nodes WHERE {_SECT} AND (graph, id) IN (SELECT graph, s FROM t) GROUP BY graph UNION ALL SELECT graph, 'nodes', count(*), 30 FROM nodes WHERE kind <> 'individual' GROUP BY graph UNION ALL SELECT graph, 'graph bytes', sum(n), 2000 FROM (SELECT a.graph, strlen(to_json({{'id': a.id, 'label': a.label, 'kind': a.kind, 'degree': coalesce(d.degree, 0), 'anchor': a.anchor}})) + 1 AS n FROM anchored a LEFT JOIN abdeg d ON d.graph = a.graph AND d.id = a.id UNION ALL SELECT graph, strlen(to_json({{'source': source, 'target': target, 'kind': kind, 'label': label}})) + 1 FROM ab) GROUP BY graph UNION ALL SELECT graph, 'source bytes', sum(strlen(s) + strlen(o)), 9000 FROM t GROUP BY graph) WHERE amount > most",
+        ("ab", "SELECT * FROM edges WHERE kind NOT IN ('instanceOf', 'assertion') AND (graph, source) IN (SELECT graph, id FROM nodes WHERE kind <> 'individual') AND (graph, target) IN (SELECT graph, id FROM nodes WHERE kind <> 'individual')"),
+        ("abdeg", "SELECT graph, id, count(*) AS degree FROM (SELECT graph, source AS id FROM ab UNION ALL SELECT graph, target FROM ab) GROUP BY ALL"),
+        ("anchored", _ANCHORED),
+    ),
+)
 def _(g: Kg) -> DataFrame:
-    return docs.doc_limits(g.t, g.nodes, g.edges, max_terms=12, max_nodes=30)
+    octets = g.t.groupBy("graph").agg(F.sum(F.octet_length("s") + F.octet_length("o")).alias("octets"))
+    return docs.doc_limits(g.t, g.nodes, g.edges, sources=octets, max_terms=12, max_nodes=30, max_graph_bytes=2_000, max_source_bytes=9_000)
 
 
 # --- 2.K streams -----------------------------------------------------------------------------------------------

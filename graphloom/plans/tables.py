@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting to drop a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _VIEWS: dict[tuple[str, str], str] = {}
 
 
@@ -21,15 +23,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root}/graphloom/{label}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write a table; the shuffle files of the write go when it has ended, since nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write and read again: later steps start from files that survive a lost executor."""
     path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def view(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that an application writes once and then reads: the library's triples and what follows from them."""
+    """A derived table that an application writes once and then reads: the library's triples and what follows from them.
+
+    The tables of a folder are taken as unchanging while an application runs; ``forget`` makes it look again.
+    """
     name = (spark.sparkContext.applicationId, key)
     if name in _VIEWS:
         try:
@@ -37,6 +53,11 @@ def view(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataF
         except AnalysisException:  # the files are gone: write them anew
             pass
     path = shared_path(spark, "view")
-    build().write.option("compression", "zstd").parquet(path)
+    _write(build(), path)
     _VIEWS[name] = path
     return spark.read.parquet(path)
+
+
+def forget() -> None:
+    """Derived tables are written anew when next asked for, for folders whose tables have been rewritten."""
+    _VIEWS.clear()

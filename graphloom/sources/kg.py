@@ -1,8 +1,9 @@
 """The star tables of a data folder as RDF triples.
 
 One SQL text maps the tables; it runs on Spark over Parquet and, unchanged, on any engine that knows the tables by
-name.  Three graphs live side by side: ``trade`` (business entities), ``places`` (a SKOS scheme) and
-``model`` (declarations: classes, properties, restrictions; ``trade`` holds them too).
+name.  Four graphs live side by side: ``trade`` (business entities), ``places`` (a SKOS scheme), ``model`` (fixed
+declarations: classes, properties, restrictions; ``trade`` holds them too) and ``catalog`` (declarations that follow from
+the tables: a class for each brand, type and kind of part, restrictions, unions as lists, properties, imports).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.vocab import DCTERMS, OWL, PREFIXES, RDF, RDFS, SKOS, TYPE, XSD
 
 V = "http://kg/v#"
+GRAPHS = ("trade", "places", "model", "catalog")
 COLUMNS = ("graph", "s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang")
 
 _CLASSES = ("Party", "Customer", "Supplier", "Place", "Region", "Nation", "Order", "Part", "Event", "User", "LoopA", "LoopB", "Account", "Big")
@@ -83,9 +85,11 @@ def _values(rows: list[tuple]) -> str:
     return ",\n".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-def _row(graph: str, s: str, p: str, o: str, *, table: str, literal: str | None = None, lang: str | None = None, where: str = "", distinct: bool = False) -> str:
-    kind = "'iri', CAST(NULL AS VARCHAR(90))" if literal is None else f"'literal', {'CAST(NULL AS VARCHAR(90))' if not literal else repr(literal)}"
-    return f"SELECT {'DISTINCT ' * distinct}'{graph}', {s}, 'iri', '{p}', {o}, {kind}, {'CAST(NULL AS VARCHAR(9))' if lang is None else repr(lang)} FROM {{{table}}}{' WHERE ' + where if where else ''}"
+def _row(graph: str, s: str, p: str, o: str, *, table: str = "", source: str = "", literal: str | None = None, lang: str | None = None, where: str = "", distinct: bool = False, s_kind: str = "iri", o_kind: str = "iri") -> str:
+    """Triples of one predicate from a table, or from a subquery (``source``) over tables."""
+    kind = f"'{o_kind}', CAST(NULL AS VARCHAR(90))" if literal is None else f"'literal', {'CAST(NULL AS VARCHAR(90))' if not literal else repr(literal)}"
+    given = f"({source}) AS given" if source else f"{{{table}}}"
+    return f"SELECT {'DISTINCT ' * distinct}'{graph}', {s}, '{s_kind}', '{p}', {o}, {kind}, {'CAST(NULL AS VARCHAR(9))' if lang is None else repr(lang)} FROM {given}{' WHERE ' + where if where else ''}"
 
 
 def _key(kind: str, column: str) -> str:
@@ -130,9 +134,50 @@ def _parts() -> list[str]:
     return out
 
 
+def _catalog() -> list[str]:
+    """Declarations of the parts, event types, segments and nations that the tables hold."""
+    plain = "replace(p_brand, '#', '')"
+    kinds = f"SELECT DISTINCT {plain} AS brand, p_type AS type FROM {{part}}"
+    cells = f"SELECT brand, type, lead(brand) OVER (PARTITION BY type ORDER BY brand) AS onward, row_number() OVER (PARTITION BY type ORDER BY brand) AS place FROM ({kinds}) AS k"
+    kind, brand, type_ = "concat('http://kg/kind/', type, '-', brand)", _key("brand", "brand"), _key("type", "type")
+    rule, union, cell, rest = "concat('_:r', type, brand)", "concat('_:u', type)", "concat('_:l', type, brand)", "concat('_:l', type, onward)"
+    row = lambda s, p, o, source, **more: _row("catalog", s, p, o, source=source, **more)
+    one = lambda s, p, o, table, **more: _row("catalog", s, p, o, table=table, distinct=True, **more)
+    step, amount = _key("step", "event_type"), _key("amount", "c_mktsegment")
+    return [
+        row(kind, TYPE, f"'{OWL}Class'", kinds),
+        row(kind, RDFS + "subClassOf", brand, kinds),
+        row(kind, RDFS + "subClassOf", type_, kinds),
+        row(brand, RDFS + "subClassOf", f"'{V}Part'", kinds, distinct=True),
+        row(type_, RDFS + "subClassOf", f"'{V}Part'", kinds, distinct=True),
+        one(_key("part", "p_partkey"), TYPE, f"concat('http://kg/kind/', p_type, '-', {plain})", "part"),
+        row(kind, RDFS + "subClassOf", rule, kinds, o_kind="bnode"),
+        row(rule, TYPE, f"'{OWL}Restriction'", kinds, s_kind="bnode"),
+        row(rule, OWL + "onProperty", f"'{V}contains'", kinds, s_kind="bnode"),
+        row(rule, OWL + "someValuesFrom", type_, kinds, s_kind="bnode"),
+        # A type is the union of its brands, as a list.
+        row(type_, OWL + "equivalentClass", union, kinds, distinct=True, o_kind="bnode"),
+        row(union, OWL + "unionOf", cell, cells, where="place = 1", s_kind="bnode", o_kind="bnode"),
+        row(cell, RDF + "first", brand, cells, s_kind="bnode"),
+        row(cell, RDF + "rest", rest, cells, where="onward IS NOT NULL", s_kind="bnode", o_kind="bnode"),
+        row(cell, RDF + "rest", f"'{RDF}nil'", cells, where="onward IS NULL", s_kind="bnode"),
+        one(step, TYPE, f"'{OWL}ObjectProperty'", "events"),
+        one(step, RDFS + "domain", f"'{V}User'", "events"),
+        one(step, RDFS + "range", f"'{V}Event'", "events"),
+        one(amount, TYPE, f"'{OWL}DatatypeProperty'", "customer"),
+        one(amount, RDFS + "domain", f"'{V}Customer'", "customer"),
+        one(amount, RDFS + "range", f"'{XSD}decimal'", "customer"),
+        one("'http://kg/catalog'", OWL + "imports", _key("nation", "s_nationkey"), "supplier"),
+        one(_key("nation", "n_nationkey"), RDFS + "label", "n_name", "nation", literal="", where="n_nationkey < 12"),
+        row("'http://kg/catalog'", TYPE, f"'{OWL}Ontology'", "SELECT count(*) AS n FROM {part}"),
+        row("'http://kg/catalog'", DCTERMS + "title", "concat('Catalog of ', n, ' parts')", "SELECT count(*) AS n FROM {part}", literal=""),
+        row("'http://kg/catalog'", OWL + "versionInfo", "concat('', n)", "SELECT max(p_size) AS n FROM {part}", literal=""),
+    ]
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: ``{table}`` stands for each source table.
-KG_TEMPLATE = "SELECT * FROM (\nVALUES " + _values(_model()) + "\n) AS model(" + ", ".join(COLUMNS) + ")\nUNION ALL " + "\nUNION ALL ".join(_parts())
+KG_TEMPLATE = "SELECT * FROM (\nVALUES " + _values(_model()) + "\n) AS model(" + ", ".join(COLUMNS) + ")\nUNION ALL " + "\nUNION ALL ".join([*_parts(), *_catalog()])
 
 
 def kg_sql() -> str:
@@ -148,14 +193,14 @@ def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kg_prefixes(spark: SparkSession) -> DataFrame:
     """graph, prefix, namespace of every graph; the model's own namespace has the empty prefix there."""
-    rows = [(g, p, n) for g in ("trade", "places", "model") for p, n in PREFIXES.items()]
-    rows += [("trade", "v", V), ("model", "", V), ("trade", "customer", "http://kg/customer/"), ("trade", "nation", "http://kg/nation/"), ("places", "region", "http://kg/region/")]
+    rows = [(g, p, n) for g in GRAPHS for p, n in PREFIXES.items()]
+    rows += [("trade", "v", V), ("model", "", V), ("trade", "customer", "http://kg/customer/"), ("trade", "nation", "http://kg/nation/"), ("places", "region", "http://kg/region/"), ("catalog", "brand", "http://kg/brand/"), ("catalog", "type", "http://kg/type/"), ("catalog", "", V)]
     return spark.createDataFrame(rows, "graph string, prefix string, namespace string")
 
 
 def prefixes_sql() -> str:
-    rows = [(g, p, n) for g in ("trade", "places", "model") for p, n in PREFIXES.items()]
-    rows += [("trade", "v", V), ("model", "", V), ("trade", "customer", "http://kg/customer/"), ("trade", "nation", "http://kg/nation/"), ("places", "region", "http://kg/region/")]
+    rows = [(g, p, n) for g in GRAPHS for p, n in PREFIXES.items()]
+    rows += [("trade", "v", V), ("model", "", V), ("trade", "customer", "http://kg/customer/"), ("trade", "nation", "http://kg/nation/"), ("places", "region", "http://kg/region/"), ("catalog", "brand", "http://kg/brand/"), ("catalog", "type", "http://kg/type/"), ("catalog", "", V)]
     return "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{p}', '{n}')" for g, p, n in rows) + ") AS x(graph, prefix, namespace)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,38 @@ from graphloom.operators.ranking import budget_nodes
 from graphloom.sources.kg import canonical
 
 
-def library_summary(triples: DataFrame, nodes: DataFrame, edges: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """One row per graph: triples (as a set), nodes, edges, assertions, kinds, namespaces, card (20 best nodes) as texts."""
+def library_summary(triples: DataFrame, nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """One row per graph: triples (as a set), nodes, edges, assertions, kinds, namespaces, card (20 best nodes) as texts, and addedAt.
+
+    ``added`` (graph, addedAt) is the library's own record; graphs without one have an empty addedAt.
+    """
     sizes = canonical(triples).groupBy("graph").agg(F.count(F.lit(1)).alias("triples"))
     kinds = kind_counts(nodes).groupBy("graph").agg(F.sum("n").alias("nodes"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "kind", "n"))), " ").alias("kinds"))
-    spaces = prefixes.where("prefix <> ''").groupBy("graph").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "prefix", "namespace"))), " ").alias("namespaces"))
     card = budget_nodes(nodes, 20).groupBy("graph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), " ").alias("card"))
-    out = sizes.join(kinds, "graph", "left").join(edge_counts(edges), "graph", "left").join(spaces, "graph", "left").join(card, "graph", "left")
-    return out.na.fill(0).na.fill("").select("graph", "triples", "nodes", "edges", "assertions", "kinds", "namespaces", "card")
+    out = sizes.join(kinds, "graph", "left").join(edge_counts(edges), "graph", "left").join(named_spaces(prefixes), "graph", "left").join(card, "graph", "left")
+    out = out.join(added.groupBy("graph").agg(F.min("addedAt").alias("addedAt")), "graph", "left") if added is not None else out.withColumn("addedAt", F.lit(""))
+    return out.na.fill(0).na.fill("").select("graph", "triples", "nodes", "edges", "assertions", "kinds", "namespaces", "card", "addedAt")
+
 
+def named_spaces(prefixes: DataFrame) -> DataFrame:
+    """graph, namespaces: the named prefixes of each graph as one text."""
+    return prefixes.where("prefix <> ''").groupBy("graph").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "prefix", "namespace"))), " ").alias("namespaces"))
 
-def ingest_graph(triples: DataFrame, path: str) -> DataFrame:
-    """Write the set of triples by graph, then return the per-graph counts read back from what was written."""
-    canonical(triples).repartition("graph", "p").sortWithinPartitions("graph", "p", "s").write.mode("overwrite").partitionBy("graph").parquet(path)
-    return triples.sparkSession.read.parquet(path).groupBy("graph").agg(F.count(F.lit(1)).alias("triples"))
+
+def ingest_graph(triples: DataFrame, prefixes: DataFrame, path: str, *, added_at: str, load: str | None = None) -> DataFrame:
+    """Write the set of triples by graph, the prefixes, and last the summary rows; returns the summary of this load.
+
+    Every load has folders of its own, and a reader goes by the summary: a load that failed on the way has no row there
+    and so no trace in the library.  graph, triples, namespaces, addedAt, load.
+    """
+    spark, load = triples.sparkSession, load or uuid.uuid4().hex
+    spread = F.pmod(F.xxhash64("s"), F.lit(64))  # types and labels are a large share of a graph: no task takes a whole predicate
+    canonical(triples).repartition("graph", "p", spread).sortWithinPartitions("graph", "p", "s").write.partitionBy("graph").parquet(f"{path}/triples/load={load}")
+    prefixes.select("graph", "prefix", "namespace").distinct().write.parquet(f"{path}/prefixes/load={load}")
+    sizes = spark.read.parquet(f"{path}/triples/load={load}").groupBy("graph").agg(F.count(F.lit(1)).alias("triples"))
+    rows = sizes.join(named_spaces(prefixes), "graph", "left").na.fill("").select("graph", "triples", "namespaces", F.lit(added_at).alias("addedAt"), F.lit(load).alias("load"))
+    rows.write.mode("append").parquet(f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary").where(F.col("load") == load)
 
 
 def library_restore(rows: DataFrame, triples: DataFrame) -> DataFrame:
@@ -39,13 +59,14 @@ def library_search(summaries: DataFrame, text: str, name: str = "graph") -> Data
 def remove_graphs(triples: DataFrame, saved: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """Triples and saved queries without the named graphs."""
     gone = triples.sparkSession.createDataFrame([(n,) for n in names], "graph string").distinct()
-    return triples.join(F.broadcast(gone), "graph", "left_anti"), saved.join(F.broadcast(gone), "graph", "left_anti")
+    return triples.join(gone, "graph", "left_anti"), saved.join(gone, "graph", "left_anti")
 
 
 def removal_impact(saved: DataFrame) -> DataFrame:
     """graph, queries, names: what a removal would delete; names are listed only up to three."""
-    names = F.array_join(F.sort_array(F.collect_list("name")), ", ")
-    return saved.groupBy("graph").agg(F.count(F.lit(1)).alias("queries"), names.alias("names")).withColumn("names", F.when(F.col("queries") <= 3, F.col("names")).otherwise(""))
+    counts = saved.groupBy("graph").agg(F.count(F.lit(1)).alias("queries"))
+    few = saved.join(counts.where("queries <= 3"), "graph", "left_semi").groupBy("graph").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    return counts.join(few, "graph", "left").na.fill("", ["names"])
 
 
 def saved_queries(log: DataFrame) -> DataFrame:
@@ -89,10 +110,21 @@ def source_excerpt(texts: DataFrame, text: str, most: int) -> DataFrame:
 
 
 def first_mention(texts: DataFrame, names: DataFrame, *, doc: str, text: str) -> DataFrame:
-    """doc, name, line: the first line (from 1) of a text that holds a name not followed by a name character.
+    """doc, iri, line: the first line (from 1) of a text that mentions each name (iri, prefixed).
 
-    Lines are cut into words once and joined to the names by equality, so cost follows the text, not texts x names.
+    The whole text is searched for the full IRI; only where that is nowhere, for the prefixed form, with a colon put before it if
+    it has none.  A mention must not be followed by a character that continues a name; what stands before it is free.
+    Names hold no white space, so pieces between white space are cut at every place where a name may end, to every
+    length that a name has, and met by equality: cost follows the text and the number of distinct lengths.
     """
-    lines = texts.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "line"))
-    words = lines.select(doc, "at", F.explode(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9_\-%~:/#.]+"), F.lit(0))).alias("name"))
-    return words.join(names.select("name").distinct(), "name").groupBy(doc, "name").agg((F.min("at") + 1).cast("long").alias("line"))
+    short = F.when(F.col("prefixed").contains(":"), F.col("prefixed")).otherwise(F.concat(F.lit(":"), "prefixed"))
+    both = F.array(F.struct(F.lit(0).alias("turn"), F.col("iri").alias("needle")), F.struct(F.lit(1).alias("turn"), F.when(F.col("prefixed") != "", short).alias("needle")))
+    needles = names.select("iri", F.explode(both).alias("n")).select("iri", "n.turn", "n.needle").where("needle <> ''").distinct()
+    lengths = F.array(*[F.lit(r[0]) for r in sorted(needles.select(F.length("needle")).distinct().collect())]).cast("array<int>")  # at most the longest name
+    lines = texts.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "line")).where(F.col("line").contains(":"))
+    pieces = lines.select(doc, "at", F.explode(F.split("line", r"\s+")).alias("piece")).where(F.col("piece").contains(":"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("piece")), lambda e: ~F.col("piece").substr(e + 1, F.lit(1)).rlike(r"[A-Za-z0-9_\-%~]"))
+    cut = pieces.select(doc, "at", "piece", F.explode(ends).alias("end")).select(doc, "at", "piece", "end", F.explode(F.filter(lengths, lambda n: n <= F.col("end"))).alias("n"))
+    found = cut.select(doc, "at", F.col("piece").substr(F.col("end") - F.col("n") + 1, F.col("n")).alias("needle")).where(F.col("needle").contains(":"))
+    best = found.join(needles, "needle").groupBy(doc, "iri").agg(F.min(F.struct("turn", "at")).alias("b"))
+    return best.select(doc, "iri", (F.col("b.at") + 1).cast("long").alias("line"))

@@ -7,9 +7,9 @@ from graphloom.functions import terms
 from graphloom.functions.vocab import OWL, RDFS, SKOS, THING, TYPE, XSD
 from graphloom.operators import closure, docs, hierarchy, ranking, results, schema
 from graphloom.operators import entity_graph as eg
-from graphloom.operators.pattern import Filter, Frame, Link, Prop, QueryState, Step, run_pattern, var_names
-from graphloom.sources import ntriples
-from graphloom.streaming.throttle import throttle_events
+from graphloom.operators.pattern import Filter, Frame, Link, Prop, QueryState, Step, filter_condition, number, run_pattern, var_names
+from graphloom.sources import library, ntriples
+from graphloom.streaming.throttle import activity_stream, throttle_events, throttle_stream
 
 E = "http://example.org/#"
 SCHEMA = "graph string, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string"
@@ -186,7 +186,11 @@ def test_docs(space, spark):
     assert rows(docs.doc_profile(space), "profile") == [("ontpub",)]
     nodes, edges = eg.entity_graph(space)
     assert E + "Earth" not in {r["id"] for r in docs.doc_graph(space, nodes, edges)[0].collect()}
-    assert docs.doc_limits(space, nodes, edges, max_terms=1).count() == 1
+    assert rows(docs.doc_limits(space, nodes, edges, max_terms=1), "what") == [("terms",)]
+    sources = spark.createDataFrame([("g", 11)], "graph string, octets long")
+    broken = docs.doc_limits(space, nodes, edges, sources=sources, max_nodes=2, max_graph_bytes=50, max_source_bytes=10)
+    assert rows(broken, "what") == [("graph bytes",), ("nodes",), ("source bytes",)]
+    assert docs.doc_limits(space, nodes, edges, sources=sources).count() == 0
 
 
 def test_throttle(spark):
@@ -196,6 +200,144 @@ def test_throttle(spark):
     assert [r.accepted for r in got.orderBy("i").collect()] == [True, True, True, False, False, False, True, False, True]
 
 
+def test_outline_of_a_cycle_and_of_a_deep_chain(spark):
+    """A node below itself is shown once, marked; a chain of 20 is shown whole."""
+    chain = [(f":n{i + 1:02}", RDFS + "subClassOf", f":n{i:02}") for i in range(20)]
+    t = graph(spark, (":a2", RDFS + "subClassOf", ":b"), (":b", RDFS + "subClassOf", ":a"), (":b", RDFS + "subClassOf", ":a2"), *chain)
+    found = {r.path.replace(E, ""): r.cyclic for r in hierarchy.tree_rows(*hierarchy.class_forest(t)).collect()}
+    assert {p: c for p, c in found.items() if p.startswith("a")} == {"a": False, "a b": False, "a b a2": False, "a b a2 b": True}
+    assert " ".join(f"n{i:02}" for i in range(21)) in found
+
+
+def test_lists_of_any_length(spark):
+    n = 1500
+    cells = [t for i in range(n) for t in ((f"_:c{i}", "http://www.w3.org/1999/02/22-rdf-syntax-ns#first", f":m{i}"), (f"_:c{i}", "http://www.w3.org/1999/02/22-rdf-syntax-ns#rest", f"_:c{i + 1}" if i + 1 < n else "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil"))]
+    ring = [("_:r0", "http://www.w3.org/1999/02/22-rdf-syntax-ns#rest", "_:r1"), ("_:r1", "http://www.w3.org/1999/02/22-rdf-syntax-ns#rest", "_:r0"), ("_:r1", "http://www.w3.org/1999/02/22-rdf-syntax-ns#first", ":x")]
+    heads = spark.createDataFrame([("g", "_:c0"), ("g", "_:r0")], "graph string, head string")
+    found = schema.rdf_list_items(graph(spark, *cells, *ring), heads)
+    assert dict(rows(found.groupBy("head").count(), "head", "count")) == {"_:c0": n, "_:r0": 1}
+
+
+def test_numbers_of_filters(spark):
+    """Every way to write a number in a form field compares as that number; anything else as text."""
+    assert [number(x) for x in ("1e2", " .5 ", "5.", "-3", "0x1F", "abc", "1 2", "--1")] == [100, number("0.5"), 5, -3, 31, None, None, None]
+    df = spark.createDataFrame([("5",), ("1500",), ("0.25",), ("many",)], "v string")
+    keep = lambda op, value: sorted(r.v for r in df.where(filter_condition(Filter(op, value), XSD + "decimal", F.col("v"), F.lit(None))).collect())
+    assert keep(">", "1e2") == ["1500"] and keep("<", ".5") == ["0.25"] and keep(">=", "0x5") == ["1500", "5"] and keep("<", "Infinity") == ["0.25", "1500", "5"]
+    assert keep("<", "1e-12") == []
+
+
+def test_blank_filters_are_none(space):
+    state = QueryState((Step(E + "Planet", "planet", (Prop(E + "size", "size", XSD + "decimal", filter=Filter(">", "  ")),)),))
+    assert rows(run_pattern(space, state), "planet", "planetSize") == [(E + "Earth", None)]
+
+
+def test_patterns_stay_in_their_graph(spark):
+    """The same words in two graphs never join."""
+    one = graph(spark, (":a", ":p", ":b"), (":b", ":q", ":c"))
+    two = one.withColumn("graph", F.lit("h")).where(F.col("p") == E + "q").withColumn("o", F.lit(E + "d"))
+    both = one.unionByName(two)
+    joined = Frame.match(both, "?x", E + "p", "?y").and_(Frame.match(both, "?y", E + "q", "?z"))
+    assert rows(joined.data, "graph", "z") == [("g", E + "c")]
+    named = Frame.match(both, "?y", E + "q", "?z").graph_("?g")
+    assert rows(named.data, "g", "z") == [("g", E + "c"), ("h", E + "d")] and rows(named.graph_("h").data, "z") == [(E + "d",)]
+    assert Frame.match(both, "?y", E + "q", "?z").minus(Frame.match(one, "?y", E + "q", "?w")).data.count() == 1
+    lone = Frame.match(both, "?s", E + "p", "?t")
+    for method in (lone.optional, lone.exists, lone.not_exists, lone.and_):
+        with pytest.raises(ValueError):
+            method(Frame.match(both, "?k", E + "q", "?l"))
+
+
+def test_limits_are_clamped(space):
+    nodes, edges = eg.entity_graph(space)
+    kept, _, totals = ranking.budget_graph(nodes, edges, 0)
+    assert kept.count() == 1 and (totals.first().budget, totals.first().truncated) == (1, True)
+    assert ranking.budget_graph(nodes, edges, 10**6)[2].first().budget == 20_000
+    center = nodes.where(F.col("id") == E + "Earth").select("graph", F.col("id").alias("center"))
+    assert ranking.neighborhood(nodes, edges, center, 0)[0].count() == 2
+    assert ranking.neighborhood(nodes, edges, center, 10**9)[0].where("truncated").count() == 0
+
+
+def test_hierarchy_shares_its_room(spark):
+    """Six classes and twelve concepts with room for nine: three and six of them."""
+    t = graph(spark, *[(f":c{i}", RDFS + "subClassOf", f":c{i // 2}") for i in range(1, 6)], *[(f":k{i:02}", SKOS + "broader", f":k{i // 2:02}") for i in range(1, 12)])
+    nodes, pairs, counts = hierarchy.hierarchy(t, 9)
+    assert dict(rows(nodes.groupBy("forest").count(), "forest", "count")) == {"class": 3, "concept": 6}
+    assert rows(counts, "classes", "concepts", "truncated") == [(6, 12, True)]
+    kept = {(r.forest, r.id) for r in nodes.collect()}
+    assert all((r.forest, r.child) in kept and (r.forest, r.parent) in kept for r in pairs.collect())
+    below = {(r.forest, r.child) for r in pairs.collect()}
+    assert {(r.forest, r.id) for r in nodes.where("root").collect()} == kept - below
+    assert rows(hierarchy.hierarchy(t)[0].where("root"), "id") == [(E + "c0",), (E + "k00",)]
+
+
+def test_first_mention(spark):
+    texts = spark.createDataFrame([(1, "about Mars\nns1:Mars2020 first\nx ns1:Mars, then\n<http://e.org/Mars>"), (2, ":Mars."), (3, "Mars only"), (4, None), (5, "http://e.org/Marsh\n:Mars-x\n(:Mars)")], "doc long, text string")
+    names = spark.createDataFrame([("http://e.org/Mars", "Mars"), ("http://e.org/Sun", "s:Sun")], "iri string, prefixed string")
+    assert rows(library.first_mention(texts, names, doc="doc", text="text"), "doc", "iri", "line") == [(1, "http://e.org/Mars", 4), (2, "http://e.org/Mars", 1), (5, "http://e.org/Mars", 3)]
+
+
+def test_append_class(space):
+    links, labels = schema.schema_links(space), terms.pick_label(space)
+    classes = space.select("graph").distinct().select("graph", F.explode(F.array(F.lit(E + "Star"), F.lit(E + "Dwarf"))).alias("class"))
+    found = schema.append_class(links, schema.class_lineage(space), labels, [E + "Star", E + "Planet"], classes)
+    assert {(r["class"].replace(E, ""), r.anchor, r.predicate.replace(E, ""), r.inverse) for r in found.collect()} == {("Star", 1, "orbits", False), ("Dwarf", 1, "orbits", False)}
+
+
+def test_undrawn_results(space):
+    nodes, _ = eg.entity_graph(space)
+    hits = ranking.search_nodes(nodes, "ear")
+    assert short(r[0] for r in rows(ranking.undrawn_results(hits, nodes.where("kind = 'class'")), "id")) == ["Earth"]
+    assert ranking.undrawn_results(hits, nodes.where("kind = 'individual'")).count() == 0
+
+
+def test_places_of_the_whole_table(spark):
+    df = spark.createDataFrame([(i * 37 % 101,) for i in range(100)] + [(5,)] * 20, "v long").repartition(5)
+    assert [r.place for r in results.with_places(df, F.desc("v")).orderBy("place").collect()] == list(range(1, 121))
+    assert results.with_places(df.limit(0), "v").count() == 0
+
+
+def test_ingest_leaves_no_trace_of_a_failed_load(space, spark, tmp_path):
+    prefixes = spark.createDataFrame([("g", "e", E), ("g", "", E)], "graph string, prefix string, namespace string")
+    path = f"file://{tmp_path}/lib"
+    done = library.ingest_graph(space.union(space), prefixes, path, added_at="2024", load="one")
+    assert rows(done, "graph", "triples", "namespaces", "load") == [("g", space.distinct().count(), f"e={E}", "one")]
+    broken = space.withColumn("o", F.raise_error(F.lit("bad")).cast("string"))
+    with pytest.raises(Exception, match="bad"):
+        library.ingest_graph(broken, prefixes, path, added_at="2025", load="two")
+    assert rows(spark.read.parquet(f"{path}/summary"), "load") == [("one",)]
+
+
+def test_sinks(spark, tmp_path):
+    library.activity_log_append(spark, f"{tmp_path}/log", [("Import", "a", "{}")])
+    library.activity_log_append(spark, f"{tmp_path}/log", [("Export", "b", "{}"), ("Export", "c", "{}")])
+    log = spark.read.json(f"{tmp_path}/log")
+    assert rows(log, "`@type`", "subject") == [("Export", "b"), ("Export", "c"), ("Import", "a")] and log.where("at is null").count() == 0
+    none = F.lit(None).cast("string")
+    frame = spark.createDataFrame([("x,1",), ("y",)], "v string").select(results.term_struct(F.lit("literal"), F.col("v"), none, none).alias("a b"))
+    results.export_csv(frame, ["a b"], f"{tmp_path}/csv")
+    results.export_json(frame, ["a b"], f"{tmp_path}/json")
+    raw = lambda part: sorted(p.read_bytes() for p in (tmp_path / "csv" / part).glob("part-*") if p.read_bytes())
+    assert raw("header") == [b"a b\r\n"] and b"".join(raw("rows")).count(b"\r\n") == 2 and b'"x,1"' in b"".join(raw("rows"))
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/json").collect())[0] == '{"a b":{"type":"literal","value":"x,1"}}'
+
+
+def test_streams(spark, tmp_path):
+    """Files in, decisions and log lines out; state goes on from one batch to the next."""
+    (tmp_path / "in").mkdir()
+    part = lambda n, ts: spark.createDataFrame([("k", t) for t in ts], "k string, t long").select("k", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    part("a", [0, 1, 2])
+    part("b", [3, 61])
+    source = lambda: spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    throttled = throttle_stream(source(), key="k", time="ts", most=2, window=60.0)
+    throttled.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "t", "accepted") == [(0.0, True), (1.0, True), (2.0, False), (3.0, False), (61.0, True)]
+    query = activity_stream(source().select("k"), f"{tmp_path}/log", f"{tmp_path}/c2")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.json(f"{tmp_path}/log").count() == 5
+
+
 def test_empty_graph(spark):
     t = spark.createDataFrame([], SCHEMA)
     nodes, edges = eg.entity_graph(t)
