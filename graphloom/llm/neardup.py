@@ -8,11 +8,10 @@
 3. In every list each member meets the list's most central member.  Agreements are counted on the
    whole signatures, pairs below ``matches`` dropped, the rest confirmed on the full sets.
    Components of these links settle most lists: their members are connected already.
-4. Lists that still span components are finished exactly.  One of over ``BLOCK`` members is divided by the
-   next agreement of its pairs: members are posted under pairs, then triples of coordinate values, each time one coordinate
-   further (a pair's d-th agreement lies in the first ``COORDINATES - matches + d``), so unlike texts part soon.
-   What is left large after ``DEEPEST`` agreements is dealt into blocks of like set sizes.
-   A pair counts only in the list of its first agreements.  Lists with candidates fetch the full sets, confirm,
+4. Lists that still span components are finished exactly.  Those of over ``BLOCK`` members are dealt into
+   classes of set sizes, of which only equal and neighbouring ones can hold linked sets, and classes into blocks; every
+   such pair of blocks compares the pairs that span components.  A pair counts only in the list of its first
+   agreement, so later lists skip it.  Blocks with candidates then fetch the full sets, confirm,
    and return no more links than join their members.
 
 A pair at exactly the threshold has at most one chance in a thousand million (``MISSED``) to agree in fewer than
@@ -39,7 +38,7 @@ from graphloom.llm.scratch import stash
 from graphloom.llm.textkit import U64, mix, shingle_hashes, slices, word_hashes
 
 COORDINATES, MISSED = 64, 1e-9
-BLOCK, DEEPEST = 1024, 6
+BLOCK = 1024
 #: Shingles of the members that meet one copy of a hub's set.
 HUB_SHINGLES = 4_000_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
@@ -152,10 +151,10 @@ def link_to_hubs(lists: DataFrame, classes: DataFrame, sets_of, percent: int) ->
 
 
 def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[int, int]]]:
-    """Pairs of a block pair that span components, agree first in this list's coordinates, and agree often enough."""
+    """Pairs of a block pair that span components, agree first in this list, and agree often enough."""
     reps, comps, sizes, blocks = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
     signatures = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(reps), COORDINATES)
-    last, depth, low, high = (table[c][0].as_py() for c in ("last", "depth", "low", "high"))
+    coordinate, low, high = (table[c][0].as_py() for c in ("coordinate", "low", "high"))
     matches = agreements(percent)
     left = np.flatnonzero(blocks == low)
     right = np.flatnonzero(blocks == high)
@@ -167,7 +166,7 @@ def _spanning_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarr
             others = others[(comps[others] != comps[i]) & (100 * small >= percent * large)]
             if len(others):
                 same = signatures[others] == signatures[i]
-                hit = (same.sum(axis=1) >= matches) & (same[:, :last].sum(axis=1) == depth - 1)
+                hit = (same.sum(axis=1) >= matches) & ~same[:, :coordinate].any(axis=1)
                 yield from ((i, j) for j in others[hit])
 
     return reps, comps, sizes, pairs()
@@ -179,28 +178,11 @@ def _spanning(members: DataFrame) -> DataFrame:
     return members.drop("n_list").join(keys.select("key", "n_list"), "key")
 
 
-def divide_lists(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Lists (key, last, depth, rep, comp, n_list) in which large ones are divided by further agreements of their pairs."""
-    reach, done = COORDINATES - agreements(percent), []
-    for depth in range(1, DEEPEST):
-        members = stash(members, "lists")
-        large = members.where(F.col("n_list") > BLOCK)
-        if large.isEmpty():
-            break
-        done.append(members.where(F.col("n_list") <= BLOCK))
-        values = large.join(classes.select("rep", F.slice("signature", 1, reach + depth + 1).alias("head")), "rep")
-        values = values.select("key", F.col("last").alias("before"), "rep", "comp", F.posexplode("head").alias("last", "value")).where("last > before")
-        members = _spanning(values.select(F.xxhash64("key", "last", "value").alias("key"), "last", F.lit(depth + 1).alias("depth"), "rep", "comp"))
-    for part in done:
-        members = members.unionByName(part.select(*members.columns))
-    return members
-
-
 def finish_lists(lists: DataFrame, classes: DataFrame, components: DataFrame, sets_of, percent: int) -> DataFrame:
     """Confirmed links (a, b) that the lists still hold between different components."""
     placed = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    members = _spanning(placed.where("n_list > 2").select("key", "last", F.lit(1).alias("depth"), "rep", "comp"))
-    members = divide_lists(members, classes, percent).join(classes.select("rep", "n_shingles", "signature"), "rep")
+    members = _spanning(placed.where("n_list > 2").select("key", "coordinate", "rep", "comp"))
+    members = members.join(classes.select("rep", "n_shingles", "signature"), "rep")
     # Linked sets lie in the same or in neighbouring classes of size; only large lists are dealt by size.
     step = 1.000001 * float(np.log(100 / percent)) if percent < 100 else 1e-9  # a little wider, for sets whose ratio is just the threshold
     size = F.when(F.col("n_list") > BLOCK, F.floor(F.log("n_shingles") / F.lit(step))).otherwise(0).cast("long")
@@ -211,7 +193,7 @@ def finish_lists(lists: DataFrame, classes: DataFrame, components: DataFrame, se
     near = members.withColumn("size", F.explode(F.when(F.col("n_list") > BLOCK, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array("size")))).drop("blocks")
     near = near.join(rooms, ["key", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", code(F.col("size"), F.col("part")))
     group = ("key", "low", "high")
-    dealt = stash(near.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "last", "depth", "rep", "comp", "block", "n_shingles", "signature"), "dealt")
+    dealt = stash(near.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "coordinate", "rep", "comp", "block", "n_shingles", "signature"), "dealt")
 
     def any_candidate(table: pa.Table) -> pa.Table:
         found = next(_spanning_pairs(table, percent)[3], None)
@@ -253,7 +235,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     same_set = ["n_shingles", "f1", "f2"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    postings = classes.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("last", "key"))
+    postings = classes.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("coordinate", "key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
     lists = stash(postings.join(shared, "key").distinct(), "lists")
     sets_of = lambda ids: fetch_sets(documents, ids, doc_id=doc_id, text=text, width=width)
