@@ -1,21 +1,26 @@
 """Nearest neighbours by learned partitions.
 
-On a bounded sample (at most ``SAMPLE`` vectors, lowest id hashes) the neighbour graph is built and cut
-into balanced parts: recursive median splits, then moves of vertices to the part of most of their
-neighbours, never beyond a part's room.  A small network learns which parts hold a vector's
-neighbours.  It then puts every vector of the table into its most probable part, and sends each
-query to the several most probable ones, as many as the sample needed for ``TARGET`` recall.
-Parts are divided into cells of bounded size; each cell reranks its queries exactly in
-double precision, and the cells' lists are merged.
+Equal vectors are one point with the ``k + 1`` smallest of their ids: no other copy can be among anyone's k nearest.
+Points are cut into cells, level by level.  For every cell to be cut a bounded sample of it (about ``SAMPLE`` points,
+lowest id hashes) is taken, its neighbour graph is built and parted in balance: recursive median splits, then moves
+of vertices to the part of most of their neighbours, never beyond a part's room.  A small network learns
+which parts hold a point's neighbours.  It puts every point of the cell into its most probable part, and sends each query to
+the several most probable ones, as many as the sample needed for ``TARGET`` recall, and on until they should hold
+``ROOM`` times the points asked for.  All points are cut once, and
+cells of more than ``CELL_POINTS`` again, so a cell's size does not grow with the table.
+In its cells each query is compared exactly, in double precision, and the cells' lists are merged.  Cells that are cut or
+searched are dealt to tasks in bounded slices of their points.
 
 Defined results: null or zero vectors, vectors with null or non-finite parts, and vectors of another than the most
-common dimension take no part; ties go to the smaller id; a query without candidates gets no row; equal
-vectors are ranked one by one; an empty table gives an empty result.
+common dimension (ties: the smallest) take no part, nor do rows with a null id; ties go to the smaller id; a query without
+candidates gets no row; a row that repeats the query's id is not a candidate of it, and
+rows of one id with unlike vectors are queries of their own; fewer than ``SMALLEST`` points
+are one cell; columns other than the two named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +30,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.scratch import stash
 
-SAMPLE, GRAPH_K, HIDDEN, TARGET = 8192, 10, 64, 0.975
-CELL_ROWS = 4096
+SAMPLE, GRAPH_K, HIDDEN, TARGET = 8192, 10, 64, 0.985
+CELL_POINTS, SLICE_POINTS, SMALLEST, ROOM = 16_384, 8192, 256, 8
 
 
 @dataclass(frozen=True)
 class Router:
-    """A one-layer network from vectors to part probabilities, and how many parts a query visits."""
+    """A one-layer network from vectors to part probabilities, each part's share of the sample, and how many parts a query visits."""
 
     shift: np.ndarray
     scale: float
@@ -39,6 +44,7 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    load: np.ndarray
     visits: int
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -127,15 +133,14 @@ def train_router(x: np.ndarray, parts: int, *, k: int = 10, seed: int = 3) -> Ro
         for i, g in enumerate((z[rows].T @ back, back.sum(axis=0), h.T @ err, err.sum(axis=0))):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] - 3e-3 * (1 - t / (steps + 1)) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    router = Router(shift, scale, *params, visits=parts)
-    logits = router.logits(x)
+    logits = Router(shift, scale, *params, load=np.zeros(parts), visits=parts).logits(x)
     home, order = logits.argmax(axis=1), np.argsort(-logits, axis=1, kind="stable")
     trial = rng.choice(n, min(n, 1000), replace=False)
     truth = home[nearest(x[trial], x, min(k, n - 1) + 1)[:, 1:]]
     rank = np.argsort(order[trial], axis=1)  # place of each part in the query's order
     needed = np.take_along_axis(rank, truth, axis=1)
     visits = next(i for i in range(1, parts + 1) if i == parts or (needed < i).mean() >= TARGET)
-    return Router(shift, scale, *params, visits=visits)
+    return Router(shift, scale, *params, load=np.bincount(home, minlength=parts) / n, visits=visits)
 
 
 def usable(vector: Column) -> Column:
@@ -147,75 +152,111 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def distinct_points(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Points (point: smallest id, vector, ids: the ``k + 1`` smallest, asks) and the queries (query_id, point) of equal vectors."""
+    by_vector = Window.partitionBy("vector").orderBy("vec_id")
+    distinct_ids = vectors.groupBy("vector", "vec_id").agg(F.bool_or("asks").alias("asks"))
+    few = distinct_ids.select("vector", "vec_id").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    points = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    asked = distinct_ids.where("asks").select("vector", F.col("vec_id").alias("query_id"))
+    points = points.join(asked.select("vector", F.lit(True).alias("asks")).distinct(), "vector", "left")
+    points = stash(points.select(F.get("ids", F.lit(0)).alias("point"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "points")
+    return points, stash(asked.join(points.select("vector", "point"), "vector").select("query_id", "point"), "asked")
+
+
+def _slices(n: Column) -> Column:
+    """Into how many slices a cell of ``n`` points is dealt."""
+    return F.ceil(n / F.lit(SLICE_POINTS)).cast("int")
+
+
+def cut_cells(points: DataFrame, asked: DataFrame, cells: DataFrame, dim: int, k: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Points and asked points (point, vector, cell) with the named cells (cell, n) cut into parts.
+
+    A part's cell is numbered ``cell * 1024 + part + 1``.
+    """
+    kind = points.schema["vector"].dataType.simpleString()
+    share = F.least(F.lit(1.0), F.lit(1.2 * SAMPLE) / F.col("n")) * F.lit(1 << 30)
+    drawn = points.join(cells, "cell").where(F.pmod(F.xxhash64("point", F.lit(level)), F.lit(1 << 30)) < share).select("cell", "n", "point", "vector")
+
+    def learn(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("point")
+        n, x = sample["n"][0].as_py(), _matrix(sample["vector"].combine_chunks(), dim)
+        parts = int(np.clip(min(round(np.sqrt(n) / 8), len(x) // 16), 2, 256))
+        return pa.table({"cell": sample["cell"].slice(0, 1), "router": pa.array([pickle.dumps(train_router(x, parts, k=k))], pa.binary())})
+
+    routers = stash(drawn.groupBy("cell").applyInArrow(learn, "cell bigint, router binary"), "routers").join(cells, "cell").withColumn("slices", _slices(F.col("n")))
+    dealt_routers = routers.select("cell", "n", "router", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+    def route(rows: DataFrame, every: bool) -> DataFrame:
+        """Each row of a cut cell in its most probable part, or with ``every`` in all parts that a query visits."""
+
+        def run(rows: pa.Table, router: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return rows.select(["point", "vector", "cell"])
+            r: Router = pickle.loads(router["router"][0].as_py())
+            logits = r.logits(_matrix(rows["vector"].combine_chunks(), dim))
+            order = np.argsort(-logits, axis=1, kind="stable")
+            before = np.cumsum(r.load[order], axis=1) - r.load[order]  # share of the points in the parts ahead of each
+            visit = (np.arange(order.shape[1]) < r.visits) | (before * router["n"][0].as_py() < ROOM * (k + 1)) if every else np.arange(order.shape[1]) < np.ones((len(order), 1))
+            at, place = np.nonzero(visit)
+            return rows.select(["point", "vector"]).take(pa.array(at)).append_column("cell", pa.array(rows["cell"].to_numpy()[at] * 1024 + order[at, place] + 1))
+
+        inside = rows.join(routers.select("cell", "slices"), "cell").select("point", "vector", "cell", F.pmod(F.xxhash64("point"), F.col("slices")).cast("int").alias("slice"))
+        moved = inside.groupBy("cell", "slice").cogroup(dealt_routers.groupBy("cell", "slice")).applyInArrow(run, f"point bigint, vector {kind}, cell bigint")
+        return stash(rows.join(cells.select("cell"), "cell", "left_anti").select("point", "vector", "cell").unionByName(moved), "routed")
+
+    return route(points, False), route(asked, True)
+
+
 def search(rows: DataFrame, is_query: Column, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found of every query row."""
     spark = rows.sparkSession
     vectors = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    dim, n = vectors.agg(F.mode(F.size("vector"), True), F.count(F.lit(1))).first()
-    out = "query_id bigint, rank int, vec_id bigint, score double"
-    if not n:
-        return spark.createDataFrame([], out)
-    vectors = vectors.where(F.size("vector") == dim)
-
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, 1.2 * SAMPLE / n))
-    sample = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "vector").toArrow()
-    x = _matrix(sample["vector"].combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim))
-    x = np.unique(x, axis=0)
-    parts = int(np.clip(round(np.sqrt(n) / 8), 8, 256))
-    router = train_router(x, parts, k=k) if len(x) >= 16 * parts else None
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if router is None or not batch.num_rows:
-                home, order = np.zeros(batch.num_rows, np.int32), [[0]] * batch.num_rows
-            else:
-                logits = router.logits(_matrix(batch.column(1), dim))
-                home, asks = logits.argmax(axis=1).astype(np.int32), batch.column(2).to_numpy(zero_copy_only=False)
-                full = np.argsort(-logits, axis=1, kind="stable")
-                order = [o.tolist() if a else None for o, a in zip(full, asks, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(order, pa.list_(pa.int32()))], names=["vec_id", "vector", "asks", "part", "route"])
-
-    schema = f"vec_id bigint, vector {vectors.schema['vector'].dataType.simpleString()}, asks boolean, part int, route array<int>"
-    placed = stash(vectors.mapInArrow(place, schema), "placed")
-    sizes = dict(placed.groupBy("part").count().collect())  # at most 256 rows
-    n_parts = max(sizes, default=0) + 1
-    cells = F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // CELL_ROWS))) for p in range(n_parts)])
-    counts = F.array(*[F.lit(sizes.get(p, 0)).cast("long") for p in range(n_parts)])
-    points = placed.select("vec_id", "vector", "part", F.pmod(F.xxhash64("vec_id"), F.get(cells, F.col("part"))).cast("int").alias("cell"))
-    # Visit at least router.visits parts, and go on until they hold more than k vectors.
-    visits = router.visits if router is not None else 1
-    route = F.filter("route", lambda p: p < n_parts)
-    enough = F.aggregate(
-        route,
-        F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("taken")),
-        lambda acc, p: F.when((acc["taken"] < visits) | (acc["held"] <= k), F.struct((acc["held"] + F.get(counts, p)).alias("held"), (acc["taken"] + 1).alias("taken"))).otherwise(acc),
-        lambda acc: acc["taken"],
-    )
-    asked = placed.where("asks").select(F.col("vec_id").alias("query_id"), "vector", F.explode(F.slice(route, F.lit(1), enough)).alias("part"))
-    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.get(cells, F.col("part")) - 1)))
-
-    def rerank(queries: pa.Table, points: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+    dim = vectors.agg(F.mode(F.size("vector"), True)).first()[0]
+    if dim is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    points, queries = distinct_points(vectors.where(F.size("vector") == dim), k)
+
+    placed = points.select("point", "vector", F.lit(0).cast("long").alias("cell"))
+    asked = points.where("asks").select("point", "vector", F.lit(0).cast("long").alias("cell"))
+    for level in range(6):
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        large = stash(sizes.where(F.col("n") > (CELL_POINTS if level else SMALLEST - 1)), "cells")
+        if large.isEmpty():
+            break
+        placed, asked = cut_cells(placed, asked, large, dim, k, level)
+
+    slices = stash(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", _slices(F.col("n")).alias("slices")), "slices")
+    asked = asked.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "slice", "point", "vector")
+    candidates = placed.join(slices, "cell").select("cell", F.pmod(F.xxhash64("point"), F.col("slices")).cast("int").alias("slice"), "point", "vector")
+
+    def compare(queries: pa.Table, points: pa.Table) -> pa.Table:
+        """Each query's ``k + 1`` nearest points of a slice, itself among them; ties: the smaller id."""
+        empty = {"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not queries.num_rows or not points.num_rows:
             return pa.table(empty)
         q, c = _matrix(queries["vector"].combine_chunks(), dim), _matrix(points["vector"].combine_chunks(), dim)
-        q_ids, c_ids = queries["query_id"].to_numpy(), points["vec_id"].to_numpy()
+        q_ids, c_ids = queries["point"].to_numpy(), points["point"].to_numpy()
         norms, found = (c**2).sum(axis=1), []
+        most = min(k + 1, len(c))
         for at in range(0, len(q), 256):
             block = q[at : at + 256]
             own = (block**2).sum(axis=1)
             d = own[:, None] + norms - 2 * block @ c.T
-            d[q_ids[at : at + 256, None] == c_ids] = np.inf
-            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            kth = np.partition(d, most - 1, axis=1)[:, most - 1]
             slack = 1e-9 * (own + norms.max() + 1)
             for i in range(len(block)):
-                near = np.flatnonzero(np.isfinite(d[i]) & (d[i] <= kth[i] + slack[i]))
+                near = np.flatnonzero(d[i] <= kth[i] + slack[i])
                 exact = np.sqrt(((c[near] - block[i]) ** 2).sum(axis=1))
-                best = np.lexsort((c_ids[near], exact))[:k]
+                best = np.lexsort((c_ids[near], exact))[: k + 1]
                 found.append((np.full(len(best), q_ids[at + i]), c_ids[near[best]], exact[best]))
         columns = [np.concatenate(f) for f in zip(*found, strict=True)]
         return pa.table(dict(zip(empty, columns, strict=True)))
 
-    near = asked.groupBy("part", "cell").cogroup(points.groupBy("part", "cell")).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
+    near = asked.groupBy("cell", "slice").cogroup(candidates.groupBy("cell", "slice")).applyInArrow(compare, "query bigint, point bigint, score double")
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))).where(F.col("n") <= k + 1)
+    ids = best.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
+    listed = ids.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    own = queries.join(listed.drop("n"), queries["point"] == listed["query"]).where("vec_id <> query_id").select("query_id", "point", "vec_id", "score")
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "point").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
