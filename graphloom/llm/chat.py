@@ -6,10 +6,12 @@ All segments of a batch are copied into one preallocated buffer: their lengths g
 offsets give scatter indices, and the buffer becomes an Arrow string column without another copy.
 The loss mask lists the byte spans of the assistant's (escaped) texts.
 
-Rows are ordered by turn, then role, then text; tasks hold one batch and the conversation at its end.
+Rows are ordered by turn, then role, then text.  A conversation is one row, unless it has more than ``PART_BYTES`` of text: then
+it is several rows, numbered by ``part`` in order, each of whole turns and with a mask of its own.  Tasks hold one
+batch and the open part of the conversation at its end, so memory is bounded and time grows with the text.
 
 Defined results: null role or text counts as empty; a null conv_id is a conversation of its own; repeated rows are
-repeated turns; an empty table gives no conversation; other columns are ignored.
+repeated turns; ties of turn, role and text are equal rows; an empty table gives no conversation; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ for _char, _letter in _ESCAPES.items():
     _CODE[ord(_char)] = ord(_letter)
 _BACK = {letter: char for char, letter in _ESCAPES.items()}
 SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
-OUT = "conv_id bigint, n_turns bigint, formatted string, loss array<struct<start: bigint, length: bigint>>"
+#: Bytes of roles and texts from which a conversation goes on in another row; far below what a string can hold.
+PART_BYTES = 32 << 20
+OUT = "conv_id bigint, part int, n_turns bigint, formatted string, loss array<struct<start: bigint, length: bigint>>"
 
 
 def escape(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +71,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return buffer, np.append(starts[:, 0], len(buffer)), np.column_stack([starts[:, 3], lengths[:, 3]])
 
 
-def _format(rows: pa.Table) -> pa.RecordBatch:
-    """Whole conversations, rows in order."""
+def _format(rows: pa.Table, part: int = 0) -> pa.RecordBatch:
+    """Whole conversations, rows in order; or the ``part`` of one."""
     ids, roles, texts = (rows[c].combine_chunks() for c in ("conv_id", "role", "text"))
     buffer, turn_at, spans = assemble(roles, texts)
     keys, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
@@ -75,36 +80,58 @@ def _format(rows: pa.Table) -> pa.RecordBatch:
     n_turns = np.diff(np.append(first, len(keys)))
     offsets = np.append(turn_at[first], len(buffer)).astype(np.int64)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)])
-    spoken = np.flatnonzero(np.asarray([r == "assistant" for r in roles.to_pylist()]))
+    spoken = np.flatnonzero(pc.fill_null(pc.equal(roles, "assistant"), False).to_numpy(zero_copy_only=False))
     owner = np.searchsorted(first, spoken, side="right") - 1
     starts = spans[spoken, 0] - offsets[owner]
     masks = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(spans[spoken, 1], pa.int64())], fields=list(SPAN)))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(n_turns, pa.int64()), formatted.cast(pa.string()), masks], names=["conv_id", "n_turns", "formatted", "loss"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.full(len(first), part, np.int32)), pa.array(n_turns, pa.int64()), formatted.cast(pa.string()), masks], names=["conv_id", "part", "n_turns", "formatted", "loss"])
+
+
+def _lengths(rows: pa.Table) -> np.ndarray:
+    """Bytes of each row."""
+    return sum(pc.fill_null(pc.binary_length(rows[c]), 0).to_numpy().astype(np.int64) for c in ("role", "text"))
+
+
+def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
+    """Runs of rows of about ``PART_BYTES`` each."""
+    if rows.num_rows:
+        turn = np.cumsum(_lengths(rows)) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), rows.num_rows]
+        yield from (rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of conv_id, role, text, sorted by conversation and turn, as batches of conversations and parts."""
+    held: list[pa.Table] = []  # rows of the open conversation that are not written yet
+    size, part, key = 0, 0, None
+    for rows in (piece for batch in batches for piece in _pieces(pa.Table.from_batches([batch]))):
+        ids = rows["conv_id"].combine_chunks()
+        keys = list(zip(ids.fill_null(0).to_pylist(), ids.is_valid().to_pylist(), strict=True))
+        onward = next((i for i, k in enumerate(keys) if k != key), len(keys))
+        if onward:
+            held.append(rows.slice(0, onward))
+            size += int(_lengths(held[-1]).sum())
+        if onward < len(keys):
+            if held:
+                yield _format(pa.concat_tables(held), part)
+            last = len(keys) - next((i for i, k in enumerate(reversed(keys)) if k != keys[-1]), len(keys))
+            if last > onward:
+                yield _format(rows.slice(onward, last - onward))
+            held, part, key = [rows.slice(last)], 0, keys[-1]
+            size = int(_lengths(held[0]).sum())
+        if size >= PART_BYTES:
+            yield _format(pa.concat_tables(held), part)
+            held, size, part = [], 0, part + 1
+    if held:
+        yield _format(pa.concat_tables(held), part)
 
 
 def format_conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: conv_id, n_turns, formatted text, and the byte spans of its loss mask."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            last = rows["conv_id"][-1].as_py() if rows.num_rows else None
-            same = 0
-            for value in reversed(rows["conv_id"].to_pylist()):
-                if value != last:
-                    break
-                same += 1
-            if rows.num_rows > same:
-                yield _format(rows.slice(0, rows.num_rows - same))
-            held = rows.slice(rows.num_rows - same)
-        if held is not None and held.num_rows:
-            yield _format(held)
+    """Per conversation, or part of one: conv_id, part (from 0), n_turns, formatted text, and the byte spans of its loss mask."""
 
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, OUT)
+    return ordered.select("conv_id", "role", "text").mapInArrow(format_batches, OUT)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:

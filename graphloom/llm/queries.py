@@ -149,18 +149,27 @@ def op9_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        def made(rows: list[list]) -> pa.RecordBatch:
+            rows = [[*r[:2], r[2].hexdigest(), r[3], r[4].hexdigest(), r[5]] for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+        rows: list[list] = []  # conversations read; the parts of one follow each other
         for batch in batches:
-            rows = []
-            for conv_id, formatted, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                said = chat.read_turns(formatted)
-                digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in said).encode()).hexdigest()
-                loss = chat.read_loss(formatted, spans)
-                rows.append((conv_id, len(said), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c[0], str) else pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            for conv_id, part, formatted, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part == 0:
+                    rows.append([conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0])
+                row, said, loss = rows[-1], chat.read_turns(formatted), chat.read_loss(formatted, spans)
+                row[2].update("".join(f"{role}\n{text}\n" for role, text in said).encode())
+                row[4].update(loss.encode())
+                row[1], row[3], row[5] = row[1] + len(said), row[3] + len(loss), row[5] + len(formatted)
+            if len(rows) > 1:
+                yield made(rows[:-1])
+                rows = rows[-1:]
+        if rows:
+            yield made(rows)
 
     out = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return chat.format_conversations(turns).select("conv_id", "formatted", "loss").mapInArrow(read_back, out)
+    return chat.format_conversations(turns).select("conv_id", "part", "formatted", "loss").mapInArrow(read_back, out)
 
 
 ORACLES["op9_format_chat"] = r"""
