@@ -1,6 +1,7 @@
 """Quality scores from pairwise preferences (Bradley-Terry), thresholded at a score quantile.
 
-Features are counts over the whole text, taken column-wise in tasks.  Preference pairs (a good and a
+Features are counts over the whole text, taken column-wise in tasks: shares of kinds of characters and of repeats, sizes, and
+the shares of the words in ``WORDS`` hash buckets.  Preference pairs (a good and a
 bad labelled document) train a linear score by the logistic loss on feature differences.  The
 threshold is the quantile of the training scores that best parts the labels, and a document's
 result is its chance of being preferred to a document at the threshold, shifted so that the
@@ -9,8 +10,8 @@ threshold has ``cutoff``.
 The fit uses at most ``sample`` labelled documents, those whose id hashes lowest.
 
 Defined results: null text counts as empty; repeated rows get equal scores; without labels of both kinds
-every document scores ``cutoff``; labels without a document, and null labels, are unused; all input columns
-are kept unless one bears the result's name (in any letter case).
+every document scores ``cutoff``; labels without a document, null labels, and ids whose labels contradict each other are
+unused; of several texts of one id the one with the smallest features teaches; all input columns are kept unless one bears the result's name (in any letter case).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from graphloom.llm.scratch import numbered, other_columns
 from graphloom.llm.textkit import slices, word_hashes
 
+#: Hash buckets of words, and their weight beside the other features.
+WORDS, WORD_SCALE = 256, 0.2
 GROUPS = ("lower", "upper", "digit", "blank", "line", "stop", "loud", "bar", "sign", "mark", "far")
 _GROUP = np.full(256, GROUPS.index("mark"), dtype=np.int64)
 _GROUP[128:] = GROUPS.index("far")
@@ -52,7 +55,8 @@ def features(column: pa.Array) -> np.ndarray:
         letters = counts[:, 0] + counts[:, 1] + counts[:, 10]
         ratios = np.column_stack([share, *repeats, counts[:, 1] / np.maximum(letters, 1), (counts[:, 6] + counts[:, 7] + counts[:, 8]) / np.maximum(n_words, 1)])
         extent = np.column_stack([np.log1p(sizes), np.log1p(n_words), np.minimum(sizes / np.maximum(n_words, 1), 40) / 10])
-        out.append(np.column_stack([ratios, np.sqrt(ratios), ratios > 0.03, np.minimum(1.0, 8 * ratios), extent]))
+        used = np.bincount(owner * WORDS + (words % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+        out.append(np.column_stack([ratios, np.sqrt(ratios), ratios > 0.03, np.minimum(1.0, 8 * ratios), extent, np.sqrt(used / np.maximum(n_words, 1)[:, None])]))
     return np.concatenate(out) if out else np.zeros((0, 0))
 
 
@@ -72,6 +76,7 @@ class Model:
 def fit(x: np.ndarray, good: np.ndarray, *, cutoff: float, steps: int = 1500, pairs: int = 512, decay: float = 1e-4, seed: int = 5) -> Model:
     """Train on preference pairs by Adam steps over fresh random pairs."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    scale[-WORDS:] /= WORD_SCALE
     z, rng = (x - mean) / scale, np.random.default_rng(seed)
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
@@ -108,7 +113,11 @@ def train(
 ) -> Model | None:
     """Fit on at most ``sample`` labelled documents outside the held-out fold; None without labels of both kinds."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), folds))
-    chosen = known.select(F.col(doc_id).alias("_id"), F.col(label).alias("_good")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    agreed = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_good"), F.max(label).alias("_most")).where("_good = _most").select("_id", "_good")
+    # Ids are drawn by hash first, with a margin, so that tasks pass on only about ``sample`` rows together.
+    share = min(1.0, 1.2 * sample / max(agreed.count(), 1) + 1e-4)
+    drawn = agreed.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    chosen = drawn.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id").limit(sample)
     texts = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +125,8 @@ def train(
             x = features(batch.column(1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "_good", "x"])
 
-    rows = texts.select("_id", "_text", "_good").mapInArrow(measure, "_id bigint, _good int, x binary").toArrow()
+    measured = texts.select("_id", "_text", "_good").mapInArrow(measure, "_id bigint, _good int, x binary")
+    rows = measured.groupBy("_id", "_good").agg(F.min("x").alias("x")).toArrow()  # one row an id
     if not rows.num_rows or rows["_good"].to_numpy().min() == rows["_good"].to_numpy().max():
         return None
     order = np.argsort(rows["_id"].to_numpy(), kind="stable")
