@@ -4,12 +4,15 @@ A page becomes its sequence of leaf blocks.  A block is a vector of its tag path
 hashed words and a few measures.  A bidirectional LSTM in numpy reads the whole sequence, so every block is
 judged with the context of the whole document, and the blocks judged as article are joined.
 
-No page is labelled, so the labels are made: a bounded sample of pages (at most ``SAMPLE``, lowest id hashes) is labelled
-by what the markup says of itself, and its blocks are also set anew into page layouts of many kinds with known
-labels, which teaches the network classes, orders and contexts beyond the sample's own.
+No page is labelled, so the labels are made: a bounded sample of pages (at most ``SAMPLE`` of at most ``SAMPLE_BYTES`` each,
+lowest id hashes) is labelled by what the markup says of itself, and its blocks are also set anew into page layouts of
+many kinds with known labels.  There parts bear known names, made-up names or none, and the tags may say
+nothing, so the network learns to judge by text, links, places and like neighbours too.  All blocks of the sample teach; long
+pages do so in windows of ``WINDOW`` blocks.
 
 Defined results: null html gives an empty text; a page without article blocks too; markup that is broken or cut is read as
-far as it goes; repeated rows are extracted alike; an empty table gives an empty result; other columns are kept.
+far as it goes; repeated rows are extracted alike; an empty table gives an empty result; other columns are kept, but for
+one called ``text``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import types as T
 from graphloom.llm.html_blocks import Block, blocks_of
 from graphloom.llm.scratch import numbered, other_columns
 
-SAMPLE = 240
-PATH, WORDS, MEASURES, HIDDEN = 96, 32, 7, 24
-LONGEST = 80  # blocks of a training page
+SAMPLE, SAMPLE_BYTES, WINDOW = 240, 400_000, 120
+PATH, WORDS, MEASURES, HIDDEN = 128, 32, 11, 32
 BATCH = 256
+LAYOUTS, EPOCHS = 20, 9  # random layouts of each sample page, passes over all of them
 
 #: What markup calls the parts of a page (fixed values).
 ARTICLE_TAGS, OTHER_TAGS = ("article", "main"), ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset", "head")
@@ -73,12 +76,19 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 def page_matrix(blocks: Sequence[Block]) -> np.ndarray:
     """A row for each block."""
     x = np.zeros((len(blocks), PATH + WORDS + MEASURES), dtype=np.float32)
+    # How much text, and how much of it in links, the blocks under the same parent and the same grandparent hold.
+    chars, whole = {}, max(1, sum(len(b.text) for b in blocks))
+    for b in blocks:
+        for key in (b.path[:-1], b.path[:-2]):
+            held = chars.setdefault(key, [0, 0])
+            held[0] += len(b.text)
+            held[1] += b.link_chars
     for i, b in enumerate(blocks):
         words = b.text.split()
         x[i, :PATH] = path_vector(b.path)
         x[i, PATH : PATH + WORDS] = np.bincount([crc32(w.encode()) % WORDS for w in words], minlength=WORDS) / np.sqrt(len(words))
         n = len(b.text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.link_chars / n), (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?", i / len(blocks), np.log1p(len(blocks)) / 4)
+        x[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.link_chars / n), (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?", i / len(blocks), np.log1p(len(blocks)) / 4, *(part for key in (b.path[:-1], b.path[:-2]) for part in (chars[key][0] / whole, chars[key][1] / chars[key][0])))
     return x
 
 
@@ -145,7 +155,7 @@ def _pad(pages: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def fit(pages: Sequence[tuple[np.ndarray, np.ndarray]], *, epochs: int = 8, rate: float = 6e-3, seed: int = 9) -> Params:
+def fit(pages: Sequence[tuple[np.ndarray, np.ndarray]], *, epochs: int = EPOCHS, rate: float = 6e-3, seed: int = 9) -> Params:
     """Train on (matrix, labels) pages by Adam over shuffled batches."""
     rng, width = np.random.default_rng(seed), PATH + WORDS + MEASURES
     p: Params = {"o": rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32), "ob": np.zeros(1, np.float32)}
@@ -184,13 +194,22 @@ def fit(pages: Sequence[tuple[np.ndarray, np.ndarray]], *, epochs: int = 8, rate
 def layout(article: Sequence[str], other: Sequence[str], rng: np.random.Generator) -> str:
     """A page of a random layout: the article's blocks under one wrapper, parts of other kinds around it."""
     pick = lambda names: names[int(rng.integers(len(names)))]
+    made_up = {}  # a page without telling names calls each kind of part by a word of its own, or not at all
+    mute, plain_tags = rng.random() < 0.35, rng.random() < 0.4
+
+    def name_of(kind: str, names: Sequence[str]) -> str:
+        if not mute:
+            return pick(names)
+        word = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 7))))
+        return made_up.setdefault(kind, word if rng.random() < 0.7 else "")
+
     said = lambda: pick(other) if other else "More"
     attribute = lambda name: f' {pick(("class", "id"))}="{name}"' if name else ""
 
     def part(kind: str) -> str:
         names, tags = OTHER_NAMES[kind], {"menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div"), "form": ("form", "div"), "comments": ("section", "div", "ul")}
-        tag = pick(tags.get(kind, ("div", "section", "p")))
-        named = attribute(pick(names)) if tag in ("div", "section", "p", "ul") or rng.random() < 0.5 else ""
+        tag = "div" if plain_tags else pick(tags.get(kind, ("div", "section", "p")))
+        named = attribute(name_of(kind, names)) if tag in ("div", "section", "p", "ul") or rng.random() < 0.5 else ""
         text = lambda: pick(article) if article and kind in ("comments", "sidebar", "advert", "notice") and rng.random() < 0.4 else said()
         many = int(rng.integers(1, 6)) if kind in ("menu", "sidebar", "comments", "footer") else int(rng.integers(1, 3))
         if kind in ("menu", "sidebar", "share") and rng.random() < 0.7:
@@ -211,8 +230,8 @@ def layout(article: Sequence[str], other: Sequence[str], rng: np.random.Generato
     for kind in ("advert", "share", "comments", "notice"):
         if len(lines) > 2 and rng.random() < 0.12:
             lines.insert(int(rng.integers(1, len(lines))), part(kind))
-    wrapper = pick(("article", "main", "div", "div", "section"))
-    name = attribute(pick(ARTICLE_NAMES)) if wrapper in ("div", "section") or rng.random() < 0.3 else ""
+    wrapper = "div" if plain_tags else pick(("article", "main", "div", "div", "section"))
+    name = attribute(name_of("article", ARTICLE_NAMES)) if wrapper in ("div", "section") or rng.random() < 0.3 else ""
     body = f'<{wrapper}{name} data-label="1">{"".join(lines)}</{wrapper}>'
     if rng.random() < 0.3:
         body = f"<div{attribute(pick(('container', 'page', 'wrap', 'row', '')))}>{body}</div>"
@@ -227,20 +246,19 @@ def train(pages: Sequence[str], *, seed: int = 21) -> Params:
     escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
 
     def add(blocks: list[Block]) -> None:
-        blocks = blocks[:LONGEST]
-        if blocks:
-            examples.append((page_matrix(blocks), np.asarray([b.label for b in blocks], dtype=np.float32)))
+        x, y = page_matrix(blocks), np.asarray([b.label for b in blocks], dtype=np.float32)
+        examples.extend((x[at : at + WINDOW], y[at : at + WINDOW]) for at in range(0, len(blocks), WINDOW))
 
     for page in pages:
         blocks = blocks_of(page)
         for b in blocks:
             b.label = markup_label(b.path)
-        texts.append([escape(b.text) for b in blocks if b.label][:40])
+        texts.append([escape(b.text) for b in blocks if b.label])
         others += [escape(b.text) for b in blocks if not b.label]
         add(blocks)
     others = others or ["Home", "About us", "Contact"]
     for article in texts:
-        for _ in range(3):
+        for _ in range(LAYOUTS):
             blocks = blocks_of(layout(article, others, rng)) if article else []
             for b in blocks:
                 b.label = int(bool(b.label))
@@ -263,7 +281,11 @@ def main_texts(p: Params, pages: Sequence[str]) -> list[str]:
 
 def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` (the article, blocks joined by a space)."""
-    chosen = pages.where(F.col(html).isNotNull()).select(page_id, html).orderBy(F.xxhash64(page_id), page_id).limit(SAMPLE)
+    taught = pages.where(F.octet_length(html) <= SAMPLE_BYTES).select(page_id, html)
+    # Pages are drawn by hash first, with a margin, so that tasks pass on only about ``SAMPLE`` pages together.
+    draw = F.pmod(F.xxhash64(page_id), F.lit(1 << 40))
+    share = min(1.0, 1.5 * SAMPLE / max(taught.count(), 1))
+    chosen = taught.where(draw <= int(share * (1 << 40))).orderBy(draw, page_id).limit(SAMPLE)
     model = pages.sparkSession.sparkContext.broadcast(train([r[1] for r in sorted(chosen.collect(), key=lambda r: (str(r[0]), r[1]))]))
     own = other_columns(pages, html, "text")
     schema = T.StructType([*[pages.schema[c] for c in own], T.StructField("text", T.StringType())])
