@@ -90,7 +90,9 @@ BASE: list[tuple[str, str]] = [
     ("ckind", values(list(v.CLASS_KINDS.items()), "iri", "kind")),
     ("sclass", f"SELECT c.graph, c.iri, coalesce(l.label, {local('c.iri')}) AS label, coalesce(i.instances, 0) AS instances, coalesce(k.kind, 'class') AS kind FROM scls c LEFT JOIN labels l ON l.graph = c.graph AND l.s = c.iri LEFT JOIN cinst i ON i.graph = c.graph AND i.iri = c.iri LEFT JOIN ckind k ON k.iri = c.iri"),
     ("drlink", f"SELECT DISTINCT d.graph, d.o AS source, d.s AS predicate, r.o AS target FROM il d JOIN il r ON r.graph = d.graph AND r.s = d.s AND r.p = '{R}range' WHERE d.p = '{R}domain' AND NOT starts_with(r.o, '{X}') AND r.o <> '{v.RDF}langString'"),
-    ("olink", f"SELECT t.graph, a.type AS source, t.p AS predicate, b.type AS target, count(*) AS n FROM t JOIN itype a ON a.graph = t.graph AND a.s = t.s JOIN itype b ON b.graph = t.graph AND b.s = t.o WHERE t.s_kind = 'iri' AND t.o_kind = 'iri' AND NOT {within('t.p', v.SCHEMA_PREDICATES)} GROUP BY ALL"),
+    # Uses are counted per object first; the aggregation keeps the two type joins apart.
+    ("ouse", f"SELECT t.graph, a.type AS source, t.p, t.o, count(*) AS n FROM t JOIN itype a ON a.graph = t.graph AND a.s = t.s WHERE t.s_kind = 'iri' AND t.o_kind = 'iri' AND NOT {within('t.p', v.SCHEMA_PREDICATES)} GROUP BY ALL"),
+    ("olink", "SELECT u.graph, u.source, u.p AS predicate, b.type AS target, CAST(sum(u.n) AS BIGINT) AS n FROM ouse u JOIN itype b ON b.graph = u.graph AND b.s = u.o GROUP BY ALL"),
     ("odata", f"SELECT t.graph, a.type AS class, t.p AS predicate, coalesce(o_datatype, CASE WHEN o_lang IS NOT NULL THEN '{v.RDF}langString' ELSE '{X}string' END) AS datatype, count(*) AS n FROM t JOIN itype a ON a.graph = t.graph AND a.s = t.s WHERE t.s_kind = 'iri' AND t.o_kind = 'literal' AND NOT {within('t.p', v.SCHEMA_PREDICATES)} GROUP BY ALL"),
     ("slink", "SELECT graph, source, predicate, target, bool_or(d) AS declared, bool_or(r) AS restriction, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, false AS d, true AS r, 0 AS n FROM rlink UNION ALL SELECT *, true, false, 0 FROM drlink UNION ALL SELECT graph, source, predicate, target, false, false, n FROM olink) WHERE (graph, source) IN (SELECT graph, iri FROM scls) AND (graph, target) IN (SELECT graph, iri FROM scls) GROUP BY graph, source, predicate, target"),
     ("ddata", f"SELECT p.graph, d.o AS class, p.s AS predicate, coalesce(min(r.o), '{X}string') AS datatype FROM il p JOIN il d ON d.graph = p.graph AND d.s = p.s AND d.p = '{R}domain' LEFT JOIN il r ON r.graph = p.graph AND r.s = p.s AND r.p = '{R}range' WHERE p.p = '{T}' AND p.o = '{O}DatatypeProperty' AND (d.graph, d.o) IN (SELECT graph, iri FROM scls) AND (p.graph, d.o, p.s) NOT IN (SELECT graph, class, predicate FROM odata) GROUP BY ALL"),
