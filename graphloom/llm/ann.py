@@ -153,14 +153,14 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 def distinct_points(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Points (point: smallest id, vector, ids: the ``k + 1`` smallest, asks) and the queries (query_id, point) of equal vectors."""
+    """Points (point: smallest id, vector, ids: the ``k + 1`` smallest, asks, cell: the one before any cut) and the queries (query_id, point) of equal vectors."""
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     distinct_ids = vectors.groupBy("vector", "vec_id").agg(F.bool_or("asks").alias("asks"))
     few = distinct_ids.select("vector", "vec_id").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     points = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = distinct_ids.where("asks").select("vector", F.col("vec_id").alias("query_id"))
     points = points.join(asked.select("vector", F.lit(True).alias("asks")).distinct(), "vector", "left")
-    points = stash(points.select(F.get("ids", F.lit(0)).alias("point"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "points")
+    points = stash(points.select(F.get("ids", F.lit(0)).alias("point"), "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks"), F.lit(0).cast("long").alias("cell")), "points")
     return points, stash(asked.join(points.select("vector", "point"), "vector").select("query_id", "point"), "asked")
 
 
@@ -217,8 +217,7 @@ def search(rows: DataFrame, is_query: Column, *, k: int = 10, vec_id: str = "vec
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     points, queries = distinct_points(vectors.where(F.size("vector") == dim), k)
 
-    placed = points.select("point", "vector", F.lit(0).cast("long").alias("cell"))
-    asked = points.where("asks").select("point", "vector", F.lit(0).cast("long").alias("cell"))
+    placed, asked = points.select("point", "vector", "cell"), points.where("asks").select("point", "vector", "cell")
     for level in range(6):
         sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         large = stash(sizes.where(F.col("n") > (CELL_POINTS if level else SMALLEST - 1)), "cells")
