@@ -217,7 +217,7 @@ def search(rows: DataFrame, is_query: Column, *, k: int = 10, vec_id: str = "vec
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     points, queries = distinct_points(vectors.where(F.size("vector") == dim), k)
 
-    placed, asked = points.select("point", "vector", "cell"), points.where("asks").select("point", "vector", "cell")
+    placed, asked = points.select("point", "vector", "cell"), stash(points.where("asks").select("point", "vector", "cell"), "asking")
     for level in range(6):
         sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         large = stash(sizes.where(F.col("n") > (CELL_POINTS if level else SMALLEST - 1)), "cells")
