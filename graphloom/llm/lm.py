@@ -71,7 +71,10 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
-    """Chunks: chunk_id, train_tokens, tokens, and a blob of ids, known ids, lengths, flags, vocabulary, token indices."""
+    """Chunks: chunk_id, train_tokens, tokens, a blob of the sorted word hashes and their training counts, and one of documents and tokens.
+
+    The latter: ids, known ids, lengths, flags, the place of the end token among the words, and of each token's word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -81,9 +84,11 @@ def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFr
         def flush() -> pa.RecordBatch:
             ids, known, out, lengths, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             vocabulary, index = np.unique(tokens, return_inverse=True)
-            blob = _dump(ids, known, _small(lengths), out, vocabulary, _small(index))
+            counts = np.bincount(index[np.repeat(~out, lengths)], minlength=len(vocabulary))
+            words = _dump(vocabulary, _small(counts))
+            blob = _dump(ids, known, _small(lengths), out, np.searchsorted(vocabulary, END)[None], _small(index))
             train = int(lengths[~out].sum())
-            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + made]), pa.array([train]), pa.array([len(tokens)]), pa.array([blob], pa.binary())], names=["chunk_id", "train_tokens", "tokens", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + made]), pa.array([train]), pa.array([len(tokens)]), pa.array([words], pa.binary()), pa.array([blob], pa.binary())], names=["chunk_id", "train_tokens", "tokens", "words", "blob"])
 
         for batch in batches:
             ids, out = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -101,11 +106,12 @@ def tokenise(documents: DataFrame, doc_id: str, text: str, folds: int) -> DataFr
 
     out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), out.alias("out"))
-    return stash(rows.mapInArrow(run, "chunk_id bigint, train_tokens bigint, tokens bigint, blob binary"), "chunks")
+    return stash(rows.mapInArrow(run, "chunk_id bigint, train_tokens bigint, tokens bigint, words binary, blob binary"), "chunks")
 
 
 def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (((mix(hashes) >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int32)
+    """Buckets are ranges of the hashes, so sorted hashes lie in the order of their buckets."""
+    return (((hashes >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int32)
 
 
 def _by_bucket(buckets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +126,13 @@ def ask_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, _, lengths, out, vocabulary, index = _load(blob)
-                counts = np.bincount(index[np.repeat(~out, lengths)], minlength=len(vocabulary))
-                order, at = _by_bucket(_bucket(vocabulary, n_buckets), n_buckets)
+                vocabulary, counts = _load(blob)
+                at = np.searchsorted(_bucket(vocabulary, n_buckets), np.arange(n_buckets + 1))
                 buckets = np.flatnonzero(np.diff(at))
-                blobs = [_dump(vocabulary[w], _small(counts[w])) for w in (order[at[b] : at[b + 1]] for b in buckets)]
+                blobs = [_dump(vocabulary[at[b] : at[b + 1]], _small(counts[at[b] : at[b + 1]])) for b in buckets]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk_id] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk_id", "blob"])
 
-    return chunks.select("chunk_id", "blob").mapInArrow(run, "bucket int, chunk_id bigint, blob binary")
+    return chunks.select("chunk_id", "words").mapInArrow(run, "bucket int, chunk_id bigint, blob binary")
 
 
 def _rows(schema: str, rows: Sequence[tuple]) -> pa.Table:
@@ -164,12 +169,10 @@ def deal(chunks: DataFrame, counted: DataFrame, n_buckets: int, train_tokens: in
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         chunk_id = chunk["chunk_id"][0].as_py()
-        ids, known, lengths, out, vocabulary, index = _load(chunk["blob"][0].as_py())
-        words, at = _by_bucket(_bucket(vocabulary, n_buckets), n_buckets)
-        number, count, often = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), bool)
-        for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
-            own = words[at[b] : at[b + 1]]
-            number[own], count[own], often[own] = _load(blob)
+        ids, known, lengths, out, end, index = _load(chunk["blob"][0].as_py())
+        # Answers in the order of their buckets are in the order of the chunk's words.
+        number, count, often = (np.concatenate(x) for x in zip(*map(_load, answers.sort_by("bucket")["blob"].to_pylist()), strict=True))
+        number, count = number.astype(np.int64), count.astype(np.int64)
         lengths = lengths.astype(np.int64)
         first = np.cumsum(lengths) - lengths
         base = np.log10((count + 0.1) / (train_tokens + 0.1 * (known_words + 1)))
@@ -183,7 +186,7 @@ def deal(chunks: DataFrame, counted: DataFrame, n_buckets: int, train_tokens: in
         word = place[index]
         context = np.empty(len(word), dtype=np.int64)
         context[1:] = word[:-1]
-        context[first] = place[np.searchsorted(vocabulary, END)]
+        context[first] = place[end[0]]
         hashes = mix(numbers.astype(U64) + U64(1))
         bucket = _bucket(hashes[context] + np.where(split[context], mix(hashes[word] + U64(7)), U64(0)), n_buckets)
         bits = len(numbers).bit_length()
