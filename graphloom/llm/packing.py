@@ -155,8 +155,8 @@ def pack_documents(
         def windows() -> Iterator[tuple]:
             made = 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                         total = len(ids) // 4 + 1

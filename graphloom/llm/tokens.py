@@ -26,8 +26,8 @@ _PLAIN = re.compile(PLAIN + "*+")
 _PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ž]+|[0-9]|[^\sa-zß-öø-ž0-9]+")
 LONGEST = 1000
 #: Pieces remembered by a worker; when they are more, the half used last is kept.
-MEMO = 800_000
-SLICE_BYTES = 2_000_000
+MEMO = 400_000
+SLICE_BYTES = 400_000
 
 
 class Encoder:
