@@ -23,6 +23,8 @@ _LANE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters as they are.
+SAME = np.arange(256, dtype=np.uint8)
 #: True for bytes of words when words are separated by white space only.
 SPACE_WORD = np.ones(256, dtype=bool)
 SPACE_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -57,8 +59,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def word_places(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPACE_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of all rows, in order, their first bytes and their lengths in bytes."""
+def word_places(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPACE_WORD, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows (A-Z lower-cased unless ``case`` is ``SAME``), in order, their first bytes and their lengths in bytes."""
     inside = word_byte[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
@@ -67,7 +69,7 @@ def word_places(raw: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray = SPA
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     if not len(starts):
         return np.zeros(0, U64), starts, np.zeros(0, np.int64)
-    codes = _BYTE_CODE[LOWER[raw[inside]]]
+    codes = _BYTE_CODE[case[raw[inside]]]
     first = (np.cumsum(inside) - 1)[starts]
     lengths = np.diff(np.append(first, len(codes)))
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=U64))
@@ -105,3 +107,19 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     if not parts:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate(parts), np.concatenate(rows).astype(np.int64)
+
+
+def gather_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The given words of each row joined by one space: one buffer and the offsets of the rows in it.
+
+    ``row`` holds the row of each word, in rising order.
+    """
+    n = len(starts)
+    last = np.ones(n, dtype=bool)
+    last[:-1] = row[1:] != row[:-1]
+    ends = np.cumsum(lengths + ~last)
+    buffer = np.full(int(ends[-1]) if n else 0, 0x20, dtype=np.uint8)
+    places = ends - lengths - ~last
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    buffer[np.repeat(places, lengths) + within] = raw[np.repeat(starts, lengths) + within]
+    return buffer, np.concatenate([[0], ends])[np.searchsorted(row, np.arange(rows + 1))]
