@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, chat, decontam, html_extract, lm, neardup, packing, quality, runs, sharding, substrings, url_filter
+from graphloom.llm import ann, chat, decontam, html_extract, lm, neardup, packing, quality, repair, runs, sharding, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,74 @@ FROM d LEFT JOIN kept USING (doc_id)
 @_query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.judge_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+@_query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_conversations(turns, repair.damage(turns))
+
+
+ORACLES["op11_repair_conversations"] = r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM (SELECT unnest(range(256)) AS i)
+  )
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations
+), f AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM k, crcs
+), r AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f WHERE fault <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+         regexp_replace(text, '[ 	-]+$', '') AS bare, substr(role, 1, 1) AS ini
+  FROM r
+), m AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS mark,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o
+), dp(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {'c': 0, 'a': '', 'r': ''}, {'c': 9999999, 'a': '', 'r': ''}, {'c': 9999999, 'a': '', 'r': ''}, {'c': 9999999, 'a': '', 'r': ''} FROM m
+  UNION ALL
+  SELECT conv_id, i, s0d, least(s1d, CASE WHEN free AND ini = 's' THEN {'c': s0.c + x, 'a': s0.a || 'K', 'r': s0.r || said} ELSE none END),
+         least(s2d, CASE WHEN free THEN {'c': e2.c + x + 1, 'a': e2.a || 'R', 'r': e2.r || chr(10) || 'user:' || text} ELSE none END, CASE WHEN free AND ini = 'u' THEN {'c': e2.c + x, 'a': e2.a || 'K', 'r': e2.r || said} ELSE none END),
+         least(s3d, CASE WHEN free THEN {'c': e3.c + x + 1, 'a': e3.a || 'R', 'r': e3.r || chr(10) || 'assistant:' || text} ELSE none END, CASE WHEN free AND ini = 'a' THEN {'c': e3.c + x, 'a': e3.a || 'K', 'r': e3.r || said} ELSE none END)
+  FROM (
+    SELECT conv_id, i, ini, text, said, free, x, s0, e2, e3, {'c': 9999999, 'a': '', 'r': ''} AS none,
+           {'c': s0.c + 2, 'a': s0.a || 'D', 'r': s0.r} AS s0d, {'c': s1.c + 2, 'a': s1.a || 'D', 'r': s1.r} AS s1d,
+           {'c': t2.c + 2, 'a': t2.a || 'D', 'r': t2.r} AS s2d, {'c': t3.c + 2, 'a': t3.a || 'D', 'r': t3.r} AS s3d
+    FROM (
+      SELECT *, least(s2, {'c': s0.c + 5, 'a': s0.a || 'I', 'r': s0.r || i2}, {'c': s1.c + 5, 'a': s1.a || 'I', 'r': s1.r || i2}, {'c': s3.c + 5, 'a': s3.a || 'I', 'r': s3.r || i2}) AS t2,
+             least(s3, {'c': s2.c + 5, 'a': s2.a || 'I', 'r': s2.r || i3}, {'c': s0.c + 10, 'a': s0.a || 'II', 'r': s0.r || i2 || i3}, {'c': s1.c + 10, 'a': s1.a || 'II', 'r': s1.r || i2 || i3}) AS t3
+      FROM (
+        SELECT m.conv_id, m.i, m.ini, m.text, chr(10) || m.role || ':' || m.text AS said, m.mark NOT IN ('blank', 'duplicate') AS free,
+               CASE WHEN m.mark = 'truncated' THEN 5 ELSE 0 END AS x, dp.s0, dp.s1, dp.s2, dp.s3, chr(10) || 'user:' AS i2, chr(10) || 'assistant:' AS i3,
+               least(dp.s0, dp.s1, dp.s3, {'c': dp.s2.c + 5, 'a': dp.s2.a || 'I', 'r': dp.s2.r || chr(10) || 'assistant:'}) AS e2,
+               least(dp.s2, {'c': dp.s0.c + 5, 'a': dp.s0.a || 'I', 'r': dp.s0.r || chr(10) || 'user:'}, {'c': dp.s1.c + 5, 'a': dp.s1.a || 'I', 'r': dp.s1.r || chr(10) || 'user:'}, {'c': dp.s3.c + 5, 'a': dp.s3.a || 'I', 'r': dp.s3.r || chr(10) || 'user:'}) AS e3
+        FROM dp JOIN m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.i = dp.i + 1
+      )
+    )
+  )
+), last AS (
+  SELECT conv_id, max(i) AS i FROM m GROUP BY conv_id
+), done AS (
+  SELECT dp.conv_id, least(s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 'r': s2.r || chr(10) || 'assistant:'}, {'c': s1.c + 10, 'a': s1.a || 'II', 'r': s1.r || chr(10) || 'user:' || chr(10) || 'assistant:'}) AS best
+  FROM dp JOIN last ON last.conv_id IS NOT DISTINCT FROM dp.conv_id AND last.i = dp.i
+), counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (mark = 'blank') AS blank, count(*) FILTER (mark = 'duplicate') AS duplicate,
+         count(*) FILTER (mark = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
