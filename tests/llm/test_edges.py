@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, chat, decontam, html_extract, lm, neardup, packing, quality, sharding, url_filter
+from graphloom.llm import ann, chat, decontam, html_extract, lm, neardup, packing, quality, repair, runs, sharding, substrings, url_filter
 from graphloom.llm.queries import QUERIES, tokenizer_file
 
 SCHEMAS = {
@@ -68,6 +68,9 @@ OPERATORS = {
     "leaks": lambda t: decontam.find_contamination(t["documents"], t["benchmark"]).select("doc_id", "n_words", "n_hit", "items"),
     "chat": lambda t: chat.format_conversations(t["conversations"]).select("conv_id", "n_turns", "formatted"),
     "nearest": lambda t: ann.search(t["embeddings"], F.col("vec_id") % 10 == 0),
+    "repair": lambda t: repair.repair_conversations(t["conversations"], repair.damage(t["conversations"])),
+    "substrings": lambda t: substrings.cut_repeats(t["documents"]),
+    "runs": lambda t: runs.judge_runs(t["documents"], plant=True),
 }
 
 
@@ -86,11 +89,11 @@ def test_clashing_columns_change_nothing(spark, name):
 def test_one_row_per_input_row(spark, name):
     tables = {n: make(spark) for n, make in TABLES.items()}
     n = OPERATORS[name](tables).count()
-    if name in ("model", "near", "quality", "shard", "leaks"):
+    if name in ("model", "near", "quality", "shard", "leaks", "substrings", "runs"):
         assert n == tables["documents"].count()
     elif name in ("urls", "html"):
         assert n == tables["pages"].count()
-    elif name == "chat":
+    elif name in ("chat", "repair"):
         assert n == 4
 
 
@@ -102,7 +105,7 @@ def test_empty_tables(spark, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_only_nulls(spark, name):
     nulls = {n: spark.createDataFrame([(None,) * len(s.split(", "))] * 3, s) for n, s in SCHEMAS.items()}
-    assert OPERATORS[name](nulls).count() == {"nearest": 0, "chat": 1}.get(name, 3)
+    assert OPERATORS[name](nulls).count() == {"nearest": 0, "chat": 1, "repair": 1}.get(name, 3)
 
 
 def test_queries_on_empty_tables(spark, tmp_path):
