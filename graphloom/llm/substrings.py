@@ -10,10 +10,13 @@ document with a smaller id; windows are those of the input.
    hold.  Occurrences with the same surroundings form a class, led by its smallest document; in all other documents of
    the class each window around the anchor is a repeat.
 3. The leader of a class is extended window by window: its windows meet those of other leaders, and each that a smaller
-   document has is a repeat.  No pairs of occurrences are ever formed: a passage in m documents costs m rows.
+   document has is a repeat.  A window goes on for half of its words beyond the anchor to one side at least, so only
+   leaders whose near words on that side stand beside the anchor elsewhere take part.  No pairs of occurrences are ever
+   formed: a passage in m documents costs m rows.
 4. The repeats of a text, runs of windows that overlap or touch, are merged into its maximal ones and cut out.
 
-Sequences are compared by hashes: 64 bits for anchors, 64 more for their surroundings, 128 for windows.  Anchors that many
+Sequences are compared by hashes: 64 bits for anchors, 64 more for their surroundings, 128 for windows; texts that share an id
+are told apart by 32.  Anchors that many
 documents share are one class or few; joins on them are left to the engine's splitting of skewed partitions.
 
 Defined results: a null, empty or wordless text has no words and no windows; a text below ``width`` words loses nothing; a
@@ -69,17 +72,27 @@ def anchors(words: np.ndarray, bounds: np.ndarray, width: int, seed: int) -> np.
     return np.unique(best[row[:windows] == row[width - 1 : width - 1 + windows]])
 
 
-def surroundings(words: np.ndarray, bounds: np.ndarray, places: np.ndarray, reach: int, seed: int) -> np.ndarray:
-    """A hash of each place's gram with up to ``reach`` words on both sides; the ends of a row count as such."""
+def near(reach: int) -> int:
+    """Words beyond an anchor, to one side or the other, that every window around it holds."""
+    return -(-reach // 2)
+
+
+def surroundings(words: np.ndarray, bounds: np.ndarray, places: np.ndarray, reach: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each place's gram with up to ``reach`` words on both sides, and (short ones) of the ``near`` words before and
+    after it; the ends of a row count as such."""
     row = np.searchsorted(bounds, places, side="right") - 1
     first, last = bounds[row], bounds[row + 1]
-    total = np.zeros(len(places), dtype=U64)
+    total, left, right = (np.zeros(len(places), dtype=U64) for _ in range(3))
     for k in range(-reach, seed + reach):
         at = places + k
         inside = (at >= first) & (at < last)
-        code = np.where(inside, mix(words[at.clip(0, len(words) - 1)]), _EDGE[k + reach])
-        total += code * _LANES[1, k + reach]
-    return mix(total)
+        code = np.where(inside, mix(words[at.clip(0, len(words) - 1)]), _EDGE[k + reach]) * _LANES[1, k + reach]
+        total += code
+        if -near(reach) <= k < 0:
+            left += code
+        if seed <= k < seed + near(reach):
+            right += code
+    return mix(total), mix(left).astype(np.uint32), mix(right).astype(np.uint32)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,37 +123,39 @@ def find_seeds(texts: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def find_occurrences(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """anchor, around (hash of its surroundings), id, print, place: every anchor of every text."""
+    """anchor, around (hash of its surroundings), left, right, id, print, place: every anchor of every text."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, words, _, _, at in _texts(batches, 2):
             places = anchors(words, at, width, seed)
             hashes = sequence_hashes(words, seed)[places] if len(places) else np.zeros(0, U64)
             row = np.searchsorted(at, places, side="right") - 1
-            around = surroundings(words, at, places, width - seed, seed) if len(places) else hashes
-            columns = [pa.array(hashes.view(np.int64)), pa.array(around.view(np.int64)), pa.array(rows.column(0).to_numpy()[row]), pa.array(rows.column(1).to_numpy()[row]), pa.array(places - at[row], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "around", "id", "print", "place"])
+            around, left, right = surroundings(words, at, places, width - seed, seed) if len(places) else (hashes, hashes.astype(np.uint32), hashes.astype(np.uint32))
+            columns = [pa.array(hashes.view(np.int64)), pa.array(around.view(np.int64)), pa.array(left.view(np.int32)), pa.array(right.view(np.int32)), pa.array(rows.column(0).to_numpy()[row]), pa.array(rows.column(1).to_numpy()[row]), pa.array(places - at[row], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "around", "left", "right", "id", "print", "place"])
 
-    return texts.mapInArrow(post, "anchor bigint, around bigint, id bigint, print bigint, place int")
+    return texts.mapInArrow(post, "anchor bigint, around bigint, left int, right int, id bigint, print int, place int")
 
 
 def find_frames(chosen: DataFrame, width: int, seed: int) -> DataFrame:
-    """anchor, around, id, frame (words of the window before the anchor), two hashes: all windows around chosen places.
+    """anchor, around, id, frame (words of the window before the anchor), two hashes: the windows around chosen places.
 
-    ``chosen`` holds texts with the list ``leads`` of (anchor, around, place).
+    ``chosen`` holds texts with the list ``leads`` of (anchor, around, place, and whether windows that go on to the left,
+    and those to the right, are wanted).
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, words, _, _, at in _texts(batches, 1):
             leads = rows.column(2)
             row = np.repeat(np.arange(len(rows)), np.diff(leads.offsets.to_numpy()))
-            anchor, around, place = leads.flatten().flatten()
+            anchor, around, place, left, right = leads.flatten().flatten()
+            sides = np.stack([right.to_numpy(zero_copy_only=False), left.to_numpy(zero_copy_only=False)])
             place = place.to_numpy() + at[row]
             one, two = (sequence_hashes(words, width, lane) for lane in (0, 2))
             frame = np.tile(np.arange(width - seed + 1), len(place))
             start = np.repeat(place, width - seed + 1) - frame
             owner = np.repeat(np.arange(len(place)), width - seed + 1)
-            whole = (start >= at[row[owner]]) & (start + width <= at[row[owner] + 1])
+            whole = (start >= at[row[owner]]) & (start + width <= at[row[owner] + 1]) & sides[(frame >= near(width - seed)).astype(int), owner]
             start, owner, frame = start[whole], pa.array(owner[whole]), frame[whole]
             ids = rows.column(0).take(pa.array(row)).take(owner)
             columns = [anchor.take(owner), around.take(owner), ids, pa.array(frame, pa.int32()), pa.array(one[start].view(np.int64)), pa.array(two[start].view(np.int64))]
@@ -151,11 +166,14 @@ def find_frames(chosen: DataFrame, width: int, seed: int) -> DataFrame:
 
 def find_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, seed: int = SEED) -> DataFrame:
     """id, print (hash of the text), repeats: for each text that loses words a list of (place of an anchor, frames as bits)."""
-    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")).where("id is not null and text is not null")
+    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.hash(F.col(text)).alias("print"), F.col(text).alias("text")).where("id is not null and text is not null")
     seeds = stash(find_seeds(texts, width, seed), "seeds")
     met = stash(find_occurrences(texts, width, seed).join(seeds, "anchor"), "met")
-    classes = stash(met.groupBy("anchor", "around").agg(F.min(F.struct("id", "print", "place")).alias("lead")).select("anchor", "around", "lead.*"), "classes")
-    leads = classes.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "around", "place")).alias("leads"))
+    lead = F.min(F.struct("id", "print", "place", "left", "right")).alias("lead")
+    classes = stash(met.groupBy("anchor", "around").agg(lead).select("anchor", "around", "lead.*"), "classes")
+    shared = lambda side: classes.groupBy("anchor", side).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor", side, F.lit(True).alias(f"on_{side}"))
+    wanted = classes.join(shared("left"), ["anchor", "left"], "left").join(shared("right"), ["anchor", "right"], "left").na.fill(False, ["on_left", "on_right"]).where("on_left or on_right")
+    leads = wanted.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "around", "place", "on_left", "on_right")).alias("leads"))
     chosen = texts.join(leads, ["id", "print"]).dropDuplicates(["id", "print"]).select("id", "text", "leads")
     frames = stash(find_frames(chosen, width, seed), "frames")
     first = frames.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
@@ -200,7 +218,7 @@ def cut_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     if not 1 < seed < width <= 32:
         raise ValueError("a window takes up to 32 words and is longer than a seed, which takes at least two")
     repeats = stash(find_repeats(documents, doc_id=doc_id, text=text, width=width, seed=seed), "repeats")
-    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.hash(F.col(text)).alias("print"), F.col(text).alias("text"))
     none = F.expr("cast(array() as array<struct<place: int, bits: bigint>>)")
     joined = rows.join(repeats, ["id", "print"], "left").select("id", "text", F.coalesce("repeats", none).alias("repeats"))
     return joined.mapInArrow(_cut(width, seed, digest), OUT)
