@@ -47,10 +47,10 @@ def instance_edges(triples: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def assertion_edges(triples: DataFrame) -> DataFrame:
-    """Uses of object properties between IRIs, labelled by the property's local name."""
+    """Uses, between IRIs, of what their own graph declares an object property, labelled by its local name."""
     links = iri_links(triples)
-    properties = links.where((F.col("p") == TYPE) & (kind_of_type(F.col("o")) == "objectProperty")).select(F.col("s").alias("p")).distinct()
-    used = links.join(properties, "p", "left_semi")
+    properties = links.where((F.col("p") == TYPE) & (kind_of_type(F.col("o")) == "objectProperty")).select("graph", F.col("s").alias("p")).distinct()
+    used = links.join(properties, ["graph", "p"], "left_semi")
     return used.select("graph", F.col("s").alias("source"), F.col("o").alias("target"), F.lit("assertion").alias("kind"), local_name(F.col("p")).alias("label")).distinct()
 
 

@@ -1,7 +1,8 @@
 """Graph patterns as DataFrame joins.
 
 ``QueryState`` is a tree of typed steps joined by links; ``run_pattern`` composes the joins.  ``Frame`` offers the algebra of
-solution tables: a table whose columns are variables, null meaning unbound.
+solution tables: a table whose columns are variables, null meaning unbound.  Values are terms with their kind, so an IRI
+never joins a literal of the same text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.typed import TERM, Term, iri, iri_term, is_term, object_term, order_keys, subject_term
 from graphloom.functions.vocab import NUMERIC, TYPE, XSD
 from graphloom.operators.closure import path_closure, path_zero_or_one
 
@@ -111,19 +113,16 @@ def var_names(labels: list[str]) -> list[str]:
 
 
 def step_type(triples: DataFrame, cls: str, name: str = "s") -> DataFrame:
-    """Asserted instances of a class."""
-    return triples.where((F.col("p") == TYPE) & (F.col("o") == cls)).select("graph", F.col("s").alias(name)).distinct()
+    """Asserted instances of a class, as terms."""
+    return triples.where((F.col("p") == TYPE) & (F.col("o") == cls) & (F.col("o_kind") == "iri")).select("graph", subject_term().alias(name)).distinct()
 
 
 def hop_pairs(triples: DataFrame, predicates: tuple[tuple[str, bool], ...]) -> DataFrame:
-    """graph, a, b, b_kind of one hop; alternatives are a bag, ``inverse`` swaps the ends."""
+    """graph, a, b (terms) of one hop; alternatives are a bag, ``inverse`` swaps the ends."""
     parts = []
     for predicate, inverse in predicates:
-        rows = triples.where(F.col("p") == predicate)
-        if inverse:
-            parts.append(rows.where("o_kind <> 'literal'").select("graph", F.col("o").alias("a"), F.col("s").alias("b")))
-        else:
-            parts.append(rows.select("graph", F.col("s").alias("a"), F.col("o").alias("b")))
+        ends = ("b", "a") if inverse else ("a", "b")
+        parts.append(triples.where(F.col("p") == predicate).select("graph", subject_term().alias(ends[0]), object_term().alias(ends[1])).select("graph", "a", "b"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -146,14 +145,15 @@ def _with_props(triples: DataFrame, frame: DataFrame, step: Step, name: str, col
         rows = triples.where(F.col("p") == prop.predicate)
         if active:
             rows = rows.where(filter_condition(active, prop.datatype, F.col("o"), F.col("o_lang")))
-        rows = rows.select("graph", F.col("s").alias(name), F.col("o").alias(column))
+        rows = rows.select("graph", subject_term().alias(name), object_term().alias(column))
         frame = frame.join(rows, ["graph", name], "left" if prop.optional and not active else "inner")
     return frame
 
 
-def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
+def run_pattern(triples: DataFrame, state: QueryState, *, terms: bool = False) -> DataFrame:
     """The solutions of a query: graph and one column per emitted step and property; or graph and counts.
 
+    Values are joined, made distinct and counted as terms; the columns are their texts, or with ``terms`` the terms.
     A step whose anchor does not exist is ignored, with all that hangs on it.
     """
     steps = state.steps
@@ -185,9 +185,9 @@ def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
             typed = step_type(triples, s.cls, name)
             frame = typed if frame is None else frame.join(typed, ["graph", name], "left_semi")
         elif frame is None:
-            frame = triples.select("graph", F.col("s").alias(name)).distinct()
+            frame = triples.select("graph", subject_term().alias(name)).distinct()
         if s.pin:
-            frame = frame.where(F.col(name).isin(*s.pin))
+            frame = frame.where((F.col(name)["kind"] == "iri") & F.col(name)["text"].isin(*s.pin))
         return _with_props(triples, frame, s, name, [prop_names[i, p] for p in range(len(s.props))])
 
     def grow(i: int, frame: DataFrame) -> DataFrame:
@@ -201,7 +201,8 @@ def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
         return frame
 
     def first(out: DataFrame, *order: str | Column) -> DataFrame:
-        return out if state.limit is None else out.orderBy(*order).limit(state.limit)
+        out = out if state.limit is None else out.orderBy(*order).limit(state.limit)
+        return out if terms else texts(out)
 
     frame = grow(0, own(0, None))
     shown = [names[i] for i in emitted]
@@ -217,11 +218,22 @@ def run_pattern(triples: DataFrame, state: QueryState) -> DataFrame:
     return first(out, "graph", *columns)  # any rows would do; ordered ones are the same each time
 
 
+def texts(frame: DataFrame) -> DataFrame:
+    """``frame`` with the texts of its terms."""
+    return frame.select(*[F.col(c)["text"].alias(c) if is_term(frame, c) else F.col(c) for c in frame.columns])
+
+
+#: Rows of the smaller side of a product.
+MAX_PRODUCT = 10_000
+
+
 @dataclass(frozen=True)
 class Frame:
     """A solution table: ``data`` has the graph and one column per variable; ``nullable`` lists variables that may be unbound.
 
-    Patterns are matched inside one graph: every join also joins on the graph, and solutions keep theirs.
+    Variables hold terms (see ``functions.typed``), so joins compare kind, text, datatype and language; ``text`` gives a
+    variable's text for conditions.  ``bind`` may add plain values.  Patterns are matched inside one graph: every join also
+    joins on the graph, and solutions keep theirs.
     """
 
     data: DataFrame
@@ -232,43 +244,78 @@ class Frame:
         return [c for c in self.data.columns if c != "graph"]
 
     @staticmethod
-    def match(triples: DataFrame, s: str, p: str, o: str) -> Frame:
-        """A triple pattern; ``?x`` is a variable, anything else a constant; a repeated variable must be equal."""
+    def text(name: str) -> Column:
+        return F.col(name)["text"]
+
+    def texts(self) -> DataFrame:
+        """graph and the text of every variable."""
+        return texts(self.data)
+
+    def flat(self) -> DataFrame:
+        """graph and for every variable its text, and its kind, datatype and language in columns named after it."""
+        parts = []
+        for v in self.vars:
+            parts += [F.col(v)[f].alias(n) for f, n in (("text", v), ("kind", f"{v}_kind"), ("datatype", f"{v}_datatype"), ("lang", f"{v}_lang"))] if is_term(self.data, v) else [F.col(v)]
+        return self.data.select("graph", *parts)
+
+    @staticmethod
+    def match(triples: DataFrame, s: str | Term, p: str | Term, o: str | Term) -> Frame:
+        """A triple pattern; ``?x`` is a variable, other strings are IRIs, ``Term`` any constant; a repeated variable must be equal."""
         rows, chosen = triples, {}
-        for column, term in (("s", s), ("p", p), ("o", o)):
-            if not term.startswith("?"):
-                rows = rows.where(F.col(column) == term)
-            elif term[1:] in chosen:
-                rows = rows.where(F.col(column) == F.col(chosen[term[1:]]))
+        for column, part in (("s", s), ("p", p), ("o", o)):
+            variable = isinstance(part, str) and part.startswith("?")
+            term = part if isinstance(part, Term) else iri(part)
+            if not variable and column == "p":
+                rows = rows.where((F.col("p") == term.text) & F.lit(term.kind == "iri"))
+            elif not variable and term.kind != "literal":
+                rows = rows.where((F.col(column) == term.text) & (F.col(f"{column}_kind") == term.kind))
+            elif not variable:
+                rows = rows.where((object_term() == term.column) & (F.col("o") == term.text) if column == "o" else F.lit(False))
+            elif part[1:] in chosen:
+                rows = rows.where(_POSITIONS[column]() == chosen[part[1:]])
             else:
-                chosen[term[1:]] = column
+                chosen[part[1:]] = _POSITIONS[column]()
         if "graph" in chosen:
             raise ValueError("the variable ?graph is taken by the graph itself; see graph_")
-        return Frame(rows.select("graph", *[F.col(c).alias(v) for v, c in chosen.items()]))
+        return Frame(rows.select("graph", *[c.alias(v) for v, c in chosen.items()]))
 
     def graph_(self, term: str) -> Frame:
         """Only solutions in the named graph, or with ``?g`` the graph's name as a variable."""
         if not term.startswith("?"):
             return Frame(self.data.where(F.col("graph") == term), self.nullable)
+        name = iri_term(F.col("graph"))
         if term[1:] in self.vars:
-            return Frame(self.data.where(F.col(term[1:]) == F.col("graph")), self.nullable - {term[1:]})
-        return Frame(self.data.withColumn(term[1:], F.col("graph")), self.nullable)
+            return Frame(self.data.where(F.col(term[1:]) == name), self.nullable - {term[1:]})
+        return Frame(self.data.withColumn(term[1:], name), self.nullable)
 
     def _shared(self, other: Frame) -> list[str]:
-        """The join columns: the graph and the common variables, of which there must be one."""
+        """The join columns: the graph and the common variables, none of which may be unbound."""
         shared = [v for v in self.vars if v in other.vars]
         unbound = set(shared) & (self.nullable | other.nullable)
         if unbound:
             raise ValueError(f"joining on variables that may be unbound: {sorted(unbound)}")
-        if not shared:
-            raise ValueError("patterns without a common variable would multiply")
         return ["graph", *shared]
 
     def and_(self, other: Frame) -> Frame:
-        return Frame(self.data.join(other.data, self._shared(other)), self.nullable | other.nullable)
+        """Solutions of both that agree.
+
+        Without a common variable every solution of a graph meets every other of that graph; the smaller table, of at most
+        ``MAX_PRODUCT`` rows, goes to the tasks of the larger one.  Raises if both have more.
+        """
+        keys, nullable = self._shared(other), self.nullable | other.nullable
+        if len(keys) > 1:
+            return Frame(self.data.join(other.data, keys), nullable)
+        for small, large in ((other, self), (self, other)):
+            if small.data.limit(MAX_PRODUCT + 1).count() <= MAX_PRODUCT:
+                both = large.data.join(F.broadcast(small.data), "graph")  # size checked above
+                return Frame(both.select("graph", *self.vars, *other.vars), nullable)
+        raise ValueError(f"patterns without a common variable, both of over {MAX_PRODUCT} solutions, would multiply")
 
     def optional(self, other: Frame) -> Frame:
+        """Solutions, with those of ``other`` that agree where there are any; there must be a common variable."""
         shared = self._shared(other)
+        if len(shared) == 1:
+            raise ValueError("an optional part without a common variable would multiply")
         return Frame(self.data.join(other.data, shared, "left"), self.nullable | other.nullable | (set(other.vars) - set(shared)))
 
     def union(self, other: Frame) -> Frame:
@@ -276,6 +323,7 @@ class Frame:
         return Frame(self.data.unionByName(other.data, allowMissingColumns=True), self.nullable | other.nullable | missing)
 
     def exists(self, other: Frame) -> Frame:
+        """Solutions that agree with one of ``other``; without a common variable, those whose graph has any."""
         return Frame(self.data.join(other.data, self._shared(other), "left_semi"), self.nullable)
 
     def not_exists(self, other: Frame) -> Frame:
@@ -291,8 +339,34 @@ class Frame:
     def bind(self, name: str, value: Column) -> Frame:
         return Frame(self.data.withColumn(name, value), self.nullable | {name})
 
-    def values(self, name: str, values: list[str]) -> Frame:
-        return Frame(self.data.where(F.col(name).isin(*values)), self.nullable)
+    def values(self, names: str | list[str], rows: list) -> Frame:
+        """Joined with an inline table: a row a list of terms, None where it leaves the variable open; strings are IRIs.
+
+        Rows that fix the same variables are one table and join on those the solutions have; variables that are new take
+        the row's values, or stay unbound where it leaves them open.
+        """
+        names = [names] if isinstance(names, str) else list(names)
+        rows = [(r,) if isinstance(r, str | Term) or r is None else tuple(r) for r in rows]
+        if any(len(r) != len(names) for r in rows):
+            raise ValueError(f"each row needs {len(names)} values")
+        known, new = [n for n in names if n in self.vars], [n for n in names if n not in self.vars]
+        unbound = set(known) & self.nullable
+        if unbound:
+            raise ValueError(f"joining on variables that may be unbound: {sorted(unbound)}")
+        term = lambda x: None if x is None else tuple(vars(iri(x) if isinstance(x, str) else x).values())
+        schema = ", ".join(f"`{n}` {TERM}" for n in names)
+        out = None
+        for fixed in sorted({tuple(x is not None for x in r) for r in rows}, reverse=True):
+            same = [r for r in rows if tuple(x is not None for x in r) == fixed]
+            table = self.data.sparkSession.createDataFrame([tuple(map(term, r)) for r in same], schema).select(*[n for n, f in zip(names, fixed, strict=True) if f or n in new])
+            on = [n for n in known if n in table.columns]
+            part = self.data.join(table, on) if on else self.data.withColumn("_row", F.explode(F.array(*[F.struct(*[_constant(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in same]))).select(*self.data.columns, *[F.col("_row")[n].alias(n) for n in new])
+            part = part.select(*self.data.columns, *new)
+            out = part if out is None else out.unionByName(part)
+        open_ = {n for i, n in enumerate(names) if n in new and any(r[i] is None for r in rows)}
+        if out is None:
+            out = self.data.where(F.lit(False)).select("*", *[F.lit(None).cast(TERM).alias(n) for n in new])
+        return Frame(out, self.nullable | open_)
 
     def project(self, *names: str) -> Frame:
         return Frame(self.data.select("graph", *names), self.nullable & set(names))
@@ -300,8 +374,18 @@ class Frame:
     def distinct(self) -> Frame:
         return Frame(self.data.distinct(), self.nullable)
 
-    def order_by(self, *columns: Column | str) -> Frame:
-        return Frame(self.data.orderBy(*columns), self.nullable)
+    def order_by(self, *keys: Column | str) -> Frame:
+        """Sorted by variables in the order of terms (``-x``: falling), or by any columns."""
+        order: list[Column] = []
+        for key in keys:
+            name = key.removeprefix("-") if isinstance(key, str) else None
+            if name is None:
+                order.append(key)
+            elif is_term(self.data, name):
+                order += order_keys(F.col(name), descending=key.startswith("-"))
+            else:
+                order.append(F.desc_nulls_last(name) if key.startswith("-") else F.asc_nulls_first(name))
+        return Frame(self.data.orderBy(*order), self.nullable)
 
     def slice(self, limit: int, offset: int = 0) -> Frame:
         """Rows ``offset`` to ``offset + limit`` of the whole table, over all graphs; choose one by ``graph_`` first."""
@@ -311,3 +395,10 @@ class Frame:
         """Aggregates of each group of a graph."""
         out = self.data.groupBy("graph", *by).agg(*[c.alias(n) for n, c in aggregates.items()])
         return Frame(out if having is None else out.where(having), self.nullable & set(by))
+
+
+_POSITIONS = {"s": subject_term, "p": lambda: iri_term(F.col("p")), "o": object_term}
+
+
+def _constant(value: str | Term | None) -> Column:
+    return F.lit(None).cast(TERM) if value is None else (iri(value) if isinstance(value, str) else value).column

@@ -82,13 +82,14 @@ def undrawn_results(hits: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
-    """Label prefixes first, then other hits in label or IRI; ``place`` orders them.  No query: nothing."""
+    """Per graph at most ``limit`` hits, label prefixes first, then others in label or IRI; ``place`` orders them.  No query: nothing."""
     needle, limit = query.strip().lower(), min(limit, 100)
     label, iri = F.lower("label"), F.lower("id")
     bucket = F.when(label.startswith(needle), 0).when(label.contains(needle) | iri.contains(needle), 1)
     hits = nodes.withColumn("bucket", bucket).where(F.col("bucket").isNotNull() & F.lit(bool(needle)))
-    hits = hits.orderBy("bucket", "id", "graph").limit(limit)
-    return hits.withColumn("place", F.row_number().over(Window.orderBy("bucket", "id", "graph")).cast("long"))
+    # A filter on the rank alone lets every task cut its own rows to ``limit`` before they meet.
+    place = F.row_number().over(Window.partitionBy("graph").orderBy("bucket", "id")).cast("long")
+    return hits.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def suggest_entities(nodes: DataFrame, limit: int = 8, per_kind: int = 3) -> DataFrame:

@@ -30,6 +30,14 @@ def prefix(c: str, graph: str) -> str:
     return f"CASE WHEN {found} IS NULL THEN {c} WHEN {found} = '' THEN substr({c}, length({ns}) + 1) ELSE {found} || ':' || substr({c}, length({ns}) + 1) END"
 
 
+def flat(row: str, position: str, name: str) -> str:
+    """The columns of a variable bound to the subject or object of a row of ``t``: text, kind, datatype, language."""
+    if position == "s":
+        return f"{row}.s AS {name}, {row}.s_kind AS {name}_kind, '' AS {name}_datatype, '' AS {name}_lang"
+    datatype = f"CASE WHEN {row}.o_kind = 'literal' THEN coalesce({row}.o_datatype, CASE WHEN {row}.o_lang IS NOT NULL THEN '{v.RDF}langString' ELSE '{X}string' END) ELSE '' END"
+    return f"{row}.o AS {name}, {row}.o_kind AS {name}_kind, {datatype} AS {name}_datatype, lower(coalesce({row}.o_lang, '')) AS {name}_lang"
+
+
 def closure(name: str, edges: str, seeds: str, *, reflexive: bool) -> list[tuple[str, str]]:
     """Distinct reachable pairs (graph, start, node)."""
     first = f"SELECT graph, start, start AS node FROM {seeds}" if reflexive else f"SELECT e.graph, e.a AS start, e.b AS node FROM {edges} e JOIN {seeds} s ON s.graph = e.graph AND s.start = e.a"
@@ -49,8 +57,8 @@ BASE: list[tuple[str, str]] = [
     ("sedge", f"SELECT DISTINCT graph, CASE WHEN turned THEN o ELSE s END AS source, CASE WHEN turned THEN s ELSE o END AS target, kind, '' AS label FROM il JOIN ek USING (p) WHERE NOT (p = '{R}range' AND starts_with(o, '{X}'))"),
     ("tkinds", f"SELECT graph, s AS id, kind FROM il JOIN tk USING (o) WHERE p = '{T}' UNION SELECT graph, s, kind FROM il JOIN ik USING (p) UNION SELECT graph, o, kind FROM il JOIN ik USING (p)"),
     ("iedge", f"SELECT DISTINCT il.graph, s AS source, o AS target, 'instanceOf' AS kind, '' AS label FROM il JOIN tkinds k ON k.graph = il.graph AND k.id = il.o AND k.kind = 'class' WHERE p = '{T}'"),
-    ("oprops", f"SELECT DISTINCT s AS p FROM il JOIN tk USING (o) WHERE p = '{T}' AND kind = 'objectProperty'"),
-    ("aedge", f"SELECT DISTINCT graph, s AS source, o AS target, 'assertion' AS kind, {local('p')} AS label FROM il WHERE p IN (SELECT p FROM oprops)"),
+    ("oprops", f"SELECT DISTINCT graph, s AS p FROM il JOIN tk USING (o) WHERE p = '{T}' AND kind = 'objectProperty'"),
+    ("aedge", f"SELECT DISTINCT graph, s AS source, o AS target, 'assertion' AS kind, {local('p')} AS label FROM il WHERE (graph, p) IN (SELECT graph, p FROM oprops)"),
     ("edges", "SELECT * FROM sedge UNION ALL SELECT * FROM iedge UNION ALL SELECT * FROM aedge"),
     ("degs", "SELECT graph, id, count(*) AS degree FROM (SELECT graph, source AS id FROM edges UNION ALL SELECT graph, target FROM edges) GROUP BY ALL"),
     ("evid", "SELECT * FROM tkinds UNION SELECT graph, source, 'individual' FROM iedge i WHERE NOT EXISTS (SELECT 1 FROM tkinds k WHERE k.graph = i.graph AND k.id = i.source AND k.kind IN ('class', 'conceptScheme', 'concept')) UNION SELECT graph, source, 'other' FROM edges UNION SELECT graph, target, 'other' FROM edges"),

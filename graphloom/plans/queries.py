@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
-from graphloom.functions.vocab import DESCRIPTIONS, OWL, RDFS, SKOS, TYPE, XSD
+from graphloom.functions.typed import literal, order_keys
+from graphloom.functions.vocab import DESCRIPTIONS, NUMERIC, OWL, RDFS, SKOS, TYPE, XSD
 from graphloom.operators import closure, docs, hierarchy, ranking, results, schema
 from graphloom.operators import entity_graph as eg
-from graphloom.operators.pattern import Filter, Frame, Link, Prop, QueryState, Step, run_pattern
+from graphloom.operators.pattern import Filter, Frame, Link, Prop, QueryState, Step, hop_pairs, run_pattern, step_type, texts
 from graphloom.plans import oracles as sql
 from graphloom.plans.tables import shared_path, view
 from graphloom.sources import library, ntriples
@@ -313,8 +314,9 @@ def _(g: Kg) -> DataFrame:
 @kg(
     "term_struct",
     Q(
-        f"SELECT t.graph, t.s, t.p, CASE t.o_kind WHEN 'iri' THEN 'uri' ELSE t.o_kind END AS type, t.o AS value, t.o_lang AS lang, t.o_datatype AS datatype, CASE WHEN t.o_kind = 'iri' THEN coalesce(l.label, {sql.local('t.o')}) END AS label, CASE WHEN t.o_kind = 'iri' THEN CASE WHEN k.prefix IS NULL OR t.o = k.namespace THEN t.o WHEN k.prefix = '' THEN substr(t.o, length(k.namespace) + 1) ELSE k.prefix || ':' || substr(t.o, length(k.namespace) + 1) END END AS prefixed FROM t LEFT JOIN labels l ON l.graph = t.graph AND l.s = t.o LEFT JOIN known k ON k.graph = t.graph AND k.namespace = regexp_extract(t.o, '^(.*[#/])([^#/]*)$', 1)",
+        f"SELECT t.graph, t.s, t.p, CASE t.o_kind WHEN 'iri' THEN 'uri' ELSE t.o_kind END AS type, t.o AS value, t.o_lang AS lang, t.o_datatype AS datatype, CASE WHEN t.o_kind = 'iri' THEN coalesce(l.label, {sql.local('t.o')}) END AS label, CASE WHEN t.o_kind = 'iri' THEN CASE WHEN k.prefix IS NULL OR t.o = k.namespace THEN t.o WHEN k.prefix = '' THEN substr(t.o, length(k.namespace) + 1) ELSE k.prefix || ':' || substr(t.o, length(k.namespace) + 1) END END AS prefixed FROM spaced t LEFT JOIN labels l ON l.graph = t.graph AND l.s = t.o LEFT JOIN known k ON k.graph = t.graph AND k.namespace = t.ns",
         _KNOWN,
+        ("spaced", "SELECT t.*, CASE WHEN o_kind = 'iri' THEN regexp_extract(o, '^(.*[#/])([^#/]*)$', 1) END AS ns FROM t"),
     ),
 )
 def _(g: Kg) -> DataFrame:
@@ -461,9 +463,7 @@ def _(g: Kg) -> DataFrame:
 
 @kg("step_type", Q(f"SELECT DISTINCT graph, s FROM t WHERE p = '{TYPE}' AND o = '{V}Order'"))
 def _(g: Kg) -> DataFrame:
-    from graphloom.operators.pattern import step_type
-
-    return step_type(g.t, V + "Order")
+    return texts(step_type(g.t, V + "Order"))
 
 
 def _pattern(name: str, state: QueryState, definition: str) -> None:
@@ -476,7 +476,7 @@ _of = lambda c: f"(SELECT DISTINCT graph, s FROM t WHERE p = '{TYPE}' AND o = '{
 _pattern(
     "hop_inner",
     QueryState((Step(V + "Order", "order"), Step(V + "Customer", "customer", link=Link(0, ((V + "placedBy", False),)))), limit=None),
-    f"SELECT a.graph, a.s AS \"order\", h.o AS customer FROM {_of('Order')} a JOIN t h ON h.graph = a.graph AND h.s = a.s AND h.p = '{V}placedBy' JOIN {_of('Customer')} b ON b.graph = a.graph AND b.s = h.o",
+    f"SELECT a.graph, a.s AS \"order\", h.o AS customer FROM {_of('Order')} a JOIN t h ON h.graph = a.graph AND h.s = a.s AND h.p = '{V}placedBy' AND h.o_kind = 'iri' JOIN {_of('Customer')} b ON b.graph = a.graph AND b.s = h.o",
 )
 _pattern(
     "hop_inverse",
@@ -721,7 +721,7 @@ def _(g: Kg) -> DataFrame:
     return ranking.node_details(g.t, ids, 30)
 
 
-@kg("search_nodes", Q("SELECT graph, id, label, bucket, place FROM (SELECT *, row_number() OVER (ORDER BY bucket, id, graph) AS place FROM (SELECT *, CASE WHEN starts_with(lower(label), 'cu') THEN 0 WHEN contains(lower(label), 'cu') OR contains(lower(id), 'cu') THEN 1 END AS bucket FROM nodes) WHERE bucket IS NOT NULL) WHERE place <= 25"))
+@kg("search_nodes", Q("SELECT graph, id, label, bucket, place FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY bucket, id) AS place FROM (SELECT *, CASE WHEN starts_with(lower(label), 'cu') THEN 0 WHEN contains(lower(label), 'cu') OR contains(lower(id), 'cu') THEN 1 END AS bucket FROM nodes) WHERE bucket IS NOT NULL) WHERE place <= 25"))
 def _(g: Kg) -> DataFrame:
     return ranking.search_nodes(g.nodes, " Cu").select("graph", "id", "label", "bucket", "place")
 
@@ -944,52 +944,73 @@ def _(g: Kg) -> DataFrame:
 
 @kg("alternation_union", Q(f"SELECT graph, s AS a, o AS b FROM t WHERE p = '{V}inNation' UNION ALL SELECT graph, s, o FROM t WHERE p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
-    from graphloom.operators.pattern import hop_pairs
-
-    return hop_pairs(g.t, ((V + "inNation", False), (V + "inRegion", False)))
+    return texts(hop_pairs(g.t, ((V + "inNation", False), (V + "inRegion", False))))
 
 
 # --- 2.I algebra -----------------------------------------------------------------------------------------------
 
 
-def _m(g: Kg, s: str, p: str, o: str) -> Frame:
+def _m(g: Kg, s, p, o) -> Frame:
     return Frame.match(g.t, s, p, o)
 
 
-@kg("match", Q(f"SELECT graph, s AS x, o AS y FROM t WHERE p = '{V}inRegion'"))
+@kg("match", Q(f"SELECT t.graph, {sql.flat('t', 's', 'x')}, {sql.flat('t', 'o', 'y')} FROM t WHERE p = '{RDFS}label'"))
+def _(g: Kg) -> DataFrame:
+    return _m(g, "?x", RDFS + "label", "?y").flat()
+
+
+@kg("match_constants", Q(f"SELECT graph, s AS x, 'tagged' AS how FROM t WHERE p = '{SKOS}prefLabel' AND o = 'ASIA' AND o_lang = 'en' UNION ALL SELECT graph, s, 'iri' FROM t WHERE p = '{V}inRegion' AND o = 'http://kg/region/2' AND o_kind = 'iri' UNION ALL SELECT graph, s, 'number' FROM t WHERE p = '{V}size' AND o = '7' AND o_datatype = '{XSD}integer'"))
+def _(g: Kg) -> DataFrame:
+    """Constants of three kinds; the same texts as plain strings match nothing."""
+    found = None
+    for how, p, o in (("tagged", SKOS + "prefLabel", literal("ASIA", lang="EN")), ("iri", V + "inRegion", "http://kg/region/2"), ("number", V + "size", literal("7", XSD + "integer")), ("string", V + "size", literal("7")), ("string", V + "inRegion", literal("http://kg/region/2"))):
+        part = _m(g, "?x", p, o).bind("how", F.lit(how))
+        found = part if found is None else found.union(part)
+    return found.texts()
+
+
+@kg("and_", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS r FROM t a JOIN t b ON b.graph = a.graph AND b.s = a.o AND b.s_kind = a.o_kind AND b.p = '{V}inRegion' WHERE a.p = '{V}inNation'"))
+def _(g: Kg) -> DataFrame:
+    return _m(g, "?c", V + "inNation", "?n").and_(_m(g, "?n", V + "inRegion", "?r")).texts()
+
+
+@kg("and_literals", Q(f"SELECT DISTINCT a.graph, {sql.flat('a', 'o', 'w')} FROM t a JOIN t b ON b.graph = a.graph AND b.o = a.o AND b.o_kind = a.o_kind AND b.p = '{V}acctbal' AND coalesce(b.o_datatype, '') = coalesce(a.o_datatype, '') WHERE a.p = '{V}totalPrice'"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?x", V + "inRegion", "?y").data
+    """Prices of orders that are also someone's balance: equal as literals, text and datatype."""
+    prices, balances = _m(g, "?o", V + "totalPrice", "?w").project("w").distinct(), _m(g, "?c", V + "acctbal", "?w").project("w").distinct()
+    return prices.and_(balances).flat()
 
 
-@kg("and_", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS r FROM t a JOIN t b ON b.graph = a.graph AND b.s = a.o AND b.p = '{V}inRegion' WHERE a.p = '{V}inNation'"))
+@kg("and_product", Q(f"SELECT a.graph, a.s AS c, b.s AS r FROM t a JOIN t b ON b.graph = a.graph WHERE a.p = '{TYPE}' AND a.o = '{V}Customer' AND b.p = '{TYPE}' AND b.o = '{V}Region'"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "inNation", "?n").and_(_m(g, "?n", V + "inRegion", "?r")).data
+    """No common variable: all pairs inside a graph, of which the smaller table is checked for its size."""
+    return _m(g, "?c", TYPE, V + "Customer").and_(_m(g, "?r", TYPE, V + "Region")).texts()
 
 
-@kg("optional", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS w FROM t a LEFT JOIN t b ON b.graph = a.graph AND b.s = a.s AND b.p = '{V}segment' WHERE a.p = '{V}inNation'"))
+@kg("optional", Q(f"SELECT a.graph, a.s AS c, a.o AS n, b.o AS w FROM t a LEFT JOIN t b ON b.graph = a.graph AND b.s = a.s AND b.s_kind = a.s_kind AND b.p = '{V}segment' WHERE a.p = '{V}inNation'"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "inNation", "?n").optional(_m(g, "?c", V + "segment", "?w")).data
+    return _m(g, "?c", V + "inNation", "?n").optional(_m(g, "?c", V + "segment", "?w")).texts()
 
 
 @kg("union", Q(f"SELECT graph, s AS x, o AS n, NULL AS r FROM t WHERE p = '{V}inNation' UNION ALL SELECT graph, s, NULL, o FROM t WHERE p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?x", V + "inNation", "?n").union(_m(g, "?x", V + "inRegion", "?r")).data
+    return _m(g, "?x", V + "inNation", "?n").union(_m(g, "?x", V + "inRegion", "?r")).texts()
 
 
-@kg("minus", Q(f"SELECT graph, s AS c, o AS n FROM t WHERE p = '{V}inNation' AND (graph, s) NOT IN (SELECT graph, o FROM t WHERE p = '{V}placedBy')"))
+@kg("minus", Q(f"SELECT graph, s AS c, o AS n FROM t a WHERE p = '{V}inNation' AND NOT EXISTS (SELECT 1 FROM t b WHERE b.p = '{V}placedBy' AND b.graph = a.graph AND b.o = a.s AND b.o_kind = a.s_kind)"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "inNation", "?n").minus(_m(g, "?o", V + "placedBy", "?c").project("c")).data
+    return _m(g, "?c", V + "inNation", "?n").minus(_m(g, "?o", V + "placedBy", "?c").project("c")).texts()
 
 
-@kg("exists", Q(f"SELECT graph, s AS c, o AS n FROM t WHERE p = '{V}inNation' AND (graph, s) IN (SELECT graph, o FROM t WHERE p = '{V}placedBy')"))
+@kg("exists", Q(f"SELECT graph, s AS c, o AS n FROM t a WHERE p = '{V}inNation' AND EXISTS (SELECT 1 FROM t b WHERE b.p = '{V}placedBy' AND b.graph = a.graph AND b.o = a.s AND b.o_kind = a.s_kind)"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "inNation", "?n").exists(_m(g, "?o", V + "placedBy", "?c")).data
+    return _m(g, "?c", V + "inNation", "?n").exists(_m(g, "?o", V + "placedBy", "?c")).texts()
 
 
-@kg("not_exists", Q(f"SELECT graph, s AS n FROM t WHERE p = '{RDFS}label' AND (graph, s) NOT IN (SELECT graph, s FROM t WHERE p = '{TYPE}')"))
+@kg("not_exists", Q("SELECT graph, s AS n FROM labelled ANTI JOIN typed USING (graph, s, s_kind)", ("labelled", f"SELECT graph, s, s_kind FROM t WHERE p = '{RDFS}label'"), ("typed", f"SELECT DISTINCT graph, s, s_kind FROM t WHERE p = '{TYPE}'")))
 def _(g: Kg) -> DataFrame:
     """Labelled subjects that have no type in their own graph, though they may in another."""
-    return _m(g, "?n", RDFS + "label", "?l").not_exists(_m(g, "?n", TYPE, "?c")).project("n").data
+    return _m(g, "?n", RDFS + "label", "?l").not_exists(_m(g, "?n", TYPE, "?c")).project("n").texts()
 
 
 @kg("graph_", Q(f"SELECT graph, graph AS g, s AS x, count(*) AS n FROM t WHERE p = '{TYPE}' AND o IN ('{V}Nation', '{SKOS}Concept') GROUP BY ALL UNION ALL SELECT graph, 'places', s, 0 FROM t WHERE graph = 'places' AND p = '{SKOS}broader'"))
@@ -997,31 +1018,60 @@ def _(g: Kg) -> DataFrame:
     """The graph as a variable, and one graph by its name."""
     typed = _m(g, "?x", TYPE, "?c").values("c", [V + "Nation", SKOS + "Concept"]).graph_("?g").group(["g", "x"], n=F.count(F.lit(1)))
     named = _m(g, "?x", SKOS + "broader", "?y").graph_("places").project("x").graph_("?g").bind("n", F.lit(0).cast("long"))
-    return typed.union(named).data
+    return typed.union(named).texts()
 
 
 @kg("filter_bind_values", Q(f"SELECT graph, s AS p, o AS z, CAST(o AS INTEGER) * 2 AS d FROM t WHERE p = '{V}size' AND CAST(o AS INTEGER) > 10 AND s IN ('http://kg/part/1', 'http://kg/part/2', 'http://kg/part/3', 'http://kg/part/4', 'http://kg/part/5')"))
 def _(g: Kg) -> DataFrame:
-    sizes = _m(g, "?p", V + "size", "?z").filter_(F.col("z").try_cast("int") > 10).bind("d", F.col("z").try_cast("int") * 2)
-    return sizes.values("p", [f"http://kg/part/{i}" for i in range(1, 6)]).data
+    size = Frame.text("z").try_cast("int")
+    sizes = _m(g, "?p", V + "size", "?z").filter_(size > 10).bind("d", size * 2)
+    return sizes.values("p", [f"http://kg/part/{i}" for i in range(1, 6)]).texts()
+
+
+@kg("values", Q(f"SELECT t.graph, s AS n, o AS r, v.mark, v.rate FROM t JOIN (VALUES ('http://kg/nation/1', NULL, 'one', '7'), ('http://kg/nation/2', 'http://kg/region/4', 'both', NULL), ('http://kg/nation/3', 'http://kg/region/0', 'never', '8'), (NULL, 'http://kg/region/2', 'region', '9'), (NULL, NULL, 'all', NULL)) v(n, r, mark, rate) ON (v.n IS NULL OR v.n = t.s) AND (v.r IS NULL OR v.r = t.o) WHERE p = '{V}inRegion'"))
+def _(g: Kg) -> DataFrame:
+    """An inline table of two known and two new variables, with open places."""
+    k = "http://kg/"
+    rows = [(k + "nation/1", None, literal("one"), literal("7", XSD + "integer")), (k + "nation/2", k + "region/4", literal("both"), None), (k + "nation/3", k + "region/0", literal("never"), literal("8")), (None, k + "region/2", literal("region"), literal("9")), (None, None, literal("all"), None)]
+    return _m(g, "?n", V + "inRegion", "?r").values(["n", "r", "mark", "rate"], rows).texts()
 
 
 @kg("project_distinct_slice", Q(f"SELECT DISTINCT graph, o AS w FROM t WHERE p = '{V}segment' AND graph = 'trade' ORDER BY o LIMIT 3 OFFSET 1"))
 def _(g: Kg) -> DataFrame:
-    return _m(g, "?c", V + "segment", "?w").graph_("trade").project("w").distinct().order_by("w").slice(3, 1).data
+    return _m(g, "?c", V + "segment", "?w").graph_("trade").project("w").distinct().order_by("w").slice(3, 1).texts()
+
+
+_NUMERIC = sql.within("o_datatype", NUMERIC)
+_TERM_ORDER = f"CASE WHEN o IS NULL THEN 0 WHEN o_kind = 'bnode' THEN 1 WHEN o_kind = 'iri' THEN 2 ELSE 3 END, CASE WHEN o IS NULL OR o_kind <> 'literal' THEN NULL WHEN {_NUMERIC} AND TRY_CAST(o AS DOUBLE) IS NOT NULL THEN 0 WHEN o_datatype = '{XSD}boolean' THEN 1 WHEN o_datatype = '{XSD}date' AND TRY_CAST(o AS DATE) IS NOT NULL THEN 2 WHEN o_datatype IS NULL AND o_lang IS NULL THEN 3 WHEN o_lang IS NOT NULL THEN 4 ELSE 5 END, CASE WHEN {_NUMERIC} THEN TRY_CAST(o AS DOUBLE) END NULLS FIRST, CASE WHEN o_datatype = '{XSD}date' THEN TRY_CAST(o AS DATE) END NULLS FIRST, o, coalesce(o_lang, ''), coalesce(o_datatype, '')"
+
+
+@kg("order_by", Q(f"SELECT graph, s AS x, o AS y, row_number() OVER (ORDER BY {_TERM_ORDER}, graph, s, p) AS place FROM (SELECT DISTINCT t.graph, t.s, t.p, o, o_kind, o_datatype, o_lang FROM t WHERE NOT {sql.within('t.p', (V + 'contains', V + 'byUser'))} UNION ALL SELECT DISTINCT graph, s, '', NULL, NULL, NULL, NULL FROM t WHERE p = '{TYPE}' AND o = '{V}Region')"))
+def _(g: Kg) -> DataFrame:
+    """Every kind of term in one column, unbound ones too, with their place in the order of terms."""
+    rows = _m(g, "?x", "?p", "?y").filter_(~Frame.text("p").isin(V + "contains", V + "byUser")).distinct()
+    both = rows.union(_m(g, "?x", TYPE, V + "Region").distinct())
+    order = (*order_keys(F.col("y")), "graph", Frame.text("x"), F.coalesce(Frame.text("p"), F.lit("")))
+    return texts(results.with_places(both.data, *order)).select("graph", "x", "y", "place")
 
 
 @kg("group", Q(f"SELECT n.graph, n.o AS n, count(*) AS parties, round(sum(CAST(b.o AS DECIMAL(18, 2))), 2)::DOUBLE AS total, min(b.o) AS low, max(b.o) AS high, string_agg(n.s, ' ' ORDER BY n.s) AS who FROM t n JOIN t b ON b.graph = n.graph AND b.s = n.s AND b.p = '{V}acctbal' WHERE n.p = '{V}inNation' GROUP BY n.graph, n.o HAVING count(*) > 3"))
 def _(g: Kg) -> DataFrame:
     rows = _m(g, "?c", V + "inNation", "?n").and_(_m(g, "?c", V + "acctbal", "?b"))
-    money = F.col("b").try_cast("decimal(18,2)")
-    return rows.group(["n"], F.col("parties") > 3, parties=F.count(F.lit(1)), total=F.sum(money).cast("double"), low=F.min("b"), high=F.max("b"), who=F.array_join(F.sort_array(F.collect_list("c")), " ")).data
+    money, text = Frame.text("b").try_cast("decimal(18,2)"), Frame.text
+    return rows.group(["n"], F.col("parties") > 3, parties=F.count(F.lit(1)), total=F.sum(money).cast("double"), low=F.min(text("b")), high=F.max(text("b")), who=F.array_join(F.sort_array(F.collect_list(text("c"))), " ")).texts()
+
+
+@kg("group_terms", Q(f"SELECT t.graph, {sql.flat('t', 'o', 'l')}, count(*) AS n FROM t WHERE p IN ('{RDFS}label', '{SKOS}prefLabel') GROUP BY ALL"))
+def _(g: Kg) -> DataFrame:
+    """How often each label is used; the same text in two languages is two labels."""
+    labels = _m(g, "?x", RDFS + "label", "?l").union(_m(g, "?x", SKOS + "prefLabel", "?l"))
+    return labels.group(["l"], n=F.count(F.lit(1))).flat()
 
 
 @kg("subselect", Q(f"SELECT x.graph, x.n, r.o AS r FROM (SELECT graph, o AS n FROM t WHERE p = '{V}inNation' AND graph = 'trade' GROUP BY graph, o ORDER BY count(*) DESC, o LIMIT 5) x JOIN t r ON r.graph = x.graph AND r.s = x.n AND r.p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
-    top = _m(g, "?c", V + "inNation", "?n").graph_("trade").group(["n"], k=F.count(F.lit(1))).order_by(F.desc("k"), "n").slice(5).project("n")
-    return top.and_(_m(g, "?n", V + "inRegion", "?r")).data
+    top = _m(g, "?c", V + "inNation", "?n").graph_("trade").group(["n"], k=F.count(F.lit(1))).order_by("-k", "n").slice(5).project("n")
+    return top.and_(_m(g, "?n", V + "inRegion", "?r")).texts()
 
 
 @kg("export_results_csv", Q(f"SELECT n.graph, n.s || ',' || CASE WHEN regexp_matches(l.o, '[\",]') THEN '\"' || replace(l.o, '\"', '\"\"') || '\"' ELSE l.o END || ',' AS line FROM t n JOIN t l ON l.graph = n.graph AND l.s = n.s AND l.p = '{RDFS}label' WHERE n.p = '{TYPE}' AND n.o IN ('{V}Nation', '{V}Customer')"))

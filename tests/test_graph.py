@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
+from graphloom.functions.typed import LANG_STRING, Term, bnode, iri, literal, order_keys
 from graphloom.functions.vocab import OWL, RDFS, SKOS, THING, TYPE, XSD
 from graphloom.operators import closure, docs, hierarchy, ranking, results, schema
 from graphloom.operators import entity_graph as eg
@@ -149,8 +150,7 @@ def test_algebra(space):
     assert a.not_exists(Frame.match(space, "?y", E + "orbits", "?z").project("y")).data.count() == 1
     with pytest.raises(ValueError):
         a.optional(b).and_(Frame.match(space, "?t", TYPE, "?u"))
-    with pytest.raises(ValueError):
-        a.and_(Frame.match(space, "?p", TYPE, "?q"))
+    assert a.and_(Frame.match(space, "?p", TYPE, "?q")).data.count() == a.data.count() * space.where(F.col("p") == TYPE).count()
 
 
 def test_ntriples_round_trip(spark):
@@ -238,14 +238,16 @@ def test_patterns_stay_in_their_graph(spark):
     two = one.withColumn("graph", F.lit("h")).where(F.col("p") == E + "q").withColumn("o", F.lit(E + "d"))
     both = one.unionByName(two)
     joined = Frame.match(both, "?x", E + "p", "?y").and_(Frame.match(both, "?y", E + "q", "?z"))
-    assert rows(joined.data, "graph", "z") == [("g", E + "c")]
+    assert rows(joined.texts(), "graph", "z") == [("g", E + "c")]
     named = Frame.match(both, "?y", E + "q", "?z").graph_("?g")
-    assert rows(named.data, "g", "z") == [("g", E + "c"), ("h", E + "d")] and rows(named.graph_("h").data, "z") == [(E + "d",)]
+    assert rows(named.texts(), "g", "z") == [("g", E + "c"), ("h", E + "d")] and rows(named.graph_("h").texts(), "z") == [(E + "d",)]
     assert Frame.match(both, "?y", E + "q", "?z").minus(Frame.match(one, "?y", E + "q", "?w")).data.count() == 1
     lone = Frame.match(both, "?s", E + "p", "?t")
-    for method in (lone.optional, lone.exists, lone.not_exists, lone.and_):
-        with pytest.raises(ValueError):
-            method(Frame.match(both, "?k", E + "q", "?l"))
+    other = Frame.match(both, "?k", E + "q", "?l")
+    with pytest.raises(ValueError):
+        lone.optional(other)
+    assert rows(lone.and_(other).texts(), "graph", "s", "l") == [("g", E + "a", E + "c")]
+    assert lone.exists(other).data.count() == 1 and lone.not_exists(other).data.count() == 0
 
 
 def test_limits_are_clamped(space):
@@ -344,3 +346,98 @@ def test_empty_graph(spark):
     assert nodes.count() == edges.count() == 0
     assert hierarchy.hierarchy_counts(t).count() == 0
     assert schema.schema_links(t).count() == 0
+
+
+def test_terms_of_one_text_and_four_kinds(spark):
+    """The IRI :b, a plain, a tagged and a typed literal and a blank node, all with the same text."""
+    text = E + "b"
+    t = graph(spark, (":a", ":p", ":b"), (":a", ":p", (text,)), (":a", ":p", (text, None, "en")), (":a", ":p", (text, E + "t")), (":a", ":p", "_:b"), (":b", ":q", ":end"), ("_:b", ":q", ":blank"), (":c", ":p", (text, XSD + "string")))
+    hop = Frame.match(t, "?x", E + "p", "?y").and_(Frame.match(t, "?y", E + "q", "?z"))
+    assert rows(hop.texts(), "y", "z") == [("_:b", E + "blank"), (text, E + "end")]
+    state = QueryState((Step(None, "x", pin=(E + "a",)), Step(None, "y", link=Link(0, ((E + "p", False),))), Step(None, "z", link=Link(1, ((E + "q", False),)))))
+    assert rows(run_pattern(t, state), "z") == [(E + "blank",), (E + "end",)]
+    closure_ = QueryState((Step(None, "x", pin=(E + "a",)), Step(None, "z", link=Link(0, ((E + "p", False), (E + "q", False)), modifier="+"))), distinct=True)
+    assert run_pattern(t, closure_).count() == 7 and run_pattern(t, closure_, terms=True).select("z.kind").distinct().count() == 3
+    for term, n in ((text, 1), (literal(text), 2), (literal(text, lang="EN"), 1), (literal(text, E + "t"), 1), (bnode("_:b"), 1), (literal(text, lang="fr"), 0), (bnode(text), 0)):
+        assert Frame.match(t, "?x", E + "p", term).data.count() == n, term
+    same = Frame.match(t, "?x", E + "p", "?y").project("y").distinct()
+    assert same.data.count() == 5 and same.and_(Frame.match(t, E + "c", E + "p", "?y")).flat().first().asDict() == {"graph": "g", "y": text, "y_kind": "literal", "y_datatype": XSD + "string", "y_lang": ""}
+    assert Frame.match(t, "?x", "?x", "?y").data.count() == 0 and Frame.match(graph(spark, (":p", ":p", ":p")), "?x", "?x", "?x").data.count() == 1
+    left = Frame.match(t, "?x", E + "p", "?y")
+    assert left.exists(Frame.match(t, "?y", E + "q", "?z")).data.count() == 2 and left.minus(Frame.match(t, "?y", E + "q", "?z")).data.count() == 4
+    assert rows(left.optional(Frame.match(t, "?y", E + "q", "?z")).texts().where("z is null"), "x") == [(E + "a",)] * 3 + [(E + "c",)]
+
+
+def test_values(spark):
+    t = graph(spark, (":a", ":p", ":x"), (":b", ":p", ("x",)), (":c", ":p", (E + "x",)))
+    f = Frame.match(t, "?s", E + "p", "?o")
+    assert rows(f.values("o", [E + "x"]).texts(), "s") == [(E + "a",)]
+    assert rows(f.values("o", [literal("x"), literal(E + "x"), literal("x")]).texts(), "s") == [(E + "b",), (E + "b",), (E + "c",)]
+    both = f.values(["s", "o", "n"], [(E + "a", None, literal("1")), (None, literal("x"), None), (E + "a", literal("x"), literal("2")), (None, None, literal("3"))])
+    assert sorted(str(tuple(r)) for r in both.texts().select("s", "n").collect()) == sorted(map(str, [(E + "a", "1"), (E + "b", None), (E + "a", "3"), (E + "b", "3"), (E + "c", "3")])) and "n" in both.nullable
+    assert f.values("s", []).data.count() == 0 and f.values(["m"], [(iri(E + "m"),)]).data.count() == 3
+    with pytest.raises(ValueError):
+        both.values("n", [literal("1")])
+    with pytest.raises(ValueError):
+        f.values(["s", "o"], [(E + "a",)])
+
+
+def test_products_check_their_size(spark, monkeypatch):
+    from graphloom.operators import pattern
+
+    t = graph(spark, *[(f":a{i}", ":p", ":x") for i in range(6)], *[(f":b{i}", ":q", ":y") for i in range(9)])
+    a, b = Frame.match(t, "?s", E + "p", "?o"), Frame.match(t, "?k", E + "q", "?l")
+    assert a.and_(b).data.count() == b.and_(a).data.count() == 54
+    monkeypatch.setattr(pattern, "MAX_PRODUCT", 6)
+    assert b.and_(a).data.count() == 54
+    monkeypatch.setattr(pattern, "MAX_PRODUCT", 5)
+    with pytest.raises(ValueError):
+        a.and_(b)
+
+
+def test_order_of_terms(spark):
+    """A column of every kind, against a key made in Python."""
+    import random
+    from datetime import datetime
+    from decimal import Decimal
+
+    dec, boo, day, moment = (XSD + x for x in ("decimal", "boolean", "date", "dateTime"))
+    terms_ = [None, bnode("_:b"), bnode("_:a"), iri("z"), iri("a"), iri("10"), literal("b"), literal("B"), literal("10"), literal("b", lang="fr"), literal("b", lang="de"), literal("a", lang="fr"), literal("9", dec), literal("10", XSD + "integer"), literal("10.0", dec), literal("-1e3", XSD + "double"), literal("many", dec), literal("true", boo), literal("false", boo), literal("maybe", boo), literal("2020-01-02", day), literal("2019-12-31Z", day), literal("2020-01-01T10:00:00", moment), literal("soon", moment), literal("x", "urn:t"), literal("", XSD + "string"), literal("é")]
+
+    def key(t):
+        if t is None:
+            return (0,)
+        rest = (t.text, t.lang, t.datatype)
+        if t.kind != "literal":
+            return (1 if t.kind == "bnode" else 2, *rest)
+        number = boolean = time = None
+        if t.datatype in (dec, XSD + "integer", XSD + "double") and t.text != "many":
+            number = Decimal(t.text)
+        if t.datatype == boo and t.text in ("true", "false"):
+            boolean = t.text == "true"
+        if t.datatype in (day, moment) and t.text[0] == "2":
+            time = datetime.fromisoformat(t.text.rstrip("Z"))
+        group = 0 if number is not None else 1 if boolean is not None else 2 if time else {XSD + "string": 3, LANG_STRING: 4}.get(t.datatype, 5)
+        return (3, group, number or 0, boolean or False, time or datetime.min, *rest)
+
+    mixed = terms_ * 2
+    random.Random(4).shuffle(mixed)
+    frame = spark.createDataFrame([("g", None if t is None else tuple(vars(t).values())) for t in mixed], "graph string, x struct<kind:string,text:string,datatype:string,lang:string>").repartition(3)
+    got = [None if r.x is None else Term(*r.x) for r in Frame(frame).order_by("x").data.collect()]
+    assert got == sorted(mixed, key=key)
+    assert [None if r.x is None else Term(*r.x) for r in Frame(frame).order_by("-x").data.collect()] == sorted(mixed, key=key)[::-1]
+    placed = results.with_places(frame, *order_keys(F.col("x"))).orderBy("place").collect()
+    assert [None if r.x is None else Term(*r.x) for r in placed] == got
+
+
+def test_assertions_stay_in_their_graph(spark):
+    """A property declared in one graph makes no facts in another."""
+    one = graph(spark, (":knows", TYPE, OWL + "ObjectProperty"), (":a", ":knows", ":b"))
+    both = one.unionByName(graph(spark, (":c", ":knows", ":d")).withColumn("graph", F.lit("h")))
+    assert rows(eg.assertion_edges(both), "graph", "source", "label") == [("g", E + "a", "knows")]
+
+
+def test_search_is_one_list_a_graph(spark):
+    nodes = spark.createDataFrame([("g", f"http://x/{i:02}", f"Name {i}", "class", 1) for i in range(30)] + [("h", "http://x/h", "A name", "class", 1)], "graph string, id string, label string, kind string, degree long")
+    found = ranking.search_nodes(nodes, "name", 5)
+    assert rows(found, "graph", "place") == [("g", i) for i in range(1, 6)] + [("h", 1)]
