@@ -1,7 +1,7 @@
 """Near-duplicate groups by an inverted join of MinHash signature coordinates.
 
 1. Each text becomes its set of ``width``-word shingles (64-bit hashes) and a signature of ``COORDINATES``
-   minima.  Texts with the same set are one class, represented by its smallest id.
+   minima.  Texts with the same set are one class, which has a number; classes of rows that share an id are linked.
 2. Documents are posted under their coordinate values.  A linked pair agrees in at least ``matches``
    coordinates (``agreements``), so by the prefix rule it agrees in one of the first ``COORDINATES - matches + 1``;
    only those are posted.  Lists of one document are dropped.
@@ -17,9 +17,9 @@
 A pair at exactly the threshold has at most one chance in a thousand million (``MISSED``) to agree in fewer than
 ``matches`` coordinates and so to be missed; every kept link is exact.
 
-Defined results: null or wordless text has no shingles and links with nothing; a text of fewer words than
-``width`` is one shingle; rows that share an id are one node; a null id links with nothing, its component is null and
-it is not kept; among equal sets the smallest id stands for all; columns other than the two named are ignored; an
+Defined results: null or wordless text has no shingles and links with nothing, its component is its own id; a text of
+fewer words than ``width`` is one shingle; rows with words that share an id are one node, whatever their texts; a null id
+links with nothing, its component is null and it is not kept; among equal sets the smallest id stands for all; columns other than the two named are ignored; an
 empty table gives an empty result.
 """
 
@@ -43,6 +43,8 @@ BLOCK = 1024
 HUB_SHINGLES = 4_000_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: What two texts of one class have in common.
+SAME_SET = ["n_shingles", "f1", "f2"]
 
 _rng = np.random.default_rng(77)
 _FACTOR = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) | U64(1)
@@ -71,12 +73,10 @@ def sign_documents(documents: DataFrame, *, doc_id: str, text: str, width: int)
             for n, hashes, bounds in shingle_sets(batch.column(1), width):
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
-                f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                f1, f2 = fingerprints(hashes, bounds)
                 minima = np.zeros((len(full), COORDINATES), dtype=np.int64)
                 if len(full):
                     starts = bounds[full]
-                    f1[full] = np.add.reduceat(hashes, starts).view(np.int64)
-                    f2[full] = np.add.reduceat(mix(hashes ^ _SHIFT[0]), starts).view(np.int64)
                     for k in range(COORDINATES):
                         minima[:, k] = np.minimum.reduceat((hashes ^ _SHIFT[k]) * _FACTOR[k], starts).view(np.int64)
                 lengths = np.where(sizes > 0, COORDINATES, 0)
@@ -91,22 +91,36 @@ def sign_documents(documents: DataFrame, *, doc_id: str, text: str, width: int)
     )
 
 
-def fetch_sets(documents: DataFrame, ids: DataFrame, *, doc_id: str, text: str, width: int) -> DataFrame:
-    """rep, shingles (sorted distinct hashes) of the documents whose id is in ``ids``."""
-    ids = stash(ids.select("rep").distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    full = np.flatnonzero(np.diff(bounds))
+    f1, f2 = np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1, np.int64)
+    if len(full):
+        f1[full] = np.add.reduceat(hashes, bounds[full]).view(np.int64)
+        f2[full] = np.add.reduceat(mix(hashes ^ _SHIFT[0]), bounds[full]).view(np.int64)
+    return f1, f2
+
+
+def fetch_sets(documents: DataFrame, classes: DataFrame, ids: DataFrame, *, doc_id: str, text: str, width: int) -> DataFrame:
+    """rep, shingles (sorted distinct hashes) of the classes in ``ids`` (rep), from a text of each."""
+    wanted = stash(ids.select("rep").distinct().join(classes.select("rep", "first_id", *SAME_SET), "rep"), "ids")
+    few = wanted.count() <= BROADCAST_IDS
+    first = wanted.select("first_id")
+    first = F.broadcast(first) if few else first
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for n, hashes, bounds in shingle_sets(batch.column(1), width):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), lists], names=["rep", "shingles"])
+                f1, f2 = fingerprints(hashes, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array(np.diff(bounds), pa.int64()), pa.array(f1), pa.array(f2), lists], names=["first_id", *SAME_SET, "shingles"])
                 done += n
             pa.default_memory_pool().release_unused()
 
-    texts = documents.select(F.col(doc_id).cast("long").alias("rep"), F.col(text)).join(wanted, "rep", "left_semi")
-    return stash(texts.mapInArrow(shingle, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"]), "sets")
+    texts = documents.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text)).join(first, "first_id", "left_semi")
+    sets = texts.mapInArrow(shingle, "first_id bigint, n_shingles bigint, f1 bigint, f2 bigint, shingles array<bigint>").dropDuplicates(["first_id", *SAME_SET])
+    return stash(sets.join(F.broadcast(wanted) if few else wanted, ["first_id", *SAME_SET]).select("rep", "shingles"), "sets")
 
 
 def agreements(percent: int) -> int:
@@ -229,20 +243,31 @@ def finish_lists(lists: DataFrame, classes: DataFrame, components: DataFrame, se
     return with_sets.groupBy(*group).applyInArrow(confirm, "a bigint, b bigint")
 
 
+def one_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    several = usable.groupBy("doc_id").agg(F.min(F.struct(*SAME_SET)).alias("low"), F.max(F.struct(*SAME_SET)).alias("high")).where("low <> high")
+    rows = usable.join(several.select("doc_id"), "doc_id").select("doc_id", *SAME_SET).distinct().join(classes.select("rep", *SAME_SET), SAME_SET)
+    rows = rows.select("doc_id", "rep")
+    least = rows.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return rows.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.  Links: similarity of at least ``percent`` / 100."""
     signed = stash(sign_documents(documents, doc_id=doc_id, text=text, width=width), "signed")
-    same_set = ["n_shingles", "f1", "f2"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = usable.groupBy(*SAME_SET).agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
+    classes = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     postings = classes.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("coordinate", "key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
     lists = stash(postings.join(shared, "key").distinct(), "lists")
-    sets_of = lambda ids: fetch_sets(documents, ids, doc_id=doc_id, text=text, width=width)
-    links = stash(link_to_hubs(lists, classes, sets_of, percent), "links")
+    sets_of = lambda ids: fetch_sets(documents, classes, ids, doc_id=doc_id, text=text, width=width)
+    links = stash(one_id_links(usable, classes).unionByName(link_to_hubs(lists, classes, sets_of, percent)), "links")
     more = stash(finish_lists(lists, classes, connected_components(links), sets_of, percent), "links")
-    components = connected_components(links.unionByName(more))
-    labelled = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(*same_set, F.coalesce("component", "rep").alias("component_id"))
-    placed = usable.join(labelled, same_set).select("doc_id", "n_shingles", "component_id")
+    components = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    joined = classes.join(components, "rep", "left").select(*SAME_SET, "first_id", F.coalesce("component", "rep").alias("component"))
+    smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labelled = joined.join(smallest, "component").select(*SAME_SET, "component_id")
+    placed = usable.join(labelled, SAME_SET).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

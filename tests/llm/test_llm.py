@@ -492,3 +492,14 @@ def test_digest_of_conversation_order(spark):
 
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in QUERIES}
     assert set(ORACLES) <= set(QUERIES) and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_with_several_texts_is_one_node(spark, parts, turned):
+    """Each text of an id keeps its own links, whatever the order of the rows."""
+    a, b = text(101, 80), text(102, 80)
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, text(103, 80)), (4, "x " + b), (9, None), (9, text(103, 80) + " end"), (3, None)]
+    frame = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").repartition(parts)
+    found = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(frame).collect()}
+    assert found == {(4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (9, 8), (9, 9), (3, 3)}
