@@ -1,4 +1,4 @@
-"""Reachability by a semi-naive loop over written tables."""
+"""Reachability over written tables: step by step, then by doubling."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from graphloom.plans.tables import written
 
 
-def path_closure(edges: DataFrame, seeds: DataFrame | None = None, *, reflexive: bool = False, max_rounds: int = 500, max_depth: int | None = None) -> DataFrame:
+#: Steps taken one by one; longer paths are found by doubling.
+SINGLE_STEPS = 40
+
+
+def path_closure(edges: DataFrame, seeds: DataFrame | None = None, *, reflexive: bool = False, max_depth: int | None = None) -> DataFrame:
     """graph, start, node, depth: distinct pairs reachable over (graph, a, b), with the fewest steps.
 
     ``seeds`` (graph, start) bounds where paths begin; without it every left end begins one.  Cycles end by
-    themselves.  Raises when ``max_rounds`` does not suffice, rather than returning too little.
+    themselves, and there is no limit to the depth: after ``SINGLE_STEPS`` rounds of one step, jumps double every round.
     ``max_depth`` stops after so many steps by intent.
     """
     edges = written(edges.select("graph", "a", "b").distinct(), "closure-edges")
@@ -24,8 +28,11 @@ def path_closure(edges: DataFrame, seeds: DataFrame | None = None, *, reflexive:
     while not frontier.isEmpty():
         if max_depth is not None and depth >= max_depth:
             break
-        if depth >= max_rounds:
-            raise RuntimeError(f"closure did not end in {max_rounds} rounds")
+        if depth >= SINGLE_STEPS:
+            levels = [_doubled(edges, levels[0] if len(levels) == 1 else written(_union(levels), "closure"), depth)]
+            if max_depth is not None:
+                levels = [levels[0].where(F.col("depth") <= max_depth)]
+            break
         depth += 1
         onward = frontier.join(edges.withColumnRenamed("a", "node"), ["graph", "node"]).select("graph", "start", F.col("b").alias("node"), F.lit(depth).alias("depth")).distinct()
         for seen in levels:
@@ -41,6 +48,31 @@ def path_closure(edges: DataFrame, seeds: DataFrame | None = None, *, reflexive:
     return pairs
 
 
+def _doubled(edges: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """All pairs, given those of up to ``depth`` steps.
+
+    Found pairs of up to d steps followed by walks of exactly j <= d steps are those of up to d + j; walks double each round.
+    A round that finds no pair ends it: one further away would have one on its way there.
+    """
+    jump, length = edges, 1
+    while length * 2 <= depth:
+        jump, length = _twice(jump), length * 2
+    n, before = found.count(), -1
+    while n != before:
+        ahead = found.join(jump.withColumnRenamed("a", "node"), ["graph", "node"]).select("graph", "start", F.col("b").alias("node"), (F.col("depth") + length).alias("depth"))
+        found = written(found.select("graph", "start", "node", "depth").unionByName(ahead).groupBy("graph", "start", "node").agg(F.min("depth").alias("depth")), "closure")
+        depth += length
+        n, before = found.count(), n
+        while n != before and length * 2 <= depth:
+            jump, length = _twice(jump), length * 2
+    return found
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    onward = jump.select("graph", F.col("b").alias("mid"), F.col("a").alias("first"))
+    return written(onward.join(jump.withColumnRenamed("a", "mid"), ["graph", "mid"]).select("graph", F.col("first").alias("a"), "b").distinct(), "jump")
+
+
 def chain_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """graph, start, node: the seeds (graph, start) and all they reach, for chains (each left end has one right end, or few).
 
@@ -52,8 +84,7 @@ def chain_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     while n != before:
         ahead = found.join(jump.withColumnRenamed("a", "node"), ["graph", "node"]).select("graph", "start", F.col("b").alias("node"))
         found = written(found.unionByName(ahead).distinct(), "chain")
-        onward = jump.select("graph", F.col("b").alias("mid"), F.col("a").alias("first"))
-        jump = written(onward.join(jump.withColumnRenamed("a", "mid"), ["graph", "mid"]).select("graph", F.col("first").alias("a"), "b").distinct(), "jump")
+        jump = _twice(jump)
         n, before = found.count(), n
     return found
 

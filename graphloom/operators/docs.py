@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import anchor, first_literal, label_or_name, local_name, pick_label, prefixed
 from graphloom.functions.vocab import DC, DCTERMS, DESCRIPTIONS, OMITTED_PREDICATES, OMITTED_TYPES, OWL, RDFS, SKOS, TYPE
 from graphloom.operators.entity_graph import exclude_abox, iri_links
+from graphloom.operators.results import places_within
 
 SECTIONS = ("class", "objectProperty", "datatypeProperty", "annotationProperty", "property", "conceptScheme", "concept", "collection", "individual")
 SKOS_SECTIONS = ("conceptScheme", "concept", "collection")
@@ -56,13 +57,15 @@ def documentable_terms(triples: DataFrame, nodes: DataFrame, individuals: bool =
 
 
 def term_index(triples: DataFrame, nodes: DataFrame, individuals: bool = False) -> DataFrame:
-    """graph, kind, id, label, section, place: terms by section, label and id; SKOS first in a vocabulary."""
+    """graph, kind, id, label, section, place: terms by section, label and id; SKOS first in a vocabulary.
+
+    Places are dealt by ranges, so all individuals of a graph are many tasks.
+    """
     terms = documentable_terms(triples, nodes, individuals).join(doc_profile(triples), "graph")
     rank = F.create_map(*[F.lit(x) for pair in {k: i for i, k in enumerate(SECTIONS)}.items() for x in pair])[F.col("kind")]
     first = F.col("kind").isin(*SKOS_SECTIONS) & (F.col("profile") == "vocpub")
     section = F.when(first, rank - 100).otherwise(rank).cast("long")
-    order = Window.partitionBy("graph", "kind").orderBy(F.lower("label"), "id")
-    return terms.select("graph", "kind", "id", "label", section.alias("section"), F.row_number().over(order).cast("long").alias("place"))
+    return places_within(terms.select("graph", "kind", "id", "label", section.alias("section")), ["graph", "kind"], F.lower("label"), "id")
 
 
 def doc_header(triples: DataFrame) -> DataFrame:

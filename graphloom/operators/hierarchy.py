@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.terms import label_or_name, pick_label
 from graphloom.functions.vocab import META_CLASSES, OWL, RDFS, SKOS, THING, TYPE
 from graphloom.operators.closure import path_closure
+from graphloom.operators.components import least_reaching, strong_components
 from graphloom.operators.entity_graph import iri_links, subclass_parents
+from graphloom.operators.results import places_within
 from graphloom.plans.tables import written
 
 
@@ -46,20 +48,20 @@ def plain_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def promoted_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """graph, id of nodes locked in cycles that become roots: no smaller locked node reaches them."""
-    nodes, down = written(nodes.select("graph", "id"), "nodes"), written(parents.select("graph", F.col("parent").alias("a"), F.col("child").alias("b")), "down")
-    roots = written(nodes.join(down.select("graph", F.col("b").alias("id")), ["graph", "id"], "left_anti"), "roots")
-    reached = path_closure(down, roots.withColumnRenamed("id", "start"), reflexive=True).select("graph", F.col("node").alias("id")).distinct()
-    locked = written(nodes.join(reached, ["graph", "id"], "left_anti"), "locked")
-    inside = down.join(locked.withColumnRenamed("id", "a"), ["graph", "a"], "left_semi").join(locked.withColumnRenamed("id", "b"), ["graph", "b"], "left_semi")
-    led = path_closure(inside).where("start < node").select("graph", F.col("node").alias("id")).distinct()
-    return locked.join(led, ["graph", "id"], "left_anti")
+    """graph, id of nodes locked in cycles that become roots: no root and no smaller locked node reaches them.
+
+    Both are one question: roots rank before all others, and a node is promoted if the least that reaches it is itself.
+    """
+    down = parents.select("graph", F.col("parent").alias("a"), F.col("child").alias("b"))
+    held = parents.select("graph", F.col("child").alias("id")).distinct().withColumn("rank", F.lit(1))
+    values = nodes.select("graph", "id").distinct().join(held, ["graph", "id"], "left").select("graph", F.col("id").alias("node"), F.coalesce("rank", F.lit(0)).alias("rank"), "id")
+    return least_reaching(down, written(values, "ranks")).where("rank = 1 and id = node").select("graph", "id")
 
 
 def cycle_marks(parents: DataFrame) -> DataFrame:
-    """graph, id of nodes that are their own ancestors."""
+    """graph, id of nodes that are their own ancestors: those of strong components, and those under themselves."""
     up = parents.select("graph", F.col("child").alias("a"), F.col("parent").alias("b"))
-    return path_closure(up).where("start = node").select("graph", F.col("start").alias("id"))
+    return strong_components(up).select("graph", F.col("node").alias("id")).unionByName(up.where("a = b").select("graph", F.col("a").alias("id"))).distinct()
 
 
 def forest_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
@@ -84,34 +86,45 @@ def forest_truncate(nodes: DataFrame, parents: DataFrame, keep: int | Column) ->
     return kept, inside, plain_roots(kept, inside)
 
 
-def hierarchy_counts(triples: DataFrame, max_nodes: int = 50_000) -> DataFrame:
-    """graph, classes, concepts, truncated."""
-    count = lambda nodes, name: nodes.groupBy("graph").agg(F.count(F.lit(1)).alias(name))
-    both = count(class_forest(triples)[0], "classes").join(count(concept_forest(triples)[0], "concepts"), "graph", "full").na.fill(0)
-    return both.withColumn("truncated", F.col("classes") + F.col("concepts") > max_nodes)
+def both_forests(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and parents of the class and the concept forest in one; the graph key ends with ``|class`` or ``|concept``."""
+    (cn, cp), (kn, kp) = class_forest(triples), concept_forest(triples)
+    mark = lambda df, name: df.withColumn("graph", F.concat("graph", F.lit("|" + name)))
+    return mark(cn, "class").unionByName(mark(kn, "concept")), mark(cp, "class").unionByName(mark(kp, "concept"))
+
+
+def _unmarked() -> tuple[Column, Column]:
+    """The graph and the forest of a marked key."""
+    forest = F.substring_index("graph", "|", -1)
+    return F.col("graph").substr(F.lit(1), F.length("graph") - F.length(forest) - 1), forest
 
 
-def hierarchy(triples: DataFrame, max_nodes: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hierarchy_counts(nodes: DataFrame, max_nodes: int = 50_000) -> DataFrame:
+    """graph, classes, concepts, truncated, from the nodes of ``both_forests``."""
+    graph, forest = _unmarked()
+    rows = nodes.select(graph.alias("graph"), forest.alias("forest")).groupBy("graph").agg(F.count_if(F.col("forest") == "class").alias("classes"), F.count_if(F.col("forest") == "concept").alias("concepts"))
+    return rows.withColumn("truncated", F.col("classes") + F.col("concepts") > max_nodes)
+
+
+def hierarchy(triples: DataFrame, max_nodes: int = 50_000, forests: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both forests of every graph: nodes (graph, forest, id, kind, root), pairs (graph, forest, child, parent) and the counts.
 
     A graph of more than ``max_nodes`` nodes shares that number between its forests by their sizes (at least one class if
     there is any; halves to the even number); each forest keeps the nodes with most children, and a node whose
-    parents went becomes a root.  The counts are always those of the whole graph.
+    parents went becomes a root.  The counts are always those of the whole graph.  ``forests``: the written ``both_forests``.
     """
-    counts = written(hierarchy_counts(triples, max_nodes), "counts")
-    share = F.when(F.col("classes") > 0, F.greatest(F.lit(1), F.bround(F.lit(max_nodes) * F.col("classes") / (F.col("classes") + F.col("concepts"))))).otherwise(0)
-    room = counts.select("graph", "truncated", share.cast("long").alias("class_room"))
-    out_nodes, out_pairs = [], []
-    for name, (nodes, parents), keep in (("class", class_forest(triples), F.col("class_room")), ("concept", concept_forest(triples), F.lit(max_nodes) - F.col("class_room"))):
-        nodes, parents = written(nodes, "nodes"), written(parents, "pairs")
-        most = nodes.join(room, "graph").withColumn("most", F.when(F.col("truncated"), keep).otherwise(F.lit(1 << 62))).drop("class_room")
-        kept, inside, roots = forest_truncate(most, parents, F.col("most"))
-        whole = forest_roots(nodes, parents).select("graph", "id")
-        cut = kept.where("truncated").select("graph").distinct()
-        roots = roots.join(cut, "graph", "left_semi").unionByName(whole.join(cut, "graph", "left_anti")).withColumn("root", F.lit(True))
-        out_nodes.append(kept.join(roots, ["graph", "id"], "left").select("graph", F.lit(name).alias("forest"), "id", "kind", F.coalesce("root", F.lit(False)).alias("root")))
-        out_pairs.append(inside.select("graph", F.lit(name).alias("forest"), "child", "parent"))
-    return out_nodes[0].unionByName(out_nodes[1]), out_pairs[0].unionByName(out_pairs[1]), counts
+    nodes, parents = forests or tuple(written(f, "forest") for f in both_forests(triples))
+    counts = hierarchy_counts(nodes, max_nodes)
+    share = F.when(F.col("classes") > 0, F.greatest(F.lit(1), F.bround(F.lit(max_nodes) * F.col("classes") / (F.col("classes") + F.col("concepts"))))).otherwise(0).cast("long")
+    room = F.explode(F.array(*[F.struct(F.concat("graph", F.lit("|" + name)).alias("graph"), most.alias("most")) for name, most in (("class", share), ("concept", max_nodes - share))]))
+    cut = counts.where("truncated").select(room.alias("r")).select("r.*")
+    most = nodes.join(cut, "graph", "left").withColumn("truncated", F.col("most").isNotNull()).na.fill(1 << 62, ["most"])
+    kept, inside, roots = forest_truncate(most, parents, F.col("most"))
+    whole = forest_roots(nodes, parents).select("graph", "id")
+    roots = roots.join(cut, "graph", "left_semi").unionByName(whole.join(cut, "graph", "left_anti")).withColumn("root", F.lit(True))
+    graph, forest = _unmarked()
+    out = kept.join(roots, ["graph", "id"], "left").select(graph.alias("graph"), forest.alias("forest"), "id", "kind", F.coalesce("root", F.lit(False)).alias("root"))
+    return out, inside.select(graph.alias("graph"), forest.alias("forest"), "child", "parent"), counts
 
 
 def ancestors(parents: DataFrame, ids: DataFrame, max_depth: int = 200) -> DataFrame:
@@ -132,25 +145,47 @@ def expand_all(parents: DataFrame) -> DataFrame:
 
 
 def tree_rows(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """graph, path (ids from the root), id, depth, children, cyclic, appears_elsewhere, sibling: the outline of a forest.
+    """graph, path (ids from the root), id, depth, children, cyclic, appears_elsewhere, sibling, position: the outline of a forest.
 
-    A node below itself is shown there once, marked cyclic, and not descended into; so levels end by themselves.
+    A node below itself is shown there once, marked cyclic, and not descended into.  Rows of up to d steps below a root meet
+    pieces of exactly d steps, which double each round, so a forest takes as many rounds as its depth has binary digits.
+    ``position`` numbers the rows of a graph from the top, each before those below it, siblings by id.
     """
     kids = parents.groupBy("graph", F.col("parent").alias("id")).agg(F.countDistinct("child").alias("children"))
     places = appearance_counts(nodes, parents)
-    roots = forest_roots(nodes, parents).select("graph", F.col("id"), F.array("id").alias("path"))
-    sibling = F.row_number().over(Window.partitionBy("graph", "parent").orderBy("child"))
-    pairs = written(parents.withColumn("sibling", sibling.cast("long")), "pairs")
-    level = roots.withColumn("sibling", F.row_number().over(Window.partitionBy("graph").orderBy("id")).cast("long")).withColumn("cyclic", F.lit(False))
-    level = written(level, "level")
-    rows = level
-    while not level.isEmpty():
-        level = level.where("not cyclic").select("graph", F.col("id").alias("parent"), "path").join(pairs, ["graph", "parent"])
-        again = F.array_contains("path", F.col("child"))
-        level = written(level.select("graph", F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), "sibling", again.alias("cyclic")), "level")
-        rows = rows.unionByName(level)
-    out = rows.join(kids, ["graph", "id"], "left").join(places, ["graph", "id"], "left").na.fill(0, ["children"])
-    return out.select("graph", F.array_join("path", " ").alias("path"), "id", (F.size("path") - 1).cast("long").alias("depth"), "children", "cyclic", (F.coalesce("places", F.lit(1)) > 1).alias("appears_elsewhere"), "sibling")
+    roots = places_within(forest_roots(nodes, parents).select("graph", "id"), ["graph"], "id")
+    rows = written(roots.select("graph", F.array("id").alias("path"), F.array("place").alias("ranks"), F.lit(False).alias("cyclic")), "rows")
+    pairs = places_within(parents.select("graph", "parent", "child").distinct(), ["graph", "parent"], "child")
+    # A piece: the node it starts below, the ids and ranks from there on, whether it ends at a node it holds already.
+    piece = written(pairs.select("graph", F.col("parent").alias("head"), F.array("child").alias("path"), F.array("place").alias("ranks"), (F.col("parent") == F.col("child")).alias("cyclic")), "pieces")
+    levels = [rows]
+    while True:
+        below = _joined(rows, piece, F.col("path"))
+        below = written(below.select("graph", "path", "ranks", "cyclic"), "rows")
+        if below.isEmpty():
+            break
+        levels.append(below)
+        rows = rows.unionByName(below) if len(levels) < 4 else written(rows.unionByName(below), "rows")
+        piece = written(_joined(piece, piece, F.concat(F.array("head"), "path")).select("graph", "head", "path", "ranks", "cyclic"), "pieces")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    out = out.withColumn("id", F.element_at("path", -1)).join(kids, ["graph", "id"], "left").join(places, ["graph", "id"], "left").na.fill(0, ["children"])
+    out = out.select("graph", F.array_join("path", " ").alias("path"), "id", (F.size("path") - 1).cast("long").alias("depth"), "children", "cyclic", (F.coalesce("places", F.lit(1)) > 1).alias("appears_elsewhere"), F.element_at("ranks", -1).alias("sibling"), "ranks")
+    return places_within(out, ["graph"], "ranks").drop("ranks").withColumnRenamed("place", "position")
+
+
+def _joined(left: DataFrame, piece: DataFrame, walked: Column) -> DataFrame:
+    """Each left row that may go on, with the pieces below its end; ``walked`` are all its nodes.
+
+    What holds a node twice before its end is left out: a shorter row, marked cyclic, stands for it.
+    """
+    ends = left.where("not cyclic").withColumn("walked", walked).withColumn("end", F.element_at("path", -1))
+    tail = piece.select("graph", F.col("head").alias("end"), F.col("path").alias("more"), F.col("ranks").alias("more_ranks"))
+    both = ends.join(tail, ["graph", "end"]).withColumn("all", F.concat("walked", "more"))
+    inner, last = F.slice("all", F.lit(1), F.size("all") - 1), F.element_at("all", -1)
+    both = both.withColumn("cyclic", F.array_contains(inner, last)).where(F.size(F.array_distinct(inner)) == F.size("all") - 1)
+    return both.withColumn("path", F.concat("path", "more")).withColumn("ranks", F.concat("ranks", "more_ranks"))
 
 
 def tree_filter(labelled: DataFrame, parents: DataFrame, query: str) -> DataFrame:

@@ -56,6 +56,21 @@ def with_places(frame: DataFrame, *order: Column | str) -> DataFrame:
     return ranged.withColumn("place", (earlier + inside).cast("long")).drop("_part")
 
 
+def places_within(frame: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """``frame`` with ``place`` (from 1) in the order of each group (``keys``, not null), however large a group is.
+
+    Rows are dealt by ranges of keys and order and numbered inside each.  A group that goes on in a later range starts there
+    with the rows it had before; such entries are fewer than the ranges.
+    """
+    ranged = written(frame.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("_before", earlier).where("_before is not null").drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    out = ranged.withColumn("_inside", inside).join(F.broadcast(before), ["_part", *keys], "left")  # fewer rows than partitions
+    return out.select(*frame.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("long").alias("place"))
+
+
 def page(frame: DataFrame, order: list, number: int, size: int = 15) -> DataFrame:
     """One page after sorting; a page past the end is the last one."""
     pages = max(1, -(-frame.count() // size))

@@ -80,9 +80,7 @@ class Kg:
     @cached_property
     def forest(self) -> tuple[DataFrame, DataFrame]:
         """Both forests in one, told apart by the graph key's suffix."""
-        (cn, cp), (kn, kp) = hierarchy.class_forest(self.t), hierarchy.concept_forest(self.t)
-        mark = lambda df, name: df.withColumn("graph", F.concat("graph", F.lit("|" + name)))
-        nodes, parents = mark(cn, "class").unionByName(mark(kn, "concept")), mark(cp, "class").unionByName(mark(kp, "concept"))
+        nodes, parents = hierarchy.both_forests(self.t)
         return self.view("forest-nodes", lambda: nodes), self.view("forest-parents", lambda: parents)
 
     def ids(self, *pairs: tuple[str, str], name: str = "id") -> DataFrame:
@@ -898,21 +896,21 @@ _ROOM = "CAST(CASE WHEN coalesce(c, 0) + coalesce(k, 0) <= 40 THEN 9000000000 WH
     ),
 )
 def _(g: Kg) -> DataFrame:
-    return hierarchy.hierarchy(g.t, 40)[0]
+    return hierarchy.hierarchy(g.t, 40, g.forest)[0]
 
 
 @kg("hierarchy_counts", Q("SELECT graph, coalesce(c, 0) AS classes, coalesce(k, 0) AS concepts, coalesce(c, 0) + coalesce(k, 0) > 20 AS truncated FROM (SELECT graph, count(*) AS c FROM cnode GROUP BY graph) FULL JOIN (SELECT graph, count(*) AS k FROM knode GROUP BY graph) USING (graph)"))
 def _(g: Kg) -> DataFrame:
-    return hierarchy.hierarchy_counts(g.t, 20)
+    return hierarchy.hierarchy_counts(g.forest[0], 20)
 
 
 @kg(
     "tree_rows",
     Q(
-        "SELECT w.graph, array_to_string(path, ' ') AS path, w.id, CAST(len(path) - 1 AS BIGINT) AS depth, coalesce(k.n, 0) AS children, cyclic, coalesce(a.places, 1) > 1 AS appears_elsewhere, sibling FROM walk w LEFT JOIN (SELECT graph, parent, count(DISTINCT child) AS n FROM fp GROUP BY ALL) k ON k.graph = w.graph AND k.parent = w.id LEFT JOIN (SELECT graph, id, count(*) AS places FROM (SELECT graph, child AS id FROM fp UNION ALL SELECT graph, start FROM froot) GROUP BY ALL) a ON a.graph = w.graph AND a.id = w.id",
+        "SELECT w.graph, array_to_string(path, ' ') AS path, w.id, CAST(len(path) - 1 AS BIGINT) AS depth, coalesce(k.n, 0) AS children, cyclic, coalesce(a.places, 1) > 1 AS appears_elsewhere, sibling, row_number() OVER (PARTITION BY w.graph ORDER BY ranks) AS position FROM walk w LEFT JOIN (SELECT graph, parent, count(DISTINCT child) AS n FROM fp GROUP BY ALL) k ON k.graph = w.graph AND k.parent = w.id LEFT JOIN (SELECT graph, id, count(*) AS places FROM (SELECT graph, child AS id FROM fp UNION ALL SELECT graph, start FROM froot) GROUP BY ALL) a ON a.graph = w.graph AND a.id = w.id",
         *_PROMOTED,
         ("sibs", "SELECT graph, parent, child, row_number() OVER (PARTITION BY graph, parent ORDER BY child) AS sibling FROM fp"),
-        ("walk(graph, id, path, sibling, cyclic)", "SELECT graph, id, [id], row_number() OVER (PARTITION BY graph ORDER BY id), false FROM froots UNION ALL SELECT s.graph, s.child, list_append(w.path, s.child), s.sibling, list_contains(w.path, s.child) FROM walk w JOIN sibs s ON s.graph = w.graph AND s.parent = w.id WHERE NOT w.cyclic"),
+        ("walk(graph, id, path, sibling, cyclic, ranks)", "SELECT graph, id, [id], row_number() OVER (PARTITION BY graph ORDER BY id), false, [row_number() OVER (PARTITION BY graph ORDER BY id)] FROM froots UNION ALL SELECT s.graph, s.child, list_append(w.path, s.child), s.sibling, list_contains(w.path, s.child), list_append(w.ranks, s.sibling) FROM walk w JOIN sibs s ON s.graph = w.graph AND s.parent = w.id WHERE NOT w.cyclic"),
     ),
 )
 def _(g: Kg) -> DataFrame:

@@ -107,8 +107,6 @@ def test_closure_handles_cycles_and_depth(spark):
     assert closure.path_closure(ring).count() == 25
     seeds = spark.createDataFrame([("g", "n0")], "graph string, start string")
     assert closure.path_closure(ring, seeds, max_depth=2).count() == 2
-    with pytest.raises(RuntimeError):
-        closure.path_closure(ring, seeds, max_rounds=2)
 
 
 def test_restrictions(spark):
@@ -344,7 +342,7 @@ def test_empty_graph(spark):
     t = spark.createDataFrame([], SCHEMA)
     nodes, edges = eg.entity_graph(t)
     assert nodes.count() == edges.count() == 0
-    assert hierarchy.hierarchy_counts(t).count() == 0
+    assert hierarchy.hierarchy(t)[2].count() == 0
     assert schema.schema_links(t).count() == 0
 
 
@@ -441,3 +439,119 @@ def test_search_is_one_list_a_graph(spark):
     nodes = spark.createDataFrame([("g", f"http://x/{i:02}", f"Name {i}", "class", 1) for i in range(30)] + [("h", "http://x/h", "A name", "class", 1)], "graph string, id string, label string, kind string, degree long")
     found = ranking.search_nodes(nodes, "name", 5)
     assert rows(found, "graph", "place") == [("g", i) for i in range(1, 6)] + [("h", 1)]
+
+
+def edge_table(spark, pairs, g="g"):
+    return spark.createDataFrame([(g, a, b) for a, b in pairs], "graph string, a string, b string")
+
+
+def reached(pairs, start):
+    """Fewest steps from ``start`` to each node that a path of one step or more leads to."""
+    onward, depth, level, steps = {}, {}, [start], 0
+    for a, b in pairs:
+        onward.setdefault(a, []).append(b)
+    while level:
+        steps += 1
+        level = list({b for a in level for b in onward.get(a, ()) if b not in depth})
+        depth.update(dict.fromkeys(level, steps))
+    return depth
+
+
+def test_deep_paths_are_found_by_doubling(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(5000)]
+    seeds = spark.createDataFrame([("g", "n3"), ("g", "n4990")], "graph string, start string")
+    found = closure.path_closure(edge_table(spark, chain), seeds)
+    assert {(r.start, r.node): r.depth for r in found.collect()} == {(s, n): d for s in ("n3", "n4990") for n, d in reached(chain, s).items()}
+
+
+def test_deep_cyclic_paths(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(closure, "SINGLE_STEPS", 3)
+    r = random.Random(2)
+    ring = [(f"n{i}", f"n{(i + 1) % 60}") for i in range(60)] + [(f"n{r.randrange(60)}", f"m{r.randrange(9)}") for _ in range(9)] + [("m1", "m2"), ("m2", "m1"), ("m3", "n5"), ("m4", "m4")]
+    found = closure.path_closure(edge_table(spark, ring))
+    assert {(x.start, x.node, x.depth) for x in found.collect()} == {(s, n, d) for s in {a for a, _ in ring} for n, d in reached(ring, s).items()}
+    near = closure.path_closure(edge_table(spark, ring), max_depth=7)
+    assert {(x.start, x.node, x.depth) for x in near.collect()} == {(s, n, d) for s in {a for a, _ in ring} for n, d in reached(ring, s).items() if d <= 7}
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_components_and_least_values(spark, monkeypatch, local):
+    """Both ways of settling a graph, on many small random ones with chains and rings."""
+    import random
+
+    from graphloom.operators import components
+
+    if not local:
+        monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    r = random.Random(5)
+    edges, values, strong, least = [], [], set(), set()
+    for g in range(25):
+        names = [f"n{i:02}" for i in range(r.randint(2, 12))]
+        pairs = {(r.choice(names), r.choice(names)) for _ in range(r.randint(1, 18))} | (set(zip(names, names[1:], strict=False)) if g % 4 == 0 else set()) | ({(names[-1], names[0])} if g % 8 == 0 else set())
+        below = {n: set(reached(pairs, n)) | {n} for n in names}
+        value = {n: (r.randint(0, 3), n) for n in names}
+        edges += [(f"g{g}", a, b) for a, b in pairs]
+        values += [(f"g{g}", n, *value[n]) for n in names]
+        for n in names:
+            part = {m for m in names if m in below[n] and n in below[m]}
+            strong |= {(f"g{g}", n, min(part))} if len(part) > 1 else set()
+            least.add((f"g{g}", n, *min(value[m] for m in names if n in below[m])))
+    frame = spark.createDataFrame(edges, "graph string, a string, b string")
+    assert {tuple(x) for x in components.strong_components(frame).collect()} == strong
+    assert {tuple(x) for x in components.least_reaching(frame, spark.createDataFrame(values, "graph string, node string, rank int, id string")).collect()} == least
+
+
+def test_a_ring_of_100_000_nodes(spark):
+    """Far beyond what one task settles; a tail hangs on it, and another leads to it."""
+    n, size = 100_000, F.lit(100_000)
+    name = lambda c: F.concat(F.lit("x"), F.lpad(c.cast("string"), 6, "0"))
+    ring = spark.range(n).select(F.lit("g").alias("graph"), name((F.col("id") + 1) % size).alias("child"), name(F.col("id")).alias("parent"))
+    tails = spark.createDataFrame([("g", "y1", "x000005"), ("g", "y2", "y1"), ("g", "x000009", "w")], "graph string, child string, parent string")
+    parents = ring.unionByName(tails)
+    assert hierarchy.cycle_marks(parents).count() == n
+    nodes = parents.select("graph", F.explode(F.array("child", "parent")).alias("id")).distinct()
+    assert hierarchy.promoted_roots(nodes, parents).count() == 0
+    assert rows(hierarchy.promoted_roots(nodes.where("id <> 'w'"), parents.where("parent <> 'w'")), "id") == [("x000000",)]
+
+
+def test_outline_of_a_chain_of_5000(spark):
+    parents = spark.createDataFrame([("g", f"n{i + 1}", f"n{i}") for i in range(4999)] + [("g", "z", "n4998"), ("g", "a", "n4998")], "graph string, child string, parent string")
+    nodes = spark.createDataFrame([("g", f"n{i}") for i in range(5000)] + [("g", "z"), ("g", "a"), ("g", "m")], "graph string, id string")
+    found = sorted((r.position, r.id, r.depth) for r in hierarchy.tree_rows(nodes, parents).select("position", "id", "depth").collect())
+    assert found[:2] == [(1, "m", 0), (2, "n0", 0)] and found[-4:] == [(5000, "n4998", 4998), (5001, "a", 4999), (5002, "n4999", 4999), (5003, "z", 4999)]
+
+
+def test_outline_positions(spark):
+    """A walk from the top, children by id, with a node in two places and a cycle."""
+    below = {"r": ["b", "a"], "a": ["c", "d"], "b": ["c"], "d": ["a", "e"], "s": []}
+    parents = [(c, p) for p, cs in below.items() for c in cs]
+    want = []
+
+    def walk(path):
+        again = path[-1] in path[:-1]
+        want.append((" ".join(path), again))
+        for c in sorted(below.get(path[-1], ())) if not again else ():
+            walk([*path, c])
+
+    for root in ("r", "s"):
+        walk([root])
+    nodes = spark.createDataFrame([("g", n) for n in "rabcdes"], "graph string, id string")
+    out = hierarchy.tree_rows(nodes, spark.createDataFrame([("g", c, p) for c, p in parents], "graph string, child string, parent string")).orderBy("position").collect()
+    assert [(r.path, r.cyclic) for r in out] == want and [r.position for r in out] == list(range(1, len(want) + 1))
+
+
+def test_places_within_groups(spark):
+    """A group over many partitions, small ones beside it, repeated rows."""
+    data = [("big", i * 7 % 997) for i in range(3000)] + [(f"k{i % 40}", i) for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = results.places_within(spark.createDataFrame(data, "k string, v long").repartition(5), ["k"], "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in out:
+        by.setdefault(r.k, []).append((r.place, r.v))
+    for k, found in by.items():
+        assert sorted(found) == list(enumerate(sorted(v for kk, v in data if kk == k), 1))
