@@ -18,7 +18,7 @@ from graphloom.plans import oracles as sql
 from graphloom.plans.tables import shared_path, view
 from graphloom.sources import library, ntriples
 from graphloom.sources.kg import V, kg_prefixes, kg_triples
-from graphloom.streaming.throttle import throttle_events
+from graphloom.streaming.throttle import activity_stream, throttle_events, throttle_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1142,8 +1142,71 @@ def _(g: Kg) -> DataFrame:
 # --- 2.K streams -----------------------------------------------------------------------------------------------
 
 
-@kg("throttle_events")
+_LIMIT = {"key": "event_type", "time": "ts", "order": "event_id", "most": 5, "window": 3600.0}
+#: Events one after the other in each key, with the accepted times of the last window.
+_THROTTLED = """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL), r(event_type, n, event_id, times, accepted) AS (
+  SELECT event_type, n, event_id, [t], true FROM e WHERE n = 1
+  UNION ALL
+  SELECT event_type, n, event_id, CASE WHEN len(k) < 5 THEN list_append(k, t) ELSE k END, len(k) < 5 FROM (SELECT e.*, list_filter(r.times, lambda x: x >= e.t - 3600.0) AS k FROM r JOIN e ON e.event_type IS NOT DISTINCT FROM r.event_type AND e.n = r.n + 1)
+)
+SELECT event_id, event_type, accepted FROM r"""
+
+
+@kg("throttle_events", _THROTTLED + " UNION ALL SELECT event_id, event_type, false FROM events WHERE ts IS NULL")
+def _(g: Kg) -> DataFrame:
+    return throttle_events(g.table("events").select("event_id", "ts", "event_type"), **_LIMIT).select("event_id", "event_type", "accepted")
+
+
+def _slices(events: DataFrame, n: int) -> list[DataFrame]:
+    """The events with a time in ``n`` slices of time, earlier ones first."""
+    cuts = events.agg(F.percentile_approx(F.unix_micros("ts"), [i / n for i in range(1, n)], 1000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    at = F.unix_micros("ts")
+    inside = lambda low, high: (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+    return [events.where("ts is not null").where(inside(low, high)) for low, high in zip(bounds, bounds[1:], strict=False)]
+
+
+@kg("throttle_stream", _THROTTLED)
+def _(g: Kg) -> DataFrame:
+    """Four slices arrive one after the other; after each the stream takes what there is and stops, and starts again with its state."""
+    events = g.table("events").select("event_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    inbox, out, checkpoint = (shared_path(g.spark, f"throttle-{x}") for x in ("inbox", "out", "checkpoint"))
+    for part in _slices(events, 4):
+        part.write.mode("append").parquet(inbox)
+        decided = throttle_stream(g.spark.readStream.schema(events.schema).parquet(inbox), **_LIMIT)
+        decided.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return g.spark.read.schema("event_type string, n long, accepted boolean").parquet(out).select(F.col("n").alias("event_id"), "event_type", "accepted")
+
+
+def _activities(g: Kg) -> DataFrame:
+    """One activity an event."""
+    return g.table("events").select(F.col("event_type").alias("@type"), F.concat(F.lit("user/"), F.coalesce(F.col("user_id").cast("string"), F.lit("nobody"))).alias("subject"), F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("attributes"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_ACTIVITIES = "SELECT event_type AS type, 'user/' || coalesce(CAST(user_id AS VARCHAR), 'nobody') AS subject, epoch_us(ts) // 1000 AS at_ms, props AS attributes FROM events WHERE ts IS NOT NULL"
+
+
+def _logged(g: Kg, path: str) -> DataFrame:
+    return library.activity_log(g.spark, path).select("type", "subject", F.floor(F.unix_micros("at") / 1000).alias("at_ms"), "attributes")
+
+
+@kg("activity_log_append", _ACTIVITIES)
+def _(g: Kg) -> DataFrame:
+    """Three appends; the log read back has every row once."""
+    path = shared_path(g.spark, "log")
+    for part in _slices(_activities(g), 3):
+        library.activity_log_append(g.spark, path, part.drop("ts"))
+    return _logged(g, path)
+
+
+@kg("activity_stream", _ACTIVITIES)
 def _(g: Kg) -> DataFrame:
-    """No SQL: each decision depends on those before it; a test replays it event by event."""
-    events = g.table("events").select("event_id", "ts", "event_type")
-    return throttle_events(events, key="event_type", time="ts", order="event_id", most=5, window=3600.0).select("event_id", "event_type", "accepted")
+    """A stream that stops and goes on from its checkpoint: three starts, the last with nothing new, and every row once."""
+    activities = _activities(g)
+    inbox, path, checkpoint = (shared_path(g.spark, f"activity-{x}") for x in ("inbox", "log", "checkpoint"))
+    for part in (*_slices(activities, 2), None):
+        if part is not None:
+            part.write.mode("append").parquet(inbox)
+        came = g.spark.readStream.schema(activities.schema).parquet(inbox).drop("ts")
+        activity_stream(came, path, checkpoint, available_now=True).awaitTermination()
+    return _logged(g, path)

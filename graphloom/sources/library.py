@@ -91,12 +91,21 @@ def saved_query_delete(saved: DataFrame, ids: DataFrame) -> DataFrame:
     return saved.join(ids.select("id"), "id", "left_anti")
 
 
-def activity_log_append(spark: SparkSession, path: str, rows: list[tuple[str, str, str]]) -> None:
-    """Append (type, subject, attributes as JSON) rows with the time; earlier rows are never rewritten."""
-    frame = spark.createDataFrame(rows, "`@type` string, subject string, attributes string").withColumn("at", F.current_timestamp())
+def activity_log_append(spark: SparkSession, path: str, rows: list[tuple[str, str, str]] | DataFrame) -> None:
+    """Append (type, subject, attributes as JSON) rows with the time; earlier rows are never rewritten.
+
+    A table has the columns ``@type``, subject and attributes, and may bring its own times (``at``).
+    """
+    frame = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "`@type` string, subject string, attributes string")
+    frame = frame if "at" in frame.columns else frame.withColumn("at", F.current_timestamp())
     frame.write.mode("append").json(path)
 
 
+def activity_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a log: type, subject, at, attributes."""
+    return spark.read.schema("`@type` string, subject string, at timestamp, attributes string").json(path).withColumnRenamed("@type", "type")
+
+
 def source_excerpt(texts: DataFrame, text: str, most: int) -> DataFrame:
     """With excerpt, octets, lines, truncated: line ends made uniform, long texts cut at the last line end within ``most``."""
     whole = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

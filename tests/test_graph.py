@@ -325,13 +325,13 @@ def test_sinks(spark, tmp_path):
 def test_streams(spark, tmp_path):
     """Files in, decisions and log lines out; state goes on from one batch to the next."""
     (tmp_path / "in").mkdir()
-    part = lambda n, ts: spark.createDataFrame([("k", t) for t in ts], "k string, t long").select("k", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    part("a", [0, 1, 2])
-    part("b", [3, 61])
-    source = lambda: spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
-    throttled = throttle_stream(source(), key="k", time="ts", most=2, window=60.0)
+    part = lambda n, ts: spark.createDataFrame([("k", t) for t in ts], "k string, t long").select("k", F.timestamp_seconds("t").alias("ts"), F.col("t").alias("i")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    part("a", [1000, 1001, 1002])
+    part("b", [1003, 1061])
+    source = lambda: spark.readStream.schema("k string, ts timestamp, i long").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    throttled = throttle_stream(source(), key="k", time="ts", order="i", most=2, window=60.0)
     throttled.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), "t", "accepted") == [(0.0, True), (1.0, True), (2.0, False), (3.0, False), (61.0, True)]
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "t", "accepted") == [(1000.0, True), (1001.0, True), (1002.0, False), (1003.0, False), (1061.0, True)]
     query = activity_stream(source().select("k"), f"{tmp_path}/log", f"{tmp_path}/c2")
     query.processAllAvailable()
     query.stop()
@@ -555,3 +555,61 @@ def test_places_within_groups(spark):
         by.setdefault(r.k, []).append((r.place, r.v))
     for k, found in by.items():
         assert sorted(found) == list(enumerate(sorted(v for kk, v in data if kk == k), 1))
+
+
+def test_throttle_cuts_keys_at_pauses(spark):
+    """Long keys over many partitions, pauses of exactly the window and a little more, equal times, null keys and times."""
+    import random
+    from collections import deque
+
+    from graphloom.streaming.throttle import decide, stretches
+
+    r = random.Random(6)
+    data, i = [], 0
+    for key in ("a", "b", None):
+        t = 0.0
+        for _ in range(700):
+            t += r.choice([0, 0, 1, 5, 9, 60, 61])
+            data.append((i, key, t))
+            i += 1
+    data += [(i, "a", None), (i + 1, None, None)]
+    events = spark.createDataFrame(data, "i long, k string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1000000).cast("long"))).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.i: x.accepted for x in throttle_events(events, key="k", time="ts", order="i", most=3, window=60.0).collect()}
+        timed = events.where("t is not null").withColumn("_t", F.col("t"))
+        cut = stretches(timed, "k", "i", 60.0).select("k", "_stretch", F.spark_partition_id().alias("p")).where("k = 'a'").distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {n: False for n, _, t in data if t is None}
+    for key in ("a", "b", None):
+        own = sorted((t, n) for n, k, t in data if k == key and t is not None)
+        want.update(zip([n for _, n in own], decide([t for t, _ in own], deque(), 3, 60.0), strict=True))
+    assert got == want
+    times = sorted(t for _, k, t in data if k == "a" and t is not None)
+    assert len({x._stretch for x in cut}) == 1 + sum(b - a > 60 for a, b in zip(times, times[1:], strict=False)) and len({x.p for x in cut}) > 1
+
+
+def test_late_events_and_state_that_ends(spark, tmp_path):
+    """A late event counts what was accepted before it; one behind the watermark is dropped; state goes with the watermark."""
+    part = lambda ts: spark.createDataFrame([(k, t) for k, t in ts], "k string, t long").select("k", F.timestamp_seconds("t").alias("ts"), F.col("t").alias("i")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    kept = []
+    for events in ([("k", 100), ("k", 101), ("k", 190)], [("k", 120), ("k", 195), ("k", 196), ("z", 1)], [("y", 1000)], [("y", 1001)]):
+        part(events)
+        stream = throttle_stream(spark.readStream.schema("k string, ts timestamp, i long").parquet(f"{tmp_path}/in"), key="k", time="ts", order="i", most=2, window=60.0, delay="100 seconds")
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(out.where("k = 'k'"), "t", "accepted") == [(100.0, True), (101.0, True), (120.0, False), (190.0, True), (195.0, True), (196.0, False)]
+    assert rows(out.where("k <> 'k'"), "k", "t") == [("y", 1000.0), ("y", 1001.0)]
+    states = spark.read.format("statestore").option("stateVarName", "accepted").load(f"{tmp_path}/c")
+    assert {r.key.k for r in states.select("key").collect()} == {"y"}
+
+
+def test_logs_go_on(spark, tmp_path):
+    rows_ = spark.createDataFrame([("Import", "a", "{}")], "`@type` string, subject string, attributes string").withColumn("at", F.timestamp_seconds(F.lit(5)))
+    library.activity_log_append(spark, f"{tmp_path}/log", rows_)
+    library.activity_log_append(spark, f"{tmp_path}/log", [("Export", "b", "{}")])
+    log = library.activity_log(spark, f"{tmp_path}/log")
+    assert rows(log, "type", "subject", "attributes") == [("Export", "b", "{}"), ("Import", "a", "{}")] and rows(log.where("subject = 'a'").select(F.unix_seconds("at").alias("s")), "s") == [(5,)]
