@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.DOTALL)
@@ -18,18 +19,51 @@ BLOCK = frozenset(
 ENDS = {"li": ("li",), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "body": ("head",)}
 
 
-@dataclass
+class Path:
+    """The open block elements around a text, as a chain to the outermost; equal paths of a page are one object."""
+
+    __slots__ = ("parent", "step", "number")
+
+    def __init__(self, parent: Path | None, step: str, number: int) -> None:
+        self.parent, self.step, self.number = parent, step, number
+
+    def __iter__(self) -> Iterator[str]:
+        """The steps from the outermost."""
+        steps, at = [], self
+        while at.parent is not None:
+            steps.append(at.step)
+            at = at.parent
+        return reversed(steps)
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     link_chars: int
     label: int | None
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element, with the label and path that hold inside it."""
+
+    tag: str
+    label: int | None
+    path: Path
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The non-empty leaf blocks of a page in order.  Broken or cut markup is read as far as it goes."""
+    """The non-empty leaf blocks of a page in order.  Broken or cut markup is read as far as it goes.
+
+    Time and memory are linear in the page, however deep its elements nest: for each name the places of its open elements
+    are kept, and a path is one object more than its parent's.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, str, int | None]] = []  # tag, path step, label
+    paths: dict[tuple[int, str], Path] = {}
+    root = Path(None, "", 0)
+    stack: list[_Open] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack by name
     held: list[str] = []
     links = at = 0
 
@@ -37,24 +71,24 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            label = next((lab for _, _, lab in reversed(stack) if lab is not None), None)
-            found.append(Block(text, tuple(step for tag, step, _ in stack if tag in BLOCK), links, label))
+            found.append(Block(text, stack[-1].path if stack else root, links, stack[-1].label if stack else None))
         held.clear()
         links = 0
 
     def pop(name: str, barrier: tuple[str, ...] = ()) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] == name:
-                del stack[depth:]
-                return
-            if stack[depth][0] in barrier:
-                return
+        """Close the innermost element of a name, with all inside it, unless a barrier stands between."""
+        places = open_at.get(name)
+        if not places or any(open_at.get(b) and open_at[b][-1] > places[-1] for b in barrier):
+            return
+        depth = places[-1]
+        while len(stack) > depth:
+            open_at[stack.pop().tag].pop()
 
     def take(text: str) -> None:
         nonlocal links
         if text:
             held.append(text)
-            if any(tag == "a" for tag, _, _ in stack):
+            if open_at.get("a"):
                 links += len(text)
 
     while at < len(page):
@@ -84,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
             pop("p", ("table", "td", "th", "button")) if name not in ("option", "label", "button") else None
             for other in ENDS.get(name, ()):
                 pop(other, ("ul", "ol", "table", "dl", "select"))
-        step, label = [name], None
+        step, label = [name], stack[-1].label if stack else None
         if "=" in attributes:
             for key, *values in _NAMED.findall(attributes):
                 value = next(filter(None, values), "")
@@ -92,6 +126,13 @@ def blocks_of(page: str) -> list[Block]:
                     label = int(value == "1")
                 else:
                     step += [f"{'#' if key.lower() == 'id' else '.'}{word}" for word in value.lower().split()]
-        stack.append((name, " ".join(step), label))
+        path = stack[-1].path if stack else root
+        if name in BLOCK:
+            key = (path.number, " ".join(step))
+            if key not in paths:
+                paths[key] = Path(path, key[1], len(paths) + 1)
+            path = paths[key]
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(_Open(name, label, path))
     close_block()
     return found

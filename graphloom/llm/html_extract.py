@@ -10,6 +10,9 @@ many kinds with known labels.  There parts bear known names, made-up names or no
 nothing, so the network learns to judge by text, links, places and like neighbours too.  All blocks of the sample teach; long
 pages do so in windows of ``WINDOW`` blocks.
 
+A page's memory is its blocks and one stretch of their vectors: short pages share a bounded batch, a long one is read in
+stretches with the state of the network carried from each to the next.
+
 Defined results: null html gives an empty text; a page without article blocks too; markup that is broken or cut is read as
 far as it goes; repeated rows are extracted alike; an empty table gives an empty result; other columns are kept, but for
 one called ``text``, which the result replaces.
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.html_blocks import Block, blocks_of
+from graphloom.llm.html_blocks import Block, Path, blocks_of
 from graphloom.llm.scratch import numbered, other_columns
 
 SAMPLE, SAMPLE_BYTES, WINDOW = 240, 400_000, 120
 PATH, WORDS, MEASURES, HIDDEN = 128, 32, 11, 32
-BATCH = 256
+#: Pages parsed together, and their characters; blocks, padding included, that go through the network together.
+BATCH, BYTES, STEPS = 256, 4_000_000, 16_384
 LAYOUTS, EPOCHS = 20, 9  # random layouts of each sample page, passes over all of them
 
 #: What markup calls the parts of a page (fixed values).
@@ -53,43 +57,100 @@ OTHER_NAMES = {
 _OTHER = frozenset(n for names in OTHER_NAMES.values() for n in names)
 
 
-def markup_label(path: Sequence[str]) -> int:
-    """1 if a path names an article and nothing beside it, as the markup says itself."""
-    steps = [s.split() for s in path]
-    names = {w[1:] for s in steps for w in s[1:]}
-    if any(s[0] in OTHER_TAGS for s in steps) or names & _OTHER:
-        return 0
-    return int(any(s[0] in ARTICLE_TAGS for s in steps) or bool(names & set(ARTICLE_NAMES)))
+def markup_labels(blocks: Sequence[Block]) -> list[int]:
+    """1 for blocks whose path names an article and nothing beside it, as the markup says itself."""
+    said: dict[int, tuple[bool, bool]] = {0: (False, False)}  # of each path: an article, something else
+    for path in _paths(blocks):
+        tag, *named = path.step.split()
+        names = {w[1:] for w in named}
+        article, other = said[path.parent.number]
+        said[path.number] = (article or tag in ARTICLE_TAGS or not names.isdisjoint(ARTICLE_NAMES), other or tag in OTHER_TAGS or not names.isdisjoint(_OTHER))
+    return [int(said[b.path.number] == (True, False)) for b in blocks]
+
+
+def _paths(blocks: Sequence[Block]) -> list[Path]:
+    """All paths of the blocks and those above them, each after its parent."""
+    found: dict[int, Path] = {}
+    for b in blocks:
+        at = b.path
+        while at.parent is not None and at.number not in found:
+            found[at.number] = at
+            at = at.parent
+    return [found[n] for n in sorted(found)]  # a path is numbered after its parent
 
 
 @lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, dtype=np.float32)
-    for depth, step in enumerate(path):
-        for word in step.split():
-            for part in {word, *re.split(r"[-_]", word)}:
-                h = crc32((("own " if depth == len(path) - 1 else "") + part.lstrip(".#")).encode())
-                v[h % PATH] += 1 if h & (1 << 20) else -1
-    return v
+def _hashed(step: str, own: str) -> tuple[tuple[int, int], ...]:
+    """Places and signs of the words of a step; those of a block's own element count apart."""
+    hashes = [crc32((own + part.lstrip(".#")).encode()) for word in step.split() for part in {word, *re.split(r"[-_]", word)}]
+    return tuple((h % PATH, 1 if h & (1 << 20) else -1) for h in hashes)
+
+
+class PageRows:
+    """The vectors of a page's blocks, made for any stretch of them."""
+
+    def __init__(self, blocks: Sequence[Block]) -> None:
+        self.blocks = blocks
+        # How much text, and how much of it in links, the blocks under the same parent and the same grandparent hold.
+        self.held: dict[tuple[int, int], list[int]] = {}
+        self.whole = max(1, sum(len(b.text) for b in blocks))
+        for b in blocks:
+            for key in self._keys(b.path):
+                held = self.held.setdefault(key, [0, 0])
+                held[0] += len(b.text)
+                held[1] += b.link_chars
+        self.own = {b.path.number: i for i, b in enumerate({b.path.number: b for b in blocks}.values())}
+        self.vectors = np.zeros((len(self.own), PATH), dtype=np.float32)
+        self._walk(_paths(blocks))
+
+    @staticmethod
+    def _keys(path: Path) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Numbers of the parent and the grandparent; the outermost has itself."""
+        above = path.parent or path
+        higher = above.parent or above
+        return (1, above.number), (1 if above.parent or not path.parent else 2, higher.number)
+
+    def _walk(self, paths: list[Path]) -> None:
+        """Path vectors, each from its parent's; one that no later path needs is dropped."""
+        left: dict[int, int] = {}
+        for path in paths:
+            left[path.parent.number] = left.get(path.parent.number, 0) + 1
+        above = {0: np.zeros(PATH, dtype=np.float32)}
+        for path in paths:
+            base = above[path.parent.number]
+            left[path.parent.number] -= 1
+            if not left[path.parent.number]:
+                del above[path.parent.number]
+            if path.number in self.own:
+                row = self.vectors[self.own[path.number]]
+                row += base
+                for place, sign in _hashed(path.step, "own "):
+                    row[place] += sign
+            if left.get(path.number):
+                base = base.copy()
+                for place, sign in _hashed(path.step, ""):
+                    base[place] += sign
+                above[path.number] = base
+
+    def rows(self, low: int = 0, high: int | None = None) -> np.ndarray:
+        """A row for each block from ``low`` to before ``high``."""
+        blocks = self.blocks[low:high]
+        x = np.zeros((len(blocks), PATH + WORDS + MEASURES), dtype=np.float32)
+        for i, b in enumerate(blocks):
+            words = b.text.split()
+            x[i, :PATH] = self.vectors[self.own[b.path.number]]
+            x[i, PATH : PATH + WORDS] = np.bincount([crc32(w.encode()) % WORDS for w in words], minlength=WORDS) / np.sqrt(len(words))
+            n, shares = len(b.text), []
+            for key in self._keys(b.path):
+                chars, links = self.held[key]
+                shares += [chars / self.whole, links / chars]
+            x[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.link_chars / n), (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?", (low + i) / len(self.blocks), np.log1p(len(self.blocks)) / 4, *shares)
+        return x
 
 
 def page_matrix(blocks: Sequence[Block]) -> np.ndarray:
     """A row for each block."""
-    x = np.zeros((len(blocks), PATH + WORDS + MEASURES), dtype=np.float32)
-    # How much text, and how much of it in links, the blocks under the same parent and the same grandparent hold.
-    chars, whole = {}, max(1, sum(len(b.text) for b in blocks))
-    for b in blocks:
-        for key in (b.path[:-1], b.path[:-2]):
-            held = chars.setdefault(key, [0, 0])
-            held[0] += len(b.text)
-            held[1] += b.link_chars
-    for i, b in enumerate(blocks):
-        words = b.text.split()
-        x[i, :PATH] = path_vector(b.path)
-        x[i, PATH : PATH + WORDS] = np.bincount([crc32(w.encode()) % WORDS for w in words], minlength=WORDS) / np.sqrt(len(words))
-        n = len(b.text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.link_chars / n), (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?", i / len(blocks), np.log1p(len(blocks)) / 4, *(part for key in (b.path[:-1], b.path[:-2]) for part in (chars[key][0] / whole, chars[key][1] / chars[key][0])))
-    return x
+    return PageRows(blocks).rows()
 
 
 Params = dict[str, np.ndarray]
@@ -106,10 +167,11 @@ def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, at[:, :, None], axis=1)
 
 
-def _run(p: Params, side: str, x: np.ndarray, trace: list | None = None) -> np.ndarray:
+def _run(p: Params, side: str, x: np.ndarray, trace: list | None = None, state: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hidden states of one direction; ``state`` (h, c) goes on from an earlier stretch and is updated."""
     rows, steps, _ = x.shape
     inputs = x @ p[f"{side}x"] + p[f"{side}b"]
-    h, c = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
+    h, c = state or (np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32))
     out = np.empty((rows, steps, HIDDEN), np.float32)
     for t in range(steps):
         z = inputs[:, t] + h @ p[f"{side}h"]
@@ -122,6 +184,8 @@ def _run(p: Params, side: str, x: np.ndarray, trace: list | None = None) -> np.n
         out[:, t] = h
         if trace is not None:
             trace[-1] += (c,)
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -251,8 +315,9 @@ def train(pages: Sequence[str], *, seed: int = 21) -> Params:
 
     for page in pages:
         blocks = blocks_of(page)
+        labels = iter(markup_labels(blocks))
         for b in blocks:
-            b.label = markup_label(b.path)
+            b.label = next(labels)
         texts.append([escape(b.text) for b in blocks if b.label])
         others += [escape(b.text) for b in blocks if not b.label]
         add(blocks)
@@ -266,19 +331,52 @@ def train(pages: Sequence[str], *, seed: int = 21) -> Params:
     return fit(examples) if examples else fit([(np.zeros((1, PATH + WORDS + MEASURES), np.float32), np.zeros(1, np.float32))], epochs=1)
 
 
+def long_scores(p: Params, blocks: Sequence[Block]) -> np.ndarray:
+    """Scores of a page of any length, read in stretches of ``STEPS`` blocks with the state carried on, once from each end."""
+    page, scores = PageRows(blocks), np.full(len(blocks), p["ob"][0], dtype=np.float32)
+    for side, weights in (("f", p["o"][:HIDDEN]), ("r", p["o"][HIDDEN:])):
+        state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+        lows = range(0, len(blocks), STEPS)
+        for low in lows if side == "f" else reversed(lows):
+            x = page.rows(low, low + STEPS)
+            turn = slice(None, None, 1 if side == "f" else -1)
+            scores[low : low + STEPS] += (_run(p, side, x[None, turn], state=state)[0] @ weights)[turn]
+    return scores
+
+
 def main_texts(p: Params, pages: Sequence[str]) -> list[str]:
-    """The article text of each page."""
+    """The article text of each page.  Pages of like length go through the network together, ``STEPS`` padded blocks at most."""
     parsed = [blocks_of(page) for page in pages]
     texts = [""] * len(pages)
     order = sorted((i for i, b in enumerate(parsed) if b), key=lambda i: len(parsed[i]))
-    for at in range(0, len(order), 64):
-        rows = order[at : at + 64]
-        x, lengths = _pad([page_matrix(parsed[i]) for i in rows])
-        for i, scores in zip(rows, logits(p, x, lengths), strict=True):
+    at = 0
+    while at < len(order):
+        last = at + 1
+        while last < len(order) and last - at < 64 and (last - at + 1) * len(parsed[order[last]]) <= STEPS:
+            last += 1
+        rows = order[at:last]
+        if len(parsed[rows[0]]) > STEPS:
+            results = [long_scores(p, parsed[rows[0]])]
+        else:
+            results = logits(p, *_pad([page_matrix(parsed[i]) for i in rows]))
+        for i, scores in zip(rows, results, strict=True):
             texts[i] = " ".join(b.text for b, s in zip(parsed[i], scores, strict=False) if s > 0)
+        at = last
     return texts
 
 
+def _shares_of(pages: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``BATCH`` pages of about ``BYTES`` characters together."""
+    first = held = 0
+    for i, page in enumerate(pages):
+        if i > first and (i - first >= BATCH or held + len(page) > BYTES):
+            yield first, i
+            first, held = i, 0
+        held += len(page)
+    if first < len(pages):
+        yield first, len(pages)
+
+
 def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` (the article, blocks joined by a space)."""
     taught = pages.where(F.octet_length(html) <= SAMPLE_BYTES).select(page_id, html)
@@ -292,9 +390,10 @@ def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", html: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                texts = main_texts(model.value, [h or "" for h in part.column(len(own)).to_pylist()])
+            whole = [h or "" for h in batch.column(len(own)).to_pylist()]
+            for first, last in _shares_of(whole):
+                part = batch.slice(first, last - first)
+                texts = main_texts(model.value, whole[first:last])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(texts, pa.string())], names=[*own, "text"])
 
     return numbered(pages, [*own, html]).mapInArrow(run, schema)

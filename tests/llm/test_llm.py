@@ -394,7 +394,7 @@ def test_ways_to_part_many_customers(monkeypatch):
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Menu</a></nav><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four &lt;5&gt;</article><script>var x="</p>"</script><footer>&copy; x</footer>'
     assert [b.text for b in blocks_of(page)] == ["Menu", "A & B", "One two", "three", "Four <5>", "© x"]
-    assert [html_extract.markup_label(b.path) for b in blocks_of(page)] == [0, 1, 1, 1, 1, 0]
+    assert html_extract.markup_labels(blocks_of(page)) == [0, 1, 1, 1, 1, 0]
     assert blocks_of("") == [] and [b.text for b in blocks_of("plain <b>te")] == ["plain te"]
 
 
@@ -503,3 +503,41 @@ def test_one_id_with_several_texts_is_one_node(spark, parts, turned):
     frame = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").repartition(parts)
     found = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(frame).collect()}
     assert found == {(4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (9, 8), (9, 9), (3, 3)}
+
+
+@pytest.fixture(scope="module")
+def network():
+    """Random weights: enough to tell whether two ways of reading a page agree."""
+    r, width = np.random.default_rng(0), html_extract.PATH + html_extract.WORDS + html_extract.MEASURES
+    p = {"o": r.normal(0, 0.2, 64).astype(np.float32), "ob": np.zeros(1, np.float32)}
+    for side in "fr":
+        p |= {f"{side}x": r.normal(0, 0.1, (width, 128)).astype(np.float32), f"{side}h": r.normal(0, 0.2, (32, 128)).astype(np.float32), f"{side}b": np.zeros(128, np.float32)}
+    return p
+
+
+def test_pages_in_stretches_and_batches_read_alike(network, monkeypatch):
+    r = np.random.default_rng(3)
+    pages = ["".join(f"<div class=c{int(r.integers(3))}><p>{text(int(r.integers(99)), int(r.integers(1, 9)))}</p>" + "</div>" * int(r.integers(2)) for _ in range(int(r.integers(0, 40)))) for _ in range(30)]
+    whole = html_extract.main_texts(network, pages)
+    assert any(whole)
+    for steps in (5, 64):
+        monkeypatch.setattr(html_extract, "STEPS", steps)
+        assert html_extract.main_texts(network, pages) == whole
+    assert list(html_extract._shares_of(["x" * 3_000_000] * 3 + ["y"] * 300)) == [(0, 1), (1, 2), (2, 258), (258, 303)]
+
+
+@pytest.mark.parametrize("page", ["".join(f"<div><p>Text number {i} with some words here.</p></div>" for i in range(100_000)), "<div>x" * 83_000, "<p><table>" + "<a href=x><div>y" * 30_000], ids=["long", "deep", "links"])
+def test_long_and_deep_pages_are_linear(network, page):
+    """Beside short pages: a minute and a gigabyte are far more than they take."""
+    import time
+    import tracemalloc
+
+    small = ["<p>short one.</p>"] * 63
+    began = time.perf_counter()
+    html_extract.main_texts(network, [page, *small])
+    assert time.perf_counter() - began < 60
+    tracemalloc.start()
+    blocks = blocks_of(page[: len(page) // 4])
+    html_extract.long_scores(network, blocks)
+    assert tracemalloc.get_traced_memory()[1] < 250_000_000
+    tracemalloc.stop()
