@@ -166,6 +166,19 @@ def merge_graph(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_
     return new_nodes, edges_within(more_edges.join(edges.select(*key), key, "left_anti"), drawn)
 
 
+def merge_counts(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame, whole_nodes: DataFrame, whole_edges: DataFrame) -> DataFrame:
+    """graph, added_nodes, added_edges, drawn_nodes, drawn_edges, total_nodes, total_edges of each graph: what a merge adds, and
+    what is drawn after it of what there is."""
+    new_nodes, new_edges = merge_graph(nodes, edges, more_nodes, more_edges)
+    count = lambda frame, name: frame.groupBy("graph").agg(F.count(F.lit(1)).alias(name))
+    parts = [count(whole_nodes, "total_nodes"), count(whole_edges, "total_edges"), count(nodes, "old_nodes"), count(edges, "old_edges"), count(new_nodes.select("graph", "id").distinct(), "added_nodes"), count(new_edges.distinct(), "added_edges")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "graph", "left")
+    out = out.na.fill(0)
+    return out.select("graph", "added_nodes", "added_edges", (F.col("old_nodes") + F.col("added_nodes")).alias("drawn_nodes"), (F.col("old_edges") + F.col("added_edges")).alias("drawn_edges"), "total_nodes", "total_edges")
+
+
 def subclass_parents(triples: DataFrame) -> DataFrame:
     """graph, child, parent between named classes, no class under itself."""
     links = iri_links(triples).where((F.col("p") == SUBCLASS) & (F.col("s") != F.col("o")))

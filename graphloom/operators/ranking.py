@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.adjacency import Table, edge_ends, statements
 from graphloom.operators.entity_graph import edges_within, kind_counts
 from graphloom.plans.tables import written
 
@@ -39,37 +40,43 @@ def card_sketch(nodes: DataFrame, edges: DataFrame, size: int = 20) -> tuple[Dat
     return kept.select("graph", "id", "kind", "degree"), inside.select("graph", "source", "target")
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, limit: int = DEFAULT_NEIGHBORS) -> tuple[DataFrame, DataFrame]:
+def neighborhood(nodes: DataFrame, edges: DataFrame, centers: DataFrame, limit: int = DEFAULT_NEIGHBORS, *, people: Table | None = None, ends: Table | None = None) -> tuple[DataFrame, DataFrame]:
     """For every center (graph, center): the center and its best neighbours, and the edges among them.
 
     Nodes: graph, center, id, kind, degree, place (0: the center), neighbors (all of them), truncated.  ``limit`` is from 1
-    to ``MAX_NEIGHBORS``.
+    to ``MAX_NEIGHBORS``.  ``people`` (nodes by id) and ``ends`` (``edge_ends`` by node) may be written in buckets; then only
+    those of the centers and of their neighbours are read, and no edge moves that is not one of theirs.
     """
     limit = clamp(limit, MAX_NEIGHBORS)
-    known = nodes.select("graph", "id", "kind", "degree")
-    centers = centers.select("graph", "center").distinct().join(known.select("graph", F.col("id").alias("center")), ["graph", "center"], "left_semi")
-    # Centers meet the edge ends first, so only their own edges are made distinct.
-    end = lambda a, b: F.struct(F.col(a).alias("center"), F.col(b).alias("id"))
-    ends = edges.where("source <> target").select("graph", F.explode(F.array(end("source", "target"), end("target", "source"))).alias("e")).select("graph", "e.center", "e.id")
-    near = ends.join(centers, ["graph", "center"], "left_semi").distinct().join(known, ["graph", "id"])
-    totals = near.groupBy("graph", "center").agg(F.count(F.lit(1)).alias("neighbors"))
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("graph", "center").orderBy(F.desc("degree"), "id")).cast("long")).where(F.col("place") <= limit)
-    middle = centers.withColumn("id", F.col("center")).join(known, ["graph", "id"]).withColumn("place", F.lit(0).cast("long"))
-    kept = best.unionByName(middle).join(totals, ["graph", "center"], "left").na.fill(0, ["neighbors"])
-    kept = written(kept.select("graph", "center", "id", "kind", "degree", "place", "neighbors", (F.col("neighbors") > limit).alias("truncated")), "hood")  # few rows a center, used thrice
-    members = kept.select("graph", "center", F.col("id").alias("source"))
-    inside = edges.join(members, ["graph", "source"]).join(members.withColumnRenamed("source", "target"), ["graph", "center", "target"])
-    return kept, inside.select("graph", "center", "source", "target", "kind", "label")
-
-
-def node_details(triples: DataFrame, subjects: DataFrame, limit: int = 500) -> DataFrame:
+    people = people or Table(nodes.select("graph", "id", "kind", "degree"), "id")
+    ends = ends or Table(edge_ends(nodes, edges), "node")
+    centers = people.of(centers.select("graph", F.col("center").alias("id")).distinct()).select("graph", F.col("id").alias("center"), "kind", "degree")
+    near = ends.of(centers.select("graph", F.col("center").alias("node"))).where("node <> other")
+    near = near.select("graph", F.col("node").alias("center"), F.col("other").alias("id"), F.col("other_kind").alias("kind"), F.col("other_degree").alias("degree")).distinct()
+    per_center = Window.partitionBy("graph", "center")
+    # Both numbers come from one sort of the neighbours.
+    order = F.row_number().over(per_center.orderBy(F.desc("degree"), "id")).cast("long")
+    best = near.withColumn("place", order).withColumn("neighbors", F.count(F.lit(1)).over(per_center)).where(F.col("place") <= limit)
+    best = written(best.select("graph", "center", "id", "kind", "degree", "place", "neighbors"), "hood")  # few rows a center, used thrice
+    totals = best.groupBy("graph", "center").agg(F.max("neighbors").alias("neighbors"))
+    middle = centers.join(totals, ["graph", "center"], "left").na.fill(0, ["neighbors"]).select("graph", "center", F.col("center").alias("id"), "kind", "degree", F.lit(0).cast("long").alias("place"), "neighbors")
+    kept = best.unionByName(middle).withColumn("truncated", F.col("neighbors") > limit)
+    members = kept.select("graph", "center", "id")
+    inside = ends.of(members.select("graph", F.col("id").alias("node"), "center")).where("forward").select("graph", "center", F.col("node").alias("source"), F.col("other").alias("target"), "kind", "label")
+    return kept, inside.join(members.withColumnRenamed("id", "target"), ["graph", "center", "target"], "left_semi").select("graph", "center", "source", "target", "kind", "label")
+
+
+def node_details(triples: DataFrame, subjects: DataFrame, limit: int = 500, *, told: Table | None = None) -> DataFrame:
     """For every subject (graph, id): its statements both ways, ``limit`` each, ordered by predicate and value.
 
-    graph, id, direction, p, value, place, total; totals count all statements, incoming rows list IRI subjects only.
+    graph, id, direction, p, value, place, total; totals count all statements, incoming rows list IRI subjects only.  ``told``
+    (``statements`` by id) may be written in buckets; then only those of the subjects are read.
     """
-    out = triples.join(subjects.withColumnRenamed("id", "s"), ["graph", "s"], "left_semi").select("graph", F.col("s").alias("id"), F.lit("out").alias("direction"), "p", F.col("o").alias("value"), F.lit(True).alias("listed"))
-    into = triples.where("o_kind <> 'literal'").join(subjects.withColumnRenamed("id", "o"), ["graph", "o"], "left_semi").select("graph", F.col("o").alias("id"), F.lit("in").alias("direction"), "p", F.col("s").alias("value"), (F.col("s_kind") == "iri").alias("listed"))
-    both, key = out.unionByName(into), ["graph", "id", "direction"]
+    key = ["graph", "id", "direction"]
+    if told:
+        both = told.of(subjects.select("graph", "id").distinct()).select(*key, "p", "value", "listed")
+    else:
+        both = statements(triples).join(subjects.select("graph", "id"), ["graph", "id"], "left_semi")
     totals = both.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
     # A filter on the rank alone lets every task cut its own rows to ``limit`` before they meet.
     listed = both.where("listed").drop("listed").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("p", "value")).cast("long"))
@@ -81,9 +88,17 @@ def undrawn_results(hits: DataFrame, drawn: DataFrame) -> DataFrame:
     return hits.join(drawn.select("graph", "id"), ["graph", "id"], "left_anti")
 
 
-def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
-    """Per graph at most ``limit`` hits, label prefixes first, then others in label or IRI; ``place`` orders them.  No query: nothing."""
+def search_nodes(nodes: DataFrame, query: str, limit: int = 25, *, postings: DataFrame | None = None) -> DataFrame:
+    """Per graph at most ``limit`` hits, label prefixes first, then others in label or IRI; ``place`` orders them.  No query: nothing.
+
+    With ``postings`` (``search_postings``) only nodes that hold every group of three letters of the query are looked at,
+    and then checked; a query of fewer letters is looked for in all nodes.
+    """
     needle, limit = query.strip().lower(), min(limit, 100)
+    if postings is not None and len(needle) >= 3:
+        grams = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
+        held = postings.where(F.col("gram").isin(grams) & F.col("first").isin(sorted({g[0] for g in grams})))
+        nodes = held.groupBy("graph", "id", "label", "kind", "degree").agg(F.count_distinct("gram").alias("_grams")).where(F.col("_grams") == len(grams)).drop("_grams")
     label, iri = F.lower("label"), F.lower("id")
     bucket = F.when(label.startswith(needle), 0).when(label.contains(needle) | iri.contains(needle), 1)
     hits = nodes.withColumn("bucket", bucket).where(F.col("bucket").isNotNull() & F.lit(bool(needle)))
@@ -92,6 +107,17 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
     return hits.withColumn("place", place).where(F.col("place") <= limit)
 
 
+def search_postings(nodes: DataFrame) -> DataFrame:
+    """graph, gram, first, id, label, kind, degree: each node under every three letters of its label and IRI, in lower case.
+
+    To be written sorted by ``gram``, so that a lookup reads few row groups.
+    """
+    pieces = F.array(F.lower("label"), F.lower("id"))
+    grams = F.array_distinct(F.flatten(F.transform(pieces, lambda text: F.transform(F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, 3)))))
+    rows = nodes.select("graph", F.explode(grams).alias("gram"), "id", "label", "kind", "degree")
+    return rows.withColumn("first", F.substring("gram", 1, 1)).repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+
+
 def suggest_entities(nodes: DataFrame, limit: int = 8, per_kind: int = 3) -> DataFrame:
     """Per graph: the best nodes, at most ``per_kind`` of a kind while others are left; headers excluded."""
     body = nodes.where("kind <> 'ontology'")

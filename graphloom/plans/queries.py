@@ -12,6 +12,7 @@ from graphloom.functions import terms
 from graphloom.functions.typed import literal, order_keys
 from graphloom.functions.vocab import DESCRIPTIONS, NUMERIC, OWL, RDFS, SKOS, TYPE, XSD
 from graphloom.operators import closure, docs, hierarchy, ranking, results, schema
+from graphloom.operators.adjacency import Table, bucket_count, bucketed, edge_ends, statements
 from graphloom.operators import entity_graph as eg
 from graphloom.operators.pattern import Filter, Frame, Link, Prop, QueryState, Step, hop_pairs, run_pattern, step_type, texts
 from graphloom.plans import oracles as sql
@@ -33,8 +34,13 @@ class Kg:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def view(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return view(self.spark, f"{self.dir}|{name}", build)
+    def view(self, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+        return view(self.spark, f"{self.dir}|{name}", build, *partition_by)
+
+    def by_node(self, name: str, node: str, rows: Callable[[], DataFrame], n: int) -> Table:
+        """A view in buckets by node."""
+        buckets = bucket_count(n)
+        return Table(self.view(f"{name}-{buckets}", lambda: bucketed(rows(), node, buckets), "bucket"), node, buckets)
 
     @cached_property
     def t(self) -> DataFrame:
@@ -83,6 +89,27 @@ class Kg:
         nodes, parents = hierarchy.both_forests(self.t)
         return self.view("forest-nodes", lambda: nodes), self.view("forest-parents", lambda: parents)
 
+    @cached_property
+    def people(self) -> Table:
+        return self.by_node("people", "id", lambda: self.nodes.select("graph", "id", "kind", "degree"), self.nodes.count())
+
+    @cached_property
+    def ends(self) -> Table:
+        return self.by_node("ends", "node", lambda: edge_ends(self.nodes, self.edges), 2 * self.edges.count())
+
+    @cached_property
+    def told(self) -> Table:
+        return self.by_node("told", "id", lambda: statements(self.t), 2 * self.t.count())
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.view("postings", lambda: ranking.search_postings(self.nodes))
+
+    def load(self) -> None:
+        """Write what lookups and rankings start from."""
+        for table in (self.t, self.kinds, self.edges, self.nodes, self.labels, self.people, self.ends, self.postings, self.restrictions, *self.forest):
+            assert table is not None
+
     def ids(self, *pairs: tuple[str, str], name: str = "id") -> DataFrame:
         return self.spark.createDataFrame(list(pairs), f"graph string, {name} string")
 
@@ -704,13 +731,13 @@ _NEAR = [
 
 @kg("neighborhood", Q("SELECT * FROM hood", *_NEAR))
 def _(g: Kg) -> DataFrame:
-    out = ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40)[0]
+    out = ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40, people=g.people, ends=g.ends)[0]
     return out.select("graph", "center", "id", "kind", "degree", "place", "neighbors", "truncated")
 
 
 @kg("neighborhood_edges", Q("SELECT e.graph, a.center, e.source, e.target, e.kind, e.label FROM edges e JOIN hood a ON a.graph = e.graph AND a.id = e.source JOIN hood b ON b.graph = e.graph AND b.id = e.target AND b.center = a.center", *_NEAR))
 def _(g: Kg) -> DataFrame:
-    return ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40)[1]
+    return ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40, people=g.people, ends=g.ends)[1]
 
 
 @kg("node_details", Q("SELECT graph, id, direction, p, value, place, total FROM (SELECT *, row_number() OVER (PARTITION BY graph, id, direction ORDER BY p, value) AS place FROM (SELECT *, count(*) OVER (PARTITION BY graph, id, direction) AS total FROM (SELECT graph, s AS id, 'out' AS direction, p, o AS value, true AS listed FROM t UNION ALL SELECT graph, o, 'in', p, s, s_kind = 'iri' FROM t WHERE o_kind <> 'literal')) WHERE listed) WHERE place <= 30"))
@@ -719,6 +746,23 @@ def _(g: Kg) -> DataFrame:
     return ranking.node_details(g.t, ids, 30)
 
 
+_DETAILS = "SELECT graph, id, direction, p, value, place, total FROM (SELECT *, row_number() OVER (PARTITION BY graph, id, direction ORDER BY p, value) AS place FROM (SELECT *, count(*) OVER (PARTITION BY graph, id, direction) AS total FROM (SELECT graph, s AS id, 'out' AS direction, p, o AS value, true AS listed FROM t UNION ALL SELECT graph, o, 'in', p, s, s_kind = 'iri' FROM t WHERE o_kind <> 'literal')) WHERE listed) WHERE place <= 30"
+
+
+@kg("node_details_lookup", Q(f"SELECT d.* FROM ({_DETAILS}) d JOIN wanted USING (graph, id)", ("wanted", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CENTERS) + ") c(graph, id)")))
+def _(g: Kg) -> DataFrame:
+    """Some nodes, from statements written in buckets by node."""
+    return ranking.node_details(g.t, g.ids(*_CENTERS), 30, told=g.told)
+
+
+@kg("search_nodes_postings", Q("SELECT graph, id, label, bucket, place FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY bucket, id) AS place FROM (SELECT *, CASE WHEN starts_with(lower(label), 'customer#00000001') THEN 0 WHEN contains(lower(label), 'customer#00000001') OR contains(lower(id), 'customer#00000001') THEN 1 END AS bucket FROM nodes UNION ALL SELECT *, CASE WHEN starts_with(lower(label), 'asia') THEN 0 WHEN contains(lower(label), 'asia') OR contains(lower(id), 'asia') THEN 1 END FROM nodes WHERE graph = 'places') WHERE bucket IS NOT NULL) WHERE place <= 25"))
+def _(g: Kg) -> DataFrame:
+    """By a table of trigrams: a name's beginning in all graphs, a word in one."""
+    names = ranking.search_nodes(g.nodes, "Customer#00000001", postings=g.postings)
+    places = ranking.search_nodes(g.nodes.where("graph = 'places'"), "asia", postings=g.postings.where("graph = 'places'"))
+    return names.unionByName(places).select("graph", "id", "label", "bucket", "place")
+
+
 @kg("search_nodes", Q("SELECT graph, id, label, bucket, place FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY bucket, id) AS place FROM (SELECT *, CASE WHEN starts_with(lower(label), 'cu') THEN 0 WHEN contains(lower(label), 'cu') OR contains(lower(id), 'cu') THEN 1 END AS bucket FROM nodes) WHERE bucket IS NOT NULL) WHERE place <= 25"))
 def _(g: Kg) -> DataFrame:
     return ranking.search_nodes(g.nodes, " Cu").select("graph", "id", "label", "bucket", "place")
@@ -936,10 +980,18 @@ def _(g: Kg) -> DataFrame:
 @kg("merge_graph", Q("SELECT graph, id FROM hood h WHERE (graph, id) NOT IN (SELECT graph, id FROM ranked WHERE place <= 30)", *_NEAR))
 def _(g: Kg) -> DataFrame:
     drawn, drawn_edges, _ = ranking.budget_graph(g.nodes, g.edges, 30)
-    near, near_edges = ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40)
+    near, near_edges = ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40, people=g.people, ends=g.ends)
     return eg.merge_graph(drawn, drawn_edges, near, near_edges)[0].select("graph", "id")
 
 
+@kg("merge_counts", Q("SELECT n.graph, coalesce(x.n, 0) AS added_nodes, coalesce(y.n, 0) AS added_edges, least(n.n, 30) + coalesce(x.n, 0) AS drawn_nodes, coalesce(o.n, 0) + coalesce(y.n, 0) AS drawn_edges, n.n AS total_nodes, coalesce(e.n, 0) AS total_edges FROM (SELECT graph, count(*) AS n FROM nodes GROUP BY graph) n LEFT JOIN (SELECT graph, count(*) AS n FROM edges GROUP BY graph) e ON e.graph = n.graph LEFT JOIN (SELECT graph, count(DISTINCT id) AS n FROM newn GROUP BY graph) x ON x.graph = n.graph LEFT JOIN (SELECT graph, count(*) AS n FROM olde GROUP BY graph) o ON o.graph = n.graph LEFT JOIN (SELECT graph, count(*) AS n FROM newe GROUP BY graph) y ON y.graph = n.graph", *_NEAR, ("oldn", "SELECT graph, id FROM ranked WHERE place <= 30"), ("newn", "SELECT graph, id FROM hood ANTI JOIN oldn USING (graph, id)"), ("olde", "SELECT graph, source, target, kind, label FROM edges WHERE (graph, source) IN (SELECT graph, id FROM oldn) AND (graph, target) IN (SELECT graph, id FROM oldn)"), ("moree", "SELECT DISTINCT e.graph, e.source, e.target, e.kind, e.label FROM edges e JOIN hood a ON a.graph = e.graph AND a.id = e.source JOIN hood b ON b.graph = e.graph AND b.id = e.target AND b.center = a.center"), ("newe", "SELECT * FROM moree EXCEPT SELECT * FROM olde")))
+def _(g: Kg) -> DataFrame:
+    """What five neighbourhoods add to a drawing of thirty nodes a graph, and what is then drawn of what there is."""
+    drawn, drawn_edges, _ = ranking.budget_graph(g.nodes, g.edges, 30)
+    near, near_edges = ranking.neighborhood(g.nodes, g.edges, g.ids(*_CENTERS, name="center"), 40, people=g.people, ends=g.ends)
+    return eg.merge_counts(drawn, drawn_edges, near, near_edges, g.nodes, g.edges)
+
+
 @kg("alternation_union", Q(f"SELECT graph, s AS a, o AS b FROM t WHERE p = '{V}inNation' UNION ALL SELECT graph, s, o FROM t WHERE p = '{V}inRegion'"))
 def _(g: Kg) -> DataFrame:
     return texts(hop_pairs(g.t, ((V + "inNation", False), (V + "inRegion", False))))

@@ -23,13 +23,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root}/graphloom/{label}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str) -> None:
+def _write(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write a table; the shuffle files of the write go when it has ended, since nothing reads them again."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
@@ -41,7 +41,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def view(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+def view(spark: SparkSession, key: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
     """A derived table that an application writes once and then reads: the library's triples and what follows from them.
 
     The tables of a folder are taken as unchanging while an application runs; ``forget`` makes it look again.
@@ -53,7 +53,7 @@ def view(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataF
         except AnalysisException:  # the files are gone: write them anew
             pass
     path = shared_path(spark, "view")
-    _write(build(), path)
+    _write(build(), path, *partition_by)
     _VIEWS[name] = path
     return spark.read.parquet(path)
 

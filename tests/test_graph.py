@@ -613,3 +613,42 @@ def test_logs_go_on(spark, tmp_path):
     library.activity_log_append(spark, f"{tmp_path}/log", [("Export", "b", "{}")])
     log = library.activity_log(spark, f"{tmp_path}/log")
     assert rows(log, "type", "subject", "attributes") == [("Export", "b", "{}"), ("Import", "a", "{}")] and rows(log.where("subject = 'a'").select(F.unix_seconds("at").alias("s")), "s") == [(5,)]
+
+
+def test_lookups_read_only_their_buckets(spark, tmp_path):
+    """Neighbourhoods and statements from tables in buckets equal those from whole tables; other buckets are not read."""
+    from graphloom.operators import adjacency
+
+    t = graph(spark, (":p", TYPE, OWL + "ObjectProperty"), *[(f":n{i}", ":p", f":n{(i * 7 + j) % 40}") for i in range(40) for j in range(4)], (":n1", ":p", ":n1"), (":n1", ":q", ("text",)))
+    nodes, edges = eg.entity_graph(t)
+
+    def table(name, frame, node):
+        adjacency.bucketed(frame, node, 8).write.partitionBy("bucket").parquet(f"{tmp_path}/{name}")
+        return adjacency.Table(spark.read.parquet(f"{tmp_path}/{name}"), node, 8)
+
+    people, ends, told = table("people", nodes.select("graph", "id", "kind", "degree"), "id"), table("ends", adjacency.edge_ends(nodes, edges), "node"), table("told", adjacency.statements(t), "id")
+    centers = spark.createDataFrame([("g", E + "n1"), ("g", E + "n2"), ("g", E + "lost"), ("h", E + "n1")], "graph string, center string")
+    for plain, fast in zip(ranking.neighborhood(nodes, edges, centers, 3), ranking.neighborhood(nodes, edges, centers, 3, people=people, ends=ends), strict=True):
+        assert plain.count() and sorted(map(str, plain.collect())) == sorted(map(str, fast.select(*plain.columns).collect()))
+    one = spark.createDataFrame([("g", E + "n1")], "graph string, id string")
+    slow, fast = ranking.node_details(t, one), ranking.node_details(t, one, told=told)
+    assert slow.count() and sorted(map(str, slow.collect())) == sorted(map(str, fast.select(*slow.columns).collect()))
+    plan = told.of(one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert plan.count("Exchange hashpartitioning") == 0
+    assert [adjacency.bucket_count(n) for n in (0, 10**6, 10**12)] == [8, 32, 4096]
+
+
+def test_search_by_trigrams(spark):
+    nodes = spark.createDataFrame([("g", "http://x/alpha", "Beta", "class", 1), ("g", "http://x/b", "alphabet", "class", 2), ("h", "http://x/c", "ALP", "class", 0), ("g", "http://x/d", "alp hab", "class", 0), ("g", "http://x/é", "Ünïcode", "class", 0), ("g", "x", "y", "class", 0)], "graph string, id string, label string, kind string, degree long")
+    postings = ranking.search_postings(nodes)
+    for query in ("alpha", "ALP", "al", "ünï", "habet", "b", "http://x", "zzz", " ", "phab"):
+        plain, fast = ranking.search_nodes(nodes, query, 3), ranking.search_nodes(nodes, query, 3, postings=postings)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, fast.select(*plain.columns).collect())), query
+
+
+def test_merge_counts(spark):
+    nodes = lambda *ids: spark.createDataFrame([("g", i) for i in ids], "graph string, id string")
+    edges = lambda *pairs: spark.createDataFrame([("g", a, b, "k", "") for a, b in pairs], "graph string, source string, target string, kind string, label string")
+    got = eg.merge_counts(nodes("a", "b"), edges(("a", "b")), nodes("b", "c"), edges(("a", "b"), ("b", "c"), ("c", "d")), nodes(*"abcdef"), edges(("a", "b"), ("b", "c"), ("c", "d"), ("e", "f")))
+    assert tuple(got.first()) == ("g", 1, 1, 3, 2, 6, 4)
