@@ -9,18 +9,21 @@ from graphloom.functions.terms import default_datatype, is_literal_type, label_o
 from graphloom.functions.vocab import CLASS_KINDS, META_CLASSES, OWL, RDF, RDFS, SCHEMA_PREDICATES, SUBCLASS, THING, TYPE, XSD
 from graphloom.operators.closure import chain_closure, path_closure
 from graphloom.operators.entity_graph import iri_links, subclass_parents
+from graphloom.plans.tables import written
 
 MAX_LINKS, MAX_DATA_PROPS, MAX_DEPTH = 60_000, 200, 8
 
 
-def instance_types(triples: DataFrame) -> DataFrame:
-    """graph, s, type of named resources; meta-classes are no types."""
+def instance_types(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """graph, s, type of named resources; meta-classes are no types.  ``types``, here and below: the same, written before."""
+    if types is not None:
+        return types
     typed = iri_links(triples).where((F.col("p") == TYPE) & ~F.col("o").isin(*META_CLASSES))
     return typed.select("graph", "s", F.col("o").alias("type")).distinct()
 
 
-def class_instances(triples: DataFrame) -> DataFrame:
-    return instance_types(triples).groupBy("graph", F.col("type").alias("iri")).agg(F.count(F.lit(1)).alias("instances"))
+def class_instances(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    return instance_types(triples, types).groupBy("graph", F.col("type").alias("iri")).agg(F.count(F.lit(1)).alias("instances"))
 
 
 def rdf_list_items(triples: DataFrame, heads: DataFrame) -> DataFrame:
@@ -47,8 +50,13 @@ def named_classes_in(triples: DataFrame, members: DataFrame | None = None) -> Da
     return deep.join(named, ["graph", "node"]).select("graph", F.col("start").alias("expression"), "named").distinct()
 
 
-def restriction_links(triples: DataFrame) -> DataFrame:
+#: Predicates of class expressions.
+_EXPRESSIONS = (RDF + "first", RDF + "rest", SUBCLASS, *(OWL + p for p in ("intersectionOf", "unionOf", "equivalentClass", "onProperty", "someValuesFrom", "allValuesFrom", "onClass", "hasValue")))
+
+
+def restriction_links(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """graph, source, predicate, target stated by restrictions on a class, also nested in set operators."""
+    whole, triples = triples, written(triples.where(F.col("p").isin(*_EXPRESSIONS)), "expressions")  # read many times
     members = set_members(triples)
     nested = members.where("b_kind <> 'literal'").select("graph", "a", "b")
     hung = triples.where(F.col("p").isin(SUBCLASS, OWL + "equivalentClass") & (F.col("s_kind") == "iri") & (F.col("o_kind") == "bnode"))
@@ -60,15 +68,15 @@ def restriction_links(triples: DataFrame) -> DataFrame:
     direct = fillers.where("o_kind = 'iri'").select("graph", "s", F.col("o").alias("target"))
     buried = fillers.where("o_kind = 'bnode'").select("graph", "s", F.col("o").alias("expression")).join(named_classes_in(triples, members), ["graph", "expression"]).select("graph", "s", F.col("named").alias("target"))
     valued = triples.where((F.col("p") == OWL + "hasValue") & (F.col("o_kind") == "iri")).select("graph", F.col("s").alias("r"), F.col("o").alias("s"))
-    valued = valued.join(instance_types(triples), ["graph", "s"]).select("graph", F.col("r").alias("s"), F.col("type").alias("target"))
+    valued = valued.join(instance_types(whole, types), ["graph", "s"]).select("graph", F.col("r").alias("s"), F.col("type").alias("target"))
     targets = direct.unionByName(buried).unionByName(valued).where(~F.col("target").isin(*META_CLASSES) & ~is_literal_type(F.col("target")))
     return held.join(on, ["graph", "s"]).join(targets, ["graph", "s"]).select("graph", "source", "predicate", "target").distinct()
 
 
-def schema_class_ids(triples: DataFrame, restrictions: DataFrame) -> DataFrame:
+def schema_class_ids(triples: DataFrame, restrictions: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """graph, iri of every class worth listing."""
     links = iri_links(triples)
-    typed = instance_types(triples).select("graph", F.col("type").alias("iri"))
+    typed = instance_types(triples, types).select("graph", F.col("type").alias("iri"))
     declared = links.where((F.col("p") == TYPE) & F.col("o").isin(OWL + "Class", RDFS + "Class")).select("graph", F.col("s").alias("iri"))
     named = lambda p, end, kind: triples.where((F.col("p") == p) & (F.col(kind) == "iri")).select("graph", F.col(end).alias("iri"))
     ends = named(SUBCLASS, "s", "s_kind").unionByName(named(SUBCLASS, "o", "o_kind")).unionByName(named(RDFS + "domain", "o", "o_kind"))
@@ -77,10 +85,10 @@ def schema_class_ids(triples: DataFrame, restrictions: DataFrame) -> DataFrame:
     return found.unionByName(restrictions.select("graph", F.col("target").alias("iri"))).distinct()
 
 
-def schema_classes(triples: DataFrame, restrictions: DataFrame | None = None) -> DataFrame:
+def schema_classes(triples: DataFrame, restrictions: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
     """graph, iri, label, instances, kind."""
     restrictions = restriction_links(triples) if restrictions is None else restrictions
-    classes = schema_class_ids(triples, restrictions).join(class_instances(triples), ["graph", "iri"], "left").na.fill(0, ["instances"])
+    classes = schema_class_ids(triples, restrictions, types).join(class_instances(triples, types), ["graph", "iri"], "left").na.fill(0, ["instances"])
     kinds = F.create_map(*[F.lit(x) for pair in CLASS_KINDS.items() for x in pair])
     out = label_or_name(classes, pick_label(triples), "iri")
     return out.select("graph", "iri", "label", "instances", F.coalesce(kinds[F.col("iri")], F.lit("class")).alias("kind"))
@@ -94,24 +102,24 @@ def domain_range_links(triples: DataFrame) -> DataFrame:
     return domains.join(ranges, ["graph", "predicate"]).select("graph", "source", "predicate", "target").distinct()
 
 
-def _typed_subjects(triples: DataFrame) -> DataFrame:
+def _typed_subjects(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
     data = triples.where((F.col("s_kind") == "iri") & ~F.col("p").isin(*SCHEMA_PREDICATES))
-    return data.join(instance_types(triples).withColumnRenamed("type", "source"), ["graph", "s"])
+    return data.join(instance_types(triples, types).withColumnRenamed("type", "source"), ["graph", "s"])
 
 
-def observed_links(triples: DataFrame) -> DataFrame:
+def observed_links(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """graph, source, predicate, target, n: every use counts once for each pair of its ends' types."""
-    targets = instance_types(triples).select("graph", F.col("s").alias("o"), F.col("type").alias("target"))
-    uses = _typed_subjects(triples).where("o_kind = 'iri'").select("graph", "source", "p", "o")
+    targets = instance_types(triples, types).select("graph", F.col("s").alias("o"), F.col("type").alias("target"))
+    uses = _typed_subjects(triples, types).where("o_kind = 'iri'").select("graph", "source", "p", "o")
     # Uses are counted per object first: a hub object joins its types once per predicate, not once per use.
     uses = uses.groupBy("graph", "source", "p", "o").agg(F.count(F.lit(1)).alias("n"))
     return uses.join(targets, ["graph", "o"]).groupBy("graph", "source", F.col("p").alias("predicate"), "target").agg(F.sum("n").alias("n"))
 
 
-def observed_data_props(triples: DataFrame) -> DataFrame:
+def observed_data_props(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """graph, class, predicate, datatype, n."""
     datatype = default_datatype(F.col("o_datatype"), F.col("o_lang")).alias("datatype")
-    return _typed_subjects(triples).where("o_kind = 'literal'").groupBy("graph", F.col("source").alias("class"), F.col("p").alias("predicate"), datatype).agg(F.count(F.lit(1)).alias("n"))
+    return _typed_subjects(triples, types).where("o_kind = 'literal'").groupBy("graph", F.col("source").alias("class"), F.col("p").alias("predicate"), datatype).agg(F.count(F.lit(1)).alias("n"))
 
 
 def declared_data_props(triples: DataFrame, classes: DataFrame, observed: DataFrame) -> DataFrame:
@@ -125,27 +133,27 @@ def declared_data_props(triples: DataFrame, classes: DataFrame, observed: DataFr
     return unused.join(ranges, ["graph", "predicate"], "left").select("graph", "class", "predicate", F.coalesce("datatype", F.lit(XSD + "string")).alias("datatype"))
 
 
-def schema_links(triples: DataFrame, restrictions: DataFrame | None = None, max_links: int = MAX_LINKS) -> DataFrame:
+def schema_links(triples: DataFrame, restrictions: DataFrame | None = None, max_links: int = MAX_LINKS, types: DataFrame | None = None) -> DataFrame:
     """graph, source, predicate, target, declared, restriction, n: all link sources merged, both ends known classes.
 
     At most ``max_links`` per graph, most used first; ``truncated`` tells whether more exist.
     """
     restrictions = restriction_links(triples) if restrictions is None else restrictions
     part = lambda df, declared, restriction: df.select("graph", "source", "predicate", "target", F.lit(declared).alias("declared"), F.lit(restriction).alias("restriction"), (F.col("n") if "n" in df.columns else F.lit(0)).cast("long").alias("n"))
-    every = part(restrictions, False, True).unionByName(part(domain_range_links(triples), True, False)).unionByName(part(observed_links(triples), False, False))
+    every = part(restrictions, False, True).unionByName(part(domain_range_links(triples), True, False)).unionByName(part(observed_links(triples, types), False, False))
     merged = every.groupBy("graph", "source", "predicate", "target").agg(F.bool_or("declared").alias("declared"), F.bool_or("restriction").alias("restriction"), F.sum("n").alias("n"))
-    ids = schema_class_ids(triples, restrictions)
+    ids = schema_class_ids(triples, restrictions, types)
     known = merged.join(ids.withColumnRenamed("iri", "source"), ["graph", "source"], "left_semi").join(ids.withColumnRenamed("iri", "target"), ["graph", "target"], "left_semi")
     order = Window.partitionBy("graph").orderBy(F.desc("n"), "source", "predicate", "target")
     placed = known.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("graph")) > max_links)
     return placed.where(F.col("place") <= max_links).select("graph", "source", "predicate", "target", "declared", "restriction", "n", "truncated")
 
 
-def schema_data_props(triples: DataFrame, restrictions: DataFrame | None = None, max_per_class: int = MAX_DATA_PROPS) -> DataFrame:
+def schema_data_props(triples: DataFrame, restrictions: DataFrame | None = None, max_per_class: int = MAX_DATA_PROPS, types: DataFrame | None = None) -> DataFrame:
     """graph, class, predicate, datatype (most frequent; ties: smaller), n, truncated."""
     restrictions = restriction_links(triples) if restrictions is None else restrictions
-    classes = schema_class_ids(triples, restrictions)
-    observed = observed_data_props(triples)
+    classes = schema_class_ids(triples, restrictions, types)
+    observed = observed_data_props(triples, types)
     best = observed.groupBy("graph", "class", "predicate").agg(F.min(F.struct((-F.col("n")).alias("m"), "datatype")).alias("b"), F.sum("n").alias("n")).select("graph", "class", "predicate", F.col("b.datatype").alias("datatype"), "n")
     known = best.join(classes.withColumnRenamed("iri", "class"), ["graph", "class"], "left_semi")
     every = known.unionByName(declared_data_props(triples, classes, observed).withColumn("n", F.lit(0).cast("long")))

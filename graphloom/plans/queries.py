@@ -67,17 +67,21 @@ class Kg:
     def nodes(self) -> DataFrame:
         return self.view("nodes", lambda: eg.entity_nodes(self.t, self.edges, self.kinds))
 
+    @cached_property
+    def types(self) -> DataFrame:
+        return self.view("types", lambda: schema.instance_types(self.t))
+
     @cached_property
     def restrictions(self) -> DataFrame:
-        return self.view("restrictions", lambda: schema.restriction_links(self.t))
+        return self.view("restrictions", lambda: schema.restriction_links(self.t, self.types))
 
     @cached_property
     def classes(self) -> DataFrame:
-        return self.view("classes", lambda: schema.schema_classes(self.t, self.restrictions))
+        return self.view("classes", lambda: schema.schema_classes(self.t, self.restrictions, self.types))
 
     @cached_property
     def links(self) -> DataFrame:
-        return self.view("links", lambda: schema.schema_links(self.t, self.restrictions))
+        return self.view("links", lambda: schema.schema_links(self.t, self.restrictions, types=self.types))
 
     @cached_property
     def lineage(self) -> DataFrame:
@@ -594,16 +598,16 @@ for _name, _table, _make in (
     ("degree", "degs", lambda g: eg.degrees(g.edges)),
     ("subclass_parents", "subc", lambda g: eg.subclass_parents(g.t)),
     ("domain_range_links", "drlink", lambda g: schema.domain_range_links(g.t)),
-    ("observed_links", "olink", lambda g: schema.observed_links(g.t)),
-    ("observed_data_props", "odata", lambda g: schema.observed_data_props(g.t)),
-    ("declared_data_props", "ddata", lambda g: schema.declared_data_props(g.t, schema.schema_class_ids(g.t, g.restrictions), schema.observed_data_props(g.t))),
+    ("observed_links", "olink", lambda g: schema.observed_links(g.t, g.types)),
+    ("observed_data_props", "odata", lambda g: schema.observed_data_props(g.t, g.types)),
+    ("declared_data_props", "ddata", lambda g: schema.declared_data_props(g.t, schema.schema_class_ids(g.t, g.restrictions, g.types), schema.observed_data_props(g.t, g.types))),
     ("rdf_list_items", "litem", lambda g: schema.rdf_list_items(g.t, g.t.where(F.col("p").isin(OWL + "intersectionOf", OWL + "unionOf")).select("graph", F.col("o").alias("head")))),
     ("named_classes_in", "ncls", lambda g: schema.named_classes_in(g.t)),
     ("restriction_links", "rlink", lambda g: g.restrictions),
-    ("class_instances", "cinst", lambda g: schema.class_instances(g.t)),
+    ("class_instances", "cinst", lambda g: schema.class_instances(g.t, g.types)),
     ("schema_classes", "sclass", lambda g: g.classes),
     ("schema_links", "slink", lambda g: g.links.drop("truncated")),
-    ("schema_data_props", "sdata", lambda g: schema.schema_data_props(g.t, g.restrictions).drop("truncated")),
+    ("schema_data_props", "sdata", lambda g: schema.schema_data_props(g.t, g.restrictions, types=g.types).drop("truncated")),
     ("ancestors", "lineage", lambda g: g.lineage),
     ("doc_profile", "profile", lambda g: docs.doc_profile(g.t)),
 ):
@@ -656,7 +660,7 @@ def _(g: Kg) -> DataFrame:
 
 @kg("inherited_data_props", Q("SELECT graph, id, predicate, datatype, n, ancestor AS from_class FROM (SELECT l.graph, l.id, d.predicate, d.datatype, d.n, l.ancestor, row_number() OVER (PARTITION BY l.graph, l.id, d.predicate ORDER BY l.depth, l.ancestor, d.datatype, d.n) AS k FROM lineage l JOIN sdata d ON d.graph = l.graph AND d.class = l.ancestor) WHERE k = 1"))
 def _(g: Kg) -> DataFrame:
-    return schema.inherited_data_props(schema.schema_data_props(g.t, g.restrictions).drop("truncated"), g.lineage)
+    return schema.inherited_data_props(schema.schema_data_props(g.t, g.restrictions, types=g.types).drop("truncated"), g.lineage)
 
 
 @kg("describe_query_node", Q(f"SELECT graph, id, class, instances, row_number() OVER (PARTITION BY graph, id ORDER BY instances DESC, lower(label), class) AS place FROM (SELECT i.graph, i.id, c.iri AS class, c.label, c.instances FROM (SELECT DISTINCT graph, s AS id FROM il) i JOIN sclass c ON c.graph = i.graph AND c.iri = i.id UNION ALL SELECT i.graph, i.s, c.iri, c.label, c.instances FROM itype i JOIN sclass c ON c.graph = i.graph AND c.iri = i.type WHERE (i.graph, i.s) NOT IN (SELECT graph, iri FROM sclass))"))
