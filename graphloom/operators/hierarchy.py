@@ -127,7 +127,7 @@ def hierarchy(triples: DataFrame, max_nodes: int = 50_000, forests: tuple[DataFr
     return out, inside.select(graph.alias("graph"), forest.alias("forest"), "child", "parent"), counts
 
 
-def ancestors(parents: DataFrame, ids: DataFrame, max_depth: int = 200) -> DataFrame:
+def ancestors(parents: DataFrame, ids: DataFrame, max_depth: int | None = None) -> DataFrame:
     """graph, id, ancestor, depth: each id itself (0) and all above it."""
     up = parents.select("graph", F.col("child").alias("a"), F.col("parent").alias("b"))
     found = path_closure(up, ids.select("graph", F.col("id").alias("start")), reflexive=True, max_depth=max_depth)

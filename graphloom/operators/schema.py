@@ -170,12 +170,24 @@ def super_classes(triples: DataFrame, restrictions: DataFrame | None = None) ->
     return pairs.groupBy("graph", "child").agg(F.array_join(F.sort_array(F.collect_set("parent")), " ").alias("parents"))
 
 
-def class_lineage(triples: DataFrame) -> DataFrame:
-    """graph, id, ancestor, depth: every class with itself and all above it."""
+#: Classes whose parents are looked up for one class.
+EXPANDED = 200
+
+
+def class_lineage(triples: DataFrame, restrictions: DataFrame | None = None, types: DataFrame | None = None, expanded: int = EXPANDED) -> DataFrame:
+    """graph, id, ancestor, depth: every class with itself and all above it, however deep.
+
+    The nearest ``expanded`` of them, the class itself included, by depth, then name, are gone on from; so an ancestor that
+    only further ones lead to is left out.
+    """
     up = subclass_parents(triples).where(F.col("parent") != THING).select("graph", F.col("child").alias("a"), F.col("parent").alias("b"))
-    ids = schema_class_ids(triples, restriction_links(triples)).select("graph", F.col("iri").alias("start"))
-    found = path_closure(up, ids, reflexive=True, max_depth=200)
-    return found.select("graph", F.col("start").alias("id"), F.col("node").alias("ancestor"), F.col("depth").cast("long").alias("depth"))
+    restrictions = restriction_links(triples, types) if restrictions is None else restrictions
+    ids = schema_class_ids(triples, restrictions, types).select("graph", F.col("iri").alias("start"))
+    found = path_closure(up, ids, reflexive=True)
+    near = found.withColumn("place", F.row_number().over(Window.partitionBy("graph", "start").orderBy("depth", "node"))).where(F.col("place") <= expanded)
+    led = near.select("graph", "start", F.col("node").alias("a")).join(up, ["graph", "a"]).select("graph", "start", F.col("b").alias("node")).distinct()
+    kept = found.where("depth = 0").unionByName(found.where("depth > 0").join(led, ["graph", "start", "node"], "left_semi"))
+    return kept.select("graph", F.col("start").alias("id"), F.col("node").alias("ancestor"), F.col("depth").cast("long").alias("depth"))
 
 
 def inherited_links(links: DataFrame, lineage: DataFrame, source: str, target: str) -> DataFrame:

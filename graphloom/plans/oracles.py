@@ -107,7 +107,9 @@ BASE: list[tuple[str, str]] = [
     ("sdata", "SELECT graph, class, predicate, datatype, CAST(total AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY graph, class, predicate ORDER BY n DESC, datatype) k, sum(n) OVER (PARTITION BY graph, class, predicate) total FROM odata WHERE (graph, class) IN (SELECT graph, iri FROM scls)) WHERE k = 1 UNION ALL SELECT graph, class, predicate, datatype, 0 FROM ddata"),
     ("upe", f"SELECT graph, child AS a, parent AS b FROM subc WHERE parent <> '{v.THING}'"),
     ("lin0(graph, id, ancestor, depth)", "SELECT graph, iri, iri, 0 FROM scls UNION SELECT l.graph, l.id, e.b, l.depth + 1 FROM lin0 l JOIN upe e ON e.graph = l.graph AND e.a = l.ancestor WHERE l.depth < 20"),
-    ("lineage", "SELECT graph, id, ancestor, min(depth) AS depth FROM lin0 GROUP BY ALL"),
+    ("lin1", "SELECT *, row_number() OVER (PARTITION BY graph, id ORDER BY depth, ancestor) AS place FROM (SELECT graph, id, ancestor, min(depth) AS depth FROM lin0 GROUP BY ALL)"),
+    ("linup", "SELECT DISTINCT l.graph, l.id, e.b AS ancestor FROM lin1 l JOIN upe e ON e.graph = l.graph AND e.a = l.ancestor WHERE l.place <= 200"),
+    ("lineage", "SELECT l.graph, l.id, l.ancestor, l.depth FROM lin1 l LEFT JOIN linup u ON u.graph = l.graph AND u.id = l.id AND u.ancestor = l.ancestor WHERE l.depth = 0 OR u.id IS NOT NULL"),
     # docs
     ("profile", f"SELECT graph, CASE WHEN sch AND con AND owl THEN 'mixed' WHEN sch AND con THEN 'vocpub' ELSE 'ontpub' END AS profile FROM (SELECT graph, bool_or(p = '{T}' AND o = '{S}ConceptScheme') sch, bool_or(p = '{T}' AND o = '{S}Concept') con, bool_or(p = '{T}' AND {within('o', (O + 'Class', R + 'Class', O + 'ObjectProperty', O + 'DatatypeProperty'))}) owl FROM t GROUP BY graph)"),
 ]

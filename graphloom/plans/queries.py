@@ -85,7 +85,7 @@ class Kg:
 
     @cached_property
     def lineage(self) -> DataFrame:
-        return self.view("lineage", lambda: schema.class_lineage(self.t))
+        return self.view("lineage", lambda: schema.class_lineage(self.t, self.restrictions, self.types))
 
     @cached_property
     def forest(self) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,12 @@ ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'":
 
 
 def unescape(text: Column) -> Column:
-    """Undo backslash escapes; doubled backslashes are set aside first, ``\\u`` forms are decoded one by one."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    """Undo backslash escapes, whatever characters the text holds: doubled backslashes part it, and each part is decoded."""
+    return F.array_join(F.transform(F.split(text, r"\\\\"), _unescape_part), "\\")
+
+
+def _unescape_part(out: Column) -> Column:
+    """A text without doubled backslashes; ``\\u`` forms are decoded one by one."""
     for letter, char in ESCAPES.items():
         out = F.replace(out, F.lit("\\" + letter), F.lit(char))
     pieces = F.split(out, r"\\(?=u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})")
@@ -24,7 +28,7 @@ def unescape(text: Column) -> Column:
     decoded = F.transform(
         pieces, lambda x, i: F.when((i > 0) & x.rlike("^u[0-9A-Fa-f]{4}"), F.concat(code(x, 4), x.substr(F.lit(6), F.length(x)))).when((i > 0) & x.rlike("^U[0-9A-Fa-f]{8}"), F.concat(code(x, 8), x.substr(F.lit(10), F.length(x)))).otherwise(x)
     )
-    return F.replace(F.array_join(decoded, ""), F.lit("\x00"), F.lit("\\"))
+    return F.array_join(decoded, "")
 
 
 def parse_lines(lines: DataFrame, graph: Column) -> tuple[DataFrame, DataFrame]:

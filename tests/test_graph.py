@@ -652,3 +652,18 @@ def test_merge_counts(spark):
     edges = lambda *pairs: spark.createDataFrame([("g", a, b, "k", "") for a, b in pairs], "graph string, source string, target string, kind string, label string")
     got = eg.merge_counts(nodes("a", "b"), edges(("a", "b")), nodes("b", "c"), edges(("a", "b"), ("b", "c"), ("c", "d")), nodes(*"abcdef"), edges(("a", "b"), ("b", "c"), ("c", "d"), ("e", "f")))
     assert tuple(got.first()) == ("g", 1, 1, 3, 2, 6, 4)
+
+
+def test_escapes_of_any_text(spark):
+    """Backslashes before letters that mean something, and a text with U+0000, come back as they were."""
+    odd = ["a\x00b", "\\n", "\\\\", "\\\\t\\", "\\u0041", "tab\tline\nquote\" \\\" end", "é\x00\\", ""]
+    t = graph(spark, *[(f":s{i}", ":p", (x,)) for i, x in enumerate(odd)])
+    good, bad = ntriples.parse_lines(ntriples.ntriples_lines(t).select(F.col("line").alias("value")), F.lit("g"))
+    assert bad.count() == 0 and dict(rows(good, "s", "o")) == {E + f"s{i}": x for i, x in enumerate(odd)}
+    assert [r.u for r in spark.createDataFrame([("\\u0041\\\\u0041\\U0001F600",)], "x string").select(ntriples.unescape(F.col("x")).alias("u")).collect()] == ["A\\u0041\U0001F600"]
+
+
+def test_lineage_goes_on_from_the_nearest(spark):
+    t = graph(spark, (":a", RDFS + "subClassOf", ":b"), (":a", RDFS + "subClassOf", ":c"), (":b", RDFS + "subClassOf", ":d"), (":c", RDFS + "subClassOf", ":e"), (":d", RDFS + "subClassOf", ":f"))
+    above = lambda n: short(r[0] for r in rows(schema.class_lineage(t, expanded=n).where(F.col("id") == E + "a"), "ancestor"))
+    assert above(200) == list("abcdef") and above(1) == list("abc") and above(2) == list("abcd") and above(3) == list("abcde")
