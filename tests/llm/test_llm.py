@@ -490,7 +490,7 @@ def test_pipeline(spark, tmp_path):
 def test_digest_of_conversation_order(spark):
     from graphloom.llm.queries import ORACLES, QUERIES
 
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", k)[0] for k in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", k)[0] for k in QUERIES}
     assert set(ORACLES) <= set(QUERIES) and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
