@@ -7,17 +7,18 @@ In a restaurant with discount d and strength s, a dish w with c customers at t t
 The discounts follow from the counts of ones and twos (n1 / (n1 + 2*n2)); the strengths are parameters.
 
 Sampling (``seating``).  Restaurants are dealt to buckets by their context, so each is seated whole in one task, dish after
-dish, given the other dishes' tables.  The pairs of a frequent context, which may be a large share of all pairs, are
-dealt by the pair; its tables in other buckets count as they stood at the last exchange.  An exchange sums the tables
-of each word over all buckets exactly, seats the parent with them and returns the words' parent probabilities.
+dish, given the other dishes' tables.  The pairs of a context of at least ``FREQUENT_TOKENS`` training tokens, which would
+fill much of a bucket, are dealt by the pair; its tables in other buckets count as they stood at the last exchange.  An
+exchange sums the tables of each word, and those of each frequent context, over all buckets exactly, seats the parent with
+the former and returns the words' parent probabilities and the contexts' totals.
 ``ROUNDS`` rounds of ``SWEEPS`` sweeps and an exchange burn in; the last round keeps ``SAMPLES`` seatings,
 and a token's probability is the mean of their predictive probabilities.
 
 Movement.  Texts become chunks of token indices with one vocabulary each.  A chunk asks for the counts and numbers of its
-distinct words over all chunks.  Then it deals its tokens to the buckets of their contexts, a distinct pair once with the
-places of its documents, so that a pair or word as frequent as one likes costs a chunk one entry.  The buckets send back
-sums for documents.  Only totals and the tables of at most ``FREQUENT`` contexts reach the driver.  Counts, numbers
-and seatings depend on the corpus alone, not on how rows are dealt to files or tasks.
+distinct words over all chunks.  Then it sends its distinct pairs with their counts to the buckets of their contexts, so
+that a pair or word as frequent as one likes costs a chunk one entry, and gets back one probability for each of them, in the
+same order; its tokens never leave it.  Only totals reach the driver.  Counts, numbers and seatings depend on the corpus
+alone, not on how rows are dealt to files or tasks.
 
 Defined results: null text has no words, only its end token; repeated rows are counted again and scored alike; a null
 id is never held out; with no training text every token is unknown (V = N = 0, probability 1); words with equal counts are
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,10 @@ from graphloom.llm.scratch import stash
 from graphloom.llm.seating import sweep
 from graphloom.llm.textkit import U64, mix, slices, word_hashes
 
-#: Contexts that make up at least 1 in this many training tokens have their pairs dealt by the pair.
-FREQUENT = 20_000
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
+#: Contexts of at least this many training tokens have their pairs dealt by the pair.
+FREQUENT_TOKENS = BUCKET_TOKENS // 20
 ROUNDS, SWEEPS, SAMPLES = 1, 2, 3
 STRENGTH = ROOT_STRENGTH = 1.0
 END = U64(0xE0DE0DE0DE0DE0DE)
@@ -142,7 +144,7 @@ def _rows(schema: str, rows: Sequence[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(columns)})
 
 
-def count_words(asked: DataFrame, n_buckets: int, train_tokens: int) -> DataFrame:
+def count_words(asked: DataFrame, n_buckets: int, frequent: int = FREQUENT_TOKENS) -> DataFrame:
     """chunk_id, bucket, blob: the numbers, training counts and frequency marks of a chunk's words; ``known``: words of a bucket.
 
     Unknown words have number 0; others are numbered by falling count within their bucket.
@@ -156,7 +158,7 @@ def count_words(asked: DataFrame, n_buckets: int, train_tokens: int) -> DataFram
         number = np.zeros(len(words), dtype=np.int64)
         order = np.lexsort((words, -total))[: np.count_nonzero(total)]
         number[order] = 1 + np.arange(len(order)) * n_buckets + bucket
-        often = (total * FREQUENT >= train_tokens) & (total > 0)
+        often = total >= frequent
         places = np.split(word_of, np.cumsum([len(b[0]) for b in blobs])[:-1])
         rows = [(bucket, c, _dump(_small(number[w]), _small(total[w]), often[w]), None) for c, w in zip(table["chunk_id"].to_pylist(), places, strict=True)]
         return _rows(schema, [*rows, (bucket, None, None, len(order))])
@@ -164,73 +166,96 @@ def count_words(asked: DataFrame, n_buckets: int, train_tokens: int) -> DataFram
     return stash(asked.groupBy("bucket").applyInArrow(run, schema), "counts")
 
 
-def deal(chunks: DataFrame, counted: DataFrame, n_buckets: int, train_tokens: int, known_words: int) -> DataFrame:
-    """Per chunk and bucket its tokens by pair (``blob``), and per chunk, beyond the last bucket, what is known of its documents."""
+class Ordered(NamedTuple):
+    """A chunk's documents, and its tokens in the order of their buckets, contexts and words."""
+
+    ids: np.ndarray
+    known: np.ndarray
+    out: np.ndarray
+    lengths: np.ndarray
+    count: np.ndarray  # training count of each token's word, in the order of the texts
+    numbers: np.ndarray  # the distinct numbers of words, and whether each is dealt by the pair
+    split: np.ndarray
+    bucket: np.ndarray  # of each pair; context and word are places among the numbers
+    context: np.ndarray
+    word: np.ndarray
+    first: np.ndarray  # where each pair's tokens begin
+    doc: np.ndarray  # of each token
+
+    @property
+    def tokens(self) -> np.ndarray:
+        """Tokens of each pair."""
+        return np.diff(np.append(self.first, len(self.doc)))
+
+
+def in_order(chunk: bytes, answers: Sequence[bytes], n_buckets: int) -> Ordered:
+    """A chunk with the answers to its words (in the order of their buckets, which is the order of its words)."""
+    ids, known, lengths, out, end, index = _load(chunk)
+    number, count, often = (np.concatenate(x) for x in zip(*map(_load, answers), strict=True))
+    lengths = lengths.astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    numbers, place = np.unique(number.astype(np.int64), return_inverse=True)
+    split = np.zeros(len(numbers), bool)
+    split[place[often]] = True
+    split |= numbers == 0
+    word = place[index]
+    context = np.empty(len(word), dtype=np.int64)
+    context[1:] = word[:-1]
+    context[first] = place[end[0]]
+    hashes = mix(numbers.astype(U64) + U64(1))
+    bucket = _bucket(hashes[context] + np.where(split[context], mix(hashes[word] + U64(7)), U64(0)), n_buckets)
+    bits = len(numbers).bit_length()
+    if 2 * bits + n_buckets.bit_length() < 63:
+        order = np.argsort((((bucket.astype(np.int64) << bits) | context) << bits) | word, kind="stable")
+    else:
+        order = np.lexsort((word, context, bucket))
+    bucket, context, word = bucket[order], context[order], word[order]
+    pairs = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)]))
+    docs = np.repeat(np.arange(len(lengths)), lengths)[order]
+    return Ordered(ids, known, out, lengths, count.astype(np.int64)[index], numbers, split, bucket[pairs], context[pairs], word[pairs], pairs, docs)
+
+
+def deal(chunks: DataFrame, counted: DataFrame, n_buckets: int) -> DataFrame:
+    """Per chunk and bucket its distinct pairs and how often each was trained."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         chunk_id = chunk["chunk_id"][0].as_py()
-        ids, known, lengths, out, end, index = _load(chunk["blob"][0].as_py())
-        # Answers in the order of their buckets are in the order of the chunk's words.
-        number, count, often = (np.concatenate(x) for x in zip(*map(_load, answers.sort_by("bucket")["blob"].to_pylist()), strict=True))
-        number, count = number.astype(np.int64), count.astype(np.int64)
-        lengths = lengths.astype(np.int64)
-        first = np.cumsum(lengths) - lengths
-        base = np.log10((count + 0.1) / (train_tokens + 0.1 * (known_words + 1)))
-        total = lambda x: np.add.reduceat(x, first)
-        head = _dump(ids, known, _small(lengths), out, _small(total((count > 0)[index].astype(np.int64))), total(base[index]))
-
-        numbers, place = np.unique(number, return_inverse=True)
-        split = np.zeros(len(numbers), bool)
-        split[place[often]] = True
-        split |= numbers == 0
-        word = place[index]
-        context = np.empty(len(word), dtype=np.int64)
-        context[1:] = word[:-1]
-        context[first] = place[end[0]]
-        hashes = mix(numbers.astype(U64) + U64(1))
-        bucket = _bucket(hashes[context] + np.where(split[context], mix(hashes[word] + U64(7)), U64(0)), n_buckets)
-        bits = len(numbers).bit_length()
-        if 2 * bits + n_buckets.bit_length() < 63:
-            order = np.argsort((((bucket.astype(np.int64) << bits) | context) << bits) | word, kind="stable")
-        else:
-            order = np.lexsort((word, context, bucket))
-        bucket, context, word, doc = bucket[order], context[order], word[order], np.repeat(np.arange(len(lengths)), lengths)[order]
-        pairs = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)]))
-        tokens = np.diff(np.append(pairs, len(word)))
-        trained = np.add.reduceat((~out[doc]).astype(np.int64), pairs)
-        pair_at = np.searchsorted(bucket[pairs], np.arange(n_buckets + 1))
-        token_at = np.append(pairs, len(word))[pair_at]
-        rows = [(n_buckets + chunk_id % n_buckets, chunk_id, head)]
-        for b in np.flatnonzero(np.diff(pair_at)).tolist():
-            p = slice(pair_at[b], pair_at[b + 1])
-            u, n = np.unique(context[pairs[p]], return_counts=True)
-            rows.append((b, chunk_id, _dump(_steps(numbers[u]), split[u], _small(n), _small(numbers[word[pairs[p]]]), _small(trained[p]), _small(tokens[p]), _small(doc[token_at[b] : token_at[b + 1]]))))
+        c = in_order(chunk["blob"][0].as_py(), answers.sort_by("bucket")["blob"].to_pylist(), n_buckets)
+        trained = np.add.reduceat((~c.out[c.doc]).astype(np.int64), c.first)
+        at, rows = np.searchsorted(c.bucket, np.arange(n_buckets + 1)), []
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            p = slice(at[b], at[b + 1])
+            u, n = np.unique(c.context[p], return_counts=True)
+            rows.append((b, chunk_id, _dump(_steps(c.numbers[u]), c.split[u], _small(n), _small(c.numbers[c.word[p]]), _small(trained[p]))))
         return _rows(BUCKET_ROWS, rows)
 
-    answers = counted.where("chunk_id is not null").select("chunk_id", "bucket", "blob")
-    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, BUCKET_ROWS)
+    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(_answered(counted).groupBy("chunk_id")).applyInArrow(run, BUCKET_ROWS)
 
 
-STATE = "bucket int, target int, state binary, refs binary, tables binary, share binary, split binary, ones bigint, twos bigint, chunk_id bigint, head binary"
+def _answered(counted: DataFrame) -> DataFrame:
+    return counted.where("chunk_id is not null").select("chunk_id", "bucket", "blob")
 
 
-def _shares(bucket: int, n_buckets: int, words: np.ndarray, sums: Sequence[np.ndarray]) -> Iterator[tuple]:
-    """A bucket's tables of its words, for the buckets of the parent's dishes (rows of ``STATE``)."""
+STATE = "bucket int, target int, state binary, refs binary, tables binary, share binary, split binary, ones bigint, twos bigint"
+
+
+def _shares(bucket: int, n_buckets: int, words: np.ndarray, sums: Sequence[np.ndarray], contexts: np.ndarray, totals: Sequence[np.ndarray]) -> Iterator[tuple]:
+    """A bucket's tables of its words, and customers and tables of its frequent contexts, for the buckets that sum them (rows of ``STATE``)."""
     order, at = _by_bucket((words - 1) % n_buckets, n_buckets)
+    hot, hot_at = _by_bucket((contexts - 1) % n_buckets, n_buckets)
     begin = np.searchsorted(words, 1)  # without the unknown word
     for t in range(n_buckets):
-        own = order[at[t] : at[t + 1]]
+        own, mine = order[at[t] : at[t + 1]], hot[hot_at[t] : hot_at[t + 1]]
         own = own[own >= begin]
-        if len(own):
-            yield bucket, t, None, None, None, _dump(_steps(words[own]), *[_small(x[own].astype(np.int64)) for x in sums]), None, None, None, None, None
+        if len(own) or len(mine):
+            share = _dump(_steps(words[own]), *[_small(x[own].astype(np.int64)) for x in sums])
+            yield bucket, t, None, None, None, share, _dump(_steps(contexts[mine]), *[_small(x[mine]) for x in totals]), None, None
 
 
 def build(dealt: DataFrame, n_buckets: int) -> DataFrame:
-    """Per bucket its pairs (``state``), where its tokens belong (``refs``), and its shares with one table a dish; ``head`` per chunk."""
+    """Per bucket its pairs (``state``), those of each chunk (``refs``), and its shares with one table a dish."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() >= n_buckets:
-            return _rows(STATE, [(None,) * 9 + row for row in zip(table["chunk_id"].to_pylist(), table["blob"].to_pylist(), strict=True)])
         table = table.sort_by("chunk_id")
         bucket, got = table["bucket"][0].as_py(), [_load(b) for b in table["blob"].to_pylist()]
         column = lambda i: np.concatenate([g[i] for g in got])
@@ -243,43 +268,25 @@ def build(dealt: DataFrame, n_buckets: int) -> DataFrame:
         split = np.asarray([marks[c] for c in contexts.tolist()], dtype=bool)
         context, word, seen = keys // len(words), keys % len(words), count > 0
         state = _dump(_steps(contexts), split, _small(np.bincount(context, minlength=len(contexts))), _steps(words), _small(word), _small(count))
-        refs = _dump(table["chunk_id"].to_numpy(), _small(np.asarray([len(g[3]) for g in got])), _small(np.asarray([len(g[6]) for g in got])), _small(pair_of), _small(column(5)), _small(column(6)))
-        hot = _split_share(contexts, split, context, count, [seen.astype(np.int64)])
-        own = (bucket, None, state, refs, None, None, hot, int((count == 1).sum()), int((count == 2).sum()), None, None)
-        return _rows(STATE, [own, *_shares(bucket, n_buckets, words, [np.bincount(word, seen, minlength=len(words))])])
+        refs = _dump(table["chunk_id"].to_numpy(), _small(np.asarray([len(g[3]) for g in got])), _small(pair_of))
+        own = (bucket, None, state, refs, None, None, None, int((count == 1).sum()), int((count == 2).sum()))
+        hot = _split_totals(contexts, split, context, count, [seen.astype(np.int64)])
+        return _rows(STATE, [own, *_shares(bucket, n_buckets, words, [np.bincount(word, seen, minlength=len(words))], *hot)])
 
     return stash(dealt.groupBy("bucket").applyInArrow(run, STATE), "state")
 
 
-def _split_share(contexts: np.ndarray, split: np.ndarray, context: np.ndarray, count: np.ndarray, tables: Sequence[np.ndarray]) -> bytes:
-    """Customers and tables of the contexts whose pairs are dealt by the pair."""
-    n, at = len(contexts), np.flatnonzero(split & (contexts > 0))
-    return _dump(contexts[at], np.bincount(context, count, minlength=n)[at].astype(np.int64), *[np.bincount(context, t, minlength=n)[at].astype(np.int64) for t in tables])
-
-
-def split_totals(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all buckets for the frequent contexts: their numbers, and rows of customers and of tables by sample."""
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                contexts, *sums = _load(blob)
-                for i, x in enumerate(sums):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(contexts), pa.array(x)], names=["i", "context", "x"])
-
-    rows = frame.where("split is not null").select("split").mapInArrow(unfold, "i int, context bigint, x bigint").groupBy("i", "context").agg(F.sum("x").alias("x")).toArrow()
-    i, context, x = (rows[c].to_numpy() for c in ("i", "context", "x"))
-    contexts, at = np.unique(context, return_inverse=True)
-    out = np.zeros((int(i.max()) + 1 if len(i) else 2, len(contexts)))
-    out[i, at] = x
-    return contexts, out
+def _split_totals(contexts: np.ndarray, split: np.ndarray, context: np.ndarray, count: np.ndarray, tables: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The contexts whose pairs are dealt by the pair, and their customers and tables in this bucket."""
+    at = np.flatnonzero(split & (contexts > 0))
+    return contexts[at], [np.bincount(context, x, minlength=len(contexts))[at].astype(np.int64) for x in (count, *tables)]
 
 
-PARENT = "bucket int, parent binary, customers binary"
+PARENT = "bucket int, target int, parent binary, split binary, customers binary"
 
 
 def seat_parent(shares: DataFrame, samples: int, root_tables: Sequence[float], discount: float, vocabulary: int, turn: int) -> DataFrame:
-    """Per bucket the parts of its words' parent probabilities that the words themselves have, and totals (bucket -1).
+    """Per bucket its words' own parts of their parent probabilities, its frequent contexts' totals, and the root's (bucket -1).
 
     Tables of the root's other dishes count as they stood before.
     """
@@ -289,6 +296,9 @@ def seat_parent(shares: DataFrame, samples: int, root_tables: Sequence[float], d
         target, got = table["target"][0].as_py(), [_load(b) for b in table["share"].to_pylist()]
         asked = [np.cumsum(g[0].astype(np.int64)) for g in got]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        hot = [_load(b) for b in table["split"].to_pylist()]
+        _, hot_at = np.unique(np.concatenate([np.cumsum(h[0].astype(np.int64)) for h in hot]), return_inverse=True)
+        sums = [np.bincount(hot_at, np.concatenate([h[1 + i] for h in hot])).astype(np.int64) for i in range(samples + 1)]
         rng, own, totals = np.random.default_rng([13, turn, target]), [], []
         base, one = np.full(len(words), 1 / (vocabulary + 1)), np.zeros(len(words), np.int64)
         for s in range(samples):
@@ -299,10 +309,11 @@ def seat_parent(shares: DataFrame, samples: int, root_tables: Sequence[float], d
             own.append((customers - discount * tables).astype(np.float32))
             totals += [customers.sum(), tables.sum()]
         places = np.split(at, np.cumsum([len(a) for a in asked])[:-1])
-        rows = [(b, _dump(*[x[p] for x in own]), None) for b, p in zip(table["bucket"].to_pylist(), places, strict=True)]
-        return _rows(PARENT.replace("bucket int", "bucket int, target int"), [(b, target, p, c) for b, p, c in [*rows, (-1, None, _dump(np.asarray(totals, dtype=np.int64)))]])
+        hot_places = np.split(hot_at, np.cumsum([len(h[0]) for h in hot])[:-1])
+        rows = [(b, target, _dump(*[x[p] for x in own]), _dump(*[_small(x[q]) for x in sums]), None) for b, p, q in zip(table["bucket"].to_pylist(), places, hot_places, strict=True)]
+        return _rows(PARENT, [*rows, (-1, target, None, None, _dump(np.asarray(totals, dtype=np.int64)))])
 
-    return stash(shares.where("share is not null").select("bucket", "target", "share").groupBy("target").applyInArrow(run, PARENT.replace("bucket int", "bucket int, target int")), "parent")
+    return stash(shares.where("share is not null").select("bucket", "target", "share", "split").groupBy("target").applyInArrow(run, PARENT), "parent")
 
 
 def parent_totals(parent: DataFrame, samples: int) -> np.ndarray:
@@ -330,17 +341,17 @@ class Bucket:
         self.context, self.word, self.count = np.repeat(np.arange(len(contexts)), n), word.astype(np.int64), count.astype(np.int64)
         self.tables = [(self.count > 0).astype(np.int64)]
         order, at = _by_bucket((self.words - 1) % n_buckets, n_buckets)
-        self.seated = np.zeros((len(model["root"]), len(self.words)))
-        for target, parent, tables in zip(*(answers[c].to_pylist() for c in ("target", "parent", "tables")), strict=True):
+        self.hot = np.flatnonzero(self.split & (self.contexts > 0))
+        hot, hot_at = _by_bucket((self.contexts[self.hot] - 1) % n_buckets, n_buckets)
+        self.seated, self.totals = np.zeros((len(model["root"]), len(self.words))), np.zeros((1 + len(model["root"]), len(self.hot)))
+        for target, parent, split, tables in zip(*(answers[c].to_pylist() for c in ("target", "parent", "split", "tables")), strict=True):
             if tables is not None:
                 self.tables = [t.astype(np.int64) for t in _load(tables)]
             if parent is not None:
                 mine = order[at[target] : at[target + 1]]
                 self.seated[:, mine[self.words[mine] > 0]] = _load(parent)
-        numbers, totals = model["split"]
-        self.hot = np.flatnonzero(self.split & (self.contexts > 0))
-        self.place = np.searchsorted(numbers, self.contexts[self.hot])
-        self.totals, self.model = totals, model
+                self.totals[:, hot[hot_at[target] : hot_at[target + 1]]] = _load(split)
+        self.model = model
 
     def parent(self, sample: int) -> np.ndarray:
         """The parent's probability of each word."""
@@ -351,19 +362,17 @@ class Bucket:
         """Tables of each context in other buckets."""
         own = np.bincount(self.context, self.tables[sample], minlength=len(self.contexts))
         out = np.zeros(len(self.contexts))
-        out[self.hot] = self.totals[1 + sample, self.place] - own[self.hot]
+        out[self.hot] = self.totals[1 + sample] - own[self.hot]
         return out
 
 
-STEP = "bucket int, target int, parent binary, tables binary"
-
-
 def _answers(parent: DataFrame, state: DataFrame | None) -> DataFrame:
-    """What buckets need besides their own pairs: parents and the last tables."""
-    found = parent.where("bucket >= 0").select("bucket", "target", "parent", F.lit(None).cast("binary").alias("tables"))
+    """What buckets need besides their own pairs: parents, totals of frequent contexts and the last tables."""
+    found = parent.where("bucket >= 0").select("bucket", "target", "parent", "split", F.lit(None).cast("binary").alias("tables"))
     if state is None:
         return found
-    return found.unionByName(state.where("tables is not null").select("bucket", F.lit(None).cast("int").alias("target"), F.lit(None).cast("binary").alias("parent"), "tables"))
+    none = F.lit(None).cast("binary")
+    return found.unionByName(state.where("tables is not null").select("bucket", F.lit(None).cast("int").alias("target"), none.alias("parent"), none.alias("split"), "tables"))
 
 
 def gibbs(state: DataFrame, answers: DataFrame, model, n_buckets: int, keep: int, turn: int) -> DataFrame:
@@ -377,82 +386,82 @@ def gibbs(state: DataFrame, answers: DataFrame, model, n_buckets: int, keep: int
         for _ in range(SWEEPS + keep - 1):
             tables = sweep(b.count, tables, base, b.context, elsewhere, m["discount"], STRENGTH, rng)
             kept = [*kept, tables][-keep:]
-        row = (b.bucket, None, None, None, _dump(*[_small(t) for t in kept]), None, _split_share(b.contexts, b.split, b.context, b.count, kept), None, None, None, None)
-        return _rows(STATE, [row, *_shares(b.bucket, n_buckets, b.words, [np.bincount(b.word, t, minlength=len(b.words)) for t in kept])])
+        row = (b.bucket, None, None, None, _dump(*[_small(t) for t in kept]), None, None, None, None)
+        hot = _split_totals(b.contexts, b.split, b.context, b.count, kept)
+        return _rows(STATE, [row, *_shares(b.bucket, n_buckets, b.words, [np.bincount(b.word, t, minlength=len(b.words)) for t in kept], *hot)])
 
     own = state.where("state is not null").select("bucket", "state")
     return stash(own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, STATE), "seated")
 
 
-def sum_documents(state: DataFrame, answers: DataFrame, model, n_buckets: int) -> DataFrame:
-    """chunk_id, blob: for the documents with tokens in a bucket, the sum of their log10 probabilities there."""
+def pair_chances(state: DataFrame, answers: DataFrame, model, n_buckets: int) -> DataFrame:
+    """bucket, chunk_id, blob: the log10 probability of each pair that a chunk has in a bucket, in the chunk's order."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         m = model.value
         b = Bucket(own, answers, n_buckets, m)
         n, chance = len(b.contexts), np.zeros(len(b.word))
         customers = np.bincount(b.context, b.count, minlength=n)
-        customers[b.hot] = b.totals[0, b.place]
+        customers[b.hot] = b.totals[0]
         customers[b.contexts == 0] = 0
         for s, tables in enumerate(b.tables):
             all_tables = np.bincount(b.context, tables, minlength=n) + b.elsewhere(s)
             all_tables[b.contexts == 0] = 0
             chance += (b.count - m["discount"] * tables + (STRENGTH + m["discount"] * all_tables[b.context]) * b.parent(s)[b.word]) / (STRENGTH + customers[b.context])
-        log_chance = np.log10(chance / len(b.tables))
-        chunk_ids, n_pairs, n_tokens, pair_of, tokens, docs = _load(own["refs"][0].as_py())
-        pair_end, token_end, rows = np.cumsum(n_pairs.astype(np.int64)), np.cumsum(n_tokens.astype(np.int64)), []
-        for i, chunk_id in enumerate(chunk_ids.tolist()):
-            p = slice(pair_end[i] - n_pairs[i], pair_end[i])
-            found, at = np.unique(docs[token_end[i] - n_tokens[i] : token_end[i]], return_inverse=True)
-            rows.append((b.bucket, chunk_id, _dump(_steps(found), np.bincount(at, np.repeat(log_chance[pair_of[p]], tokens[p])).astype(np.float32))))
-        return _rows(BUCKET_ROWS, rows)
+        log_chance = np.log10(chance / len(b.tables)).astype(np.float32)
+        chunk_ids, n_pairs, pair_of = _load(own["refs"][0].as_py())
+        parts = np.split(pair_of, np.cumsum(n_pairs.astype(np.int64))[:-1])
+        return _rows(BUCKET_ROWS, [(b.bucket, c, _dump(log_chance[p])) for c, p in zip(chunk_ids.tolist(), parts, strict=True)])
 
     own = state.where("state is not null").select("bucket", "state", "refs")
     return own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, BUCKET_ROWS)
 
 
-def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
+def score_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 10, frequent: int = FREQUENT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
     context = documents.sparkSession.sparkContext
     chunks = tokenise(documents, doc_id, text, folds)
     train_tokens, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n_buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    counted = count_words(ask_words(chunks, n_buckets), n_buckets, train_tokens)
+    counted = count_words(ask_words(chunks, n_buckets), n_buckets, frequent)
     vocabulary = counted.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    state = build(deal(chunks, counted, n_buckets, train_tokens, vocabulary), n_buckets)
+    state = build(deal(chunks, counted, n_buckets), n_buckets)
     ones, twos = state.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
     model = {"vocabulary": vocabulary, "discount": float(np.clip(ones / max(ones + 2 * twos, 1), 0.3, 0.9)), "root_discount": 0.6}
     seated, root_tables, samples = state, [float(vocabulary)], 1
     for turn in range(ROUNDS + 2):
         parent = seat_parent(seated, samples, root_tables, model["root_discount"], vocabulary, turn)
         root = parent_totals(parent, samples)
-        shared = context.broadcast(model | {"split": split_totals(seated), "root": root})
+        shared = context.broadcast(model | {"root": root})
         answers = _answers(parent, seated if turn else None)
         if turn > ROUNDS:
             break
         samples = SAMPLES if turn == ROUNDS else 1
         seated = gibbs(state, answers, shared, n_buckets, samples, turn)
         root_tables = [root[0, 1]] * samples
-    sums = sum_documents(state, answers, shared, n_buckets)
-
-    def score(chunk: pa.Table, sums: pa.Table) -> pa.Table:
-        ids, known, lengths, out, n_known, base = _load(chunk["blob"][0].as_py())
-        total = np.zeros(len(ids))
-        for blob in sums.sort_by("bucket")["blob"].to_pylist():
-            docs, x = _load(blob)
-            total[np.cumsum(docs.astype(np.int64))] += x
+    chances = pair_chances(state, answers, shared, n_buckets)
+
+    def score(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        answers, got = ([b for b in rows[c].to_pylist() if b is not None] for c in ("answer", "blob"))
+        c = in_order(chunk["blob"][0].as_py(), answers, n_buckets)
+        chance = np.concatenate([_load(b)[0] for b in got]).astype(np.float64)
+        first = np.cumsum(c.lengths) - c.lengths
+        base = np.log10((c.count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64(), mask=~known),
-                "held_out": pa.array(out),
-                "n_tokens": pa.array(lengths.astype(np.int64)),
-                "n_known": pa.array(n_known.astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(ids), train_tokens)),
-                "base_score": pa.array(base),
-                "score": pa.array(total),
+                "doc_id": pa.array(c.ids, pa.int64(), mask=~c.known),
+                "held_out": pa.array(c.out),
+                "n_tokens": pa.array(c.lengths),
+                "n_known": pa.array(np.add.reduceat((c.count > 0).astype(np.int64), first)),
+                "train_tokens": pa.array(np.full(len(c.ids), train_tokens)),
+                "base_score": pa.array(np.add.reduceat(base, first)),
+                "score": pa.array(np.bincount(c.doc, np.repeat(chance, c.tokens), minlength=len(c.ids))),
             }
         )
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    heads = state.where("head is not null").select("chunk_id", F.col("head").alias("blob"))
-    return heads.groupBy("chunk_id").cogroup(sums.groupBy("chunk_id")).applyInArrow(score, schema)
+    none = F.lit(None).cast("binary")
+    rows = _answered(counted).select("chunk_id", "bucket", F.col("blob").alias("answer"), none.alias("blob"))
+    rows = rows.unionByName(chances.select("chunk_id", "bucket", none.alias("answer"), "blob"))
+    return chunks.select("chunk_id", "blob").groupBy("chunk_id").cogroup(rows.groupBy("chunk_id")).applyInArrow(score, schema)

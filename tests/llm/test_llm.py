@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -324,12 +325,11 @@ def test_every_context_counts(spark):
 
 
 def test_frequent_words_are_counted_in_all_chunks(spark):
-    """A word at 8 in 120,000 tokens is frequent, though it is so in one chunk only and there not often enough."""
+    """A word seen 8 times is frequent where 8 is the bound, though no chunk has it as often."""
     rows = [(i, " ".join([text(i, 29_990)] + ["uneven"] * n)) for i, n in ((1, 5), (2, 1), (3, 1), (4, 1))]
     frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
     chunks = lm.tokenise(frame, "doc_id", "text", 1 << 40)
-    n = chunks.agg(F.sum("train_tokens")).first()[0]
-    counted = lm.count_words(lm.ask_words(chunks, 8), 8, n)
+    counted = lm.count_words(lm.ask_words(chunks, 8), 8, frequent=8)
     word = lm.word_hashes(np.frombuffer(b"uneven", np.uint8), np.asarray([0, 6]))[0]
     assert chunks.count() == 4
     for row in chunks.collect():
@@ -351,6 +351,89 @@ def test_scores_do_not_depend_on_the_layout(spark):
     assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], abs=1e-4) for i in one)
 
 
+def plain_scores(texts: dict[int, list[str]], held_out: set[int], turns: int) -> dict[int, float]:
+    """The model's scores by a sampler that unseats and seats single customers; probabilities averaged over its turns."""
+    rng, s = np.random.default_rng(7), 1.0
+    pairs = [(a, b) for i, w in texts.items() if i not in held_out for a, b in zip(["\0end", *w], w, strict=False)]
+    counts = Counter(pairs)
+    n1, n2 = (sum(c == n for c in counts.values()) for n in (1, 2))
+    d, d0, v = float(np.clip(n1 / max(n1 + 2 * n2, 1), 0.3, 0.9)), 0.6, len({b for _, b in pairs})
+    low: dict[str, list[int]] = {}  # sizes of the parent's tables
+    high: dict[tuple[str, str], list[int]] = {}
+
+    def parent(w: str) -> float:
+        n, t = sum(map(sum, low.values())), sum(map(len, low.values()))
+        return (sum(low.get(w, [])) - d0 * len(low.get(w, [])) + (1.0 + d0 * t) / (v + 1)) / (1.0 + n)
+
+    def chance(a: str, w: str) -> float:
+        rows = [x for (c, _), x in high.items() if c == a]
+        n, t, own = sum(map(sum, rows)), sum(map(len, rows)), high.get((a, w), [])
+        return (sum(own) - d * len(own) + (s + d * t) * parent(w)) / (s + n)
+
+    def seat(tables: list[int], discount: float, new: float) -> bool:
+        weight = np.asarray([n - discount for n in tables] + [new])
+        k = int(rng.choice(len(weight), p=weight / weight.sum()))
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables: list[int]) -> bool:
+        k = int(rng.choice(len(tables), p=np.asarray(tables) / sum(tables)))
+        tables[k] -= 1
+        if tables[k]:
+            return False
+        del tables[k]
+        return True
+
+    def enter(a: str, w: str) -> None:
+        t = sum(len(x) for (c, _), x in high.items() if c == a)
+        if seat(high.setdefault((a, w), []), d, (s + d * t) * parent(w)):
+            seat(low.setdefault(w, []), d0, (1.0 + d0 * sum(map(len, low.values()))) / (v + 1))
+
+    for pair in pairs:
+        enter(*pair)
+    asked = {(a, b) for w in texts.values() for a, b in zip(["\0end", *w], w, strict=False)}
+    total = dict.fromkeys(asked, 0.0)
+    for turn in range(2 * turns):
+        for a, w in pairs:
+            if leave(high[a, w]):
+                leave(low[w])
+            enter(a, w)
+        if turn >= turns:
+            for pair in asked:
+                total[pair] += chance(*pair) / turns
+    return {i: sum(np.log10(total[pair]) for pair in zip(["\0end", *w], w, strict=False)) for i, w in texts.items()}
+
+
+@pytest.mark.parametrize("frequent", [1, 1 << 40])
+def test_scores_follow_the_model(spark, frequent):
+    """Every text's score against the plain sampler, with all contexts dealt by the pair and with none."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    chance = 1 / np.arange(1, 13) / (1 / np.arange(1, 13)).sum()
+    texts = {i: [*rng.choice(words, rng.integers(0, 9), p=chance).tolist(), "\0end"] for i in range(1, 61)}
+    texts[61], texts[62] = ["w0", "strange", "w1", "\0end"], ["\0end"]
+    held_out = {i for i in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    want = plain_scores(texts, held_out, 60)
+    frame = spark.createDataFrame([(i, " ".join(w[:-1])) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score_documents(frame, frequent=frequent).collect()}
+    assert got.keys() == want.keys()
+    off = {i: abs(got[i] - want[i]) / len(w) for i, w in texts.items()}
+    assert max(off.values()) < 0.1 and np.mean(list(off.values())) < 0.03
+
+
+def test_a_pair_that_is_half_of_a_corpus_leaves_no_large_group(spark):
+    """Its chunks send it once each: what a bucket holds follows the distinct pairs, not the tokens."""
+    rows = [(i, "again and " * 20_000 + text(i, 50)) for i in range(1, 9)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    chunks = lm.tokenise(frame, "doc_id", "text", 1 << 40)
+    counted = lm.count_words(lm.ask_words(chunks, 8), 8)
+    got = lm.build(lm.deal(chunks, counted, 8), 8).where("state is not null").collect()
+    largest = max(len(lm._load(r.refs)[2]) for r in got)
+    assert sum(int(lm._load(r.state)[5].sum()) for r in got) > 300_000 and largest < 2_000
+
+
 def test_seatings_match_customers_moved_one_by_one():
     """Mean tables of each dish against the plain sampler, which unseats a customer and seats it again."""
     rng, d, s = np.random.default_rng(1), 0.7, 1.0
