@@ -268,7 +268,10 @@ def build(dealt: DataFrame, n_buckets: int) -> DataFrame:
         split = np.asarray([marks[c] for c in contexts.tolist()], dtype=bool)
         context, word, seen = keys // len(words), keys % len(words), count > 0
         state = _dump(_steps(contexts), split, _small(np.bincount(context, minlength=len(contexts))), _steps(words), _small(word), _small(count))
-        refs = _dump(table["chunk_id"].to_numpy(), _small(np.asarray([len(g[3]) for g in got])), _small(pair_of))
+        n_pairs = np.asarray([len(g[3]) for g in got])
+        steps, first = np.diff(pair_of, prepend=0), np.cumsum(n_pairs) - n_pairs  # a chunk's pairs rise, as the bucket's do
+        steps[first] = pair_of[first]
+        refs = _dump(table["chunk_id"].to_numpy(), _small(n_pairs), _small(steps))
         own = (bucket, None, state, refs, None, None, None, int((count == 1).sum()), int((count == 2).sum()))
         hot = _split_totals(contexts, split, context, count, [seen.astype(np.int64)])
         return _rows(STATE, [own, *_shares(bucket, n_buckets, words, [np.bincount(word, seen, minlength=len(words))], *hot)])
@@ -409,9 +412,9 @@ def pair_chances(state: DataFrame, answers: DataFrame, model, n_buckets: int) ->
             all_tables[b.contexts == 0] = 0
             chance += (b.count - m["discount"] * tables + (STRENGTH + m["discount"] * all_tables[b.context]) * b.parent(s)[b.word]) / (STRENGTH + customers[b.context])
         log_chance = np.log10(chance / len(b.tables)).astype(np.float32)
-        chunk_ids, n_pairs, pair_of = _load(own["refs"][0].as_py())
-        parts = np.split(pair_of, np.cumsum(n_pairs.astype(np.int64))[:-1])
-        return _rows(BUCKET_ROWS, [(b.bucket, c, _dump(log_chance[p])) for c, p in zip(chunk_ids.tolist(), parts, strict=True)])
+        chunk_ids, n_pairs, steps = _load(own["refs"][0].as_py())
+        parts = np.split(steps, np.cumsum(n_pairs.astype(np.int64))[:-1])
+        return _rows(BUCKET_ROWS, [(b.bucket, c, _dump(log_chance[np.cumsum(p.astype(np.int64))])) for c, p in zip(chunk_ids.tolist(), parts, strict=True)])
 
     own = state.where("state is not null").select("bucket", "state", "refs")
     return own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, BUCKET_ROWS)
