@@ -106,18 +106,20 @@ def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size, part, key = 0, 0, None
     for rows in (piece for batch in batches for piece in _pieces(pa.Table.from_batches([batch]))):
         ids = rows["conv_id"].combine_chunks()
-        keys = list(zip(ids.fill_null(0).to_pylist(), ids.is_valid().to_pylist(), strict=True))
-        onward = next((i for i, k in enumerate(keys) if k != key), len(keys))
+        keys, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+        changes = (keys[1:] != keys[:-1]) | (known[1:] != known[:-1])
+        starts = np.flatnonzero(np.append((keys[0], known[0]) != key, changes)).tolist()
+        onward = starts[0] if starts else len(keys)
         if onward:
             held.append(rows.slice(0, onward))
             size += int(_lengths(held[-1]).sum())
         if onward < len(keys):
             if held:
                 yield _format(pa.concat_tables(held), part)
-            last = len(keys) - next((i for i, k in enumerate(reversed(keys)) if k != keys[-1]), len(keys))
+            last = starts[-1]
             if last > onward:
                 yield _format(rows.slice(onward, last - onward))
-            held, part, key = [rows.slice(last)], 0, keys[-1]
+            held, part, key = [rows.slice(last)], 0, (keys[-1], known[-1])
             size = int(_lengths(held[0]).sum())
         if size >= PART_BYTES:
             yield _format(pa.concat_tables(held), part)
