@@ -42,9 +42,11 @@ class Table:
         """The rows of the ``wanted`` nodes (graph, and the node under its own name; other columns are kept)."""
         rows = self.rows
         if self.buckets:
-            used = [r[0] for r in wanted.select(bucket(self.node, self.buckets)).distinct().collect()]  # at most ``MOST`` numbers
-            rows = rows.where(F.col("bucket").isin(used) if used else F.lit(False)).drop("bucket")
-        few = wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED
+            used = dict(wanted.groupBy(bucket(self.node, self.buckets)).count().collect())  # at most ``MOST`` numbers
+            rows = rows.where(F.col("bucket").isin(list(used)) if used else F.lit(False)).drop("bucket")
+            few = sum(used.values()) <= MAX_WANTED
+        else:
+            few = wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED
         wanted = wanted.withColumnsRenamed({"graph": "_graph", self.node: "_node"})
         return rows.join(F.broadcast(wanted) if few else wanted, (F.col("graph") == F.col("_graph")) & (F.col(self.node) == F.col("_node"))).drop("_graph", "_node")
 

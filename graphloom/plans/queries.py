@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,9 +112,14 @@ class Kg:
         return self.view("postings", lambda: ranking.search_postings(self.nodes))
 
     def load(self) -> None:
-        """Write what lookups and rankings start from."""
-        for table in (self.t, self.kinds, self.edges, self.nodes, self.labels, self.people, self.ends, self.postings, self.restrictions, *self.forest):
-            assert table is not None
+        """Write what lookups and rankings start from; tables that do not need each other are written at the same time."""
+        self._write("t")
+        self._write("nodes", "restrictions", "labels", "forest")
+        self._write("people", "ends", "postings")
+
+    def _write(self, *names: str) -> None:
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(lambda name: getattr(self, name)), names))
 
     def ids(self, *pairs: tuple[str, str], name: str = "id") -> DataFrame:
         return self.spark.createDataFrame(list(pairs), f"graph string, {name} string")

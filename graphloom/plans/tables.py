@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark's own setting to drop a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _VIEWS: dict[tuple[str, str], str] = {}
+#: The setting before the first of the current writers, then an entry for each of them.
+_WRITERS: list[str | None] = []
+_LOCK = Lock()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -23,15 +28,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root}/graphloom/{label}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write a table; the shuffle files of the write go when it has ended, since nothing reads them again."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their query has ended; the setting is put back when the last of several writers is done."""
+    with _LOCK:
+        if not _WRITERS:
+            _WRITERS.append(spark.conf.get(CLEANUP, None))
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS.append(None)
     try:
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        yield
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        with _LOCK:
+            _WRITERS.pop()
+            if len(_WRITERS) == 1:
+                before = _WRITERS.pop()
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write a table; nothing reads the shuffle files of the write again."""
+    with _cleaning(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """The star tables of a data folder as RDF triples.
 
-One SQL text maps the tables; it runs on Spark over Parquet and, unchanged, on any engine that knows the tables by
-name.  Four graphs live side by side: ``trade`` (business entities), ``places`` (a SKOS scheme), ``model`` (fixed
+One list of mappings makes two SQL texts: the plain one, a SELECT for each mapping, for any engine that knows the tables by
+name, and Spark's own, which reads a table once for all its mappings and unfolds each row into its triples.  Four graphs live side by side: ``trade`` (business entities), ``places`` (a SKOS scheme), ``model`` (fixed
 declarations: classes, properties, restrictions; ``trade`` holds them too) and ``catalog`` (declarations that follow from
 the tables: a class for each brand, type and kind of part, restrictions, unions as lists, properties, imports).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,18 +87,35 @@ def _values(rows: list[tuple]) -> str:
     return ",\n".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-def _row(graph: str, s: str, p: str, o: str, *, table: str = "", source: str = "", literal: str | None = None, lang: str | None = None, where: str = "", distinct: bool = False, s_kind: str = "iri", o_kind: str = "iri") -> str:
+class Mapping(NamedTuple):
+    """Triples of one predicate: eight SQL expressions over what is ``given``."""
+
+    values: tuple[str, ...]
+    given: str
+    where: str
+    distinct: bool
+
+    def plain(self) -> str:
+        return f"SELECT {'DISTINCT ' * self.distinct}{', '.join(self.values)} FROM {self.given}{' WHERE ' + self.where if self.where else ''}"
+
+    def unfolded(self) -> str:
+        """The triple as a value; null where ``where`` does not hold."""
+        triple = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in zip(COLUMNS, self.values, strict=True)) + ")"
+        return f"CASE WHEN {self.where} THEN {triple} END" if self.where else triple
+
+
+def _row(graph: str, s: str, p: str, o: str, *, table: str = "", source: str = "", literal: str | None = None, lang: str | None = None, where: str = "", distinct: bool = False, s_kind: str = "iri", o_kind: str = "iri") -> Mapping:
     """Triples of one predicate from a table, or from a subquery (``source``) over tables."""
-    kind = f"'{o_kind}', CAST(NULL AS VARCHAR(90))" if literal is None else f"'literal', {'CAST(NULL AS VARCHAR(90))' if not literal else repr(literal)}"
+    kind = (f"'{o_kind}'", "CAST(NULL AS VARCHAR(90))") if literal is None else ("'literal'", repr(literal) if literal else "CAST(NULL AS VARCHAR(90))")
     given = f"({source}) AS given" if source else f"{{{table}}}"
-    return f"SELECT {'DISTINCT ' * distinct}'{graph}', {s}, '{s_kind}', '{p}', {o}, {kind}, {'CAST(NULL AS VARCHAR(9))' if lang is None else repr(lang)} FROM {given}{' WHERE ' + where if where else ''}"
+    return Mapping((f"'{graph}'", s, f"'{s_kind}'", f"'{p}'", o, *kind, "CAST(NULL AS VARCHAR(9))" if lang is None else repr(lang)), given, where, distinct)
 
 
 def _key(kind: str, column: str) -> str:
     return f"concat('http://kg/{kind}/', {column})"
 
 
-def _parts() -> list[str]:
+def _parts() -> list[Mapping]:
     money = lambda c: f"concat('', CAST({c} AS DECIMAL(18, 2)))"
     out = []
     for table, kind, key, cls in (("region", "region", "r_regionkey", "Region"), ("nation", "nation", "n_nationkey", "Nation"), ("customer", "customer", "c_custkey", "Customer"), ("supplier", "supplier", "s_suppkey", "Supplier"), ("part", "part", "p_partkey", "Part"), ("orders", "order", "o_orderkey", "Order"), ("events", "event", "event_id", "Event")):
@@ -134,7 +153,7 @@ def _parts() -> list[str]:
     return out
 
 
-def _catalog() -> list[str]:
+def _catalog() -> list[Mapping]:
     """Declarations of the parts, event types, segments and nations that the tables hold."""
     plain = "replace(p_brand, '#', '')"
     kinds = f"SELECT DISTINCT {plain} AS brand, p_type AS type FROM {{part}}"
@@ -176,18 +195,30 @@ def _catalog() -> list[str]:
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-#: ``{table}`` stands for each source table.
-KG_TEMPLATE = "SELECT * FROM (\nVALUES " + _values(_model()) + "\n) AS model(" + ", ".join(COLUMNS) + ")\nUNION ALL " + "\nUNION ALL ".join([*_parts(), *_catalog()])
+MODEL = "SELECT * FROM (\nVALUES " + _values(_model()) + "\n) AS model(" + ", ".join(COLUMNS) + ")"
 
 
 def kg_sql() -> str:
     """The mapping over tables known by name."""
-    return KG_TEMPLATE.format(**{t: t for t in TABLES})
+    plain = "\nUNION ALL ".join([MODEL, *(m.plain() for m in (*_parts(), *_catalog()))])
+    return plain.format(**{t: t for t in TABLES})
+
+
+def _once_each() -> str:
+    """The mapping, each table or subquery read once for all plain mappings over it and once for those that want distinct triples.
+
+    Mappings over one source differ in graph, predicate or kind of subject, so none makes another's triple.
+    """
+    shared: dict[tuple[str, bool], list[Mapping]] = {}
+    for m in (*_parts(), *_catalog()):
+        shared.setdefault((m.given, m.distinct), []).append(m)
+    read = [ms[0].plain() if len(ms) == 1 else f"SELECT {'DISTINCT ' * distinct}inline(array({', '.join(m.unfolded() for m in ms)})) FROM {given}" for (given, distinct), ms in shared.items()]
+    return "\nUNION ALL ".join([MODEL, *read])
 
 
 def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All triples of a data folder.  Rows with a null key, subject or object make no triple."""
-    sql = KG_TEMPLATE.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
+    sql = _once_each().format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
     return spark.sql(sql).where("s is not null and o is not null")
 
 
