@@ -55,7 +55,7 @@ def promoted_roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     down = parents.select("graph", F.col("parent").alias("a"), F.col("child").alias("b"))
     held = parents.select("graph", F.col("child").alias("id")).distinct().withColumn("rank", F.lit(1))
     values = nodes.select("graph", "id").distinct().join(held, ["graph", "id"], "left").select("graph", F.col("id").alias("node"), F.coalesce("rank", F.lit(0)).alias("rank"), "id")
-    return least_reaching(down, written(values, "ranks")).where("rank = 1 and id = node").select("graph", "id")
+    return least_reaching(down, values).where("rank = 1 and id = node").select("graph", "id")
 
 
 def cycle_marks(parents: DataFrame) -> DataFrame:

@@ -92,8 +92,7 @@ class Kg:
     @cached_property
     def forest(self) -> tuple[DataFrame, DataFrame]:
         """Both forests in one, told apart by the graph key's suffix."""
-        nodes, parents = hierarchy.both_forests(self.t)
-        return self.view("forest-nodes", lambda: nodes), self.view("forest-parents", lambda: parents)
+        return self.view("forest-nodes", lambda: hierarchy.both_forests(self.t)[0]), self.view("forest-parents", lambda: hierarchy.both_forests(self.t)[1])
 
     @cached_property
     def people(self) -> Table:

@@ -10,10 +10,11 @@ from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Spark's own setting to drop a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_VIEWS: dict[tuple[str, str], str] = {}
+_VIEWS: dict[tuple[str, str], tuple[str, StructType]] = {}
 #: The setting before the first of the current writers, then an entry for each of them.
 _WRITERS: list[str | None] = []
 _LOCK = Lock()
@@ -67,13 +68,15 @@ def view(spark: SparkSession, key: str, build: Callable[[], DataFrame], *partiti
     name = (spark.sparkContext.applicationId, key)
     if name in _VIEWS:
         try:
-            return spark.read.parquet(_VIEWS[name])
+            path, schema = _VIEWS[name]
+            return spark.read.schema(schema).parquet(path)
         except AnalysisException:  # the files are gone: write them anew
             pass
     path = shared_path(spark, "view")
-    _write(build(), path, *partition_by)
-    _VIEWS[name] = path
-    return spark.read.parquet(path)
+    built = build()
+    _write(built, path, *partition_by)
+    _VIEWS[name] = path, built.schema
+    return spark.read.schema(built.schema).parquet(path)
 
 
 def forget() -> None:
