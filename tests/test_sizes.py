@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import docs
+from graphloom.operators import entity_graph as eg
 from graphloom.plans.tables import SPLIT_BYTES, _bytes, written
 
 
@@ -33,3 +34,22 @@ def test_no_table_is_broadcast_for_its_small_files(packed):
 def test_scans_are_divided_by_rows(spark, packed):
     assert _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= SPLIT_BYTES
     assert [_bytes(t) for t in ("7", "134217728b", "128m", "128MB", "2g")] == [7, 128 << 20, 128 << 20, 128 << 20, 2 << 30]
+
+
+@pytest.mark.parametrize("focus", ["http://kg/order/7", "http://kg/order/none"])
+def test_focus_moves_no_edge(spark, packed, focus):
+    """A graph is one key: joined by a shuffle, all its edges would meet in one task."""
+    _, nodes, edges = packed
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        _check_focus(nodes, edges, focus)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def _check_focus(nodes, edges, focus):
+    marked = eg.focus_edges(nodes, edges, "trade", focus)
+    assert "SortMergeJoin" not in plan(marked) and plan(marked).count("BroadcastHashJoin") == 1
+    assert {(r.mark, r["count"]) for r in marked.groupBy("mark").count().collect()} == ({("incident", 1), ("dimmed", 499_999)} if focus.endswith("7") else {("", 500_000)})
+    assert "SortMergeJoin [graph" not in plan(eg.focus_neighbors(nodes, edges, "trade", focus))
