@@ -54,3 +54,28 @@ def test_order_lines_are_made_distinct_as_numbers(spark):
     assert "keys=[l_orderkey" in plan(found)
     plain = spark.read.parquet(f"{SMALL}/lineitem.parquet").where("l_orderkey is not null and l_partkey is not null").select("l_orderkey", "l_partkey").distinct()
     assert found.count() == found.distinct().count() == plain.count()
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_sets_are_counted_by_hashes_and_exactly(spark, orders, stored, monkeypatch, most):
+    monkeypatch.setattr(library, "MAX_REPEATED", most)
+    once = triples(orders, "http://kg/p", F.lit("a"), "literal")
+    model = once.limit(5).withColumn("graph", F.lit("model"))
+    sizes = library.set_sizes(once.unionByName(once.limit(7)).unionByName(model).unionByName(model))
+    assert {tuple(r) for r in sizes.collect()} == {("trade", 1_000), ("model", 5)}
+    assert "Exchange hashpartitioning(graph" in stored["again"] and "hashpartitioning(graph#" in stored["again"] and ", s#" not in stored["again"].split("Exchange")[1].split("\n")[0]
+
+
+def test_lines_are_matched_once_for_all_parts(spark):
+    lines = ['<http://a> <http://b> "x\\ny"^^<http://t> .', '_:s <http://b> _:o <http://g> . # "c"', "<> <http://b> <> .", '<http://a> <http://b> "" .', '<http://a> <http://b> "a b\x01"@en-GB <http://g> .', '<http://a> <http://b> "$1\\\\"^^<http://www.w3.org/2001/XMLSchema#string>.\n']
+    good, bad = ntriples.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), F.lit("d"))
+    optimized = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in optimized and optimized.count("regexp_replace(value") == 1
+    assert bad.count() == 0 and {tuple(r) for r in good.collect()} == {
+        ("d", "http://a", "iri", "http://b", "x\ny", "literal", "http://t", None),
+        ("http://g", "_:s", "bnode", "http://b", "_:o", "bnode", None, None),
+        ("d", "", "iri", "http://b", "", "iri", None, None),
+        ("d", "http://a", "iri", "http://b", "", "literal", None, None),
+        ("http://g", "http://a", "iri", "http://b", "a b\x01", "literal", None, "en-GB"),
+        ("d", "http://a", "iri", "http://b", "$1\\", "literal", None, None),
+    }
