@@ -56,6 +56,15 @@ def test_order_lines_are_made_distinct_as_numbers(spark):
     assert found.count() == found.distinct().count() == plain.count()
 
 
+def test_postings_are_few(spark, orders):
+    nodes = orders.select("graph", F.col("s").alias("id"), F.col("s").alias("label"), F.lit("individual").alias("kind"), F.lit(1).alias("degree"))
+    postings = ranking.search_postings(nodes)
+    assert postings.count() < 3 * nodes.count()  # a node alone has over twenty
+    for query in ("1000123", "order/10009", "zzz", "kg/order", "r/1"):
+        wanted, got = ranking.search_nodes(nodes, query, 50), ranking.search_nodes(nodes, query, 50, postings=postings)
+        assert wanted.columns == got.columns and sorted(map(str, wanted.collect())) == sorted(map(str, got.collect())), query
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_sets_are_counted_by_hashes_and_exactly(spark, orders, stored, monkeypatch, most):
     monkeypatch.setattr(library, "MAX_REPEATED", most)
