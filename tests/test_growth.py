@@ -56,6 +56,36 @@ def test_order_lines_are_made_distinct_as_numbers(spark):
     assert found.count() == found.distinct().count() == plain.count()
 
 
+def test_a_hub_is_cut_where_its_neighbours_are(spark, orders, stored):
+    edges = orders.select("graph", F.col("s").alias("source"), F.lit("http://kg/hub").alias("target"), F.lit("assertion").alias("kind"), F.lit("of").alias("label"))
+    nodes = orders.select("graph", F.col("s").alias("id"), F.lit("x").alias("label"), F.lit("individual").alias("kind"), F.lit(1).cast("long").alias("degree"))
+    nodes = nodes.union(spark.createDataFrame([("trade", "http://kg/hub", "hub", "class", 1_000)], nodes.schema))
+    near, inside = ranking.neighborhood(nodes, edges, spark.createDataFrame([("trade", "http://kg/hub")], "graph string, center string"), 3)
+    assert "WindowGroupLimit" in stored["hood"] and "SortMergeJoin" not in stored["pairs"]  # edges meet their nodes only as hits
+    assert [(r.id, r.place, r.neighbors) for r in near.orderBy("place").collect()] == [("http://kg/hub", 0, 1_000)] + [(f"http://kg/order/{1_000_000 + i}", i + 1, 1_000) for i in range(3)]
+    assert inside.count() == 3
+    added, links = eg.merge_graph(nodes.where("id = 'http://kg/hub'"), edges.limit(0), near, inside)
+    assert added.count() == 3 and links.count() == 3
+
+
+def test_no_edge_moves_to_meet_a_drawing(spark, orders):
+    nodes = tables.written(orders.select("graph", F.col("s").alias("id"), F.col("s").alias("label"), F.lit("individual").alias("kind"), F.lit(1).cast("long").alias("degree")), "nodes")
+    edges = orders.select("graph", F.col("s").alias("source"), F.concat("s", F.lit("0")).alias("target"), F.lit("assertion").alias("kind"), F.lit("of").alias("label"))
+    kept, inside, _ = ranking.budget_graph(nodes, edges.union(edges.withColumn("target", F.col("source"))), 3)
+    assert "SortMergeJoin" not in plan(inside) and inside.count() == kept.count() == 3
+
+
+def test_a_lookup_writes_no_index_of_all(spark, orders, stored):
+    t = triples(orders, "http://kg/p", F.lit("http://kg/hub"))
+    found = ranking.node_details(t, spark.createDataFrame([("trade", "http://kg/hub")], "graph string, id string"), 2, told=Table(statements(t), "id"))
+    assert "BroadcastHashJoin" in stored["told"] and "Exchange hashpartitioning(id" not in stored["told"]
+    assert {(r.direction, r.place, r.total) for r in found.collect()} == {("in", 1, 1_000), ("in", 2, 1_000)}
+    tables.forget()
+    assert queries.QUERIES["node_details_lookup"](spark, SMALL).count() > 0
+    queries.QUERIES["merge_graph"](spark, SMALL)
+    assert not [key for _, key in tables._VIEWS if "|told" in key or "|ends" in key]
+
+
 def test_postings_are_few(spark, orders):
     nodes = orders.select("graph", F.col("s").alias("id"), F.col("s").alias("label"), F.lit("individual").alias("kind"), F.lit(1).alias("degree"))
     postings = ranking.search_postings(nodes)
