@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.vocab import OWL, RDFS, SUBCLASS, TYPE
 from graphloom.operators import entity_graph as eg
-from graphloom.operators import ranking
+from graphloom.operators import ranking, schema
 from graphloom.operators.adjacency import Table, statements
 from graphloom.plans import queries, tables
 from graphloom.sources import kg, library, ntriples
@@ -118,3 +119,53 @@ def test_lines_are_matched_once_for_all_parts(spark):
         ("http://g", "http://a", "iri", "http://b", "a b\x01", "literal", None, "en-GB"),
         ("d", "http://a", "iri", "http://b", "$1\\", "literal", None, None),
     }
+
+
+@pytest.fixture(scope="module")
+def declared_trade(spark):
+    """Vips are customers; a rule says that each vip is of what the value is; carts are of no class above either."""
+    links = [("Vip", SUBCLASS, "Customer"), ("Vip", SUBCLASS, "_:r"), ("_:r", OWL + "onProperty", "lives"), ("_:r", OWL + "hasValue", "n1"), ("n1", TYPE, "Nation"), ("n2", TYPE, "Nation"), ("c1", TYPE, "Customer"), ("v1", TYPE, "Vip"), ("x1", TYPE, "Cart")]
+    links += [("Customer", TYPE, OWL + "Class"), ("lives", RDFS + "domain", "Customer"), ("lives", RDFS + "range", "Nation"), ("c1", "lives", "n1"), ("v1", "lives", "n1"), ("v1", "lives", "n2"), ("n1", "hosts", "v1"), ("x1", "of", "c1"), ("c1", "has", "x1")]
+    kind = lambda x: "bnode" if x.startswith("_:") else "iri"
+    columns = "graph string, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string"
+    return tables.written(spark.createDataFrame([("trade", s, kind(s), p, o, kind(o), None, None) for s, p, o in links], columns), "t")
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_links_among_classes_are_those_of_all(declared_trade, monkeypatch, most):
+    monkeypatch.setattr(eg, "MAX_SENT", most)
+    pair, t, kept = ("Vip", "Nation"), declared_trade, {}
+    monkeypatch.setattr(schema, "written", lambda frame, label: kept.setdefault(label, tables.written(frame, label)))
+    every, above = schema.schema_links(t), schema.class_lineage(t)
+    assert ("trade", "Vip", "lives", "Nation", False, True, 2) in {tuple(r)[:7] for r in every.collect()}  # by the value's type
+    kept.clear()
+    lineage = schema.class_lineage(t, of=pair)
+    assert {tuple(r) for r in lineage.collect()} == {tuple(r) for r in above.where(F.col("id").isin(*pair)).collect()} == {("trade", "Vip", "Vip", 0), ("trade", "Vip", "Customer", 1), ("trade", "Nation", "Nation", 0)}
+    ends = tables.written(lineage.select("graph", F.col("ancestor").alias("iri")), "ends")
+    kept.clear()
+    links = schema.schema_links(t, among=ends)
+    assert {r.type for r in kept["types-among"].collect()} == {"Vip", "Customer", "Nation"}  # no cart is joined with its uses
+    names = [r.iri for r in ends.collect()]
+    assert {tuple(r) for r in links.collect()} == {tuple(r) for r in every.where(F.col("source").isin(*names) & F.col("target").isin(*names)).collect()}
+    found = {tuple(r) for r in schema.inherited_links(links, lineage, *pair).collect()}
+    assert found == {tuple(r) for r in schema.inherited_links(every, above, *pair).collect()} == {("trade", "lives", False, True, True, False, 2), ("trade", "hosts", True, True, False, False, 1)}
+
+
+def test_a_pair_needs_no_table_of_all_types_or_links(spark):
+    tables.forget()
+    assert queries.QUERIES["inherited_links"](spark, SMALL).count() > 0
+    assert not [key for _, key in tables._VIEWS if key.split("|")[1] in ("types", "links", "lineage", "classes")]
+
+
+def test_uses_are_not_sorted_to_meet_their_types(spark, declared_trade):
+    """Nor are all triples read for each kind of declaration."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" not in plan(schema.observed_links(declared_trade)) and plan(schema.observed_links(declared_trade)).count("ShuffledHashJoin") == 2
+        types, declared = tables.written(schema.instance_types(declared_trade), "types"), tables.written(schema.declarations(declared_trade), "declared")
+        marked = declared_trade.where("coalesce(o_datatype, '') <> 'marker'")
+        links = schema.schema_links(marked, schema.restriction_links(marked, types, declared), types=types, declared=declared)
+        assert links._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
