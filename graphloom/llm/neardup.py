@@ -39,6 +39,8 @@ from graphloom.llm.textkit import U64, mix, shingle_hashes, slices, word_hashes
 
 COORDINATES, MISSED = 64, 1e-9
 BLOCK = 1024
+#: Bytes of a batch of texts, sets or members on its way to Python.
+BATCH_BYTES = 2_000_000
 #: Shingles of the members that meet one copy of a hub's set.
 HUB_SHINGLES = 4_000_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
@@ -103,7 +105,7 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 def fetch_sets(documents: DataFrame, classes: DataFrame, ids: DataFrame, *, doc_id: str, text: str, width: int) -> DataFrame:
     """rep, shingles (sorted distinct hashes) of the classes in ``ids`` (rep), from a text of each."""
-    wanted = stash(ids.select("rep").distinct().join(classes.select("rep", "first_id", *SAME_SET), "rep"), "ids")
+    wanted = stash(ids.select("rep").distinct().join(classes.select("rep", "first_id", *SAME_SET), "rep"), "ids", gather=True)
     few = wanted.count() <= BROADCAST_IDS
     first = wanted.select("first_id")
     first = F.broadcast(first) if few else first
@@ -120,7 +122,7 @@ def fetch_sets(documents: DataFrame, classes: DataFrame, ids: DataFrame, *, doc_
 
     texts = documents.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text)).join(first, "first_id", "left_semi")
     sets = texts.mapInArrow(shingle, "first_id bigint, n_shingles bigint, f1 bigint, f2 bigint, shingles array<bigint>").dropDuplicates(["first_id", *SAME_SET])
-    return stash(sets.join(F.broadcast(wanted) if few else wanted, ["first_id", *SAME_SET]).select("rep", "shingles"), "sets")
+    return stash(sets.join(F.broadcast(wanted) if few else wanted, ["first_id", *SAME_SET]).select("rep", "shingles"), "sets", batch_bytes=BATCH_BYTES)
 
 
 def agreements(percent: int) -> int:
@@ -148,7 +150,7 @@ def link_to_hubs(lists: DataFrame, classes: DataFrame, sets_of, percent: int) ->
     weight = lists.groupBy("rep").agg(F.sum("n_list").alias("weight"))
     hubs = lists.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
     pairs = lists.select("rep", "key").join(hubs, "key").where("rep != hub").select("hub", "rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("n_rep")), "rep")
-    pairs = stash(pairs, "pairs")
+    pairs = stash(pairs, "pairs", gather=True)
     slices = pairs.groupBy("hub").agg(F.ceil(F.sum("n_rep") / HUB_SHINGLES).cast("int").alias("slices"))
     dealt = pairs.join(slices, "hub").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")).drop("slices")
     copies = slices.select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
@@ -156,7 +158,7 @@ def link_to_hubs(lists: DataFrame, classes: DataFrame, sets_of, percent: int) ->
     agreed = F.size(F.filter(F.zip_with("signature", "s_hub", lambda x, y: x == y), lambda same: same))
     near = F.expr(f"100 * least(n_rep, n_hub) >= {percent} * greatest(n_rep, n_hub)")
     met = dealt.join(classes.select("rep", "signature"), "rep").join(centre, ["hub", "slice"])
-    candidates = stash(met.where(near & (agreed >= agreements(percent))).select("hub", "slice", "rep"), "candidates")
+    candidates = stash(met.where(near & (agreed >= agreements(percent))).select("hub", "slice", "rep"), "candidates", gather=True)
     sets = sets_of(candidates.select("rep").unionByName(candidates.select(F.col("hub").alias("rep"))))
     members = candidates.join(sets.select("rep", F.col("shingles").alias("s_rep")), "rep")
     centres = candidates.select("hub", "slice").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("s_hub")), "hub")
@@ -213,7 +215,7 @@ def finish_lists(lists: DataFrame, classes: DataFrame, components: DataFrame, se
         found = next(_spanning_pairs(table, percent)[3], None)
         return table.select(list(group)).slice(0, 1 if found else 0)
 
-    live = stash(dealt.groupBy(*group).applyInArrow(any_candidate, "key bigint, low bigint, high bigint"), "live")
+    live = stash(dealt.groupBy(*group).applyInArrow(any_candidate, "key bigint, low bigint, high bigint"), "live", batch_bytes=BATCH_BYTES, gather=True)
     chosen = dealt.join(live, list(group), "left_semi")
     with_sets = chosen.join(sets_of(chosen.select("rep")), "rep")
 
@@ -254,16 +256,16 @@ def one_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.  Links: similarity of at least ``percent`` / 100."""
-    signed = stash(sign_documents(documents, doc_id=doc_id, text=text, width=width), "signed")
+    signed = stash(sign_documents(documents, doc_id=doc_id, text=text, width=width), "signed", batch_bytes=BATCH_BYTES)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy(*SAME_SET).agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
     classes = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     postings = classes.select("rep", F.posexplode(F.slice("signature", 1, COORDINATES - agreements(percent) + 1)).alias("coordinate", "key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
-    lists = stash(postings.join(shared, "key").distinct(), "lists")
+    lists = stash(postings.join(shared, "key").distinct(), "lists", gather=True)
     sets_of = lambda ids: fetch_sets(documents, classes, ids, doc_id=doc_id, text=text, width=width)
-    links = stash(one_id_links(usable, classes).unionByName(link_to_hubs(lists, classes, sets_of, percent)), "links")
-    more = stash(finish_lists(lists, classes, connected_components(links), sets_of, percent), "links")
+    links = stash(one_id_links(usable, classes).unionByName(link_to_hubs(lists, classes, sets_of, percent)), "links", gather=True)
+    more = stash(finish_lists(lists, classes, connected_components(links), sets_of, percent), "links", batch_bytes=BATCH_BYTES, gather=True)
     components = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
     joined = classes.join(components, "rep", "left").select(*SAME_SET, "first_id", F.coalesce("component", "rep").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -149,6 +149,49 @@ def test_large_lists_are_dealt_by_size(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(rows)
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """8 MB of texts in one partition; a batch is held several times outside the heap, so none may be that large."""
+    hashes = neardup.shingle_sets
+
+    def small(column, width):
+        assert column.nbytes < 4_000_000, column.nbytes
+        return hashes(column, width)
+
+    monkeypatch.setattr(neardup, "shingle_sets", small)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    frame = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 250), k -> hex(xxhash64(id div 2, k))), id) AS text")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame).collect()}
+    assert got == {i: (247, i - i % 2) for i in range(2000)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_few_rows_are_written_in_few_files(spark, monkeypatch):
+    """Narrow rows that come out of a shuffle of wide ones are one file, however many tasks that shuffle had."""
+    written, write = [], neardup.stash
+
+    def noted(df, label, *a, **b):
+        out = write(df, label, *a, **b)
+        written.append((label, len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "stash", noted)
+    words = [[f"{i}x{k}" for k in range(60)] for i in range(40)]
+    rows = [(2 * i + j, " ".join(w[: 60 - j])) for i, w in enumerate(words) for j in (0, 1)]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i in range(80)}
+    few = [x for x in written if x[0] in ("pairs", "candidates", "ids", "links", "live") and x[2]]
+    assert ("candidates", 1, 40) in few and ("links", 1, 40) in few
+    assert all(files == 1 for _, files, _ in few), few
+
+
 def test_links_at_exactly_the_threshold(spark):
     """17 of 20 shingles shared is a link at 85 percent, 84 of 99 is not."""
     rows = []
