@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vocab import OWL, RDFS, SUBCLASS, TYPE
 from graphloom.operators import entity_graph as eg
-from graphloom.operators import ranking, schema
+from graphloom.operators import adjacency, ranking, schema
 from graphloom.operators.adjacency import Table, statements
 from graphloom.plans import queries, tables
 from graphloom.sources import kg, library, ntriples
@@ -87,6 +87,43 @@ def test_a_lookup_writes_no_index_of_all(spark, orders, stored):
     assert not [key for _, key in tables._VIEWS if "|told" in key or "|ends" in key]
 
 
+def told_by_hand(rows, limit):
+    told = {}
+    for r in rows:
+        told.setdefault((r.graph, r.s, "out"), []).append((r.p, r.o, True))
+        if r.o_kind != "literal":
+            told.setdefault((r.graph, r.o, "in"), []).append((r.p, r.s, r.s_kind == "iri"))
+    return sorted((*key, p, value, place, len(all_)) for key, all_ in told.items() for place, (p, value, _) in enumerate(sorted(x for x in all_ if x[2])[:limit], 1))
+
+
+def test_details_of_all_move_once_share_by_share(spark, monkeypatch):
+    """What lies in shuffle files at a time is a share of the statements, each of them once; a hub is cut where its statements are."""
+    monkeypatch.setattr(adjacency, "SHARE_ROWS", 5_000, raising=False)
+    monkeypatch.setattr(adjacency, "HUB_ROWS", 500, raising=False)
+    plans = []
+    monkeypatch.setattr(ranking, "written", lambda frame, label: (plans.append(plan(frame)), tables.written(frame, label))[1])
+    found = queries.QUERIES["node_details"](spark, SMALL)
+    hubs, *shares = [*plans, plan(found)]
+    assert len(shares) == 3 and all(x.count("Exchange hashpartitioning") == 1 and "Join" not in x for x in shares)
+    assert "WindowGroupLimit" in hubs and "partial_count" in hubs
+    assert sorted(map(tuple, found.collect())) == told_by_hand(queries.Kg(spark, SMALL).t.collect(), 30)
+
+
+@pytest.mark.parametrize("share, hub", [(10**6, 10**6), (20, 5), (1, 0)])
+def test_details_of_odd_statements(spark, monkeypatch, share, hub):
+    monkeypatch.setattr(adjacency, "SHARE_ROWS", share)
+    monkeypatch.setattr(adjacency, "HUB_ROWS", hub)
+    rows = [("g", f"x:{i}", "iri", "x:p", "x:hub", "iri") for i in range(20)] + [("g", f"_:b{i}", "bnode", "x:a", "x:hub", "iri") for i in range(5)]
+    rows += [("g", "x:1", "iri", "x:p", "x:2", "literal"), ("g", "x:1", "iri", "x:p", "x:2", "iri"), ("g", "x:1", "iri", "x:p", "x:2", "iri"), ("h", "x:1", "iri", "x:q", "x:1", "iri"), ("g", "_:b0", "bnode", "x:q", "_:b1", "bnode")]
+    t = spark.createDataFrame(rows, "graph string, s string, s_kind string, p string, o string, o_kind string")
+    lost = spark.createDataFrame([("g", None, "iri", "x:p", "x:9", "literal"), (None, "x:1", "iri", "x:p", "x:2", "iri")], t.schema)
+    wanted = told_by_hand(t.collect(), 3)
+    assert {x[-2:] for x in wanted if x[1] == "x:hub"} == {(1, 25), (2, 25), (3, 25)}
+    assert sorted(map(tuple, ranking.node_details(t.union(lost), limit=3).collect())) == wanted
+    some = spark.createDataFrame([("g", "x:1"), ("g", "x:hub"), ("g", "x:hub"), ("h", "x:2"), ("g", None)], "graph string, id string")
+    assert sorted(map(tuple, ranking.node_details(t.union(lost), some, 3).collect())) == [x for x in wanted if x[:2] in {("g", "x:1"), ("g", "x:hub")}]
+
+
 def test_postings_are_few(spark, orders):
     nodes = orders.select("graph", F.col("s").alias("id"), F.col("s").alias("label"), F.lit("individual").alias("kind"), F.lit(1).alias("degree"))
     postings = ranking.search_postings(nodes)
